@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts_of
-from .tokens import ByteDecoder, ChunkEncoder, byte_bpe
+from .tokens import WIDE_SPACE, ByteDecoder, byte_bpe, encoder_for
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def coder(ranks_path: str, pattern: str, make: Callable, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        tokenizer = byte_bpe(ranks_path, pattern)
-        encoder, decoder = ChunkEncoder(tokenizer, whole_if_wide_space=True), ByteDecoder.of(tokenizer)
+        encoder = encoder_for(("byte", ranks_path, pattern), lambda: byte_bpe(ranks_path, pattern), WIDE_SPACE)
+        decoder = ByteDecoder.of(encoder.tokenizer)
         for batch in batches:
             texts = texts_of(batch.column(1))
             for first, last, ids, at in encoder.batches(texts):

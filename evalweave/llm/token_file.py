@@ -16,6 +16,7 @@ equal texts.  An empty table gives no blocks.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranges, shared_dir, shuffle_partitions, table, texts_of, written
-from .tokens import ChunkEncoder
+from .tokens import encoder_for
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -85,7 +86,8 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
         tokenizer = Tokenizer.from_file(vocabulary)
         kind = "<u2" if max(tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
-        encoder = ChunkEncoder(tokenizer, whole_if_wide_space=False)
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        encoder = encoder_for(("word", vocabulary), lambda: tokenizer, "|".join(added) or "$^.")  # added tokens are matched in the text as it is
         for batch in batches:
             for first, last, ids, at in encoder.batches(texts_of(batch.column(2))):
                 n = last - first

@@ -1,8 +1,9 @@
 """Tokenizing Arrow batches with the tokenizers library, each distinct chunk of text once.
 
-A chunk is a run of white space with the following run of other characters.  No
-pattern of the supported vocabularies matches across the start of a chunk
-(matches have white space only in front), so the ids of a text are those of its
+A chunk starts at white space after another character, and at ASCII punctuation
+after an ASCII letter or digit.  No pattern of the supported vocabularies matches
+across the start of a chunk (matches have white space only in front, and letters
+and digits never go on with punctuation), so the ids of a text are those of its
 chunks in order.  Chunks are found and made distinct in Arrow and numpy; only
 new ones reach the tokenizer.
 """
@@ -10,12 +11,13 @@ new ones reach the tokenizer.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import WHITE, ranges, raw_of, slices
+from .common import SLICE_BYTES, WHITE, ranges, raw_of, slices
 
 #: White space that is not one byte; texts with it are encoded whole, as a run of mixed white space may be cut in its midst.
 WIDE_SPACE = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -61,34 +63,47 @@ def byte_bpe(ranks_path: str, pattern: str):
     return out
 
 
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+ALPHANUMERIC = np.zeros(256, bool)
+ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
 class ChunkEncoder:
-    """Encodes string arrays; keeps the ids of at most ``remember`` chunks between calls."""
+    """Encodes string arrays; keeps the ids of at most twice ``remember`` chunks between calls.
 
-    def __init__(self, tokenizer, whole_if_wide_space: bool, remember: int = 300_000):
-        self.tokenizer, self.whole, self.remember, self.known = tokenizer, whole_if_wide_space, remember, {}
+    Texts that match ``whole`` aren't cut into chunks.
+    """
+
+    def __init__(self, tokenizer, whole: str, remember: int = 350_000):
+        self.tokenizer, self.whole, self.remember = tokenizer, whole, remember
+        self.known, self.older = {}, {}  # chunks in use move on to the younger one
 
     def look_up(self, chunks: list[str]) -> list[bytes]:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.remember:
-            self.known, new = {}, chunks
+        if len(self.known) > self.remember:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = [known.get(c) or older.get(c) for c in chunks]
+        new = [i for i, ids in enumerate(out) if ids is None]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[chunk] = np.array(e.ids, np.uint32).tobytes()
-        return [self.known[c] for c in chunks]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        known.update(zip(chunks, out))
+        return out
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts, and the offset of each text's first id (one more at the end)."""
-        if self.whole and len(texts):
-            wide = pc.match_substring_regex(texts, WIDE_SPACE)
-            if pc.any(wide).as_py():
-                return self.encode_mixed(texts, wide.to_numpy(zero_copy_only=False))
+        if len(texts):
+            whole = pc.match_substring_regex(texts, self.whole)
+            if pc.any(whole).as_py():
+                return self.encode_mixed(texts, whole.to_numpy(zero_copy_only=False))
         data, offsets = raw_of(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         white = WHITE[data]
         edge = np.zeros(len(data), bool)
-        edge[1:] = white[1:] & ~white[:-1]
+        edge[1:] = (white[1:] & ~white[:-1]) | (PUNCTUATION[data[1:]] & ALPHANUMERIC[data[:-1]])
         edge[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(edge)
         bounds = np.append(starts, len(data)).astype(np.int32)
@@ -101,11 +116,11 @@ class ChunkEncoder:
         ends = np.concatenate(([0], np.cumsum(each)))
         return flat[ranges(first[index], each)], ends[np.searchsorted(starts, offsets)]
 
-    def encode_mixed(self, texts: pa.StringArray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        plain, where = self.encode(texts.filter(pa.array(~wide)))
-        rest = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(wide)).to_pylist(), add_special_tokens=False)]
+    def encode_mixed(self, texts: pa.StringArray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        plain, where = self.encode(texts.filter(pa.array(~whole)))
+        rest = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
         parts, i, j = [], 0, 0
-        for w in wide:
+        for w in whole:
             if w:
                 parts.append(rest[j])
                 j += 1
@@ -116,17 +131,27 @@ class ChunkEncoder:
 
     def batches(self, texts: pa.StringArray):
         """(first row, last row, ids, offsets) of slices of bounded size."""
-        for first, last in slices(texts):
+        for first, last in slices(texts, 2 * SLICE_BYTES):
             yield first, last, *self.encode(texts.slice(first, last - first))
 
 
+#: Encoders of this worker process by name, so that later tasks find chunks that earlier ones encoded.
+ENCODERS: dict[tuple, ChunkEncoder] = {}
+
+
+def encoder_for(name: tuple, make, whole: str) -> ChunkEncoder:
+    if name not in ENCODERS:
+        ENCODERS[name] = ChunkEncoder(make(), whole)
+    return ENCODERS[name]
+
+
 class ByteDecoder:
     """Turns ids back into bytes by a table; characters split between ids come together again."""
 
     def __init__(self, vocabulary: dict[int, bytes]):
         size = max(vocabulary, default=-1) + 1
         tokens = [vocabulary.get(i, b"") for i in range(size)]
-        self.length = np.fromiter(map(len, tokens), np.int64, size)
+        self.length = np.fromiter(map(len, tokens), np.int32, size)
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
