@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, token_file
+from . import byte_bpe, ctw, minhash, token_file
 
 QUERIES = {
     "op5_token_file": token_file.op5_token_file,
+    "op7_ctw": ctw.op7_ctw,
+    "op8_minhash": minhash.op8_minhash,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 
