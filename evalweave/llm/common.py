@@ -80,16 +80,19 @@ def slices(column: pa.StringArray, most: int = SLICE_BYTES):
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything in ASCII but letters and digits.
+SEPARATORS = np.ones(256, bool)
+SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words_of(column: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
-    """All words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, and the index of each text's first word (one more at the end)."""
+def words_of(column: pa.StringArray, between: np.ndarray = WHITE) -> tuple[pa.BinaryArray, np.ndarray]:
+    """All words (runs of bytes that aren't ``between``) with A-Z in lower case, and the index of each text's first word (one more at the end)."""
     data, offsets = raw_of(column)
     if not len(data):
         return pa.array([], pa.binary()), np.zeros(len(column) + 1, np.int64)
-    white = WHITE[data]
+    white = between[data]
     edge = np.ones(len(data), bool)
     edge[1:] = white[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]

@@ -78,8 +78,8 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, tie (digest of the text) and ids (little-endian, 2 bytes each where the vocabulary allows)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
+    """doc_id, tie (digest of the text) and ids (little-endian, 2 bytes each where the vocabulary allows); a row of each task has counts of all its ids instead."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary()), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -87,37 +87,26 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         tokenizer = Tokenizer.from_file(vocabulary)
         kind = "<u2" if max(tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
         added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-        encoder = encoder_for(("word", vocabulary), lambda: tokenizer, "|".join(added) or "$^.")  # added tokens are matched in the text as it is
+        encoder = encoder_for(("word", vocabulary), lambda: tokenizer, "|".join(added) or "$^.", bare=True)  # added tokens are matched in the text as it is
+        counts = np.zeros(max(tokenizer.get_vocab_size(), end_id + 1), np.int64)
         for batch in batches:
             for first, last, ids, at in encoder.batches(texts_of(batch.column(2))):
                 n = last - first
                 out = np.full(len(ids) + n, end_id, kind)
                 where = at + np.arange(n + 1)
                 out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(at))] = ids
+                counts += np.bincount(out, minlength=len(counts))
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((where * out.itemsize).astype(np.int32)), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), raw], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), raw, pa.nulls(n, schema.types[3])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, counts), schema.types)], schema=schema)
 
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(docs["doc_id"].cast("long"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "doc_id long, tie long, ids binary")
+    return docs.select(docs["doc_id"].cast("long"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "doc_id long, tie long, ids binary, counts array<long>")
 
 
-def id_counts(tokens: DataFrame, width: int) -> DataFrame:
-    """How often each id occurs, over all documents; one row per id and task is shuffled at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                found = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token_id", "n"])
-
-    return tokens.select("ids").mapInArrow(run, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """How often each id occurs, over all documents."""
+    return tokens.where("counts is not null").select(F.posexplode("counts").alias("token_id", "n")).where("n > 0").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
@@ -130,7 +119,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
     width = 2 if most < 1 << 16 else 4
     tokens = written(tokenized(docs, vocabulary, end_id), "ids")
     # at most one row per id of the vocabulary comes to the driver
-    found = sorted(((-r["n"], r["token_id"]) for r in id_counts(tokens, width).collect()))
+    found = sorted(((-r["n"], r["token_id"]) for r in id_counts(tokens).collect()))
     order = [i for _, i in found]
     spark.createDataFrame([(rank, i, -n) for rank, (n, i) in enumerate(found)], "rank long, token_id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(most + 1, np.uint32)
@@ -174,7 +163,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
         if doc_ids:
             yield close()
 
-    packed = tokens.mapInArrow(pack_docs, "doc_id long, tie long, n long, control binary, data binary")
+    packed = tokens.where("counts is null").select("doc_id", "tie", "ids").mapInArrow(pack_docs, "doc_id long, tie long, n long, control binary, data binary")
     ordered = packed.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     blocks = ordered.mapInArrow(make_blocks, "shard long, block long, ids_before long, doc_ids array<long>, counts array<long>, control binary, data binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")

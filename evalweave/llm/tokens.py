@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import SLICE_BYTES, WHITE, ranges, raw_of, slices
+from .common import LOWER, SLICE_BYTES, WHITE, ranges, raw_of, slices
 
 #: White space that is not one byte; texts with it are encoded whole, as a run of mixed white space may be cut in its midst.
 WIDE_SPACE = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -70,78 +70,95 @@ ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = Tru
 
 
 class ChunkEncoder:
-    """Encodes string arrays; keeps the ids of at most twice ``remember`` chunks between calls.
+    """Encodes string arrays, each distinct chunk once while it is remembered.
 
-    Texts that match ``whole`` aren't cut into chunks.
+    Texts that match ``whole`` aren't cut into chunks.  With ``bare``, for
+    vocabularies that drop white space and lower case, chunks have neither white
+    space nor capitals A-Z.
     """
 
-    def __init__(self, tokenizer, whole: str, remember: int = 350_000):
-        self.tokenizer, self.whole, self.remember = tokenizer, whole, remember
-        self.known, self.older = {}, {}  # chunks in use move on to the younger one
-
-    def look_up(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > self.remember:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        out = [known.get(c) or older.get(c) for c in chunks]
-        new = [i for i, ids in enumerate(out) if ids is None]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
-                out[i] = array("I", e.ids).tobytes()
-        known.update(zip(chunks, out))
-        return out
-
-    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (uint32) of all texts, and the offset of each text's first id (one more at the end)."""
-        if len(texts):
-            whole = pc.match_substring_regex(texts, self.whole)
-            if pc.any(whole).as_py():
-                return self.encode_mixed(texts, whole.to_numpy(zero_copy_only=False))
+    def __init__(self, tokenizer, whole: str, bare: bool = False, remember: int = 1_500_000):
+        self.tokenizer, self.whole, self.bare, self.remember = tokenizer, whole, bare, remember
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def look_up(self, chunks: pa.StringArray) -> np.ndarray:
+        """Where each of the distinct chunks is among the known ones; new ones are encoded first."""
+        at = pc.index_in(chunks, value_set=self.known)
+        if at.null_count:
+            if len(self.known) + at.null_count > self.remember and len(self.known):
+                self.forget()
+                return self.look_up(chunks)
+            new = chunks.filter(at.is_null())
+            ids, lengths = array("I"), array("q")
+            for first in range(0, len(new), 20_000):
+                for e in self.tokenizer.encode_batch_fast(new.slice(first, 20_000).to_pylist(), add_special_tokens=False):
+                    found = e.ids
+                    ids.extend(found)
+                    lengths.append(len(found))
+            before = len(self.known)
+            self.known = pa.concat_arrays([self.known, new])
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.frombuffer(lengths, np.int64))))
+            self.ids = np.concatenate((self.ids, np.frombuffer(ids, np.uint32)))
+            missing = at.is_null().to_numpy(zero_copy_only=False)
+            at = at.fill_null(0).to_numpy().astype(np.int64)
+            at[missing] = before + np.arange(len(new))
+            return at
+        return at.to_numpy().astype(np.int64)
+
+    def chunks(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """All chunks, and the index of each text's first one (one more at the end)."""
         data, offsets = raw_of(texts)
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         white = WHITE[data]
         edge = np.zeros(len(data), bool)
-        edge[1:] = (white[1:] & ~white[:-1]) | (PUNCTUATION[data[1:]] & ALPHANUMERIC[data[:-1]])
+        edge[1:] = PUNCTUATION[data[1:]] & ALPHANUMERIC[data[:-1]]
         edge[offsets[:-1][offsets[:-1] < len(data)]] = True
-        starts = np.flatnonzero(edge)
-        bounds = np.append(starts, len(data)).astype(np.int32)
-        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        ids = self.look_up(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy()
-        lengths = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
-        flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(lengths) - lengths
-        each = lengths[index]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        return flat[ranges(first[index], each)], ends[np.searchsorted(starts, offsets)]
-
-    def encode_mixed(self, texts: pa.StringArray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        plain, where = self.encode(texts.filter(pa.array(~whole)))
-        rest = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
-        parts, i, j = [], 0, 0
-        for w in whole:
-            if w:
-                parts.append(rest[j])
-                j += 1
-            else:
-                parts.append(plain[where[i] : where[i + 1]])
-                i += 1
-        return np.concatenate(parts) if parts else plain, np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+        if self.bare:
+            edge[1:] |= white[:-1]
+            edge &= ~white
+            starts = np.flatnonzero(edge)
+            kept = np.concatenate(([0], np.cumsum(~white)))
+            bounds, data = np.append(kept[starts], kept[-1]), LOWER[data[~white]]
+        else:
+            edge[1:] |= white[1:] & ~white[:-1]
+            starts = np.flatnonzero(edge)
+            bounds, data = np.append(starts, len(data)), np.ascontiguousarray(data)
+        chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
+        return chunks, np.searchsorted(starts, offsets)
 
     def batches(self, texts: pa.StringArray):
-        """(first row, last row, ids, offsets) of slices of bounded size."""
-        for first, last in slices(texts, 2 * SLICE_BYTES):
-            yield first, last, *self.encode(texts.slice(first, last - first))
+        """(first row, last row, ids, offset of each text's first id and one more) of slices of bounded size."""
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        for low, high in slices(texts, 8 * SLICE_BYTES):
+            part, odd = texts.slice(low, high - low), whole[low:high]
+            chunks, at = self.chunks(part if not odd.any() else pc.if_else(pa.array(odd), "", part))
+            coded = chunks.dictionary_encode()
+            place = self.look_up(coded.dictionary)
+            first, length = self.ends[:-1][place], np.diff(self.ends)[place]
+            index = coded.indices.to_numpy()
+            for a, b in slices(part):
+                own = index[at[a] : at[b]]
+                each = length[own]
+                ends = np.concatenate(([0], np.cumsum(each)))
+                ids, where = self.ids[ranges(first[own], each)], ends[at[a : b + 1] - at[a]]
+                yield low + a, low + b, *(self.with_whole(ids, where, part, odd, a, b) if odd[a:b].any() else (ids, where))
+
+    def with_whole(self, ids, where, part, odd, a, b) -> tuple[np.ndarray, np.ndarray]:
+        parts = [ids[where[i] : where[i + 1]] for i in range(b - a)]
+        for i in np.flatnonzero(odd[a:b]):
+            parts[i] = np.array(self.tokenizer.encode(part[a + int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
 
 
 #: Encoders of this worker process by name, so that later tasks find chunks that earlier ones encoded.
 ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder_for(name: tuple, make, whole: str) -> ChunkEncoder:
+def encoder_for(name: tuple, make, whole: str, bare: bool = False) -> ChunkEncoder:
     if name not in ENCODERS:
-        ENCODERS[name] = ChunkEncoder(make(), whole)
+        ENCODERS[name] = ChunkEncoder(make(), whole, bare)
     return ENCODERS[name]
 
 
