@@ -2,9 +2,11 @@
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled
 texts.  A whole text is cut into blocks and each block is compressed with either
-dictionary; the difference of the summed sizes by the text's bytes tells which
-dictionary knows it better.  A logistic curve, fitted to labelled texts that no
-dictionary has seen, turns that into a score.
+dictionary; the difference of the summed sizes by their sum tells which
+dictionary knows the text better.  A logistic curve of that difference, with the
+rate at which the text is compressed beside it, is fitted to labelled texts that
+no dictionary has seen, weighted to the shares of the classes among all labels;
+its value is the score.
 
 Blocks keep the dictionaries at work to the end of a long text, where a single
 frame would compress a text with its own beginning.
@@ -12,13 +14,14 @@ frame would compress a text with its own beginning.
 Labels: rows with null doc_id or quality are ignored, and so are documents whose
 rows contradict each other.  The fit takes at most ``fit_docs`` documents of
 each class, those of the smallest hashes; every text is scored.  Null and empty
-texts have difference 0 and so the score of the curve's foot point.  With labels
+texts have difference 0 and rate 1.  With labels
 of one class only, or none, every score is the smoothed share of label 1.  Texts
 of any length are scored whole; repeated rows stay; extra columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,44 +39,53 @@ BLOCK_BYTES = 2 << 10
 LEVEL = 3
 
 
+#: Bytes that the sum of sizes is raised by, so that very short texts stay undecided.
+STEADY_BYTES = 64
+
+
 def blocks_of(text: bytes, size: int) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)]
 
 
 @dataclass
 class Classifier:
-    """Two dictionaries (empty: none), and the curve's slope and foot."""
+    """Two dictionaries (empty: none), and the curve: middle and spread of both features, their weights and the foot."""
 
     good: bytes
     bad: bytes
-    slope: float
-    foot: float
+    middle: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray
     block: int = BLOCK_BYTES
     level: int = LEVEL
 
-    def sizer(self):
-        """A function from a text to its normalised size difference, positive where the good dictionary does better."""
+    def measure(self):
+        """A function from a text to its normalised size difference, positive where the good dictionary does better, and its rate."""
         import zstandard
 
         def compressor(raw: bytes):
-            # raw content: the trained samples themselves serve as history, whatever their statistics
-            data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO)
+            data = zstandard.ZstdCompressionDict(raw)
             data.precompute_compress(level=self.level)
             return zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_dict_id=False).compress
 
         if not self.good or not self.bad:
-            return lambda text: 0.0
+            return lambda text: (0.0, 0.0)
         good, bad = compressor(self.good), compressor(self.bad)
 
-        def difference(text: bytes) -> float:
-            if not text:
-                return 0.0
-            return sum(len(bad(b)) - len(good(b)) for b in blocks_of(text, self.block)) / len(text)
+        def features(text: bytes) -> tuple[float, float]:
+            blocks = blocks_of(text, self.block)
+            g, b = (sum(len(size(x)) for x in blocks) - FRAME_BYTES * len(blocks) for size in (good, bad))
+            return (b - g) / (b + g + STEADY_BYTES), math.log((g + 8) / (len(text) + 8))
+
+        return features
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        z = (features.reshape(-1, 2) - self.middle) / self.spread
+        return 1 / (1 + np.exp(-np.clip(z @ self.weights[:2] + self.weights[2], -700, 700)))
 
-        return difference
 
-    def scores(self, differences: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * differences + self.foot, -700, 700)))
+#: Bytes of a frame that hold no text.
+FRAME_BYTES = 5
 
 
 def train_dictionary(texts: list[bytes], size: int, block: int) -> bytes:
@@ -87,26 +99,27 @@ def train_dictionary(texts: list[bytes], size: int, block: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and foot of the likeliest curve, by Newton's method on standardised differences."""
-    middle, spread = x.mean(), x.std() or 1.0
-    z = np.stack([(x - middle) / spread, np.ones(len(x))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Middle and spread of the columns, and the weights and foot of the likeliest curve, by Newton's method."""
+    middle, spread = x.mean(0), x.std(0)
+    spread[spread == 0] = 1
+    z = np.concatenate([(x - middle) / spread, np.ones((len(x), 1))], 1)
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
+    return middle, spread, w
 
 
-def train(examples: list[tuple[bytes, int]]) -> Classifier:
-    """``examples``: (text, quality 0 or 1), in the order that deals them to dictionaries and curve by turns."""
+def train(examples: list[tuple[bytes, int]], shares: dict[int, int] | None = None) -> Classifier:
+    """``examples``: (text, quality 0 or 1), dealt to dictionaries and curve by turns; ``shares``: rows of each class among all labels."""
     by_class = {q: [text for text, quality in examples if quality == q and text] for q in (0, 1)}
-    n = {q: sum(quality == q for _, quality in examples) for q in (0, 1)}
-    prior = (n[1] + 0.5) / (n[0] + n[1] + 1)
-    constant = Classifier(b"", b"", 0.0, float(np.log(prior / (1 - prior))))
+    shares = shares or {q: sum(quality == q for _, quality in examples) for q in (0, 1)}
+    prior = (shares.get(1, 0) + 0.5) / (shares.get(0, 0) + shares.get(1, 0) + 1)
+    constant = Classifier(b"", b"", np.zeros(2), np.ones(2), np.array([0, 0, np.log(prior / (1 - prior))]))
     if min(map(len, by_class.values())) < 2:
         return constant
     seen = {q: texts[::2] for q, texts in by_class.items()}
@@ -121,14 +134,16 @@ def train(examples: list[tuple[bytes, int]]) -> Classifier:
                 break
             parts[q].append(text)
             left -= len(text)
-    out = Classifier(train_dictionary(parts[1], DICTIONARY_BYTES, BLOCK_BYTES), train_dictionary(parts[0], DICTIONARY_BYTES, BLOCK_BYTES), 1.0, 0.0)
-    size = out.sizer()
-    out.slope, out.foot = logistic(np.array([size(text) for text, _ in new]), np.array([float(q) for _, q in new]))
-    return out if out.slope > 0 else constant
+    out = Classifier(train_dictionary(parts[1], DICTIONARY_BYTES, BLOCK_BYTES), train_dictionary(parts[0], DICTIONARY_BYTES, BLOCK_BYTES), np.zeros(2), np.ones(2), np.zeros(3))
+    measure = out.measure()
+    quality = np.array([q for _, q in new])
+    weight = np.array([shares[q] / (quality == q).sum() for q in quality])
+    out.middle, out.spread, out.weights = logistic(np.array([measure(text) for text, _ in new]), quality.astype(float), weight / weight.mean())
+    return out if out.weights[0] > 0 else constant
 
 
-def sampled(docs: DataFrame, labels: DataFrame, fit_docs: int) -> list[tuple[bytes, int]]:
-    """At most ``fit_docs`` labelled texts of each class, by hash; this bounded sample comes to the driver."""
+def sampled(docs: DataFrame, labels: DataFrame, fit_docs: int) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
+    """At most ``fit_docs`` labelled texts of each class, by hash, and all labels' numbers; this bounded sample comes to the driver."""
     agreed = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     order = F.xxhash64(F.col("doc_id"), F.lit("quality"))
     picked = None
@@ -138,11 +153,12 @@ def sampled(docs: DataFrame, labels: DataFrame, fit_docs: int) -> list[tuple[byt
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     # 2 * fit_docs rows of three numbers: small enough to send to every task
     rows = texts.join(F.broadcast(picked), "doc_id").select("turn", "doc_id", "quality", "text").collect()
-    return [(r["text"].encode(), int(r["quality"])) for r in sorted(rows, key=lambda r: (r["turn"], r["doc_id"], r["text"]))]
+    shares = {int(r["quality"]): r["count"] for r in agreed.where("quality in (0, 1)").groupBy("quality").count().collect()}
+    return [(r["text"].encode(), int(r["quality"])) for r in sorted(rows, key=lambda r: (r["turn"], r["doc_id"], r["text"]))], shares
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Classifier:
-    return train(sampled(docs, labels, fit_docs))
+    return train(*sampled(docs, labels, fit_docs))
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -150,12 +166,12 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("difference", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = model.sizer()
+        measure = model.measure()
         for batch in batches:
             texts = texts_of(batch.column(2)).cast(pa.binary())
-            differences = np.fromiter((size(x.as_py()) for x in texts), np.float64, len(texts))
-            scores = model.scores(differences)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(differences)], schema=schema)
+            features = np.array([measure(x.as_py()) for x in texts], np.float64).reshape(-1, 2)
+            scores = model.scores(features)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(features[:, 0].copy())], schema=schema)
 
     return docs.select(docs["doc_id"].cast("long"), docs["held_out"], docs["text"].cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, difference double")
 
@@ -168,10 +184,10 @@ def keep_good(docs: DataFrame, model: Classifier) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = model.sizer()
+        measure = model.measure()
         for batch in batches:
             texts = texts_of(batch.column(at)).cast(pa.binary())
-            scores = model.scores(np.fromiter((size(x.as_py()) for x in texts), np.float64, len(texts)))
+            scores = model.scores(np.array([measure(x.as_py()) for x in texts], np.float64))
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(scores >= 0.5)).columns, schema=schema)
 
     return docs.mapInArrow(run, docs.schema)
