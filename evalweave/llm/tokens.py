@@ -77,7 +77,7 @@ class ChunkEncoder:
     space nor capitals A-Z.
     """
 
-    def __init__(self, tokenizer, whole: str, bare: bool = False, remember: int = 1_500_000):
+    def __init__(self, tokenizer, whole: str, bare: bool = False, remember: int = 1_000_000):
         self.tokenizer, self.whole, self.bare, self.remember = tokenizer, whole, bare, remember
         self.forget()
 
@@ -119,7 +119,7 @@ class ChunkEncoder:
             edge[1:] |= white[:-1]
             edge &= ~white
             starts = np.flatnonzero(edge)
-            kept = np.concatenate(([0], np.cumsum(~white)))
+            kept = np.concatenate((np.zeros(1, np.int32), np.cumsum(~white, dtype=np.int32)))
             bounds, data = np.append(kept[starts], kept[-1]), LOWER[data[~white]]
         else:
             edge[1:] |= white[1:] & ~white[:-1]
@@ -131,7 +131,7 @@ class ChunkEncoder:
     def batches(self, texts: pa.StringArray):
         """(first row, last row, ids, offset of each text's first id and one more) of slices of bounded size."""
         whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
-        for low, high in slices(texts, 8 * SLICE_BYTES):
+        for low, high in slices(texts, 3 * SLICE_BYTES):
             part, odd = texts.slice(low, high - low), whole[low:high]
             chunks, at = self.chunks(part if not odd.any() else pc.if_else(pa.array(odd), "", part))
             coded = chunks.dictionary_encode()
