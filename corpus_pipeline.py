@@ -21,7 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates on five-word shingles; equal rows of one id once."""
     groups = written(minhash.near_duplicates(docs, width=5, percent=80), "groups")
-    out = docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # a merge join at every size: the ids that go are as many as the corpus makes them
+    dropped = groups.where("not kept").select("doc_id").distinct().hint("merge")
+    out = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 

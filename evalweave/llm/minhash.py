@@ -302,7 +302,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, labels: DataFrame, width: int
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks"))
     wanted = classes.join(labels.withColumnRenamed("u", "vertex"), "vertex").join(sizes, "label")
     wanted = wanted.select("doc_id", "vertex", F.col("label").alias("family"), "blocks", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int").alias("own"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(wanted, "doc_id")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
     schema = pa.schema([("vertex", pa.int64()), ("family", pa.int64()), ("blocks", pa.int32()), ("own", pa.int32()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
