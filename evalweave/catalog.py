@@ -569,12 +569,12 @@ def spearman(spark, d):
     return rounded(inference.spearman(rows.where("flag = 'R'").select("model", "value"), rows.where("flag = 'N'").select("model", "value")), "rho")
 
 
-@query("""with m as (select n_name as model, round(avg(c_acctbal), 2) / 100 as mean_rank from customer join nation on c_nationkey = n_nationkey group by 1),
+@query("""with m as (select n_name as model, round(avg(c_acctbal), 4) / 100 as mean_rank from customer join nation on c_nationkey = n_nationkey group by 1),
 r as (select distinct a.mean_rank as lo, max(b.mean_rank) as hi from m a join m b on b.mean_rank >= a.mean_rank and b.mean_rank <= a.mean_rank + 2.0 group by a.mean_rank having max(b.mean_rank) > a.mean_rank)
 select round(lo, 6) as lo, round(hi, 6) as hi from r c where not exists (select 1 from r o where o.lo < c.lo and o.hi >= c.hi)""")
 def cd_cliques(spark, d):
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("model"))
-    ranks = table(spark, d, "customer").join(nations, "c_nationkey").groupBy("model").agg((F.round(F.avg("c_acctbal"), 2) / 100).alias("mean_rank"))
+    ranks = table(spark, d, "customer").join(nations, "c_nationkey").groupBy("model").agg((F.round(F.avg("c_acctbal"), 4) / 100).alias("mean_rank"))
     return rounded(inference.cliques(ranks, 2.0), "lo", "hi")
 
 
@@ -732,6 +732,51 @@ def seed_summary(spark, d):
     return rounded(report.seed_summary(boot(spark, d).where("b = 0")), "mean", "sd")
 
 
+@query("with " + _PRED + """, m as (select dataset, seed, count(distinct model) as models from pred group by all), i as (select dataset, seed, row_id, count(distinct model) as m, count(*) as n, count(distinct target) as t from pred group by all)
+select dataset, seed, count(*) as items, max(models) as models, bool_and(m = models and n = m and t = 1) as ok from i join m using (dataset, seed) group by all""")
+def predictions_aligned(spark, d):
+    return metrics.aligned(predictions(spark, d))
+
+
+@query("""with c as (select source, lang, count(*)::double as n from documents group by 1, 2) select source, round(max(n) / sum(n), 6) as share from c group by 1""")
+def majority_share(spark, d):
+    return rounded(report.majority_share(table(spark, d, "documents"), ["source"], "lang"), "share")
+
+
+@query("""with e as (select user_id as dataset, event_type as kind, avg(value) as v from events group by 1, 2), f as (select dataset from e group by 1 having count(*) = (select count(distinct kind) from e))
+select kind, round(avg(v), 6) as mean, round(min(v), 6) as low, count(*) as n from e semi join f using (dataset) group by 1""")
+def precision_complete(spark, d):
+    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("dataset"), F.col("event_type").alias("kind")).agg(F.avg("value").alias("v"))
+    return rounded(report.complete(rows, "dataset", "kind").groupBy("kind").agg(F.avg("v").alias("mean"), F.min("v").alias("low"), F.count("*").alias("n")), "mean", "low")
+
+
+@query("""with n as (select distinct p_brand as model from part), o as (select model, row_number() over (order by case model when 'Brand#33' then 0 when 'Brand#11' then 1 else 2 end, model) - 1 as place from n)
+select p_partkey, p_brand as model, place::int as place from part join o on model = p_brand""")
+def display_order(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("model"))
+    return report.ordered(rows, ["Brand#33", "Brand#11"]).select("p_partkey", "model", "place")
+
+
+@query("with " + _BOOT + """, p as (select * from boot where b = 0), s as (select dataset, max(spread) <= 1e-12 as same from (select dataset, model, metric, max(value) - min(value) as spread from p group by all) group by 1),
+f as (select dataset, min(seed) as first from p group by 1) select dataset, seed, model, metric, round(value, 6) as value from p join s using (dataset) join f using (dataset) where not same or seed = first""")
+def official_single_seed(spark, d):
+    return rounded(report.single_seed(boot(spark, d).where("b = 0")).select("dataset", "seed", "model", "metric", "value"), "value")
+
+
+@query("with " + _BOOT + """, e as (select model, metric, value from sm where b = 0 and dataset = 'even'), o as (select model, metric, value from sm where b = 0 and dataset = 'odd' and metric <> 'qwk')
+select model, metric, round(e.value, 6) as internal, round(o.value, 6) as external, round(e.value - o.value, 6) as difference from e full join o using (model, metric)""")
+def report_external(spark, d):
+    values = inference.over_seeds(boot(spark, d)).where("b = 0")
+    out = report.side_by_side(values.where("dataset = 'even'"), values.where("dataset = 'odd' and metric <> 'qwk'"), ["model", "metric"], ("internal", "external"))
+    return rounded(out, "internal", "external", "difference")
+
+
+@query("with " + _BOOT + """ select metric, round(min(value), 6) as low, round(max(value), 6) as high from sm where b = 0 group by 1""")
+def report_macros(spark, d):
+    values = inference.over_seeds(boot(spark, d)).where("b = 0")
+    return rounded(values.groupBy("metric").agg(F.min("value").alias("low"), F.max("value").alias("high")), "low", "high")
+
+
 @query("""select label % 4 as label, count(*) as n from embeddings group by 1""")
 def stream_shards(spark, d):
     """Embeddings ingested shard by shard through a file stream, then counted."""

@@ -87,3 +87,12 @@ def log_loss(predictions: DataFrame, keys: list[str], floor: float = 1e-12) -> D
 
 def primary_metric(task: str) -> str:
     return "qwk" if task in ("bracs", "panda", "sicap") else "auc"
+
+
+def aligned(predictions: DataFrame) -> DataFrame:
+    """dataset, seed, items, models, ok: whether all models have the same items with the same targets."""
+    items = predictions.groupBy("dataset", "seed", "row_id").agg(F.countDistinct("model").alias("m"), F.count("*").alias("n"), F.countDistinct("target").alias("targets"))
+    models = predictions.groupBy("dataset", "seed").agg(F.countDistinct("model").alias("models"))
+    joined = items.join(models, ["dataset", "seed"])
+    fine = (F.col("m") == F.col("models")) & (F.col("n") == F.col("m")) & (F.col("targets") == 1)
+    return joined.groupBy("dataset", "seed").agg(F.count("*").alias("items"), F.max("models").alias("models"), F.min(fine).alias("ok"))

@@ -68,3 +68,64 @@ def mismatches(means: DataFrame, stats: DataFrame, tolerance: float = 1e-9) -> D
     keys = ["dataset", "model", "metric"]
     joined = means.join(stats.select(*keys, F.col("mean").alias("stated")), keys, "left")
     return joined.where(F.col("stated").isNull() | (F.abs(F.col("mean") - F.col("stated")) > tolerance))
+
+
+def ordered(rows: DataFrame, known: list[str], column: str = "model") -> DataFrame:
+    """Adds place: known names in their order, then others by name."""
+    places = F.lit(None).cast("int")
+    for i, name in enumerate(known):
+        places = F.when(F.col(column) == name, F.lit(i)).otherwise(places)
+    names = rows.select(column).distinct().withColumn("_known", F.coalesce(places, F.lit(len(known))))  # a row for each name
+    names = names.withColumn("place", F.row_number().over(W.orderBy("_known", column)) - 1).drop("_known")
+    return rows.join(names, column)
+
+
+def majority_share(items: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Share of the most frequent class."""
+    counts = items.groupBy(*keys, label).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.try_divide(F.max("n").cast("double"), F.sum("n").cast("double")).alias("share"))
+
+
+def complete(rows: DataFrame, unit: str, part: str) -> DataFrame:
+    """Rows of the units that have every part."""
+    parts = rows.select(F.countDistinct(part).alias("_parts"))
+    units = rows.groupBy(unit).agg(F.countDistinct(part).alias("_parts")).join(parts, "_parts", "left_semi")
+    return rows.join(units.select(unit), unit, "left_semi")
+
+
+def single_seed(runs: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """Runs of the smallest seed where all seeds agree, all runs elsewhere."""
+    keys = ["dataset", "model", "metric"]
+    spread = runs.groupBy(*keys).agg((F.max("value") - F.min("value")).alias("spread"))
+    same = spread.groupBy("dataset").agg((F.max("spread") <= tolerance).alias("same"))
+    first = runs.groupBy("dataset").agg(F.min("seed").alias("first"))
+    return runs.join(same.join(first, "dataset"), "dataset").where(~F.col("same") | (F.col("seed") == F.col("first"))).drop("same", "first")
+
+
+def side_by_side(left: DataFrame, right: DataFrame, keys: list[str], names: tuple[str, str]) -> DataFrame:
+    """Values of two result sets next to each other; either may lack a row."""
+    a, b = (t.select(*keys, F.col("value").alias(n)) for t, n in zip((left, right), names))
+    return a.join(b, keys, "full").withColumn("difference", F.col(names[0]) - F.col(names[1]))
+
+
+def environment(spark) -> DataFrame:
+    """One row on the software that made a result; what can't be read is null."""
+    import platform
+
+    import numpy
+    import pandas
+    import pyarrow
+
+    row = {"spark": spark.version, "python": platform.python_version(), "numpy": numpy.__version__, "pandas": pandas.__version__, "pyarrow": pyarrow.__version__, "partitions": spark.conf.get("spark.sql.shuffle.partitions", None)}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
+
+
+def ledger(steps: dict) -> tuple[dict, list[tuple[str, str, str]]]:
+    """Results of report steps by name, and (step, kind, message) of those that failed; a failure doesn't stop the others."""
+    done, notes = {}, []
+    for name, step in steps.items():
+        try:
+            done[name] = step()
+        except Exception as e:  # noqa: BLE001  isolation is the point
+            notes.append((name, "failed", str(e)[:200]))
+    return done, notes
