@@ -19,6 +19,15 @@ def hash_text(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *columns))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, though f may use it often (within other arrays' functions, too)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda p, q: p + q)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda p, q: p + q)
 
@@ -43,24 +52,19 @@ def argmax(values: Column) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    e = F.transform(values, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda p, q: p + q)
-    return F.transform(e, lambda x: x / total)
+    shares = lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return let(values, lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp(x - top)), shares)))
 
 
 def centred_unit(values: Column, floor: float = 1e-6) -> Column:
     """Centred and brought to unit length: inner products are then Pearson correlations."""
-    mean = F.aggregate(values, F.lit(0.0), lambda p, q: p + q) / F.size(values)
-    middle = F.transform(values, lambda x: x - mean)
-    length = norm(middle) + floor
-    return F.transform(middle, lambda x: x / length)
+    scaled = lambda m: let(norm(m) + floor, lambda length: F.transform(m, lambda x: x / length))
+    return let(values, lambda v: let(total(v) / F.size(v), lambda mean: let(F.transform(v, lambda x: x - mean), scaled)))
 
 
 def root_normalised(values: Column, floor: float = 1e-7) -> Column:
     """Scaled to sum 1, then square roots."""
-    total = F.aggregate(values, F.lit(0.0), lambda p, q: p + q) + floor
-    return F.transform(values, lambda x: F.sqrt(F.greatest(F.lit(0.0), x) / total))
+    return let(values, lambda v: let(total(v) + floor, lambda t: F.transform(v, lambda x: F.sqrt(F.greatest(F.lit(0.0), x) / t))))
 
 
 def symmetries(side: int) -> list[list[int]]:
@@ -78,8 +82,9 @@ def symmetries(side: int) -> list[list[int]]:
 def quantised(values: Column, bits: int) -> Column:
     """Symmetric quantisation to signed integers of ``bits`` bits and back."""
     top = float(2 ** (bits - 1) - 1)
-    scale = F.aggregate(values, F.lit(0.0), lambda p, q: F.greatest(p, F.abs(q.cast("double")))) / top
-    return F.transform(values, lambda x: F.when(scale > 0, F.bround(x.cast("double") / scale, 0) * scale).otherwise(F.lit(0.0)))
+    largest = lambda v: F.aggregate(v, F.lit(0.0), lambda p, q: F.greatest(p, F.abs(q.cast("double"))))
+    rounded = lambda v, scale: F.transform(v, lambda x: F.when(scale > 0, F.bround(x.cast("double") / scale, 0) * scale).otherwise(F.lit(0.0)))
+    return let(values, lambda v: let(largest(v) / top, lambda scale: rounded(v, scale)))
 
 
 def is_tissue(r: Column, g: Column, b: Column) -> Column:
