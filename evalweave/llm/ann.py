@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 K = 20
 SAMPLE = 20_000
@@ -66,7 +66,7 @@ def vectors(embeddings: DataFrame) -> DataFrame:
             bounds = np.arange(len(lists) + 1, dtype=np.int32) * size
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(flat)])], schema=schema)
 
-    return written(rows.mapInArrow(run, "vec_id long, v binary"), "vectors")
+    return written(rows.mapInArrow(tidied(run), "vec_id long, v binary"), "vectors")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -135,7 +135,7 @@ def build(spark: SparkSession, base: DataFrame, k: int) -> tuple[Index, DataFram
     """The index and its rows: list, vec_id, v."""
     n = base.count()
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    longest = base.mapInArrow(longest_of, "longest double").agg(F.max("longest")).first()[0] or 0.0
+    longest = base.mapInArrow(tidied(longest_of), "longest double").agg(F.max("longest")).first()[0] or 0.0
     rows = matrix(sample.column("v")) if n else np.zeros((0, 1))
     rotation = np.linalg.qr(np.random.default_rng(SEED).standard_normal((rows.shape[1] + 1,) * 2))[0]
     index = Index(longest, rotation, np.zeros((0, rows.shape[1] + 1), np.float32))
@@ -151,7 +151,7 @@ def build(spark: SparkSession, base: DataFrame, k: int) -> tuple[Index, DataFram
                 own = np.argmin(shared.value.distances(shared.value.turned(matrix(batch.column(1)))), 1)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *batch.columns], schema=schema)
 
-    listed = written(base.mapInArrow(assign, "list long, vec_id long, v binary"), "lists")
+    listed = written(base.mapInArrow(tidied(assign), "list long, vec_id long, v binary"), "lists")
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in listed.groupBy("list").count().collect():  # a row for each list: at most SAMPLE / 8
         sizes[r["list"]] = r["count"]
@@ -192,7 +192,7 @@ def tuned_probes(spark: SparkSession, listed: DataFrame, index: Index, k: int) -
                 at = best(scores, own, min(k, len(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(own[at]), pa.array(lists[at]), pa.array(scores[at])], schema=schema)
 
-    found = listed.mapInArrow(run, "q long, vec_id long, list long, score double")
+    found = listed.mapInArrow(tidied(run), "q long, vec_id long, list long, score double")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     true = found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "list").collect()  # TUNE * k rows
     order = np.argsort(index.distances(index.turned(queries, query=True)), 1, kind="stable")
@@ -283,8 +283,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             found = search_cell(shared.value, rows.column("list").to_numpy(), rows.column("vec_id").to_numpy(), matrix(rows.column("v")), queries.column("query_id").to_numpy(), matrix(queries.column("v")), k)
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "score"), found, (pa.int64(), pa.int64(), pa.float64()))})
 
-    cells = listed.mapInArrow(to_cells, "cell long, list long, vec_id long, v binary")
-    visits = listed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(to_visits, "cell long, query_id long, v binary")
+    cells = listed.mapInArrow(tidied(to_cells), "cell long, list long, vec_id long, v binary")
+    visits = listed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(tidied(to_visits), "cell long, query_id long, v binary")
     found = cells.groupBy("cell").cogroup(visits.groupBy("cell")).applyInArrow(visit, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

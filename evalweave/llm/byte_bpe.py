@@ -15,7 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts_of
+from .common import table, texts_of, tidied
 from .tokens import WIDE_SPACE, ByteDecoder, byte_bpe, encoder_for
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -51,7 +51,7 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
         return [lists(ids), lists(ends[:-1] - base), lists(ends[1:] - base), pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(where, where[1:])], pa.string())]
 
     out = f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, byte_start array<int>, byte_end array<int>, decoded string"
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(coder(ranks_path, pattern, make, schema), out).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidied(coder(ranks_path, pattern, make, schema)), out).withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
         ]
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(coder(ranks_path, pattern, make, schema), out)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(tidied(coder(ranks_path, pattern, make, schema)), out)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

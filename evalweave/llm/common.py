@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -14,6 +15,39 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+def tidy() -> None:
+    """Give freed memory back, as a worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(f):
+    """A function over a task's batches that gives memory back at its end."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run
+
+
+def tidied_group(f):
+    """The same for a function of a group's table."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        try:
+            return f(rows)
+        finally:
+            tidy()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

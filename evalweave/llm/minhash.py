@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_bytes, mix, shuffle_partitions, slices, table, texts_of, words_of, written
+from .common import hash_bytes, mix, shuffle_partitions, slices, table, texts_of, tidied, tidied_group, words_of, written
 from .components import components
 
 CHUNKS, CHUNK_SIZE, BITS = 14, 6, 16
@@ -117,7 +117,7 @@ def signed(docs: DataFrame, width: int, signer: Signer) -> DataFrame:
                 rows = signer.sign(flat, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(at)), pa.array(one), pa.array(two), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, n_shingles long, vertex long, second long, signature binary")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(tidied(run), "doc_id long, n_shingles long, vertex long, second long, signature binary")
 
 
 def set_digests(flat: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -140,7 +140,7 @@ def key_rows(classes: DataFrame, signer: Signer, buckets: int) -> DataFrame:
                     own = order[edges[b] : edges[b + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([keys[own].tobytes()]), pa.array([owner[own].tobytes()])], names=["bucket", "keys", "owners"])
 
-    return classes.select("vertex", "signature").mapInArrow(run, "bucket long, keys binary, owners binary")
+    return classes.select("vertex", "signature").mapInArrow(tidied(run), "bucket long, keys binary, owners binary")
 
 
 def meetings(rows: pa.Table) -> pa.Table:
@@ -181,7 +181,7 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["u", "v"])
 
     sides = [classes.select(F.col("vertex").alias(x), F.col("signature").alias(f"{x}_signature")) for x in "uv"]
-    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "u_signature", "v_signature").mapInArrow(run, "u long, v long")
+    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "u_signature", "v_signature").mapInArrow(tidied(run), "u long, v long")
 
 
 def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -205,7 +205,7 @@ def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, most:
                 found[min(label[a], other), max(label[a], other)] = None
         return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
+    return rows.groupBy("key", "i", "j").applyInArrow(tidied_group(compare), "u long, v long")
 
 
 def confirm(rows: pa.Table, percent: int) -> pa.Table:
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
     rows = written(signed(docs, width, signer), "signed")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = written(some.groupBy("vertex", "second", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
-    met = written(key_rows(classes, signer, buckets).groupBy("bucket").applyInArrow(meetings, "key long, u long, v long"), "meetings")
+    met = written(key_rows(classes, signer, buckets).groupBy("bucket").applyInArrow(tidied_group(meetings), "key long, u long, v long"), "meetings")
     near = close_pairs(met.where("v is not null").select("u", "v").distinct(), classes, most)
     labels = components(near)
     across = written(cross_pairs(met.where("v is null").select("key", "u"), classes, labels, most), "across")
@@ -315,11 +315,11 @@ def confirmed(docs: DataFrame, classes: DataFrame, labels: DataFrame, width: int
                 out = pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in range(4)), raw], schema=schema)
                 yield out.filter(pa.array(same))
 
-    sets = texts.select("vertex", "family", "blocks", "own", "text").mapInArrow(run, "vertex long, family long, blocks int, own int, shingles binary")
+    sets = texts.select("vertex", "family", "blocks", "own", "text").mapInArrow(tidied(run), "vertex long, family long, blocks int, own int, shingles binary")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("vertex", "family", "own", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     tasks = 8 * shuffle_partitions(docs.sparkSession)
-    return sets.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(tasks))).groupBy("task").applyInArrow(lambda rows: confirm(rows, percent), "u long, v long")
+    return sets.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(tasks))).groupBy("task").applyInArrow(tidied_group(lambda rows: confirm(rows, percent)), "u long, v long")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

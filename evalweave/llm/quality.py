@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, texts_of
+from .common import crc_mod, table, texts_of, tidied
 
 #: Most labelled documents of each class that are fitted; half train the dictionaries, half the curve.
 FIT_DOCS = 2000
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
             scores = model.scores(features)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(features[:, 0].copy())], schema=schema)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["held_out"], docs["text"].cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, difference double")
+    return docs.select(docs["doc_id"].cast("long"), docs["held_out"], docs["text"].cast("string")).mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int, difference double")
 
 
 def keep_good(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -190,7 +190,7 @@ def keep_good(docs: DataFrame, model: Classifier) -> DataFrame:
             scores = model.scores(np.array([measure(x.as_py()) for x in texts], np.float64))
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(scores >= 0.5)).columns, schema=schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

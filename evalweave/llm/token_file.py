@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, shared_dir, shuffle_partitions, table, texts_of, written
+from .common import ranges, shared_dir, shuffle_partitions, table, texts_of, tidied, written
 from .tokens import encoder_for
 
 VOCABULARY = "word_bpe_49k.json"
@@ -101,7 +101,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, counts), schema.types)], schema=schema)
 
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(docs["doc_id"].cast("long"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "doc_id long, tie long, ids binary, counts array<long>")
+    return docs.select(docs["doc_id"].cast("long"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(tidied(run), "doc_id long, tie long, ids binary, counts array<long>")
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
@@ -163,9 +163,9 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
         if doc_ids:
             yield close()
 
-    packed = tokens.where("counts is null").select("doc_id", "tie", "ids").mapInArrow(pack_docs, "doc_id long, tie long, n long, control binary, data binary")
+    packed = tokens.where("counts is null").select("doc_id", "tie", "ids").mapInArrow(tidied(pack_docs), "doc_id long, tie long, n long, control binary, data binary")
     ordered = packed.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    blocks = ordered.mapInArrow(make_blocks, "shard long, block long, ids_before long, doc_ids array<long>, counts array<long>, control binary, data binary")
+    blocks = ordered.mapInArrow(tidied(make_blocks), "shard long, block long, ids_before long, doc_ids array<long>, counts array<long>, control binary, data binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
     shared.unpersist()
 
@@ -199,7 +199,7 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = True) -> Da
                 yield pa.RecordBatch.from_arrays(out + ([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))] if with_ids else []), schema=schema)
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return blocks.select("shard", "ids_before", "doc_ids", "counts", "control", "data").mapInArrow(run, out)
+    return blocks.select("shard", "ids_before", "doc_ids", "counts", "control", "data").mapInArrow(tidied(run), out)
 
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
