@@ -3,8 +3,8 @@
 1. Texts become sequences of term numbers.  The vocabulary is that of the
    benchmark items; other words have number -1.
 2. A passage is ``STEP`` words.  Document frequencies of terms are counted over
-   all passages of all documents; terms of more than ``COMMON`` of the passages
-   get no weight, others ln((1 + passages) / (1 + passages with the term)).
+   all passages of all documents; a term's weight is
+   ln((2 + passages) / (1 + passages with the term)), above 0 however common it is.
 3. A randomised singular value decomposition of the passages' TF-IDF matrix A:
    every task adds up its part of A'(A R) for a random R; an orthonormal basis Q
    of the sum is refined by (A Q)'(A Q).  Both sums are as wide as the
@@ -15,6 +15,9 @@
    longest common subsequence with the item must reach ``SURE`` of the item's words, or
    ``LIKELY`` of them where also enough of the item's answer is there.  The
    answer is the column of that name; without one, the item's rarest terms.
+6. Whatever the cosine, places with enough of an item's runs of ``RUN`` words go
+   to the same confirmation: as many as stay if the share of words that ``SURE``
+   allows is replaced or left out.  No such copy is lost.
 
 Items are handled ``ITEMS`` at a time, so what goes to the tasks is bounded.
 Items without a word, with null id or null text match nothing.  Null and empty
@@ -25,6 +28,7 @@ part; an empty table on either side gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,11 +42,16 @@ from .common import SEPARATORS, shuffle_partitions, slices, table, texts_of, tid
 
 ITEMS = 5000
 STEP = 16
-COMMON = 0.002
 RANK, OVERSAMPLE = 128, 8
 NEAR = 0.25
 HELD = 0.4
 SURE, LIKELY, ANSWERED = 0.8, 0.6, 0.6
+#: Words of a run; items under LONG words, where changes may leave no such run, have runs of SHORT_RUN.
+RUN, SHORT_RUN, LONG = 3, 2, 15
+#: Bits of the filter that runs pass before they are looked up.
+FILTER_BITS = 21
+#: Pairs of windows and items whose terms are compared at a time.
+PAIRS = 1 << 16
 #: Rarest terms that stand for the answer of an item without one.
 ANSWER_TERMS = 5
 SEED = 11
@@ -239,6 +248,65 @@ class Matcher:
         return len(self.answer.intersection(words)) / len(self.answer) if self.answer else 1.0
 
 
+def run_numbers(terms: np.ndarray, length: int, base: int) -> np.ndarray:
+    """The number of the run of some words that begins at each place."""
+    count = max(0, len(terms) - length + 1)
+    out = terms[:count].astype(np.int64) + 1
+    for k in range(1, length):
+        out = out * base + (terms[k : k + count] + 1)
+    return out
+
+
+class Runs:
+    """Runs of the items' words, of one length for long items and one for short ones."""
+
+    def __init__(self, item_terms: list[np.ndarray], size: int):
+        self.base, self.sizes, self.groups = size + 1, [len(t) for t in item_terms], []
+        lengths = [RUN if n >= LONG else min(n, SHORT_RUN) for n in self.sizes]
+        # a changed word breaks as many runs as a run has words
+        self.least = np.array([max(1, n - k + 1 - (n - math.ceil(SURE * n)) * k) for n, k in zip(self.sizes, lengths)], np.int64)
+        for length in sorted(set(lengths)):
+            own = [i for i, k in enumerate(lengths) if k == length]
+            runs = [run_numbers(item_terms[i], length, self.base) for i in own]
+            order = np.argsort(numbers := np.concatenate(runs), kind="stable")
+            known, at = np.unique(numbers[order], return_index=True)
+            item = np.repeat(own, [len(r) for r in runs])[order]
+            offset = np.concatenate([np.arange(len(r)) for r in runs])[order]
+            some = np.zeros(1 << FILTER_BITS, bool)
+            some[self.slot(known)] = True
+            self.groups.append((length, known, np.append(at, len(order)), item, offset, some))
+
+    @staticmethod
+    def slot(numbers: np.ndarray) -> np.ndarray:
+        return (numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+
+    def places(self, terms: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """Row, item and middles of the places where the item may stand."""
+        for length, known, at, item, offset, some in self.groups:
+            numbers = run_numbers(terms, length, self.base)
+            place = np.flatnonzero(some[self.slot(numbers)])
+            run = np.minimum(np.searchsorted(known, numbers[place]), len(known) - 1)
+            row = np.searchsorted(starts, place, side="right") - 1
+            there = (known[run] == numbers[place]) & (place + length <= starts[row + 1])
+            place, run, row = place[there], run[there], row[there]
+            if not len(place):
+                continue
+            distinct = np.unique(row * len(known) + run)
+            rows, runs = distinct // len(known), distinct % len(known)
+            many = at[runs + 1] - at[runs]
+            entry = np.repeat(at[runs] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            pairs, counts = np.unique(np.repeat(rows, many) * len(self.sizes) + item[entry], return_counts=True)
+            for pair in pairs[counts >= self.least[pairs % len(self.sizes)]].tolist():
+                r, i = divmod(pair, len(self.sizes))
+                low, high = np.searchsorted(row, [r, r + 1])
+                own = run[low:high]
+                many = at[own + 1] - at[own]
+                entry = np.repeat(at[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                mine = item[entry] == i
+                first = np.repeat(place[low:high], many)[mine] - offset[entry[mine]]
+                yield r, i, (np.unique(first // STEP) * STEP + (STEP + self.sizes[i]) // 2).tolist()
+
+
 def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share of confirmed leaks."""
     rarest = [t[np.argsort(-weights[t], kind="stable")] for t in items.terms]
@@ -255,6 +323,18 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
             own[i, t[weights[t] > 0]] = True
         needed = HELD * own.sum(1) * np.minimum(1, 2 * STEP / np.fromiter(map(len, item_terms), np.float64, len(ids)))
         matchers: dict[int, Matcher] = {}
+        runs = Runs(item_terms, len(weights))
+
+        def confirm(out: dict[tuple[int, int], tuple[float, float]], terms: np.ndarray, starts: np.ndarray, doc: int, i: int, middle: int, reach: int, cosine: float) -> None:
+            if out.get((doc, i), (0, 0))[1] == 1:
+                return
+            if i not in matchers:
+                matchers[i] = Matcher(item_terms[i], answers[i])
+            words = terms[max(int(starts[doc]), middle - reach) : max(0, min(int(starts[doc + 1]), middle + reach))].tolist()
+            share = matchers[i].share(words)
+            if share >= SURE or share >= LIKELY and matchers[i].answered(words) >= ANSWERED:
+                out[doc, i] = max(out.get((doc, i), (0.0, 0.0)), (cosine, share), key=lambda x: x[1])
+
         for batch in batches:
             for first, last, terms, starts, passages in parts(batch, 1):
                 some, passage = weighted(terms, weights, starts, passages)
@@ -275,26 +355,26 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                 for low in range(0, len(sums), 8192):
                     near = sums[low : low + 8192] @ targets.T
                     w, i = np.nonzero(near >= NEAR)
-                    counts = high_at[low + w] - low_at[low + w]
-                    pair = np.repeat(np.arange(len(w)), counts)
-                    held_terms = some[np.repeat(low_at[low + w] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())] if len(w) else some[:0]
-                    hit = own[i[pair], held_terms]
-                    # each of an item's terms counts once
-                    distinct = np.unique(pair[hit] * len(weights) + held_terms[hit]) // len(weights)
-                    enough = np.bincount(distinct, minlength=len(w)) >= needed[i]
-                    for w, i in zip(w[enough].tolist(), i[enough].tolist()):
-                        cosine, p = float(near[w, i]), int(windows[low + w])
-                        doc = int(row_of[p])
-                        if out.get((doc, i), (0, 0))[1] == 1:
-                            continue
-                        if i not in matchers:
-                            matchers[i] = Matcher(item_terms[i], answers[i])
-                        reach = max(STEP, len(item_terms[i]))
-                        middle = int(starts[doc]) + (p - int(passages[doc])) * STEP + STEP
-                        words = terms[max(int(starts[doc]), middle - reach) : min(int(starts[doc + 1]), middle + reach)].tolist()
-                        share = matchers[i].share(words)
-                        if share >= SURE or share >= LIKELY and matchers[i].answered(words) >= ANSWERED:
-                            out[doc, i] = max(out.get((doc, i), (0.0, 0.0)), (cosine, share), key=lambda x: x[1])
+                    for pairs in range(0, len(w), PAIRS):
+                        ws, items_of = w[pairs : pairs + PAIRS], i[pairs : pairs + PAIRS]
+                        counts = high_at[low + ws] - low_at[low + ws]
+                        pair = np.repeat(np.arange(len(ws)), counts)
+                        held_terms = some[np.repeat(low_at[low + ws] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+                        hit = own[items_of[pair], held_terms]
+                        # each of an item's terms counts once
+                        distinct = np.unique(pair[hit] * len(weights) + held_terms[hit]) // len(weights)
+                        enough = np.bincount(distinct, minlength=len(ws)) >= needed[items_of]
+                        for v, item in zip(ws[enough].tolist(), items_of[enough].tolist()):
+                            p = int(windows[low + v])
+                            doc = int(row_of[p])
+                            middle = int(starts[doc]) + (p - int(passages[doc])) * STEP + STEP
+                            confirm(out, terms, starts, doc, item, middle, max(STEP, len(item_terms[item])), float(near[v, item]))
+                for doc, item, middles in runs.places(terms, starts):
+                    for middle in middles:
+                        p = int(passages[doc]) + min(max(0, (middle - int(starts[doc]) - STEP // 2) // STEP), int(passages[doc + 1] - passages[doc]) - 1)
+                        v = int(np.searchsorted(windows, p))
+                        cosine = float(sums[v] @ targets[item]) if v < len(windows) and windows[v] == p else 0.0
+                        confirm(out, terms, starts, doc, item, middle, max(STEP, len(item_terms[item])) + STEP // 2, cosine)
                 if out:
                     doc_ids = batch.column(0)
                     yield pa.RecordBatch.from_arrays([pa.array([doc_ids[first + d].as_py() for d, _ in out]), pa.array([ids[i] for _, i in out]), pa.array([c for c, _ in out.values()]), pa.array([s for _, s in out.values()])], schema=schema)
@@ -318,7 +398,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
             if items.ids:
                 stored = sequences(docs, items)
                 passages, with_term = passage_counts(stored, len(items.vocabulary))
-                weights = np.where(with_term <= max(1, COMMON * passages), np.log((1 + passages) / (1 + with_term)), 0.0)
+                weights = np.log((2 + passages) / (1 + with_term))
                 part = matches(stored, items, weights, decompose(stored, weights, rank))
                 found = part if found is None else found.unionByName(part)
         if row is None:

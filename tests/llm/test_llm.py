@@ -428,6 +428,33 @@ def test_paraphrases_and_odd(spark, docs):
     assert decontaminate.leaks(empty_docs(spark), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_common_terms(spark):
+    shared = "which of the two rivers that run to the sea is the longer one and why is that so"
+    common = "the of and to in a is that it for on was as with the of to and"
+    rows = [(i, f"word{i} text{i} {shared} end{i}") for i in range(60)] + [(100 + i, " ".join(f"{w} x{i}y{k}" for k, w in enumerate(common.split()))) for i in range(60)]
+    rows += [(200, "start of it " + common + " end of it"), (201, "no match here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, shared), (2, common), (3, "only word")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert {(d, i) for d, i in got if i == 1} == {(i, 1) for i in range(60)}
+    assert (200, 2) in got and 201 not in {d for d, _ in got}
+    two = docs.where("doc_id < 2")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(two, bench.where("item_id = 1")).collect()} == {(0, 1), (1, 1)}
+
+
+def test_runs_as_brute_force():
+    rng = np.random.default_rng(3)
+    items = [rng.integers(0, 40, n).astype(np.int32) for n in (1, 2, 5, 14, 15, 16, 33, 59)]
+    runs = decontaminate.Runs(items, 40)
+    for i, item in enumerate(items):
+        for left_out in range(len(item) - math.ceil(decontaminate.SURE * len(item)) + 1):
+            kept = np.delete(item, rng.choice(len(item), left_out, replace=False))
+            before = rng.integers(-1, 40, 50).astype(np.int32)
+            terms, starts = np.concatenate([before, before, kept, before]), np.array([0, 50, 100 + len(kept) + 50])
+            found = [m for r, j, m in runs.places(terms, starts) if (r, j) == (1, i)]
+            assert found and any(abs(x - 100 - len(item) / 2) <= decontaminate.STEP / 2 + left_out for x in found[0])
+
+
 # pipeline
 
 
