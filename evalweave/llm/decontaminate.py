@@ -9,6 +9,7 @@
    every task adds up its part of A'(A R) for a random R; an orthonormal basis Q
    of the sum is refined by (A Q)'(A Q).  Both sums are as wide as the
    vocabulary and the rank, whatever the corpus.
+   A term counts once in a passage or an item, so repeated words drown nothing.
 4. Windows of two passages and items are compared by cosine in the latent space.
 5. A window near an item must hold ``HELD`` of the item's weighted terms (as far
    as a window can hold them); then it is confirmed on the words around it: the
@@ -151,9 +152,24 @@ def passage_counts(stored: DataFrame, size: int) -> tuple[int, np.ndarray]:
 
 
 def weighted(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms with a weight, and the passage of each."""
+    """Terms with a weight, once for each passage that holds them, and the passage of each."""
     at = np.flatnonzero((terms >= 0) & (weights[terms] > 0))
-    return terms[at], passages_of(at, starts, passages)
+    pairs = passages_of(at, starts, passages) * len(weights) + terms[at]
+    pairs.sort()
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if len(pairs) else pairs
+    return pairs % len(weights), pairs // len(weights)
+
+
+def group_sums(table: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows at ``index``, from each of some places up to the next."""
+    sizes = np.diff(np.append(first, len(index)))
+    out = table[index[first]]
+    for k in range(1, min(STEP, int(sizes.max(initial=0)))):
+        some = np.flatnonzero(sizes > k)
+        out[some] += table[index[first[some] + k]]
+    for g in np.flatnonzero(sizes > STEP).tolist():
+        out[g] += table[index[first[g] + STEP : first[g] + sizes[g]]].sum(0)
+    return out
 
 
 def latent(terms: np.ndarray, passage: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +177,7 @@ def latent(terms: np.ndarray, passage: np.ndarray, basis: np.ndarray) -> tuple[n
     if not len(terms):
         return passage, np.zeros((0, basis.shape[1]), np.float32)
     first = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-    return passage[first], np.add.reduceat(basis[terms], first, axis=0)
+    return passage[first], group_sums(basis, terms, first)
 
 
 def summed(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -194,7 +210,7 @@ def decompose(stored: DataFrame, weights: np.ndarray, rank: int) -> np.ndarray:
                     order = np.argsort(terms)
                     at = terms[order]
                     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                    total[at[first]] += np.add.reduceat(rows[row[order]], first, axis=0) * w[at[first], None]
+                    total[at[first]] += group_sums(rows, row[order], first) * w[at[first], None]
         for part in range(0, size, TERMS_A_ROW):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total[part : part + TERMS_A_ROW].tobytes()])], names=["part", "values"])
 
@@ -311,8 +327,9 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
     """doc_id, item_id, cosine, lcs_share of confirmed leaks."""
     rarest = [t[np.argsort(-weights[t], kind="stable")] for t in items.terms]
     answers = [a if a is not None else np.array(list(dict.fromkeys(r.tolist()))[:ANSWER_TERMS]) for a, r in zip(items.answers, rarest)]
-    numbers = np.repeat(np.arange(len(items.ids)), [len(t) for t in items.terms])
-    targets = unit(latent(np.concatenate(items.terms), numbers, basis)[1])
+    distinct = [np.unique(t) for t in items.terms]
+    numbers = np.repeat(np.arange(len(items.ids)), [len(t) for t in distinct])
+    targets = unit(latent(np.concatenate(distinct), numbers, basis)[1])
     shared = stored.sparkSession.sparkContext.broadcast((weights, basis, targets, items.ids, items.terms, answers))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64())])
 
@@ -349,21 +366,26 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                     there = there[(known[at[there]] == windows[there] + k) & (row_of[known[at[there]]] == row_of[windows[there]])]
                     sums[there] += rows[at[there]]
                 sums = unit(sums)
-                ends = np.concatenate((passage, [np.iinfo(np.int64).max]))
-                low_at, high_at = np.searchsorted(ends, windows), np.searchsorted(ends, np.minimum(windows + 2, passages[row_of[windows] + 1]))
+                # distinct terms of each window
+                own_window = np.searchsorted(windows, passage)
+                before = np.searchsorted(windows, passage - 1)
+                there = np.flatnonzero((before < own_window) & (row_of[passage - 1] == row_of[passage]))
+                window_terms = np.concatenate([own_window * len(weights) + some, before[there] * len(weights) + some[there]])
+                window_terms.sort()
+                window_terms = window_terms[np.concatenate(([True], window_terms[1:] != window_terms[:-1]))] if len(window_terms) else window_terms
+                window_at = np.searchsorted(window_terms, np.arange(len(windows) + 1) * len(weights))
+                window_terms %= len(weights)
                 out: dict[tuple[int, int], tuple[float, float]] = {}
                 for low in range(0, len(sums), 8192):
                     near = sums[low : low + 8192] @ targets.T
                     w, i = np.nonzero(near >= NEAR)
                     for pairs in range(0, len(w), PAIRS):
                         ws, items_of = w[pairs : pairs + PAIRS], i[pairs : pairs + PAIRS]
-                        counts = high_at[low + ws] - low_at[low + ws]
+                        counts = window_at[low + ws + 1] - window_at[low + ws]
+                        ends = np.cumsum(counts)
                         pair = np.repeat(np.arange(len(ws)), counts)
-                        held_terms = some[np.repeat(low_at[low + ws] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
-                        hit = own[items_of[pair], held_terms]
-                        # each of an item's terms counts once
-                        distinct = np.unique(pair[hit] * len(weights) + held_terms[hit]) // len(weights)
-                        enough = np.bincount(distinct, minlength=len(ws)) >= needed[items_of]
+                        held = own[items_of[pair], window_terms[np.arange(ends[-1]) + np.repeat(window_at[low + ws] - (ends - counts), counts)]]
+                        enough = np.bincount(pair[held], minlength=len(ws)) >= needed[items_of]
                         for v, item in zip(ws[enough].tolist(), items_of[enough].tolist()):
                             p = int(windows[low + v])
                             doc = int(row_of[p])

@@ -455,6 +455,18 @@ def test_runs_as_brute_force():
             assert found and any(abs(x - 100 - len(item) / 2) <= decontaminate.STEP / 2 + left_out for x in found[0])
 
 
+def test_repeated_words_drown_nothing():
+    rng = np.random.default_rng(5)
+    item = rng.permutation(np.arange(1, 16)).astype(np.int32)
+    terms = np.concatenate([np.zeros(40, np.int32), item, np.zeros(40, np.int32)])
+    starts, weights = np.array([0, len(terms)]), np.ones(16)
+    passages = np.array([0, -(-len(terms) // decontaminate.STEP)])
+    found, passage = decontaminate.weighted(terms, weights, starts, passages)
+    assert len(set(zip(found.tolist(), passage.tolist()))) == len(found)
+    assert sorted(found[(passage >= 2) & (passage < 4)].tolist()) == [0, 0, *range(1, 16)]
+    assert [(r, i) for r, i, _ in decontaminate.Runs([item], 16).places(terms, starts)] == [(0, 0)]
+
+
 # pipeline
 
 
