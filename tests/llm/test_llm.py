@@ -359,12 +359,54 @@ def near_copies():
 def test_near_duplicates(spark, width, monkeypatch):
     monkeypatch.setattr(minhash, "SET_BLOCK", 16)
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "HELD_KEYS", 0 if width == 2 else 1 << 20)
     rows = near_copies() + [(900 + i, t) for i, t in enumerate(ODD)]
     got = minhash.near_duplicates(spark.createDataFrame([(*r, "x", 2) for r in rows], "doc_id long, text string, label string, u int"), width=width).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_groups(rows, width))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_large_family_and_outsiders(spark, monkeypatch):
+    """One family far over all block sizes, with members that share its keys but not its links, against brute force."""
+    monkeypatch.setattr(minhash, "SET_BLOCK", 64)
+    monkeypatch.setattr(minhash, "BLOCK", 128)
+    rng = np.random.default_rng(12)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    base, far = rng.choice(vocabulary, 100), rng.choice(vocabulary, 60)
+    rows = []
+    for i in range(1500):
+        t = base.copy()
+        if i % 5 == 1:  # parts of the family that lose their links one by one
+            t[: int(rng.integers(8, 60))] = rng.choice(vocabulary)
+        if i % 7 == 2:
+            t[40:] = far
+        for at in rng.integers(0, 100, int(rng.integers(0, 7))):
+            t[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(t)))
+    names = {s: k for k, s in enumerate({s for _, t in rows for s in shingles(t, 2)})}
+    held = np.zeros((len(rows), len(names)), np.float32)
+    for i, (_, t) in enumerate(rows):
+        held[i, [names[s] for s in shingles(t, 2)]] = 1
+    common_, size = held @ held.T, held.sum(1)
+    linked = 100 * common_ >= 80 * (size[:, None] + size - common_)
+    label = np.arange(len(rows))
+    while True:
+        least = np.where(linked, label, len(rows)).min(1)
+        if (least == label).all():
+            break
+        label = least
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert len(set(label.tolist())) > 20 and {r.doc_id: r.component_id for r in got} == dict(enumerate(label.tolist()))
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(2, a), (5, a), (5, b), (9, c), (9, c)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5).collect()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert sorted((r.doc_id, r.text_key, r.component_id) for r in got) == sorted([(2, md5(a), 2), (5, md5(a), 2), (5, md5(b), 5), (9, md5(c), 9), (9, md5(c), 9)])
+
+
 def test_near_duplicates_odd(spark):
     got = minhash.near_duplicates(odd_docs(spark), width=2).collect()
     assert len(got) == len(ODD) + 2
