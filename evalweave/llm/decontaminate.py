@@ -6,8 +6,8 @@
    all passages of all documents; a term's weight is
    ln((2 + passages) / (1 + passages with the term)), above 0 however common it is.
 3. A randomised singular value decomposition of the passages' TF-IDF matrix A:
-   every task adds up its part of A'(A R) for a random R; an orthonormal basis Q
-   of the sum is refined by (A Q)'(A Q).  Both sums are as wide as the
+   every task adds up its part of A'(A R) for a random R; the sum and R give the
+   leading singular vectors (Nystroem's way).  The sum is as wide as the
    vocabulary and the rank, whatever the corpus.
    A term counts once in a passage or an item, so repeated words drown nothing.
 4. Windows of two passages and items are compared by cosine in the latent space.
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, shuffle_partitions, slices, table, texts_of, tidied, tidied_group, words_of, written
+from .common import SEPARATORS, ranges, slices, table, texts_of, tidied, tidied_group, words_of, written
 
 ITEMS = 5000
 STEP = 16
@@ -51,8 +51,8 @@ SURE, LIKELY, ANSWERED = 0.8, 0.6, 0.6
 RUN, SHORT_RUN, LONG = 3, 2, 15
 #: Bits of the filter that runs pass before they are looked up.
 FILTER_BITS = 21
-#: Pairs of windows and items whose terms are compared at a time.
-PAIRS = 1 << 16
+#: Windows and items that are compared at a time.
+WINDOWS, ITEM_BLOCK = 4096, 512
 #: Rarest terms that stand for the answer of an item without one.
 ANSWER_TERMS = 5
 SEED = 11
@@ -163,13 +163,19 @@ def weighted(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, passage
 def group_sums(table: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of the table's rows at ``index``, from each of some places up to the next."""
     sizes = np.diff(np.append(first, len(index)))
-    out = table[index[first]]
-    for k in range(1, min(STEP, int(sizes.max(initial=0)))):
-        some = np.flatnonzero(sizes > k)
-        out[some] += table[index[first[some] + k]]
-    for g in np.flatnonzero(sizes > STEP).tolist():
-        out[g] += table[index[first[g] + STEP : first[g] + sizes[g]]].sum(0)
-    return out
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = first[order], sizes[order]
+    out = table[index[starts]]
+    room = np.empty_like(out)
+    for k in range(1, min(2 * STEP, int(sizes.max(initial=0)))):
+        n = int(np.searchsorted(-sizes, -k))
+        np.take(table, index[starts[:n] + k], axis=0, out=room[:n], mode="clip")
+        out[:n] += room[:n]
+    for g in np.flatnonzero(sizes > 2 * STEP).tolist():
+        out[g] += table[index[starts[g] + 2 * STEP : starts[g] + sizes[g]]].sum(0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def latent(terms: np.ndarray, passage: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,24 +222,18 @@ def decompose(stored: DataFrame, weights: np.ndarray, rank: int) -> np.ndarray:
 
     found = summed(stored.select("terms").mapInArrow(tidied(sketch), "part long, values binary"), width)
     total = np.concatenate([found[part] for part in sorted(found)]) if found else np.zeros((size, width))
-    q, _ = np.linalg.qr(total)
-    turned = spark.sparkContext.broadcast((weights.astype(np.float32), (q * weights[:, None]).astype(np.float32)))
-    groups = max(1, shuffle_partitions(spark))
+    return leading(total, start.astype(np.float64), weights, rank)
 
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        w, basis = turned.value
-        total = np.zeros((basis.shape[1],) * 2)
-        for batch in batches:
-            for _, _, terms, starts, passages in parts(batch, 0):
-                _, rows = latent(*weighted(terms, w, starts, passages), basis)
-                total += rows.T @ rows
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int64()), pa.array([total.tobytes()])], names=["part", "values"])
-
-    gram = sum(summed(stored.select("terms").mapInArrow(tidied(inner), "part long, values binary"), q.shape[1]).values(), np.zeros((q.shape[1],) * 2))
-    _, vectors = np.linalg.eigh(gram)
-    return (q @ vectors[:, ::-1][:, :rank] * weights[:, None]).astype(np.float32)
+def leading(total: np.ndarray, start: np.ndarray, weights: np.ndarray, rank: int) -> np.ndarray:
+    """Leading eigenvectors of A'A, each scaled by the terms' weights, from its product ``total`` with ``start`` alone (Nystroem)."""
+    shift = np.finfo(np.float64).eps * math.sqrt(len(total)) * max(np.linalg.norm(total), 1e-30)
+    moved = total + shift * start
+    inner = start.T @ moved
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    some = values > values[-1] * 1e-12
+    left, _, _ = np.linalg.svd(moved @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
+    return (left[:, :rank] * weights[:, None]).astype(np.float32)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -335,10 +335,19 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis, targets, ids, item_terms, answers = shared.value
-        own = np.zeros((len(ids), len(weights)), bool)
-        for i, t in enumerate(item_terms):
-            own[i, t[weights[t] > 0]] = True
-        needed = HELD * own.sum(1) * np.minimum(1, 2 * STEP / np.fromiter(map(len, item_terms), np.float64, len(ids)))
+        distinct = [np.unique(t) for t in item_terms]
+        needed = HELD * np.fromiter(map(len, distinct), np.float64, len(ids)) * np.minimum(1, 2 * STEP / np.fromiter(map(len, item_terms), np.float64, len(ids)))
+        holders: dict[int, np.ndarray] = {}
+
+        def held_by(low: int) -> np.ndarray:
+            """For each term, which of a block of items hold it; one block's table is kept."""
+            if low not in holders:
+                holders.clear()
+                holders[low] = np.zeros((len(weights), min(ITEM_BLOCK, len(ids) - low)), np.uint8)
+                for i, t in enumerate(distinct[low : low + ITEM_BLOCK]):
+                    holders[low][t, i] = 1
+            return holders[low]
+
         matchers: dict[int, Matcher] = {}
         runs = Runs(item_terms, len(weights))
 
@@ -376,21 +385,22 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                 window_at = np.searchsorted(window_terms, np.arange(len(windows) + 1) * len(weights))
                 window_terms %= len(weights)
                 out: dict[tuple[int, int], tuple[float, float]] = {}
-                for low in range(0, len(sums), 8192):
-                    near = sums[low : low + 8192] @ targets.T
-                    w, i = np.nonzero(near >= NEAR)
-                    for pairs in range(0, len(w), PAIRS):
-                        ws, items_of = w[pairs : pairs + PAIRS], i[pairs : pairs + PAIRS]
-                        counts = window_at[low + ws + 1] - window_at[low + ws]
-                        ends = np.cumsum(counts)
-                        pair = np.repeat(np.arange(len(ws)), counts)
-                        held = own[items_of[pair], window_terms[np.arange(ends[-1]) + np.repeat(window_at[low + ws] - (ends - counts), counts)]]
-                        enough = np.bincount(pair[held], minlength=len(ws)) >= needed[items_of]
-                        for v, item in zip(ws[enough].tolist(), items_of[enough].tolist()):
+                for block in range(0, len(ids), ITEM_BLOCK):
+                    holding = held_by(block)
+                    for low in range(0, len(sums), WINDOWS):
+                        near = sums[low : low + WINDOWS] @ targets[block : block + ITEM_BLOCK].T
+                        some_near = np.flatnonzero((near >= NEAR).any(1))
+                        if not len(some_near):
+                            continue
+                        at = window_at[low + some_near]
+                        counts = window_at[low + some_near + 1] - at
+                        held = group_sums(holding, window_terms[ranges(at, counts)], np.cumsum(counts) - counts)
+                        w, i = np.nonzero((held >= needed[block : block + ITEM_BLOCK]) & (near[some_near] >= NEAR))
+                        for v, item in zip(some_near[w].tolist(), i.tolist()):
                             p = int(windows[low + v])
                             doc = int(row_of[p])
                             middle = int(starts[doc]) + (p - int(passages[doc])) * STEP + STEP
-                            confirm(out, terms, starts, doc, item, middle, max(STEP, len(item_terms[item])), float(near[v, item]))
+                            confirm(out, terms, starts, doc, block + item, middle, max(STEP, len(item_terms[block + item])), float(near[v, item]))
                 for doc, item, middles in runs.places(terms, starts):
                     for middle in middles:
                         p = int(passages[doc]) + min(max(0, (middle - int(starts[doc]) - STEP // 2) // STEP), int(passages[doc + 1] - passages[doc]) - 1)
