@@ -156,41 +156,35 @@ def weigh_up(keys: np.ndarray, counts: np.ndarray, depth: int, top: int, childre
 
 
 class Model:
-    """Frozen mixture: for each depth the probability of a one at every kept node, contexts cut there."""
+    """Frozen mixture: for each depth the probability of a one at every node, contexts cut there."""
 
     def __init__(self, depth: int):
-        self.depth, self.at, self.p1, self.code = depth, {}, {}, {}
+        self.depth, self.at, self.p1 = depth, {}, {}
         self.left = self.done = None
 
-    def add(self, d: int, parts) -> None:
-        """The next depth, from 0 on: arrays of node keys, KT probability of a one and weight of the node itself, part by part."""
-        kept: list[tuple] = []
-        for at, p1, own in parts:
-            if d:
-                up = np.searchsorted(self.at[d - 1], shorten(at))
-                rest, sure = self.left[up], self.done[up]
-            else:
-                rest, sure = np.ones(len(at), np.float32), np.zeros(len(at), np.float32)
-            below = (sure + rest * own * p1, rest * (1 - own)) if d < self.depth else (None, None)
-            kept.append((np.array(at, np.uint64), (sure + rest * p1).astype(np.float32), *below))
-        joined: list = []
-        for i, kind in enumerate((np.uint64, np.float32, np.float32, np.float32)):
-            whole = i < 2 or d < self.depth
-            joined.append(np.concatenate([np.zeros(0, kind), *(k[i] for k in kept)]) if whole else None)
-        del kept
-        order = np.argsort(joined[0])
-        self.at[d], self.p1[d], self.done, self.left = (x if x is None else x[order] for x in joined)
-
-    def prepare(self, symbols: dict[int, np.ndarray]) -> "Model":
-        """Code lengths of the (context, symbol) pairs seen in training, for a quick look-up."""
-        self.left = self.done = None
-        for d, keys in symbols.items():
-            parts = [self.slow(keys[i : i + 200_000], d).astype(np.float32) for i in range(0, len(keys), 200_000)]
-            self.code[d] = (keys, np.concatenate([np.zeros(0, np.float32), *parts]))
-        return self
+    def copy(self) -> "Model":
+        """A model with the same levels, to which others may be added."""
+        out = Model(self.depth)
+        out.at, out.p1, out.left, out.done = dict(self.at), dict(self.p1), self.left, self.done
+        return out
 
-    def slow(self, keys: np.ndarray, depth: int) -> np.ndarray:
-        """Bits for each (context of ``depth`` bytes, symbol): each decision by its deepest kept node."""
+    def add(self, d: int, parts: list) -> None:
+        """The next depth, from 0 on: arrays of node keys, KT probability of a one and weight of the node itself, part by part."""
+        at, p1, own = (np.concatenate([np.zeros(0, kind), *(x[i] for x in parts)]) for i, kind in enumerate((np.uint64, np.float64, np.float64)))
+        order = np.argsort(at)
+        at, p1, own = at[order], p1[order], own[order]
+        rest, sure = np.ones(len(at)), np.zeros(len(at))
+        if d and len(at):
+            up = np.searchsorted(self.at[d - 1], shorten(at))
+            rest, sure = self.left[up], self.done[up]
+        self.at[d], self.p1[d] = at, sure + rest * p1
+        self.done, self.left = sure + rest * own * p1, rest * (1 - own)
+
+    def bits(self, keys: np.ndarray, most: int = 200_000) -> np.ndarray:
+        """Code length of each full-depth key: each decision by its deepest node."""
+        return np.concatenate([np.zeros(0), *(self._bits(keys[i : i + most]) for i in range(0, len(keys), most))])
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
         bits = np.zeros(len(keys))
         context, symbol = keys & ~LOW, keys & LOW
         for j in range(8):
@@ -198,7 +192,7 @@ class Model:
             one = ((symbol >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
             p = np.full(len(keys), 0.5)
             open_, key = np.arange(len(keys)), context | v
-            for d in range(depth, -1, -1):
+            for d in range(self.depth, -1, -1):
                 at = self.at[d]
                 if len(at):
                     i = np.minimum(np.searchsorted(at, key), len(at) - 1)
@@ -211,41 +205,15 @@ class Model:
             bits -= np.log2(np.where(one, p, 1 - p))
         return bits
 
-    def bits(self, keys: np.ndarray) -> np.ndarray:
-        """Code length of each full-depth key."""
-        out = np.zeros(len(keys))
-        open_ = np.arange(len(keys))
-        for d in range(self.depth, -1, -1):
-            if not len(open_):
-                break
-            at, (known, code) = self.at[d], self.code[d]
-            if len(known):
-                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[i] == keys
-                out[open_[hit]] = code[i[hit]]
-                open_, keys = open_[~hit], keys[~hit]
-            root = (keys & ~LOW) | np.uint64(1)
-            seen = at[np.minimum(np.searchsorted(at, root), len(at) - 1)] == root if len(at) else np.zeros(len(keys), bool)
-            if d == 0:
-                seen = np.ones(len(keys), bool)
-            if seen.any():
-                out[open_[seen]] = self.slow(keys[seen], d)
-                open_, keys = open_[~seen], keys[~seen]
-            keys = shorten(keys)
-        return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each whole text with its end symbol."""
-        if not texts:
-            return np.zeros(0)
-        buffer, starts, lengths = pad_texts(texts, self.depth)
-        if not self.depth:
-            raise ValueError("depth must be at least 1")
-        known, back = np.unique(ngram_keys(buffer, self.depth), return_inverse=True)
-        each = self.bits(known)[back]
-        ends = starts + lengths - self.depth
-        edges = np.stack([starts - self.depth, np.minimum(ends, len(each) - 1)], 1).ravel()
-        sums = np.add.reduceat(each, edges)[::2]
-        if ends[-1] == len(each):
-            sums[-1] = each[starts[-1] - self.depth :].sum()
-        return -sums * np.log10(2)
+def text_sums(each: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """Sums of the values of each padded text's positions, as ``pad_texts`` and ``ngram_keys`` lay them out."""
+    if not len(starts):
+        return np.zeros(0)
+    each = each.astype(np.float64)
+    ends = starts + lengths - depth
+    edges = np.stack([starts - depth, np.minimum(ends, len(each) - 1)], 1).ravel()
+    sums = np.add.reduceat(each, edges)[::2]
+    if ends[-1] == len(each):
+        sums[-1] = each[starts[-1] - depth :].sum()
+    return sums
