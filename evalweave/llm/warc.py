@@ -4,15 +4,17 @@ An archive has two tables.  ``payloads`` keeps each payload once under its
 SHA-256, which is verified whenever payloads are read.  ``headers`` keeps the
 exact header of every record, its type, and the digest of its payload; a header
 names the digest as bare upper-case base32 SHA-1, as web archives do.
-``records`` puts header, payload and closing line ends together again by a join.
+``records`` puts header, payload and closing line ends together again by a join;
+whatever is read back is read from the bytes of these records.
 
 Of records with equal payloads of at least ``least_bytes`` bytes, that with the
 smallest page_id (ties: url, then copy) is the response and the others revisit
 it; records with smaller payloads are all responses.  Null page_ids come last
 and are never preferred to others; a null url leaves its header line out; line
 ends in a url are written as %0D and %0A; a null html is an empty payload.
-Repeated rows are records of their own: ``copy`` numbers them.  Extra columns play
-no part.  An empty table gives an empty archive.
+Repeated rows are records of their own: ``copy`` numbers them.  Payloads of any
+length are kept whole.  Extra columns play no part, whatever their names.  An empty
+table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -113,15 +115,24 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_type, payload_bytes, payload_digest, refers_to of each record, from the archive's tables.
+    """page_id, url, record_type, payload_bytes, payload_digest, refers_to of each record, read from its reconstructed bytes.
 
-    Sizes and digests are those of the stored payloads, measured once each and
-    joined; a header whose digest differs raises an error.
+    A revisit has the payload of the record that it refers to.  Bytes that don't
+    end as a record, a body of another length than its header says, and a payload
+    of another digest raise errors.
     """
-    measured = payloads(spark, path).select("sha256", F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("sha1"))
-    joined = headers(spark, path).join(measured, "sha256")
+    parts = records(spark, path).select("record", "payload", F.substring_index(F.decode("record", "UTF-8"), "\r\n\r\n", 1).alias("head"))
+    start = F.length(F.encode("head", "UTF-8")) + 4
+    body = F.col("record").substr(start + 1, F.length("record") - start - 4)
+    end = F.col("record").substr(F.length("record") - 3, F.lit(4)) == F.lit("\r\n\r\n").cast("binary")
+    header = F.concat("head", F.lit("\r\n"))
+    parts = parts.select(header.alias("header"), body.alias("body"), end.alias("ended"), "payload")
+    right = F.col("ended") & (F.length("body") == field("Content-Length").cast("int"))
+    whole = F.when(field("WARC-Type") == "revisit", F.col("payload")).otherwise(F.col("body"))
+    parts = parts.select("header", F.when(right, whole).otherwise(F.raise_error(F.concat(F.lit("damaged record: "), F.col("header")))).alias("payload"))
+    parts = parts.select("header", F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("sha1"))
     same = field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1"))
-    return joined.select(
+    return parts.select(
         field("WARC-Page-ID").cast("long").alias("page_id"),
         field("WARC-Target-URI").alias("url"),
         "payload_bytes",
