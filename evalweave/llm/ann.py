@@ -4,16 +4,18 @@ One more dimension turns the largest inner product into the smallest distance:
 rows get what their length lacks to the largest one, queries get 0.  Rows go to
 the list of their nearest centroid.  Lists are packed into cells of bounded
 size; a list of many rows is dealt over several cells.  A query visits the cells
-of its ``probes`` nearest lists, nearest first.  There all vectors are turned by
-one random rotation and laid out in blocks of columns: after each block, a row
-whose partial distance, carried to all dimensions, lies above the current limit
-by more than sampling error allows is abandoned.  Survivors get their exact
-inner product in double precision on the original vectors.
+of its ``probes`` nearest lists, in blocks of at most ``QUERY_ROWS`` queries.
+There all vectors are turned by one random rotation and laid out in blocks of
+columns.  Each query scans its nearest list first, which gives it a limit; then
+each list is scanned for all its queries together: after each block of columns,
+a row whose partial distance to a query, carried to all dimensions, lies above
+the query's limit by more than sampling error allows is abandoned.  Survivors get
+their exact inner product in double precision on the original vectors.
 
 Centroids are fitted on at most ``SAMPLE`` rows, those of the smallest hashes;
 every row is indexed.  ``probes`` is the smallest number for which at most
-``TUNE`` queries, compared with brute force over all rows, reach ``RECALL``; up
-to ``EXACT_ROWS`` rows all lists are probed.
+``TUNE`` queries, compared with brute force over all rows, reach ``RECALL``, at
+every size.
 
 Rows take no part whose id or vector is null, whose vector is empty, zero, of
 another length than most, or holds a null or a non-finite number.  Of rows of
@@ -38,9 +40,12 @@ K = 20
 SAMPLE = 20_000
 TUNE = 64
 RECALL = 0.97
-EXACT_ROWS = 2048
 #: Rows of a cell.
 CELL_ROWS = 8192
+#: Queries of a group, about.
+QUERY_ROWS = 1024
+#: Partial distances, and pairs of full vectors, that a task holds at a time.
+HELD_DISTANCES, HELD_PAIRS = 1 << 21, 1 << 16
 #: Dimensions of a column block.
 COLUMNS = 16
 #: Standard deviations of a partial distance that a row must exceed to be abandoned.
@@ -156,7 +161,7 @@ def build(spark: SparkSession, base: DataFrame, k: int) -> tuple[Index, DataFram
     for r in listed.groupBy("list").count().collect():  # a row for each list: at most SAMPLE / 8
         sizes[r["list"]] = r["count"]
     index.pack(sizes)
-    index.probes = len(sizes) if n <= EXACT_ROWS else tuned_probes(spark, listed, index, k)
+    index.probes = tuned_probes(spark, listed, index, k)
     return index, listed
 
 
@@ -167,9 +172,9 @@ def longest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([float((rows * rows).sum(1).max())])], names=["longest"])
 
 
-def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision; equal rows get equal numbers wherever they stand."""
-    return (rows * query).sum(axis=1)
+def exact(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, row by row; equal rows get equal numbers wherever they stand."""
+    return (rows * queries).sum(axis=1)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -198,56 +203,92 @@ def tuned_probes(spark: SparkSession, listed: DataFrame, index: Index, k: int) -
     order = np.argsort(index.distances(index.turned(queries, query=True)), 1, kind="stable")
     place = np.argsort(order, 1)
     needed = np.sort([place[r["q"], r["list"]] for r in true])
+    if not len(needed):
+        return len(index.centroids)
     return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
 
 
-def scan(columns: list[np.ndarray], query: np.ndarray, limit: float, slack: float) -> np.ndarray:
-    """Positions of a list's rows that the tests leave: ``columns`` has a list's rotated vectors, a block of dimensions each; ``slack`` covers rounding."""
-    alive, so_far, done, total = None, None, 0, len(query)
-    for block in columns:
-        part = block if alive is None else block[:, alive]
-        difference = part - query[done : done + len(block), None]
-        partial = np.einsum("ij,ij->j", difference, difference)
-        so_far = partial if so_far is None else so_far + partial
-        done += len(block)
-        if np.isfinite(limit):
-            bound = slack + (limit if done == total else limit * done / total * (1 + CERTAINTY / np.sqrt(done)) ** 2)
-            keep = so_far <= bound
-            if not keep.all():
-                alive = np.flatnonzero(keep) if alive is None else alive[keep]
-                so_far = so_far[keep]
-                if not len(alive):
-                    break
-    return np.arange(columns[0].shape[1]) if alive is None else alive
+def scan(rows: np.ndarray, queries: np.ndarray, limit: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that the tests leave, of rotated vectors; ``limit``: the largest squared distance wanted of each query; ``slack`` covers rounding."""
+    total = rows.shape[1]
+
+    def bound(done: int) -> np.ndarray:
+        return slack + (limit if done == total else limit * done / total * (1 + CERTAINTY / np.sqrt(done)) ** 2)
+
+    so_far, pairs = np.zeros((len(queries), len(rows)), np.float32), None
+    for first in range(0, total, COLUMNS):
+        q, x = queries[:, first : first + COLUMNS], rows[:, first : first + COLUMNS]
+        done = min(first + COLUMNS, total)
+        if pairs is None:
+            # all queries with all rows at once, as long as most of the pairs live
+            so_far += (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * (q @ x.T)
+            alive = so_far <= bound(done)[:, None]
+            if 4 * np.count_nonzero(alive) < alive.size or done == total:
+                pairs = np.nonzero(alive)
+                so_far = so_far[pairs]
+        else:
+            for low in range(0, len(so_far), HELD_PAIRS):
+                difference = q[pairs[0][low : low + HELD_PAIRS]] - x[pairs[1][low : low + HELD_PAIRS]]
+                so_far[low : low + HELD_PAIRS] += np.einsum("ij,ij->i", difference, difference)
+            alive = so_far <= bound(done)[pairs[0]]
+            pairs, so_far = (pairs[0][alive], pairs[1][alive]), so_far[alive]
+    return pairs
+
+
+class Best:
+    """The k best rows of each query so far: larger scores, then smaller ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.scores, self.ids = k, np.full((queries, k), -np.inf), np.zeros((queries, k), np.int64)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        hope = scores >= self.scores[query, -1]
+        query, ids, scores = query[hope], ids[hope], scores[hope]
+        if not len(query):
+            return
+        some = np.unique(query)
+        owner = np.concatenate((np.repeat(some, self.k), query))
+        ids = np.concatenate((self.ids[some].ravel(), ids))
+        scores = np.concatenate((self.scores[some].ravel(), scores))
+        order = np.lexsort((ids, -scores, owner))
+        take = order[np.searchsorted(owner[order], some)[:, None] + np.arange(self.k)]
+        self.ids[some], self.scores[some] = ids[take], scores[take]
 
 
 def search_cell(index: Index, lists: np.ndarray, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query_id, vec_id, score: the best of this cell's probed lists for each query."""
     order = np.lexsort((ids, lists))
     lists, ids, rows = lists[order], ids[order], rows[order]
-    turned = index.turned(rows).T.copy()
-    edges = {int(x): (a, b) for x, a, b in zip(*(lambda u, f: (u, f, np.append(f[1:], len(lists))))(*np.unique(lists, return_index=True)))}
-    columns = {x: [np.ascontiguousarray(turned[d : d + COLUMNS, a:b]) for d in range(0, len(turned), COLUMNS)] for x, (a, b) in edges.items()}
-    turned_queries = index.turned(queries, query=True)
-    out: list[tuple] = []
-    for query_id, query, turned_query, probed in zip(query_ids, queries, turned_queries, index.probed(turned_queries, k)):
-        top_scores, top_ids, limit = np.zeros(0), np.zeros(0, np.int64), np.inf
-        length = float((query * query).sum()) + index.longest
-        for x in probed:
-            if int(x) not in edges:
-                continue
-            a, _ = edges[int(x)]
-            at = scan(columns[int(x)], turned_query, limit, 1e-5 * length) + a
-            at = at[ids[at] != query_id]
-            if not len(at):
-                continue
-            top_scores, top_ids = np.concatenate((top_scores, exact(rows[at], query))), np.concatenate((top_ids, ids[at]))
-            keep = best(top_scores, top_ids, k)
-            top_scores, top_ids = top_scores[keep], top_ids[keep]
-            if len(keep) == k:
-                limit = max(length - 2 * top_scores[-1], 0.0)
-        out.append((np.full(len(top_ids), query_id), top_ids, top_scores))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    turned, turned_queries = index.turned(rows), index.turned(queries, query=True)
+    here, first = np.unique(lists, return_index=True)
+    edges = {int(x): (a, b) for x, a, b in zip(here, first, np.append(first[1:], len(lists)))}
+    length = (queries * queries).sum(1) + index.longest
+    found = Best(len(queries), k)
+
+    def visit(x: int, some: np.ndarray) -> None:
+        a, b = edges[x]
+        step = max(1, HELD_DISTANCES // (b - a))
+        for part in (some[i : i + step] for i in range(0, len(some), step)):
+            worst = found.scores[part, -1]
+            limit = np.where(np.isfinite(worst), np.maximum(length[part] - 2 * worst, 0), np.inf)
+            q, at = scan(turned[a:b], turned_queries[part], limit, 1e-5 * length[part])
+            q, at = part[q], at + a
+            other = ids[at] != query_ids[q]
+            q, at = q[other], at[other]
+            for low in range(0, len(q), HELD_PAIRS):
+                own, row = q[low : low + HELD_PAIRS], at[low : low + HELD_PAIRS]
+                found.add(own, ids[row], exact(rows[row], queries[own]))
+
+    # the nearest list of each query in this cell, then the others
+    rounds: tuple[dict, dict] = ({}, {})
+    for i, probed in enumerate(index.probed(turned_queries, k)):
+        for place, x in enumerate([x for x in probed.tolist() if x in edges]):
+            rounds[place > 0].setdefault(x, []).append(i)
+    for visits in rounds:
+        for x, some in visits.items():
+            visit(x, np.array(some))
+    q, place = np.nonzero(np.isfinite(found.scores))
+    return query_ids[q], found.ids[q, place], found.scores[q, place]
 
 
 def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -255,16 +296,18 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     spark = embeddings.sparkSession
     index, listed = build(spark, vectors(embeddings), k)
     shared = spark.sparkContext.broadcast(index)
-    cell_schema = pa.schema([("cell", pa.int64()), ("list", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary())])
+    blocks = max(1, -(-listed.where(F.col("vec_id") % every == 0).count() // QUERY_ROWS))
+    cell_schema = pa.schema([("cell", pa.int64()), ("block", pa.int64()), ("list", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary())])
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             # rows of a long list are dealt over its cells by id
-            cells = shared.value.first_cell[lists] + (ids * np.int64(0x9E3779B1) >> np.int64(7)) % shared.value.n_cells[lists]
-            yield pa.RecordBatch.from_arrays([pa.array(cells), *batch.columns], schema=cell_schema)
+            cells = pa.array(shared.value.first_cell[lists] + (ids * np.int64(0x9E3779B1) >> np.int64(7)) % shared.value.n_cells[lists])
+            for block in range(blocks):
+                yield pa.RecordBatch.from_arrays([cells, pa.array(np.full(len(ids), block)), *batch.columns], schema=cell_schema)
 
-    query_schema = pa.schema([("cell", pa.int64()), ("query_id", pa.int64()), ("v", pa.binary())])
+    query_schema = pa.schema([("cell", pa.int64()), ("block", pa.int64()), ("query_id", pa.int64()), ("v", pa.binary())])
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -273,8 +316,9 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
                 continue
             probed = ix.probed(ix.turned(matrix(batch.column(1)), query=True), k)
             cells = [np.unique(np.concatenate([np.arange(ix.first_cell[x], ix.first_cell[x] + ix.n_cells[x]) for x in lists])) for lists in probed]
-            at = pa.array(np.repeat(np.arange(len(cells)), [len(c) for c in cells]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), batch.column(0).take(at), batch.column(1).take(at)], schema=query_schema)
+            at = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+            block = (batch.column(0).to_numpy() // every % blocks)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(block), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], schema=query_schema)
 
     def visit(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
@@ -283,9 +327,9 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             found = search_cell(shared.value, rows.column("list").to_numpy(), rows.column("vec_id").to_numpy(), matrix(rows.column("v")), queries.column("query_id").to_numpy(), matrix(queries.column("v")), k)
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "score"), found, (pa.int64(), pa.int64(), pa.float64()))})
 
-    cells = listed.mapInArrow(tidied(to_cells), "cell long, list long, vec_id long, v binary")
-    visits = listed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(tidied(to_visits), "cell long, query_id long, v binary")
-    found = cells.groupBy("cell").cogroup(visits.groupBy("cell")).applyInArrow(visit, "query_id long, vec_id long, score double")
+    cells = listed.mapInArrow(tidied(to_cells), "cell long, block long, list long, vec_id long, v binary")
+    visits = listed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(tidied(to_visits), "cell long, block long, query_id long, v binary")
+    found = cells.groupBy("cell", "block").cogroup(visits.groupBy("cell", "block")).applyInArrow(visit, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
