@@ -1,7 +1,8 @@
 """License scan (operator 3), in DataFrame functions alone.
 
-A text is cut into statements (lines, and sentences within them).  A statement
-is a sparse TF-IDF vector over its words; document frequencies of the templates'
+A text is cut into statements: lines, sentences within them, and sentences that
+go on over several lines (up to an empty line or one of comment marks alone),
+joined.  A statement is a sparse TF-IDF vector over its words; document frequencies of the templates'
 terms are counted over all texts, and words of no template count as if no text
 had them.  A statement has the license of the template with the largest cosine
 of at least ``NEAR``; a file has that of its best statement.
@@ -37,12 +38,17 @@ FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense|notice)([-.].*)?$"
 
 # Statements by which licenses are declared.
 TEMPLATES = [
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -51,6 +57,18 @@ TEMPLATES = [
 ]
 
 
+#: Empty lines, and lines of comment marks alone.
+EMPTY_LINES = r"\n[ \t\r\n#*;/]*\n"
+SENTENCE_ENDS = r"([.!?])[ \t\r\n]+"
+
+
+def cut(text: Column) -> Column:
+    """Lines and sentences of a text, then its sentences of several lines."""
+    sentences = F.split(F.regexp_replace(F.regexp_replace(text, EMPTY_LINES, "\x01"), SENTENCE_ENDS, "$1\x01"), "\x01")
+    several = F.filter(sentences, lambda x: x.contains("\n"))
+    return F.concat(F.flatten(F.transform(sentences, lambda x: F.split(x, "\n"))), several)
+
+
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -100,8 +118,7 @@ def statements(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, n
     some = F.lit(False)
     for w in first:
         some = some | low.contains(w)
-    cut = F.split(F.regexp_replace("text", r"([.!?])[ \t\r\n]+", "$1\n"), "\n")
-    units = files.where(some).select("key", F.posexplode(cut).alias("unit", "statement")).select("key", "unit", terms(F.col("statement")).alias("words"))
+    units = files.where(some).select("key", F.posexplode(cut(F.col("text"))).alias("unit", "statement")).select("key", "unit", terms(F.col("statement")).alias("words"))
     units = units.where(F.arrays_overlap("words", F.array(*map(F.lit, first))))
     counts = units.select("key", "unit", F.explode("words").alias("w")).groupBy("key", "unit", "w").agg(F.count("*").alias("tf"))
     counts = written(counts, "statement-terms")
@@ -178,7 +195,8 @@ df as (select w, count(*) as df from (select key, unnest(list_distinct(string_sp
 idf as (select v.w, ln((1 + n)::double / (1 + coalesce(df, 0))) + 1 as idf from vocabulary v left join df using (w), total),
 tw as (select template, license, w, tf * idf as x, idf from tt join idf using (w)),
 tl as (select template, sqrt(sum(x * x)) as tlen from tw group by template),
-units as (select key, unnest(u) as statement, generate_subscripts(u, 1) - 1 as unit from (select key, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) as u from files)),
+sentences as (select key, string_split(regexp_replace(regexp_replace(text, '\\n[ \\t\\r\\n#*;/]*\\n', chr(1), 'g'), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) as s from files),
+units as (select key, unnest(u) as statement, generate_subscripts(u, 1) - 1 as unit from (select key, list_concat(flatten(list_transform(s, lambda x: string_split(x, chr(10)))), list_filter(s, lambda x: contains(x, chr(10)))) as u from sentences)),
 counts as (select key, unit, w, count(*) as tf from (select key, unit, unnest(string_split_regex(lower(statement), '[^a-z0-9]+')) as w from units) where w <> '' group by all),
 norms as (select key, unit, sqrt(sum((tf * coalesce(idf, ln(1 + n) + 1)) ** 2)) as len from counts left join idf using (w), total group by all),
 dots as (select key, unit, template, license, sum(tf * idf * x) as dot from counts join tw using (w) group by all),
