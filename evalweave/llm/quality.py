@@ -2,44 +2,50 @@
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled
 texts.  A whole text is cut into blocks and each block is compressed with either
-dictionary; the difference of the summed sizes by their sum tells which
-dictionary knows the text better.  A logistic curve of that difference, with the
-rate at which the text is compressed beside it, is fitted to labelled texts that
-no dictionary has seen, weighted to the shares of the classes among all labels;
-its value is the score.
+dictionary; the difference of the summed sizes, normalised by the text's length,
+tells which dictionary knows the text better.  A text that compresses itself,
+such as one word over and over, has a difference near 0 for its length, as
+neither dictionary is needed for it.  A logistic curve of that difference is
+fitted to labelled texts that no dictionary has seen, weighted to the shares of
+the classes among all labels; its value is the score.
 
 Blocks keep the dictionaries at work to the end of a long text, where a single
 frame would compress a text with its own beginning.
 
 Labels: rows with null doc_id or quality are ignored, and so are documents whose
 rows contradict each other.  The fit takes at most ``fit_docs`` documents of
-each class, those of the smallest hashes; every text is scored.  Null and empty
-texts have difference 0 and rate 1.  With labels
-of one class only, or none, every score is the smoothed share of label 1.  Texts
-of any length are scored whole; repeated rows stay; extra columns play no part.
+each class, those of the smallest hashes, and of these as many as have
+``FIT_BYTES`` bytes together (of several texts of one id, the smallest); every
+text is scored.  Null and empty texts have difference 0.  With labels of one class
+only, or none, and where the good dictionary doesn't do better on good texts, no
+curve is to be had: every score is the smoothed share of label 1.  Texts of any
+length are scored whole; repeated rows stay; extra columns play no part, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table, texts_of, tidied
 
 #: Most labelled documents of each class that are fitted; half train the dictionaries, half the curve.
 FIT_DOCS = 2000
+#: Most bytes of a class that are fitted.
+FIT_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 2 << 10
 LEVEL = 3
 
 
-#: Bytes that the sum of sizes is raised by, so that very short texts stay undecided.
+#: Bytes that a text's length is raised by, so that very short texts stay undecided.
 STEADY_BYTES = 64
 
 
@@ -49,18 +55,19 @@ def blocks_of(text: bytes, size: int) -> list[bytes]:
 
 @dataclass
 class Classifier:
-    """Two dictionaries (empty: none), and the curve: middle and spread of both features, their weights and the foot."""
+    """Two dictionaries (empty: none), and the curve of the difference: its middle, spread, weight and foot."""
 
     good: bytes
     bad: bytes
-    middle: np.ndarray
-    spread: np.ndarray
-    weights: np.ndarray
+    middle: float
+    spread: float
+    weight: float
+    foot: float
     block: int = BLOCK_BYTES
     level: int = LEVEL
 
     def measure(self):
-        """A function from a text to its normalised size difference, positive where the good dictionary does better, and its rate."""
+        """A function from a text to its normalised size difference, positive where the good dictionary does better."""
         import zstandard
 
         def compressor(raw: bytes):
@@ -69,19 +76,19 @@ class Classifier:
             return zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_dict_id=False).compress
 
         if not self.good or not self.bad:
-            return lambda text: (0.0, 0.0)
+            return lambda text: 0.0
         good, bad = compressor(self.good), compressor(self.bad)
 
-        def features(text: bytes) -> tuple[float, float]:
+        def difference(text: bytes) -> float:
             blocks = blocks_of(text, self.block)
             g, b = (sum(len(size(x)) for x in blocks) - FRAME_BYTES * len(blocks) for size in (good, bad))
-            return (b - g) / (b + g + STEADY_BYTES), math.log((g + 8) / (len(text) + 8))
+            return (b - g) / (len(text) + STEADY_BYTES)
 
-        return features
+        return difference
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        z = (features.reshape(-1, 2) - self.middle) / self.spread
-        return 1 / (1 + np.exp(-np.clip(z @ self.weights[:2] + self.weights[2], -700, 700)))
+    def scores(self, differences: np.ndarray) -> np.ndarray:
+        z = (differences - self.middle) / self.spread
+        return 1 / (1 + np.exp(-np.clip(z * self.weight + self.foot, -700, 700)))
 
 
 #: Bytes of a frame that hold no text.
@@ -99,19 +106,18 @@ def train_dictionary(texts: list[bytes], size: int, block: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Middle and spread of the columns, and the weights and foot of the likeliest curve, by Newton's method."""
-    middle, spread = x.mean(0), x.std(0)
-    spread[spread == 0] = 1
-    z = np.concatenate([(x - middle) / spread, np.ones((len(x), 1))], 1)
-    w = np.zeros(z.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float, float]:
+    """Middle and spread of the numbers, and the weight and foot of the likeliest curve, by Newton's method."""
+    middle, spread = float(x.mean()), float(x.std()) or 1.0
+    z = np.stack([(x - middle) / spread, np.ones(len(x))], 1)
+    w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (weight * (y - p)) - ridge * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return middle, spread, w
+    return middle, spread, float(w[0]), float(w[1])
 
 
 def train(examples: list[tuple[bytes, int]], shares: dict[int, int] | None = None) -> Classifier:
@@ -119,7 +125,7 @@ def train(examples: list[tuple[bytes, int]], shares: dict[int, int] | None = Non
     by_class = {q: [text for text, quality in examples if quality == q and text] for q in (0, 1)}
     shares = shares or {q: sum(quality == q for _, quality in examples) for q in (0, 1)}
     prior = (shares.get(1, 0) + 0.5) / (shares.get(0, 0) + shares.get(1, 0) + 1)
-    constant = Classifier(b"", b"", np.zeros(2), np.ones(2), np.array([0, 0, np.log(prior / (1 - prior))]))
+    constant = Classifier(b"", b"", 0.0, 1.0, 0.0, float(np.log(prior / (1 - prior))))
     if min(map(len, by_class.values())) < 2:
         return constant
     seen = {q: texts[::2] for q, texts in by_class.items()}
@@ -134,12 +140,12 @@ def train(examples: list[tuple[bytes, int]], shares: dict[int, int] | None = Non
                 break
             parts[q].append(text)
             left -= len(text)
-    out = Classifier(train_dictionary(parts[1], DICTIONARY_BYTES, BLOCK_BYTES), train_dictionary(parts[0], DICTIONARY_BYTES, BLOCK_BYTES), np.zeros(2), np.ones(2), np.zeros(3))
+    out = Classifier(train_dictionary(parts[1], DICTIONARY_BYTES, BLOCK_BYTES), train_dictionary(parts[0], DICTIONARY_BYTES, BLOCK_BYTES), 0.0, 1.0, 0.0, 0.0)
     measure = out.measure()
     quality = np.array([q for _, q in new])
     weight = np.array([shares[q] / (quality == q).sum() for q in quality])
-    out.middle, out.spread, out.weights = logistic(np.array([measure(text) for text, _ in new]), quality.astype(float), weight / weight.mean())
-    return out if out.weights[0] > 0 else constant
+    out.middle, out.spread, out.weight, out.foot = logistic(np.array([measure(text) for text, _ in new]), quality.astype(float), weight / weight.mean())
+    return out if out.weight > 0 else constant
 
 
 def sampled(docs: DataFrame, labels: DataFrame, fit_docs: int) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
@@ -152,7 +158,9 @@ def sampled(docs: DataFrame, labels: DataFrame, fit_docs: int) -> tuple[list[tup
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     # 2 * fit_docs rows of three numbers: small enough to send to every task
-    rows = texts.join(F.broadcast(picked), "doc_id").select("turn", "doc_id", "quality", "text").collect()
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("turn", "doc_id", "quality").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(W.partitionBy("quality").orderBy("turn", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= FIT_BYTES).select("turn", "doc_id", "quality", "text").collect()
     shares = {int(r["quality"]): r["count"] for r in agreed.where("quality in (0, 1)").groupBy("quality").count().collect()}
     return [(r["text"].encode(), int(r["quality"])) for r in sorted(rows, key=lambda r: (r["turn"], r["doc_id"], r["text"]))], shares
 
@@ -169,9 +177,9 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
         measure = model.measure()
         for batch in batches:
             texts = texts_of(batch.column(2)).cast(pa.binary())
-            features = np.array([measure(x.as_py()) for x in texts], np.float64).reshape(-1, 2)
-            scores = model.scores(features)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(features[:, 0].copy())], schema=schema)
+            differences = np.array([measure(x.as_py()) for x in texts], np.float64)
+            scores = model.scores(differences)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(differences)], schema=schema)
 
     return docs.select(docs["doc_id"].cast("long"), docs["held_out"], docs["text"].cast("string")).mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int, difference double")
 
