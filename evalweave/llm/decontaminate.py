@@ -60,6 +60,9 @@ SEED = 11
 TERMS_A_ROW = 256
 
 
+ID_TYPES = {"long": pa.int64(), "string": pa.string()}
+
+
 @dataclass
 class Items:
     """Benchmark items as sequences of term numbers."""
@@ -87,10 +90,10 @@ def read_items(rows: list) -> Items:
     return Items([rows[i]["item_id"] for i in some], [terms[i] for i in some], [answers[i] for i in some], coded.dictionary)
 
 
-def sequences(docs: DataFrame, items: Items) -> DataFrame:
+def sequences(docs: DataFrame, items: Items, id_type: str = "long") -> DataFrame:
     """doc_id and terms (little-endian 32-bit numbers) of documents that have any term of the items."""
     vocabulary = items.vocabulary
-    schema = pa.schema([("doc_id", pa.int64()), ("terms", pa.binary())])
+    schema = pa.schema([("doc_id", ID_TYPES[id_type]), ("terms", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,9 +106,9 @@ def sequences(docs: DataFrame, items: Items) -> DataFrame:
                 raw = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(numbers)])
                 hits = np.concatenate(([0], np.cumsum(numbers >= 0)))
                 some = pa.array(np.diff(hits[at]) > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), raw], schema=schema).filter(some)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), raw], names=schema.names).cast(schema).filter(some)
 
-    return written(docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(tidied(run), "doc_id long, terms binary"), "term-numbers")
+    return written(docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast(id_type), docs["text"].cast("string")).mapInArrow(tidied(run), f"doc_id {id_type}, terms binary"), "term-numbers")
 
 
 def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -323,7 +326,7 @@ class Runs:
                 yield r, i, (np.unique(first // STEP) * STEP + (STEP + self.sizes[i]) // 2).tolist()
 
 
-def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray) -> DataFrame:
+def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, id_type: str = "long") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share of confirmed leaks."""
     rarest = [t[np.argsort(-weights[t], kind="stable")] for t in items.terms]
     answers = [a if a is not None else np.array(list(dict.fromkeys(r.tolist()))[:ANSWER_TERMS]) for a, r in zip(items.answers, rarest)]
@@ -331,7 +334,7 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
     numbers = np.repeat(np.arange(len(items.ids)), [len(t) for t in distinct])
     targets = unit(latent(np.concatenate(distinct), numbers, basis)[1])
     shared = stored.sparkSession.sparkContext.broadcast((weights, basis, targets, items.ids, items.terms, answers))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64())])
+    schema = pa.schema([("doc_id", ID_TYPES[id_type]), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis, targets, ids, item_terms, answers = shared.value
@@ -409,13 +412,13 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                         confirm(out, terms, starts, doc, item, middle, max(STEP, len(item_terms[item])) + STEP // 2, cosine)
                 if out:
                     doc_ids = batch.column(0)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_ids[first + d].as_py() for d, _ in out]), pa.array([ids[i] for _, i in out]), pa.array([c for c, _ in out.values()]), pa.array([s for _, s in out.values()])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_ids[first + d].as_py() for d, _ in out], schema.types[0]), pa.array([ids[i] for _, i in out]), pa.array([c for c, _ in out.values()]), pa.array([s for _, s in out.values()])], schema=schema)
 
-    return stored.select("doc_id", "terms").mapInArrow(tidied(run), "doc_id long, item_id long, cosine double, lcs_share double")
+    return stored.select("doc_id", "terms").mapInArrow(tidied(run), f"doc_id {id_type}, item_id long, cosine double, lcs_share double")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
-    """doc_id, item_id, cosine, lcs_share: a row for each document and each benchmark item that it contains."""
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_type: str = "long") -> DataFrame:
+    """doc_id (of ``id_type``: long or string), item_id, cosine, lcs_share: a row for each document and each benchmark item that it contains."""
     spark = docs.sparkSession
     answer = benchmark["answer"].cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"), answer.alias("answer")).toLocalIterator()
@@ -428,15 +431,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
             items = read_items(block)
             block = []
             if items.ids:
-                stored = sequences(docs, items)
+                stored = sequences(docs, items, id_type)
                 passages, with_term = passage_counts(stored, len(items.vocabulary))
                 weights = np.log((2 + passages) / (1 + with_term))
-                part = matches(stored, items, weights, decompose(stored, weights, rank))
+                part = matches(stored, items, weights, decompose(stored, weights, rank), id_type)
                 found = part if found is None else found.unionByName(part)
         if row is None:
             break
     if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double")
+        return spark.createDataFrame([], f"doc_id {id_type}, item_id long, cosine double, lcs_share double")
     return written(found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share")), "leaks")
 
 
