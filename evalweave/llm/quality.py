@@ -2,12 +2,13 @@
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled
 texts.  A whole text is cut into blocks and each block is compressed with either
-dictionary; the difference of the summed sizes, normalised by the text's length,
-tells which dictionary knows the text better.  A text that compresses itself,
-such as one word over and over, has a difference near 0 for its length, as
-neither dictionary is needed for it.  A logistic curve of that difference is
-fitted to labelled texts that no dictionary has seen, weighted to the shares of
-the classes among all labels; its value is the score.
+dictionary; the difference of the summed sizes, normalised by the geometric mean
+of the text's length and those sizes, tells which dictionary knows the text
+better.  A text that compresses itself, such as one word over and over, has a
+difference near 0, as neither dictionary is needed for it; few good texts have.
+So the logistic curve of the difference has a bend at 0.  It is fitted to labelled
+texts that no dictionary has seen, weighted to the shares of the classes among all
+labels; its value is the score.
 
 Blocks keep the dictionaries at work to the end of a long text, where a single
 frame would compress a text with its own beginning.
@@ -25,6 +26,7 @@ their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +47,7 @@ BLOCK_BYTES = 2 << 10
 LEVEL = 3
 
 
-#: Bytes that a text's length is raised by, so that very short texts stay undecided.
+#: Bytes that lengths and sizes are raised by, so that very short texts stay undecided.
 STEADY_BYTES = 64
 
 
@@ -55,13 +57,13 @@ def blocks_of(text: bytes, size: int) -> list[bytes]:
 
 @dataclass
 class Classifier:
-    """Two dictionaries (empty: none), and the curve of the difference: its middle, spread, weight and foot."""
+    """Two dictionaries (empty: none), and the curve of the difference: its spread, weight, bend at 0 and foot."""
 
     good: bytes
     bad: bytes
-    middle: float
     spread: float
     weight: float
+    bend: float
     foot: float
     block: int = BLOCK_BYTES
     level: int = LEVEL
@@ -82,13 +84,13 @@ class Classifier:
         def difference(text: bytes) -> float:
             blocks = blocks_of(text, self.block)
             g, b = (sum(len(size(x)) for x in blocks) - FRAME_BYTES * len(blocks) for size in (good, bad))
-            return (b - g) / (len(text) + STEADY_BYTES)
+            return (b - g) / math.sqrt((len(text) + STEADY_BYTES) * (b + g + STEADY_BYTES))
 
         return difference
 
     def scores(self, differences: np.ndarray) -> np.ndarray:
-        z = (differences - self.middle) / self.spread
-        return 1 / (1 + np.exp(-np.clip(z * self.weight + self.foot, -700, 700)))
+        z = differences / self.spread
+        return 1 / (1 + np.exp(-np.clip(z * self.weight + np.abs(z) * self.bend + self.foot, -700, 700)))
 
 
 #: Bytes of a frame that hold no text.
@@ -107,17 +109,17 @@ def train_dictionary(texts: list[bytes], size: int, block: int) -> bytes:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float, float]:
-    """Middle and spread of the numbers, and the weight and foot of the likeliest curve, by Newton's method."""
-    middle, spread = float(x.mean()), float(x.std()) or 1.0
-    z = np.stack([(x - middle) / spread, np.ones(len(x))], 1)
-    w = np.zeros(2)
+    """Spread of the numbers, and the weight, bend and foot of the likeliest curve, by Newton's method."""
+    spread = float(x.std()) or 1.0
+    z = np.stack([x / spread, np.abs(x) / spread, np.ones(len(x))], 1)
+    w = np.zeros(3)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (weight * (y - p)) - ridge * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(3), z.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return middle, spread, float(w[0]), float(w[1])
+    return spread, *map(float, w)
 
 
 def train(examples: list[tuple[bytes, int]], shares: dict[int, int] | None = None) -> Classifier:
@@ -125,7 +127,7 @@ def train(examples: list[tuple[bytes, int]], shares: dict[int, int] | None = Non
     by_class = {q: [text for text, quality in examples if quality == q and text] for q in (0, 1)}
     shares = shares or {q: sum(quality == q for _, quality in examples) for q in (0, 1)}
     prior = (shares.get(1, 0) + 0.5) / (shares.get(0, 0) + shares.get(1, 0) + 1)
-    constant = Classifier(b"", b"", 0.0, 1.0, 0.0, float(np.log(prior / (1 - prior))))
+    constant = Classifier(b"", b"", 1.0, 0.0, 0.0, float(np.log(prior / (1 - prior))))
     if min(map(len, by_class.values())) < 2:
         return constant
     seen = {q: texts[::2] for q, texts in by_class.items()}
@@ -140,11 +142,11 @@ def train(examples: list[tuple[bytes, int]], shares: dict[int, int] | None = Non
                 break
             parts[q].append(text)
             left -= len(text)
-    out = Classifier(train_dictionary(parts[1], DICTIONARY_BYTES, BLOCK_BYTES), train_dictionary(parts[0], DICTIONARY_BYTES, BLOCK_BYTES), 0.0, 1.0, 0.0, 0.0)
+    out = Classifier(train_dictionary(parts[1], DICTIONARY_BYTES, BLOCK_BYTES), train_dictionary(parts[0], DICTIONARY_BYTES, BLOCK_BYTES), 1.0, 0.0, 0.0, 0.0)
     measure = out.measure()
     quality = np.array([q for _, q in new])
     weight = np.array([shares[q] / (quality == q).sum() for q in quality])
-    out.middle, out.spread, out.weight, out.foot = logistic(np.array([measure(text) for text, _ in new]), quality.astype(float), weight / weight.mean())
+    out.spread, out.weight, out.bend, out.foot = logistic(np.array([measure(text) for text, _ in new]), quality.astype(float), weight / weight.mean())
     return out if out.weight > 0 else constant
 
 
