@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.expressions import argmax, centred_unit, cosine, dot, quantised, root_normalised, softmax, symmetries
+from .functions.expressions import argmax, centred_unit, cosine, dot, floating, hash_int, quantised, root_normalised, softmax, symmetries
 from .operators import dedup, index, inference, metrics, probe, report, splits, tiles, vectors
-from .sources.storage import shared_dir, table, written
+from .sources.storage import once, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-REPLICATES = 40
+REPLICATES = 1000
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -153,18 +153,18 @@ def tile_grid(spark, d):
     return tiles.grid(regions(spark, d))
 
 
-_FRACTION = """t as (select *, round((('0x' || substr(md5(roi_row || ':' || x || ':' || y), 1, 8))::bigint % 1000) / 1000.0 * 0.4
-  * greatest(0, least(x + 224, w) - greatest(x, 0)) * greatest(0, least(y + 224, h) - greatest(y, 0)) / (224.0 * 224), 6)::double as tissue_frac from g)"""
+#: Whole numbers up to the one division, so every engine rounds alike: a thousandth of 0 to 0.4 of the tile's area, in millionths.
+_FRACTION = """t as (select *, ((('0x' || substr(md5(roi_row || ':' || x || ':' || y), 1, 8))::bigint % 1000
+  * greatest(0, least(x + 224, w) - greatest(x, 0)) * greatest(0, least(y + 224, h) - greatest(y, 0)) * 400 + 25088) // 50176) / 1000000.0::double as tissue_frac from g)"""
 
 
 @query(_GRID + ", " + _FRACTION + """, b as (select *, row_number() over (partition by roi_row order by tissue_frac desc, y, x) as k, max(tissue_frac) over (partition by roi_row) as top from t)
 select roi_row, w, h, x::int as x, y::int as y, tissue_frac, (case when top < 0.1 and k = 1 then 1 else 0 end)::int as fallback from b where tissue_frac >= 0.1 or (top < 0.1 and k = 1)""")
 def tile_filter_fallback(spark, d):
-    from .functions.expressions import hash_int
-
     g = tiles.grid(regions(spark, d))
-    fraction = (hash_int(F.col("roi_row"), F.col("x"), F.col("y")) % 1000) / 1000.0 * 0.4 * tiles.inside(F.col("w"), F.col("h"), F.col("x"), F.col("y"))
-    return tiles.kept_tiles(g.withColumn("tissue_frac", F.round(fraction, 6)), "roi_row")
+    cells = hash_int(F.col("roi_row"), F.col("x"), F.col("y")) % 1000 * tiles.area(F.col("w"), F.col("h"), F.col("x"), F.col("y"))
+    g = g.withColumn("cells", cells.cast("long")).withColumn("tissue_frac", F.expr("((cells * 400 + 25088) div 50176) / 1000000.0D")).drop("cells")
+    return tiles.kept_tiles(g, "roi_row")
 
 
 @query("""with px as (select p_partkey as row_id, unnest(range(0, 16)) as i from part),
@@ -184,12 +184,13 @@ def pixel_fractions(spark, d):
 def features(spark, d):
     """Documents and the sentences in them."""
     cut = F.split(F.regexp_replace("text", r"([.!?])[ \n]+", "$1\n"), "\n")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("owner"), F.explode(cut).alias("feature")).where(F.length("feature") >= 12)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("owner"), F.explode(cut).alias("feature")).where("feature <> ''")
 
 
-_VOTES = """with f as (select distinct owner, feature from (select doc_id as owner, unnest(string_split(regexp_replace(text, '([.!?])[ \\n]+', '\\1' || chr(10), 'g'), chr(10))) as feature from documents) where length(feature) >= 12),
-p as (select lag(owner) over (partition by feature order by owner) as a, owner as b from f),
-votes as (select a, b, count(*) as votes from p where a is not null group by 1, 2)"""
+_VOTES = """with f as (select distinct owner, feature from (select doc_id as owner, unnest(string_split(regexp_replace(text, '([.!?])[ \\n]+', '\\1' || chr(10), 'g'), chr(10))) as feature from documents) where feature <> ''),
+fs as (select owner, string_agg(feature, chr(10) order by feature) as key, count(*) as size from f group by 1), ff as (select *, min(owner) over (partition by key) as first from fs),
+votes as (select x.owner as a, y.owner as b, count(*) as votes from f x join f y using (feature) where x.owner < y.owner and x.owner in (select first from ff) and y.owner in (select first from ff) group by all having count(*) >= 6
+  union all select first, owner, size from ff where owner <> first and size >= 6)"""
 _CANDIDATES = """, c as (select a, b, votes from (select *, row_number() over (partition by a order by votes desc, b) as of_a, row_number() over (partition by b order by votes desc, a) as of_b from votes where votes >= 6) where of_a <= 30 or of_b <= 30)"""
 
 
@@ -208,13 +209,15 @@ def dup_candidates_capped(spark, d):
     return dedup.candidates(dedup.votes(features(spark, d)))
 
 
-_COMPONENTS = _VOTES.replace("with f", "with recursive f") + _CANDIDATES + """, e as (select a, b from c where votes >= 8 union select b, a from c where votes >= 8),
-reach(owner, x) as (select a, a from e union select r.owner, e.b from reach r join e on r.x = e.a), roots as (select owner, min(x) as root from reach group by 1)"""
+_COMPONENTS = _VOTES.replace("with f", "with recursive f") + _CANDIDATES + """, v as (select a, b from c join fs x on x.owner = a join fs y on y.owner = b where votes >= 15 and votes::double / least(x.size, y.size) >= 0.5),
+e as (select a, b from v union select b, a from v),
+reach(owner, x) as (select distinct a, a from e union select r.owner, e.b from reach r join e on r.x = e.a), roots as (select owner, min(x) as root from reach group by 1)"""
 
 
 @query(_COMPONENTS + " select * from roots")
 def dup_components(spark, d):
-    return dedup.grouped(dedup.candidates(dedup.votes(features(spark, d))), 8)
+    found = features(spark, d)
+    return dedup.grouped(dedup.verified(dedup.candidates(dedup.votes(found)), found))
 
 
 @query(_COMPONENTS + """, s as (select root, count(*) as n from roots group by 1)
@@ -370,20 +373,26 @@ def subset_linspace(spark, d):
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """model, dataset, seed, row_id, grp, target, probs: nearest-centroid models of three embedding keys, two data sets, two seeds."""
-    rows = vectors.variants(table(spark, d, "embeddings").select("vec_id", "label", "embedding"))
-    scored = vectors.centroid_probabilities(rows, ["model"]).select("model", F.col("vec_id").alias("row_id"), F.col("label").alias("target"), "probs")
-    scored = scored.withColumn("dataset", F.when(F.col("row_id") % 2 == 0, "even").otherwise("odd")).withColumn("grp", (F.col("row_id") % 50).cast("string"))
-    return written(scored.withColumn("seed", F.explode(F.array(F.lit(42), F.lit(43)))), "predictions")
+    """model, dataset, seed, row_id, grp, target, probs: nearest-centroid models of three embedding keys, two data sets, two seeds with a fitting half each."""
+
+    def make() -> DataFrame:
+        rows = vectors.variants(table(spark, d, "embeddings").select("vec_id", "label", "embedding"))
+        rows = rows.withColumn("seed", F.explode(F.array(F.lit(42), F.lit(43))))
+        scored = vectors.centroid_probabilities(rows, ["model", "seed"], fit=hash_int(F.col("seed"), F.col("vec_id")) % 2 == 0)
+        scored = scored.select("model", "seed", F.col("vec_id").alias("row_id"), F.col("label").alias("target"), "probs")
+        return scored.withColumn("dataset", F.when(F.col("row_id") % 2 == 0, "even").otherwise("odd")).withColumn("grp", (F.col("row_id") % 50).cast("string"))
+
+    return once(spark, d, "predictions", make)
 
 
 _PRED = """v as (select vec_id, label, m.model, case m.model when 'official' then embedding when 'cls' then embedding[1:32] else embedding[33:64] end as v from embeddings, (select unnest(['official', 'cls', 'patch_mean']) as model) m),
-cx as (select model, label, pos, avg(x) as x from (select model, label, unnest(v)::double as x, generate_subscripts(v, 1) as pos from v) group by all),
-cv as (select model, label, list(x order by pos) as c from cx group by all), cs as (select model, list(c order by label) as centres from cv group by 1),
-cosines as (select v.model, vec_id, label, list_transform(centres, lambda c: 10.0 * list_cosine_similarity(v.v::double[], c)) as s from v join cs using (model)),
-soft as (select model, vec_id, label, list_transform(s, lambda x: exp(x - list_max(s))) as e from cosines),
-one as (select model, vec_id as row_id, label as target, list_transform(e, lambda x: round(x / list_sum(e), 6)) as probs from soft),
-pred as (select model, row_id, target, probs, case when row_id % 2 = 0 then 'even' else 'odd' end as dataset, (row_id % 50)::varchar as grp, seed, (list_position(probs, list_max(probs)) - 1)::int as pred from one, (select unnest([42, 43]) as seed))"""
+sd as (select unnest([42, 43]) as seed),
+cx as (select model, seed, label, pos, avg(x) as x from (select model, seed, label, unnest(v)::double as x, generate_subscripts(v, 1) as pos from v, sd where ('0x' || substr(md5(seed || ':' || vec_id), 1, 8))::bigint % 2 = 0) group by all),
+cv as (select model, seed, label, list(x order by pos) as c from cx group by all), cs as (select model, seed, list(c order by label) as centres from cv group by all),
+cosines as (select v.model, seed, vec_id, label, list_transform(centres, lambda c: 10.0 * list_cosine_similarity(v.v::double[], c)) as s from v join cs using (model)),
+soft as (select model, seed, vec_id, label, list_transform(s, lambda x: exp(x - list_max(s))) as e from cosines),
+one as (select model, seed, vec_id as row_id, label as target, list_transform(e, lambda x: round(x / list_sum(e), 6)) as probs from soft),
+pred as (select model, row_id, target, probs, case when row_id % 2 = 0 then 'even' else 'odd' end as dataset, (row_id % 50)::varchar as grp, seed, (list_position(probs, list_max(probs)) - 1)::int as pred from one)"""
 _SUMS = """lab as (select {k}, label, sum(r) as r, sum(c) as c, sum(h) as h from (select {k}, target as label, w as r, 0 as c, case when target = pred then w else 0 end as h from conf union all select {k}, pred, 0, w, 0 from conf) group by all),
 pos as (select *, row_number() over (partition by {k} order by label) - 1 as ix from lab),
 tot as (select {k}, sum(h)::double / sum(r) as acc, avg(case when r > 0 then h::double / r end) as bal_acc, sum(coalesce(2.0 * h / nullif(r + c, 0), 0) * r) / sum(r) as f1_weighted, avg(coalesce(2.0 * h / nullif(r + c, 0), 0)) as f1_macro,
@@ -461,7 +470,12 @@ dw as (select dataset, seed, b, ('0x' || substr(md5(dataset || ':' || seed || ':
 weights as (select dataset, seed, b::int as b, grp, w from dw join gn using (dataset, seed, ix))"""
 _KB = "dataset, seed, b, model"
 _BOOT = f"{_PRED}, {_DRAWS}, allw as (from weights union all select distinct dataset, seed, 0, grp, 1.0 from pred), conf as (select {_KB}, target, pred, sum(w) as w from pred join allw using (dataset, seed, grp) group by all), {_SUMS.format(k=_KB)}, " + f"""
-boot as (select {_KB}, m.metric, case m.metric when 'acc' then acc when 'bal_acc' then bal_acc when 'f1_weighted' then f1_weighted else qwk end as value from met, (select unnest(['acc', 'bal_acc', 'f1_weighted', 'qwk']) as metric) m),
+won as (select p.dataset, p.seed, p.model, p.target as c, p.grp as g, q.grp as h, sum(case when p.probs[p.target + 1] > q.probs[p.target + 1] then 1.0 when p.probs[p.target + 1] = q.probs[p.target + 1] then 0.5 else 0.0 end)::double as u
+  from pred p join pred q on p.dataset = q.dataset and p.seed = q.seed and p.model = q.model and p.target <> q.target group by all),
+wins as (select won.dataset, won.seed, x.b, model, c, sum(u * x.w * y.w) as wins from won join allw x on won.dataset = x.dataset and won.seed = x.seed and g = x.grp join allw y on won.dataset = y.dataset and won.seed = y.seed and h = y.grp and x.b = y.b group by all),
+sides as (select {_KB}, target as c, sum(w) as pos from conf group by all), alls as (select {_KB}, sum(pos) as n from sides group by all),
+aucs as (select {_KB}, sum(pos * coalesce(wins, 0) / (pos * (n - pos))) / sum(pos) as auc from sides join alls using ({_KB}) left join wins using ({_KB}, c) group by all),
+boot as (select {_KB}, m.metric, case m.metric when 'acc' then acc when 'bal_acc' then bal_acc when 'f1_weighted' then f1_weighted when 'qwk' then qwk else auc end as value from met join aucs using ({_KB}), (select unnest(['acc', 'bal_acc', 'f1_weighted', 'qwk', 'auc']) as metric) m),
 sm as (select dataset, b, model, metric, avg(value) as value from boot group by all)"""
 _PAIR = """pr as (select x.dataset, x.metric, x.model as model_a, y.model as model_b, x.b, round(x.value - y.value, 9) as d from sm x join sm y on x.dataset = y.dataset and x.b = y.b and x.metric = y.metric and x.model < y.model),
 ts as (select dataset, metric, model_a, model_b, max(d) filter (b = 0) as diff, quantile_cont(d, 0.025) filter (b > 0) as ci_low, quantile_cont(d, 0.975) filter (b > 0) as ci_high,
@@ -471,7 +485,7 @@ holm as (select *, max(step) over (partition by dataset, metric order by p, mode
 
 
 def boot(spark, d):
-    return written(inference.bootstrap(predictions(spark, d), REPLICATES), "bootstrap")
+    return once(spark, d, "bootstrap", lambda: inference.bootstrap(predictions(spark, d), REPLICATES))
 
 
 def pairs(spark, d):
@@ -644,22 +658,26 @@ def abmil_slide(spark, d):
 
 def quantised_sets(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("v"))
-    kinds = [("int8", quantised(F.col("v"), 8)), ("int4", quantised(F.col("v"), 4)), ("fp32", F.col("v"))]
+    v = F.col("v")
+    kinds = [("int8", quantised(v, 8)), ("int4", quantised(v, 4)), ("fp16", floating(v, 11, -14, 65504.0)), ("bf16", floating(v, 8, -126, 3.3895313892515355e38)), ("fp32", v)]
     rows = rows.select("row_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in kinds))).alias("x")).select("row_id", "x.kind", "x.v")
-    return rows.withColumn("pred", argmax(F.transform(F.slice("v", F.lit(1), 16), lambda x: F.round(x, 6))))
+    return rows.withColumn("pred", argmax(F.transform("v", lambda x: F.round(x, 6))))
 
 
 _QUANT = """s as (select vec_id as row_id, embedding::double[] as v, list_max(list_transform(embedding, lambda x: abs(x::double))) as top from embeddings),
-q as (select row_id, v, k.kind, list_transform(v, lambda x: round_even(x / (top / k.levels), 0) * (top / k.levels)) as z from s, (select unnest(['int8', 'int4']) as kind, unnest([127.0, 7.0]::double[]) as levels) k),
-p as (select *, list_position(list_transform(z[1:16], lambda x: round(x, 6)), list_max(list_transform(z[1:16], lambda x: round(x, 6)))) as pa, list_position(list_transform(v[1:16], lambda x: round(x, 6)), list_max(list_transform(v[1:16], lambda x: round(x, 6)))) as pb from q)"""
+i as (select row_id, v, k.kind, list_transform(v, lambda x: round_even(x / (top / k.levels), 0) * (top / k.levels)) as z from s, (select unnest(['int8', 'int4']) as kind, unnest([127.0, 7.0]::double[]) as levels) k),
+f as (select row_id, v, k.kind, list_transform(v, lambda x: case when x = 0 then 0.0 else round_even(x / pow(2.0, greatest(floor(log2(abs(x))), k.least) - k.digits + 1), 0) * pow(2.0, greatest(floor(log2(abs(x))), k.least) - k.digits + 1) end) as z
+  from s, (select unnest(['fp16', 'bf16']) as kind, unnest([11.0, 8.0]::double[]) as digits, unnest([-14.0, -126.0]::double[]) as least) k),
+q as (from i union all from f),
+p as (select *, list_position(list_transform(z, lambda x: round(x, 6)), list_max(list_transform(z, lambda x: round(x, 6)))) as pa, list_position(list_transform(v, lambda x: round(x, 6)), list_max(list_transform(v, lambda x: round(x, 6)))) as pb from q)"""
 
 
 @query("with " + _QUANT + " select kind, round(avg((pa = pb)::int), 6) as agreement, round(avg(list_cosine_similarity(z, v)), 6) as mean_cosine, round(min(list_cosine_similarity(z, v)), 6) as min_cosine from p group by 1")
 def precision_agreement(spark, d):
     sets = quantised_sets(spark, d)
     exact = sets.where("kind = 'fp32'").drop("kind")
-    both = [exact.withColumn("kind", F.lit(k)) for k in ("int8", "int4")]
-    return rounded(report.agreement(sets.where("kind <> 'fp32'"), both[0].unionByName(both[1]), ["kind"]), "agreement", "mean_cosine", "min_cosine")
+    every = exact.withColumn("kind", F.explode(F.array(*map(F.lit, ("int8", "int4", "fp16", "bf16")))))
+    return rounded(report.agreement(sets.where("kind <> 'fp32'"), every, ["kind"]), "agreement", "mean_cosine", "min_cosine")
 
 
 @query("""select event_type as kind, user_id % 5 as model, round(avg(value), 6) as ms, round(stddev_samp(value), 6) as ms_sd, round(avg(1000.0 / nullif(value, 0)), 4) as per_second, round(stddev_samp(1000.0 / nullif(value, 0)), 3) as per_second_sd, count(*) as n from events group by 1, 2""")
@@ -696,8 +714,8 @@ def report_marks(spark, d):
     return rounded(tests.withColumn("differs", F.col("p_holm") < 0.05), "p_holm")
 
 
-@query("with " + _BOOT + """, w as (select dataset, model, max(value) filter (metric = 'acc') as acc, max(value) filter (metric = 'bal_acc') as bal_acc, max(value) filter (metric = 'f1_weighted') as f1_weighted, max(value) filter (metric = 'qwk') as qwk from sm where b = 0 group by all)
-select dataset, model, round(acc, 6) as acc, round(bal_acc, 6) as bal_acc, round(f1_weighted, 6) as f1_weighted, round(qwk, 6) as qwk from w""")
+@query("with " + _BOOT + """, w as (select dataset, model, max(value) filter (metric = 'acc') as acc, max(value) filter (metric = 'bal_acc') as bal_acc, max(value) filter (metric = 'f1_weighted') as f1_weighted, max(value) filter (metric = 'qwk') as qwk, max(value) filter (metric = 'auc') as auc from sm where b = 0 group by all)
+select dataset, model, round(acc, 6) as acc, round(bal_acc, 6) as bal_acc, round(f1_weighted, 6) as f1_weighted, round(qwk, 6) as qwk, round(auc, 6) as auc from w""")
 def report_secondary(spark, d):
     summary = report.seed_summary(boot(spark, d).where("b = 0"))
     return rounded(report.wide(summary, ["dataset", "model"], "metric", "mean", list(inference.METRICS)), *inference.METRICS)
@@ -789,3 +807,6 @@ def stream_shards(spark, d):
     rows.repartitionByRange(4, "vec_id").write.parquet(f"{base}/source")
     shards.ingest(spark, f"{base}/source", rows.schema, f"{base}/target", f"{base}/log")
     return shards.pooled(spark, f"{base}/target", "label", "embedding").select("label", "n")
+
+
+from . import catalog_stores  # noqa: E402, F401  registers its queries

@@ -87,6 +87,18 @@ def quantised(values: Column, bits: int) -> Column:
     return let(values, lambda v: let(largest(v) / top, lambda scale: rounded(v, scale)))
 
 
+def floating(values: Column, digits: int, least: int, most: float) -> Column:
+    """Rounded to floating-point numbers of ``digits`` significant bits (ties to even) with exponents from ``least`` up; beyond ``most`` infinite."""
+
+    def one(x: Column) -> Column:
+        x = x.cast("double")
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))).cast("double"), F.lit(float(least))) - (digits - 1))
+        near = F.bround(x / step, 0) * step
+        return F.when(x == 0, F.lit(0.0)).when(F.abs(near) > most, F.signum(x) * float("inf")).otherwise(near)
+
+    return F.transform(values, one)
+
+
 def is_tissue(r: Column, g: Column, b: Column) -> Column:
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     return (top - low > 15) & (top > 30)

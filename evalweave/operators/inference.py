@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expressions import chi2_tail, hash_int
 from ..sources.storage import written
-from .metrics import auc_one_vs_rest, from_confusion, with_prediction
+from .metrics import with_prediction
 
 LEVELS = (0.025, 0.975)
-METRICS = ("acc", "bal_acc", "f1_weighted", "qwk")
+METRICS = ("acc", "bal_acc", "f1_weighted", "qwk", "auc")
+#: Rows, each with its weights in all replicates, that a task sorts or adds up.
+HELD_ROWS = 5000
 # Upper 5 % points of the studentised range over the square root of 2, for 2 to 10 models.
 NEMENYI_Q = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
 MOST_ATTEMPTS = 100
@@ -57,23 +63,139 @@ def resamples(predictions: DataFrame, replicates: int) -> DataFrame:
     raise ValueError(f"no resample with all classes in {MOST_ATTEMPTS} attempts")
 
 
-def bootstrap(predictions: DataFrame, replicates: int, with_auc: bool = False) -> DataFrame:
+def packed(weights: DataFrame, replicates: int) -> DataFrame:
+    """dataset, seed, grp, weights: a group's draws in replicates 0 (1: the point estimate) to the last, 16 bits each."""
+    schema = pa.schema([("dataset", pa.string()), ("seed", pa.int64()), ("grp", pa.string()), ("weights", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = batch.column(3)
+            out = np.zeros((batch.num_rows, replicates + 1), "<u2")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(drawn.offsets.to_numpy()))
+            b, w = (drawn.flatten().field(k).to_numpy() for k in range(2))
+            out[row, b] = np.minimum(w, 65535)
+            out[:, 0] = 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in out], pa.binary())], schema=schema)
+
+    by = [F.col("dataset").cast("string"), F.col("seed").cast("long"), F.col("grp").cast("string")]
+    listed = weights.groupBy(*by).agg(F.collect_list(F.struct("b", "w")).alias("drawn"))
+    return listed.mapInArrow(run, "dataset string, seed long, grp string, weights binary")
+
+
+def weighed(rows: pa.Table) -> np.ndarray:
+    """The replicates' weights of each row, times its number n."""
+    w = np.frombuffer(b"".join(rows.column("weights").to_pylist()), "<u2").reshape(rows.num_rows, -1)
+    return w * rows.column("n").to_numpy().astype(np.float64)[:, None]
+
+
+def confusion_metrics(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """acc, bal_acc, f1_weighted and qwk of each replicate; ``counts`` by replicate, target and prediction.  Undefined values are NaN."""
+    row, col = counts.sum(2), counts.sum(1)
+    hit = np.einsum("bii->bi", counts)
+    n = row.sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f1 = np.where(row + col > 0, 2 * hit / (row + col), 0)
+        recall = np.where(row > 0, hit / row, 0)
+        # QWK counts positions among the labels that occur in the replicate
+        at = np.cumsum(row + col > 0, 1) - 1.0
+        apart = (at[:, :, None] - at[:, None, :]) ** 2
+        expected = np.einsum("bi,bj,bij->b", row, col, apart)
+        qwk = 1 - np.where(expected > 0, (counts * apart).sum((1, 2)) * n / expected, np.nan)
+        return {"acc": hit.sum(1) / n, "bal_acc": recall.sum(1) / (row > 0).sum(1), "f1_weighted": (f1 * row).sum(1) / n, "qwk": qwk}
+
+
+def confusion_values(cells: DataFrame, blocks: int) -> DataFrame:
+    """dataset, seed, model, metric, values (a number for each replicate) of cells (target, pred, n, weights)."""
+
+    def part(rows: pa.Table) -> pa.Table:
+        w = weighed(rows)
+        labels = np.stack([rows.column(c).to_numpy() for c in ("target", "pred")], 1)
+        found, back = np.unique(labels, axis=0, return_inverse=True)
+        total = np.zeros((len(found), w.shape[1]))
+        np.add.at(total, back.ravel(), w)
+        keys = {c: pa.chunked_array([rows.column(c).combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(found), np.int64)))]) for c in ("dataset", "seed", "model")}
+        return pa.table({**keys, "target": found[:, 0], "pred": found[:, 1], "total": pa.array([t.tobytes() for t in total], pa.binary())})
+
+    def whole(rows: pa.Table) -> pa.Table:
+        total = np.frombuffer(b"".join(rows.column("total").to_pylist()), "<f8").reshape(rows.num_rows, -1)
+        target, pred = (rows.column(c).to_numpy() for c in ("target", "pred"))
+        labels = np.unique(np.concatenate((target, pred)))
+        counts = np.zeros((total.shape[1], len(labels), len(labels)))
+        np.add.at(counts, (slice(None), np.searchsorted(labels, target), np.searchsorted(labels, pred)), total.T)
+        found = confusion_metrics(counts)
+        keys = {c: [rows.column(c)[0].as_py()] * len(found) for c in ("dataset", "seed", "model")}
+        return pa.table({**keys, "metric": list(found), "values": pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))})
+
+    block = F.pmod(F.xxhash64("grp"), F.lit(blocks))
+    parts = cells.withColumn("block", block).groupBy("dataset", "seed", "model", "block").applyInArrow(part, "dataset string, seed long, model string, target long, pred long, total binary")
+    return parts.groupBy("dataset", "seed", "model").applyInArrow(whole, "dataset string, seed long, model string, metric string, values array<double>")
+
+
+def auc_values(scores: DataFrame, blocks: int) -> DataFrame:
+    """The same of the mean one-against-the-rest AUC, weighted by prevalence, of rows (class, score, positive, n, weights).
+
+    Rows are dealt to ranges of scores, which sum up wins within themselves, and
+    then the ranges of a class are joined, so no task orders all scores.
+    """
+    bounds = scores.approxQuantile("score", [i / blocks for i in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []
+    bucket = F.lit(0)
+    for x in bounds:
+        bucket = bucket + (F.col("score") > x).cast("int")
+
+    def part(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("score").to_numpy(), kind="stable")
+        rows = rows.take(pa.array(order))
+        score, positive = rows.column("score").to_numpy(), rows.column("positive").to_numpy()
+        w = weighed(rows)
+        first = np.flatnonzero(np.concatenate(([True], score[1:] != score[:-1])))
+        pos, neg = (np.add.reduceat(np.where(side[:, None], w, 0), first) for side in (positive, ~positive))
+        wins = (pos * (np.cumsum(neg, 0) - neg / 2)).sum(0)
+        keys = {c: rows.column(c).slice(0, 1) for c in ("dataset", "seed", "model", "class", "bucket")}
+        return pa.table({**keys, **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("pos", pos.sum(0)), ("neg", neg.sum(0)), ("wins", wins))}})
+
+    def one_class(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column("bucket").to_numpy())))
+        pos, neg, wins = (np.stack([np.frombuffer(x.as_buffer(), "<f8") for x in rows.column(c)]) for c in ("pos", "neg", "wins"))
+        wins = (wins + pos * (np.cumsum(neg, 0) - neg)).sum(0)
+        pos, neg = pos.sum(0), neg.sum(0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            auc = wins / (pos * neg)
+        keys = {c: rows.column(c).slice(0, 1) for c in ("dataset", "seed", "model")}
+        return pa.table({**keys, "auc": pa.array([auc.tobytes()], pa.binary()), "pos": pa.array([pos.tobytes()], pa.binary())})
+
+    def whole(rows: pa.Table) -> pa.Table:
+        auc, pos = (np.stack([np.frombuffer(x.as_buffer(), "<f8") for x in rows.column(c)]) for c in ("auc", "pos"))
+        values = (auc * pos).sum(0) / pos.sum(0)  # NaN where any class has none or all of the rows
+        keys = {c: [rows.column(c)[0].as_py()] for c in ("dataset", "seed", "model")}
+        return pa.table({**keys, "metric": ["auc"], "values": pa.array([values.tolist()], pa.list_(pa.float64()))})
+
+    keys = "dataset string, seed long, model string"
+    parts = scores.withColumn("bucket", bucket).groupBy("dataset", "seed", "model", "class", "bucket").applyInArrow(part, keys + ", class int, bucket int, pos binary, neg binary, wins binary")
+    classes = parts.groupBy("dataset", "seed", "model", "class").applyInArrow(one_class, keys + ", auc binary, pos binary")
+    return classes.groupBy("dataset", "seed", "model").applyInArrow(whole, keys + ", metric string, values array<double>")
+
+
+def bootstrap(predictions: DataFrame, replicates: int) -> DataFrame:
     """dataset, seed, b, model, metric, value; b = 0 is the point estimate.  All models share a replicate's draws.
 
-    Predictions are counted by group and cell before weights meet them.
+    Predictions are counted by group and cell, and by group and score, before
+    weights meet them; a row then has its weights in all replicates.  Undefined
+    values are null.
     """
-    keys = ["dataset", "seed", "b", "model"]
     predictions = with_prediction(effective_groups(predictions))
+    predictions = predictions.withColumns({"dataset": F.col("dataset").cast("string"), "seed": F.col("seed").cast("long"), "model": F.col("model").cast("string")})
     weights = resamples(predictions, replicates)
-    weights = weights.unionByName(predictions.select("dataset", "seed", F.lit(0).alias("b"), "grp", F.lit(1.0).alias("w")).distinct())
-    cells = predictions.groupBy("dataset", "seed", "model", "grp", "target", "pred").agg(F.count("*").alias("n"))
-    table = cells.join(weights, ["dataset", "seed", "grp"]).groupBy(*keys, "target", "pred").agg(F.sum(F.col("n") * F.col("w")).alias("w"))
-    found = from_confusion(table, keys)
-    names = METRICS
-    if with_auc:
-        found = found.join(auc_one_vs_rest(predictions.join(weights, ["dataset", "seed", "grp"]), keys, "w"), keys)
-        names = (*METRICS, "auc")
-    return found.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names))).alias("x")).select(*keys, "x.metric", "x.value")
+    every = predictions.select("dataset", "seed", F.lit(0).alias("b"), "grp", F.lit(1.0).alias("w")).distinct()
+    weights = written(packed(weights.unionByName(every), replicates), "weights")
+    unit, by = ["dataset", "seed", "model"], ["dataset", "seed", "grp"]
+    cells = predictions.groupBy(*unit, "grp", F.col("target").cast("long").alias("target"), F.col("pred").cast("long").alias("pred")).agg(F.count("*").alias("n"))
+    scores = predictions.select(*unit, "grp", "target", F.posexplode("probs").alias("class", "score"))
+    scores = scores.groupBy(*unit, "grp", "class", "score", (F.col("target") == F.col("class")).alias("positive")).agg(F.count("*").alias("n"))
+    rows = predictions.groupBy(*unit).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, math.ceil(rows / HELD_ROWS))
+    found = confusion_values(cells.join(weights, by), blocks).unionByName(auc_values(scores.join(weights, by), blocks))
+    found = found.select(*unit, "metric", F.posexplode("values").alias("b", "value"))
+    return found.select("dataset", F.col("seed").cast("int").alias("seed"), "b", "model", "metric", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
 
 
 def over_seeds(values: DataFrame) -> DataFrame:
@@ -153,9 +275,9 @@ def friedman(scores: DataFrame) -> DataFrame:
     n, k = F.col("n"), F.col("k")
     raw = 12 / (n * k * (k + 1)) * F.col("squares") - 3 * n * (k + 1)
     correction = 1 - F.col("tied") / (n * (k * k * k - k))
-    tail = F.udf(lambda x, d: None if x is None else chi2_tail(x, int(d)), T.DoubleType())  # one row
-    out = row.where("n >= 2 and k >= 3").select("n", "k", F.try_divide(raw, correction).alias("statistic"))
-    return out.select(F.col("n").cast("long"), F.col("k").cast("long"), "statistic", tail("statistic", F.col("k") - 1).alias("p"))
+    out = row.where("n >= 2 and k >= 3").select(F.col("n").cast("long"), F.col("k").cast("long"), F.try_divide(raw, correction).alias("statistic"))
+    found = [(r["n"], r["k"], r["statistic"], None if r["statistic"] is None else chi2_tail(r["statistic"], r["k"] - 1)) for r in out.collect()]  # one row
+    return scores.sparkSession.createDataFrame(found, "n long, k long, statistic double, p double")
 
 
 def nemenyi_distance(models: int, datasets: int) -> float | None:

@@ -85,8 +85,9 @@ def log_loss(predictions: DataFrame, keys: list[str], floor: float = 1e-12) -> D
     return predictions.groupBy(*keys).agg(F.avg(-F.log(F.greatest(own, F.lit(floor)))).alias("log_loss"))
 
 
-def primary_metric(task: str) -> str:
-    return "qwk" if task in ("bracs", "panda", "sicap") else "auc"
+def primary_metric(task: str, ordinal: frozenset[str] = frozenset()) -> str:
+    """What models of a task are ranked by: QWK where its classes are ordered, else AUC."""
+    return "qwk" if task in ordinal else "auc"
 
 
 def aligned(predictions: DataFrame) -> DataFrame:

@@ -108,6 +108,19 @@ def side_by_side(left: DataFrame, right: DataFrame, keys: list[str], names: tupl
     return a.join(b, keys, "full").withColumn("difference", F.col(names[0]) - F.col(names[1]))
 
 
+def heatmap(values: DataFrame) -> DataFrame:
+    """dataset, model, value with its shade between the data set's least (0) and largest value (1; null if all are equal), and whether it is the best."""
+    by = W.partitionBy("dataset")
+    low, high = F.min("value").over(by), F.max("value").over(by)
+    return values.select("dataset", "model", "value", F.try_divide(F.col("value") - low, high - low).alias("shade"), (F.col("value") == high).alias("best"))
+
+
+def bars(intervals: DataFrame) -> DataFrame:
+    """dataset, model, place, mean and the lengths of the bars below and above it, best first."""
+    place = F.row_number().over(W.partitionBy("dataset").orderBy(F.round("mean", 9).desc(), "model"))
+    return intervals.select("dataset", "model", place.alias("place"), "mean", (F.col("mean") - F.col("ci_low")).alias("below"), (F.col("ci_high") - F.col("mean")).alias("above"))
+
+
 def environment(spark) -> DataFrame:
     """One row on the software that made a result; what can't be read is null."""
     import platform

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,11 +11,26 @@ from ..functions.expressions import hash_text
 HELD_OUT = 0.2
 
 
+def ranked(items: DataFrame, digest: Column, tie: str, by: str | None = None) -> DataFrame:
+    """Adds rank (from 1, by a hexadecimal digest, then ``tie``) and n among all rows or those of equal ``by``.
+
+    Rows are ranked among those whose digests begin alike; how many come before
+    follows from counts, so no task orders all rows of a class.
+    """
+    key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    rows = items.withColumns({"_digest": digest, "_key": key, "_null": F.col(by).isNull() if by else F.lit(False)}).withColumn("_begin", F.substring("_digest", 1, 3))
+    begins = rows.groupBy("_key", "_null", "_begin").agg(F.count("*").alias("_n"))  # 4096 of a class at most
+    of_class = W.partitionBy("_key", "_null")
+    begins = begins.select("_key", "_null", "_begin", (F.sum("_n").over(of_class.orderBy("_begin")) - F.col("_n")).alias("_before"), F.sum("_n").over(of_class).alias("n"))
+    within = F.row_number().over(W.partitionBy("_key", "_null", "_begin").orderBy("_digest", tie))
+    out = rows.withColumn("_within", within).join(begins, ["_key", "_null", "_begin"]).withColumn("rank", F.col("_before") + F.col("_within"))
+    return out.select(*items.columns, "rank", "n")
+
+
 def held_out_groups(groups: DataFrame, seed: int | str, share: float = HELD_OUT) -> DataFrame:
     """``groups`` (grp: distinct) with test: the first fifth (rounded up) by hash."""
-    n = F.count("*").over(W.partitionBy(F.lit(1)))
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(hash_text(seed, F.col("grp")), "grp"))
-    return groups.select("grp", (rank <= F.ceil(F.round(n * F.lit(share), 9))).alias("test"))
+    found = ranked(groups.select("grp"), hash_text(seed, F.col("grp")), "grp")
+    return found.select("grp", (F.col("rank") <= F.ceil(F.round(F.col("n") * F.lit(share), 9))).alias("test"))
 
 
 def group_split(items: DataFrame, seed: int) -> DataFrame:
@@ -29,9 +44,8 @@ def group_split(items: DataFrame, seed: int) -> DataFrame:
 
 def stratified_part(items: DataFrame, seed: int | str, label: str = "label", share: float = HELD_OUT) -> DataFrame:
     """Adds held: a fifth (rounded) of each class, by hash."""
-    by = W.partitionBy(label)
-    rank = F.row_number().over(by.orderBy(hash_text(seed, F.col("row_id")), "row_id"))
-    return items.withColumn("held", rank <= F.floor(F.count("*").over(by) * F.lit(share) + F.lit(0.5)))
+    found = ranked(items, hash_text(seed, F.col("row_id")), "row_id", label)
+    return found.withColumn("held", F.col("rank") <= F.floor(F.col("n") * F.lit(share) + F.lit(0.5))).drop("rank", "n")
 
 
 def stratified_split(items: DataFrame, seed: int) -> DataFrame:

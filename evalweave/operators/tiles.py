@@ -31,8 +31,13 @@ def grid(regions: DataFrame, tile: int = TILE) -> DataFrame:
 
 def inside(w: Column, h: Column, x: Column, y: Column, tile: int = TILE) -> Column:
     """Share of a tile's area within its region."""
+    return area(w, h, x, y, tile) / float(tile * tile)
+
+
+def area(w: Column, h: Column, x: Column, y: Column, tile: int = TILE) -> Column:
+    """Cells of a tile within its region."""
     span = lambda at, side: F.greatest(F.lit(0), F.least(at + tile, side) - F.greatest(at, F.lit(0)))
-    return (span(x, w) * span(y, h)) / float(tile * tile)
+    return span(x, w) * span(y, h)
 
 
 def kept_tiles(tiles: DataFrame, key: str, fraction: str = "tissue_frac", least: float = TISSUE_MIN) -> DataFrame:

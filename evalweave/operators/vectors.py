@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,9 +15,8 @@ from ..functions.expressions import cosine, softmax
 
 def pool_mean(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Elementwise mean of each group's vectors, in double precision; needs no group in one place."""
-    each = rows.select(*keys, F.posexplode(vector).alias("pos", "x"))
-    means = each.groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias(vector))
+    some = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    return some.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))).alias(vector))
 
 
 def pool_children(parents: DataFrame, children: DataFrame, key: str, vector: str) -> DataFrame:
@@ -57,13 +58,13 @@ def variants(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.select(*others, F.explode(keys).alias("x")).select(*others, "x.model", "x.v")
 
 
-def centroid_probabilities(rows: DataFrame, keys: list[str], vector: str = "v", label: str = "label", sharpness: float = 10.0, digits: int = 6) -> DataFrame:
+def centroid_probabilities(rows: DataFrame, keys: list[str], vector: str = "v", label: str = "label", sharpness: float = 10.0, digits: int = 6, fit: Column | None = None) -> DataFrame:
     """Adds probs: the softmax of the cosines with the class centroids of the same keys.
 
-    Centroids come from all rows; a row of the side that is joined holds the
+    Centroids come from all rows, or those that ``fit`` picks; a row of the side that is joined holds the
     centroids of one key, as many as there are classes.
     """
-    centres = pool_mean(rows, [*keys, label], vector)
+    centres = pool_mean(rows if fit is None else rows.where(fit), [*keys, label], vector)
     sets = centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(vector).alias("c")))).alias("centres"))
     near = F.transform("centres", lambda c: cosine(F.col(vector), c["c"]) * sharpness)
     return rows.join(sets, keys).withColumn("probs", F.transform(softmax(near), lambda p: F.round(p, digits))).drop("centres")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of our own, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -32,6 +35,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_ONCE: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A written table that an application builds once for a data folder, as long as its files are there."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    path = _ONCE[key][0] if key in _ONCE else f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if key not in _ONCE or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df = make()
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        _ONCE[key] = (path, df.schema)
+    return spark.read.schema(_ONCE[key][1]).parquet(path)
+
+
 def read_index(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A CSV index with a header and an explicit schema; empty fields of text columns stay empty texts, never nulls."""
     rows = spark.read.schema(schema).csv(path, header=True)
@@ -52,16 +70,6 @@ def walk_images(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAG
     return files.select("path").where(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$"))
 
 
-def read_runs(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
-    """Run records with model, dataset and seed from their paths, and the paths of records that can't be read."""
-    kept = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    full = T.StructType([*kept.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(full).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True).withColumn("_file", F.input_file_name()).cache()
-    part = lambda k: F.regexp_extract("_file", r"([^/]+)/([^/]+)/seed(\d+)\.json$", k)
-    good = rows.where("_corrupt is null").select(part(1).alias("model"), part(2).alias("dataset"), part(3).cast("int").alias("seed"), *[f.name for f in kept])
-    return good, rows.where("_corrupt is not null").select(F.col("_file").alias("path"))
-
-
 def write_shards(features: DataFrame, path: str, shard_rows: int = 4096) -> None:
     """Feature rows in shards by row_id; a null, empty or non-finite vector is an error."""
     vectors = [f.name for f in features.schema if isinstance(f.dataType, T.ArrayType)]

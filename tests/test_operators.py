@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import expressions as X
-from evalweave.operators import dedup, graph, index, inference, metrics, probe, report, splits, tiles, vectors
+from evalweave.operators import dedup, graph, index, inference, lifecycle, metrics, probe, report, splits, tiles, vectors
 from evalweave.plans import resume
-from evalweave.sources import storage
+from evalweave.sources import runs, storage
 from evalweave.streaming import shards
 
 
@@ -54,7 +54,7 @@ def sample_predictions(spark):
 
 
 def test_bootstrap(spark):
-    values = storage.written(inference.bootstrap(sample_predictions(spark), 60, with_auc=True), "values")
+    values = storage.written(inference.bootstrap(sample_predictions(spark), 60), "values")
     tests = {(r.dataset, r.metric, r.model_a, r.model_b): r for r in inference.pairwise(values).collect()}
     same = tests["clus", "acc", "good", "good_copy"]
     assert same["diff"] == 0 and same.p == 1 and same.p_holm == 1
@@ -118,7 +118,142 @@ def test_components(spark):
 
 def test_votes_are_linear(spark):
     feats = spark.range(300).select(F.col("id").alias("owner"), F.lit("common").alias("feature"))
-    assert dedup.votes(feats).count() == 299
+    assert dedup.votes(feats, least=1).count() == 299
+
+
+def test_votes_count_every_shared_feature(spark):
+    rng = np.random.default_rng(4)
+    sets = {i: set(rng.choice(60, int(rng.integers(1, 25)), replace=False).tolist()) | {1000} for i in range(60)}
+    sets |= {100 + i: sets[i] for i in range(5)}
+    feats = spark.createDataFrame([(o, f"f{x}") for o, xs in sets.items() for x in xs], "owner long, feature string")
+    first = {frozenset(xs): min(o for o in sets if sets[o] == xs) for xs in sets.values()}
+    heads = sorted(set(first.values()))
+    want = {(a, b): len(sets[a] & sets[b]) for i, a in enumerate(heads) for b in heads[i + 1 :] if len(sets[a] & sets[b]) >= 6}
+    want |= {(first[frozenset(xs)], o): len(xs) for o, xs in sets.items() if first[frozenset(xs)] != o and len(xs) >= 6}
+    found = dedup.votes(feats)
+    assert {(r.a, r.b): r.votes for r in found.collect()} == want
+    kept = {(r.a, r.b) for r in dedup.verified(found, feats, 8, 0.6).collect()}
+    assert kept == {(a, b) for (a, b), n in want.items() if n >= 8 and n / min(len(sets[a]), len(sets[b])) >= 0.6}
+    assert {(r.a, r.b): r.votes for r in dedup.shared(found, feats).collect()} == want
+
+
+@pytest.mark.parametrize("held", [5000, 40])
+def test_replicates_as_brute_force(spark, monkeypatch, held):
+    """Every metric of every replicate, from rows repeated as often as they were drawn."""
+    monkeypatch.setattr(inference, "HELD_ROWS", held)
+    rng = np.random.default_rng(2)
+    n, classes = 150, 3
+    rows = []
+    for i in range(n):
+        target = int(rng.integers(0, classes))
+        for model in ("a", "b"):
+            p = np.round(rng.dirichlet(np.ones(classes)), 1)  # ties
+            rows.append((model, "d", 42, i, str(i % 12), target, p.tolist()))
+    preds = spark.createDataFrame(rows, "model string, dataset string, seed int, row_id long, grp string, target int, probs array<double>")
+    values = {(r.model, r.b, r.metric): r.value for r in inference.bootstrap(preds, 5).collect()}
+    weights = {(r.b, r.grp): r.w for r in inference.resamples(preds, 5).collect()}
+    for model in ("a", "b"):
+        own = [x for x in rows if x[0] == model]
+        for b in range(6):
+            w = np.array([1.0 if b == 0 else weights.get((b, x[4]), 0.0) for x in own])
+            target, probs = np.array([x[5] for x in own]), np.array([x[6] for x in own])
+            pred = probs.argmax(1)
+            counts = np.zeros((classes, classes))
+            np.add.at(counts, (target, pred), w)
+            row, col, hit = counts.sum(1), counts.sum(0), np.diag(counts)
+            apart = np.subtract.outer(np.arange(classes), np.arange(classes)) ** 2
+            auc = []
+            for c in range(classes):
+                s, pos = probs[:, c], target == c
+                wins = sum(x * y * ((a > e) + 0.5 * (a == e)) for a, x in zip(s[pos], w[pos]) for e, y in zip(s[~pos], w[~pos]))
+                auc.append(wins / (w[pos].sum() * w[~pos].sum()))
+            want = {"acc": hit.sum() / w.sum(), "bal_acc": (hit / row).mean(), "f1_weighted": (2 * hit / (row + col) * row).sum() / w.sum(), "qwk": 1 - (apart * counts).sum() * w.sum() / (apart * np.outer(row, col)).sum(), "auc": (np.array(auc) * row).sum() / row.sum()}
+            for metric, x in want.items():
+                assert math.isclose(values[model, b, metric], x, rel_tol=1e-9), (model, b, metric)
+
+
+def test_ranks_by_hash(spark):
+    items = spark.range(500).select(F.col("id").alias("row_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("label"))
+    rows = splits.ranked(items, X.hash_text(1, F.col("row_id")), "row_id", "label").collect()
+    import hashlib
+
+    for label in {r.label for r in rows}:
+        own = sorted((hashlib.md5(f"1:{r.row_id}".encode()).hexdigest(), r.row_id, r["rank"], r.n) for r in rows if r.label == label)
+        assert [x[2] for x in own] == list(range(1, len(own) + 1)) and {x[3] for x in own} == {len(own)}
+    assert len(rows) == 500
+
+
+def test_floating_point_kinds(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=300), rng.normal(size=100) * 1e-6, [0.0, -0.0, 1.0, 65504.0, 70000.0, -70000.0, 2.0**-24, 1.5 * 2.0**-25]]).astype(np.float32)
+    rows = spark.createDataFrame([(x.astype(float).tolist(),)], "v array<double>")
+    half = rows.select(X.floating(F.col("v"), 11, -14, 65504.0).alias("v")).first().v
+    assert half == x.astype(np.float16).astype(float).tolist()
+    bits = x.view(np.uint32)
+    brain = ((bits + 0x7FFF + ((bits >> 16) & 1)) & 0xFFFF0000).astype(np.uint32).view(np.float32)
+    assert rows.select(X.floating(F.col("v"), 8, -126, 3.3895313892515355e38).alias("v")).first().v == brain.astype(float).tolist()
+
+
+def probe_rows(spark, n=240):
+    rng = np.random.default_rng(9)
+    label = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, 6)) + 1.5 * np.eye(3, 6)[label]
+    part = np.where(np.arange(n) % 5 == 0, "test", np.where(np.arange(n) % 5 == 1, "val", "train"))
+    return spark.createDataFrame([("m", i, x[i].tolist(), int(label[i]), str(part[i])) for i in range(n)], "model string, row_id long, v array<double>, label int, part string"), x, label, part
+
+
+def test_probe_is_at_its_optimum():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(200, 5)), rng.integers(0, 4, 200)
+    w = probe.solve(x, y, 4, 0.5)
+    slope = np.concatenate([x, np.ones((200, 1))], 1).T @ (probe.probabilities(x, w) - np.eye(4)[y])
+    slope[:-1] += w[:-1] / 0.5
+    assert np.abs(slope).max() < 1e-4
+
+
+def test_probe_life(spark):
+    items, x, label, part = probe_rows(spark)
+    found = storage.written(lifecycle.run_units(items, ["model"]), "units")
+    chosen = found.first().c_value
+    values = []
+    for c in sorted(probe.C_GRID):
+        fit, val = part == "train", part == "val"
+        mean, sd = probe.moments_of(x[fit])
+        p = probe.probabilities((x[val] - mean) / sd, probe.solve((x[fit] - mean) / sd, label[fit], 3, c))
+        auc = [np.mean([(a > e) + 0.5 * (a == e) for a in p[label[val] == k, k] for e in p[label[val] != k, k]]) for k in range(3)]
+        values.append((-np.average(auc, weights=np.bincount(label[val])), c))
+    assert chosen == min(values)[1] and found.count() == (part == "test").sum()
+    fit, test = part != "test", part == "test"
+    mean, sd = probe.moments_of(x[fit])
+    p = probe.probabilities((x[test] - mean) / sd, probe.solve((x[fit] - mean) / sd, label[fit], 3, chosen))
+    got = {r.row_id: r.probs for r in found.collect()}
+    assert all(np.allclose(got[i], q, atol=1e-9) for i, q in zip(np.flatnonzero(test).tolist(), p))
+    stored = storage.written(metrics.auc_one_vs_rest(found, ["model", "c_value"]), "stored")
+    external = items.select((F.col("row_id") + 1000).alias("row_id"), "v", "label").limit(50)
+    out = lifecycle.outside(items, external, stored, ["model"])
+    assert out.count() == 50 and out.agg(F.min("row_id")).first()[0] >= 1000
+    with pytest.raises(Exception, match="isn't the stored probe"):
+        lifecycle.outside(items, external, stored.withColumn("auc", F.col("auc") - 1e-3), ["model"]).collect()
+    kinds = {"fp32": lambda v: v, "int4": lambda v: X.quantised(v, 4)}
+    rounded_ = lifecycle.precisions(items, stored, ["model"], kinds)
+    same = {r.row_id: r.probs for r in rounded_.where("kind = 'fp32'").collect()}
+    assert rounded_.count() == 2 * test.sum() and all(np.allclose(same[i], got[i]) for i in got)
+
+
+def test_stores(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(20)], "row_id long, label int, v array<double>")
+    labels = rows.select("row_id", "label")
+    mark = index.content_hash(labels, "row_id", F.col("label")).first()["content_hash"]
+    runs.write_features(rows.select("row_id", "v"), str(tmp_path / "f"), mark)
+    assert runs.load_features(spark, str(tmp_path / "f"), labels).count() == 20
+    with pytest.raises(ValueError, match="another index"):
+        runs.load_features(spark, str(tmp_path / "f"), labels.withColumn("label", F.col("label") + 1))
+    for right in (labels.where("row_id > 0"), labels.union(labels.limit(1)), labels.union(spark.createDataFrame([(99, 1)], labels.schema))):
+        with pytest.raises(Exception, match="exactly one partner"):
+            runs.one_to_one(labels, right.select("row_id", F.lit(1).alias("z")), "row_id").collect()
+    found, note = runs.scan_or_skip(spark, str(tmp_path / "none"), "a int")
+    assert found.count() == 0 and note.startswith("skipped")
+    assert storage.digests(spark, str(tmp_path / "f" / "done")).where("length(sha256) = 64").count() >= 1
 
 
 def test_index(spark, tmp_path):
