@@ -68,7 +68,7 @@ def batched(docs: DataFrame) -> DataFrame:
                 data, at = raw_of(texts.slice(first, last - first))
                 held = batch.column(1).slice(first, last - first)
                 train = ~held.to_numpy(zero_copy_only=False)
-                row = (number, len(data), int(train.sum()), batch.column(0).slice(first, last - first).to_pylist(), held.to_pylist(), at[1:].tolist(), data.tobytes())
+                row = (number, len(data), int(train.sum()), batch.column(0).slice(first, last - first).to_pylist(), held.to_pylist(), at[1:].tolist(), compressed(data.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
                 number += 1
 
@@ -76,9 +76,23 @@ def batched(docs: DataFrame) -> DataFrame:
     return written(docs.select(docs["doc_id"].cast("long"), docs["held_out"], F.coalesce(docs["text"].cast("string"), F.lit(""))).mapInArrow(tidied(run), out), "ctw-texts")
 
 
-def strings_of(text: bytes, ends: np.ndarray) -> pa.StringArray:
+def compressed(raw: bytes) -> bytes:
+    """For texts and arrays that are shuffled: half the size that Spark's own compression gives."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def plain(raw: pa.Buffer) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def strings_of(text: pa.Buffer, ends: np.ndarray) -> pa.StringArray:
+    """Texts of a stored batch."""
     offsets = np.concatenate(([0], ends)).astype(np.int32)
-    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(text))
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(plain(text)))
 
 
 def rendered(texts: pa.StringArray) -> list[bytes]:
@@ -88,13 +102,12 @@ def rendered(texts: pa.StringArray) -> list[bytes]:
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
-    """Integers as planes of bytes, which compress well; ascending ones as their differences."""
-    wide = numbers.astype(np.uint64)
-    return np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers as planes of bytes, which compress well; ascending ones are given as their differences."""
+    return compressed(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
 
 
-def expanded(raw: pa.Buffer) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def expanded(raw: pa.Buffer, kind: type = np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(plain(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def ngram_rows(stored: DataFrame, depth: int, buckets: int) -> DataFrame:
@@ -208,7 +221,7 @@ def code_lengths(asked: DataFrame, grams: DataFrame, top: dict, depth: int) -> D
         code = model.bits(others)
         for v, x in zip(values, unseen):
             v[np.isnan(v)] = code[np.searchsorted(others, x)]
-        return pa.table({"batch_id": asks.column("batch_id"), "bucket": asks.column("bucket"), "values": pa.array([v.tobytes() for v in values], pa.binary())})
+        return pa.table({"batch_id": asks.column("batch_id"), "bucket": asks.column("bucket"), "values": pa.array([squeezed(v) for v in values], pa.binary())})
 
     def answered(asks: pa.Table, rows: pa.Table) -> pa.Table:
         try:
@@ -244,7 +257,7 @@ def word_counts(stored: DataFrame, buckets: int) -> DataFrame:
         hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")]
         counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("counts")]).astype(np.int64)
         known, total = add_up(np.concatenate(hashes), counts)
-        back = [total[np.searchsorted(known, h)].astype(np.int64).tobytes() for h in hashes]
+        back = [squeezed(total[np.searchsorted(known, h)].astype(np.int64)) for h in hashes]
         n = len(back)
         return pa.table({"batch_id": [-1, *rows.column("batch_id").to_pylist()], "bucket": rows.column("bucket").to_pylist()[:1] * (n + 1), "totals": [b"", *back], "n": [int(total.sum())] + [0] * n, "v": [int((total > 0).sum())] + [0] * n}, schema=pa.schema([("batch_id", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]))
 
@@ -279,7 +292,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def filled(out: np.ndarray, order: np.ndarray, edges: np.ndarray, answers: dict[int, pa.Buffer]) -> np.ndarray:
         """What the buckets answered, in the order of the questions."""
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            out[order[edges[b] : edges[b + 1]]] = np.frombuffer(answers[b], out.dtype)
+            out[order[edges[b] : edges[b + 1]]] = expanded(answers[b], out.dtype)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +312,12 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 base = np.bincount(doc, each[index], len(to)) + end_cost
                 known = np.bincount(doc, (total > 0)[index], len(to)).astype(np.int64) + (ends > 0)
                 buffer, starts, sizes = pad_texts(rendered(texts), depth)
-                grams, back = np.unique(ngram_keys(buffer, depth), return_inverse=True)
-                bits = filled(np.zeros(len(grams), np.float32), *dealt(grams >> np.uint64(8 * (depth + 1 - SPLIT)), buckets), given[1])
-                scores = -text_sums(bits[back], starts, sizes, depth) * np.log10(2)
+                coded = pa.array(ngram_keys(buffer, depth)).dictionary_encode()
+                grams = coded.dictionary.to_numpy()
+                ascending = np.argsort(grams)
+                order, edges = dealt(grams[ascending] >> np.uint64(8 * (depth + 1 - SPLIT)), buckets)
+                bits = filled(np.zeros(len(grams), np.float32), ascending[order], edges, given[1])
+                scores = -text_sums(bits[coded.indices.to_numpy()], starts, sizes, depth) * np.log10(2)
                 columns = (doc_ids.values, out.values, pa.array(np.diff(at) + 1), pa.array(known), pa.array(np.full(len(to), n)), pa.array(base), pa.array(scores), pa.array(np.diff(to, prepend=0)))
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
 
