@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import SMALL
-from evalweave.llm import ann, byte_bpe, chat, common, ctw, ctw_core, decontaminate, licenses, minhash, quality, queries, token_file, warc
+from evalweave.llm import ann, byte_bpe, chat, common, ctw, decontaminate, licenses, minhash, quality, queries, token_file, warc
 from evalweave.llm.tokens import ByteDecoder, read_ranks
 from verify import TABLES, rows_of
 
@@ -72,6 +72,41 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_quality_as_brute_force(spark, docs):
+    """Differences by plain zstandard frames, scores by the written-out curve, and the curve by its own optimum."""
+    import zstandard
+
+    labels = common.table(spark, SMALL, "labels")
+    model = quality.fit(docs, labels)
+    dictionaries = [zstandard.ZstdCompressionDict(d) for d in (model.good, model.bad)]
+    for d in dictionaries:
+        d.precompute_compress(level=quality.LEVEL)
+    sizes = [zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False) for d in dictionaries]
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in quality.score(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), model).collect():
+        t = texts[r.doc_id]
+        good, bad = (sum(len(c.compress(t[i : i + quality.BLOCK_BYTES])) for i in range(0, len(t), quality.BLOCK_BYTES)) for c in sizes)
+        frames = -(-len(t) // quality.BLOCK_BYTES) * quality.FRAME_BYTES
+        assert math.isclose(r.difference, (bad - good) / math.sqrt((len(t) + 64) * (bad + good - 2 * frames + 64)), abs_tol=1e-9)
+        z = r.difference / model.spread
+        assert math.isclose(r.score, 1 / (1 + math.exp(-(z * model.weight + abs(z) * model.bend + model.foot))), rel_tol=1e-9)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-2 * x - 1))).astype(float)
+    weight = rng.random(400) + 0.5
+    spread, w, bend, foot = quality.logistic(x, y, weight)
+    z = x / spread
+    left = weight * (y - 1 / (1 + np.exp(-(w * z + bend * np.abs(z) + foot))))
+    assert abs((left * z).sum() - 1e-3 * w) < 1e-6 and abs((left * np.abs(z)).sum() - 1e-3 * bend) < 1e-6 and abs(left.sum() - 1e-3 * foot) < 1e-6
+
+
+def test_quality_of_one_word_over_and_over(spark):
+    big = SMALL.replace("0.001", "0.1")
+    model = quality.fit(common.table(spark, big, "documents"), common.table(spark, big, "labels"))
+    measure = model.measure()
+    assert all(abs(measure(f"{w} ".encode() * 500)) < 0.05 for w in ("buy", "the", "und")) and model.scores(np.array([0.0]))[0] < 0.5
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(None, 1), (2, None), (3, 1), (3, 0)], "doc_id long, quality int")
     model = quality.fit(odd_docs(spark), labels)
@@ -99,9 +134,25 @@ def test_chat_examples(spark):
     assert chat.read_back(chat.examples(conversations.limit(0))).count() == 0
 
 
+def test_chat_long_text_and_clashing_columns(spark):
+    long = "</s>x" * 200_000
+    rows = [(1, 0, "user", long, "e", 3, "w"), (1, 1, "assistant", long + "é", "e", 4, "w"), (2, 0, "user", "", "e", 3, "w")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string, example int, whole string")
+    back = {r.conv_id: r for r in chat.read_back(chat.examples(table)).collect()}
+    assert back[1].loss_chars == len(long) + 1 and back[1].loss_sha256 == hashlib.sha256((long + "é").encode()).hexdigest()
+    assert back[1].turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}é\n".encode()).hexdigest() and back[2].n_turns == 1
+
+
 # 3
 
 
+def test_licenses_clashing_columns(spark):
+    rows = [(1, "a/LICENSE", "Released under the MIT License. " + "word " * 100_000, 1, "x", 0.5), (2, "a/b", None, 2, "y", 0.1), (2, "a/b", None, 2, "y", 0.1)]
+    files = spark.createDataFrame(rows, "key long, path string, text string, unit int, license string, cosine double")
+    got = sorted((r.key, r.license, r.origin) for r in licenses.scan(files).collect())
+    assert got == [(1, "MIT", "file"), (2, "MIT", "inherited"), (2, "MIT", "inherited")]
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
@@ -121,6 +172,14 @@ def test_licenses(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_wrapped_statements(spark):
+    bsd = "/*\n * Copyright\n *\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n *\n * more\n */\nint x;"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nimport os"
+    rows = [(1, "a/x.c", bsd), (2, "b/y.py", gpl), (3, "c/z.py", gpl.replace("GNU General", "GNU Affero General")), (4, "d/w.c", "one line\nanother\n\nlast line")]
+    got = {r.key: r.license for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "GPL-3.0-or-later", 3: "AGPL-3.0-or-later", 4: None}
+
+
 def test_anchors_lose_nothing():
     rng = np.random.default_rng(0)
     vectors = [{f"t{i}": float(x) for i, x in enumerate(rng.random(8))} for _ in range(20)]
@@ -150,6 +209,31 @@ def test_archive_round_trip(spark, tmp_path):
     assert {(r.page_id, r.record_type) for r in warc.read_archive(spark, str(tmp_path / "b")).where("payload_bytes = 4").collect()} == {(3, "response"), (1, "response"), (None, "response")}
 
 
+def test_records_are_exact_bytes(spark, tmp_path):
+    """Every reconstructed record against one written by hand."""
+    import base64
+
+    long = "é\r\n\r\n" + "x" * 300_000
+    rows = [(1, "u1", long), (2, "u2", long), (3, None, ""), (4, "u4", "a\r\n\r\nb")]
+    pages = spark.createDataFrame([(*r, "x", 7, "y") for r in rows], "page_id long, url string, html string, header string, copy int, sha256 string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+
+    def name(page, url):
+        h = hashlib.sha1(f"{page}\n{'null' if url is None else url}\n1".encode()).hexdigest()
+        return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}>"
+
+    want = []
+    for page, url, text in rows:
+        revisit, raw = page == 2, text.encode()
+        lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page, url)}", f"WARC-Date: {warc.DATE}", url and f"WARC-Target-URI: {url}", f"WARC-Page-ID: {page}", f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(raw).digest()).decode()}"]
+        lines += [f"WARC-Profile: {warc.PROFILE}", f"WARC-Refers-To: {name(1, 'u1')}", "WARC-Refers-To-Target-URI: u1", "WARC-Refers-To-Page-ID: 1"] if revisit else []
+        lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else len(raw)}"]
+        want.append("\r\n".join(x for x in lines if x).encode() + b"\r\n\r\n" + (b"" if revisit else raw) + b"\r\n\r\n")
+    assert sorted(bytes(r.record) for r in warc.records(spark, str(tmp_path / "a")).collect()) == sorted(want)
+    got = {r.page_id: r.payload_bytes for r in warc.read_archive(spark, str(tmp_path / "a")).collect()}
+    assert got == {page: len(text.encode()) for page, _, text in rows}
+
+
 def test_damaged_payload_is_an_error(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), str(tmp_path / "a"))
     bad = spark.read.parquet(str(tmp_path / "a/payloads")).withColumn("payload", F.lit("y").cast("binary"))
@@ -198,7 +282,8 @@ def brute(x, ids, k=20):
     return out
 
 
-def test_ann_exact_when_small(spark):
+def test_ann_exact_where_tuned_to_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RECALL", 1.0)
     x = np.random.default_rng(5).normal(size=(120, 8)) * np.random.default_rng(6).random((120, 1)) * 3
     x[30:60] = x[30]
     rows = [(i, v.tolist(), "c") for i, v in enumerate(x)] + [(500, None, "c"), (501, [0.0] * 8, "c"), (502, [float("nan")] * 8, "c"), (503, [1.0] * 5, "c"), (None, [1.0] * 8, "c"), (7, x[7].tolist(), "c"), (504, [None] + [1.0] * 7, "c")]
@@ -210,16 +295,18 @@ def test_ann_exact_when_small(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_ann_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "EXACT_ROWS", 100)
-    monkeypatch.setattr(ann, "CELL_ROWS", 64)
+@pytest.mark.parametrize("n, cell, block", [(3000, 64, 50), (1500, 8192, 1024), (2600, 512, 7)])
+def test_ann_recall(spark, monkeypatch, n, cell, block):
+    monkeypatch.setattr(ann, "CELL_ROWS", cell)
+    monkeypatch.setattr(ann, "QUERY_ROWS", block)
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, n)] + 0.4 * rng.normal(size=(n, 16))
     found = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
     got = {}
     for r in found:
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    want = brute(x, np.arange(3000))
+        assert r.score == ann.exact(x[[r.vec_id]], x[[r.query_id]])[0]
+    want = brute(x, np.arange(n))
     assert np.mean([len(got[q] & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
 
 
@@ -298,19 +385,23 @@ def tree_bits(train, text, depth):
     return total
 
 
-def test_ctw_equals_recursion():
-    train = [b"abracadabra abra", b"cadabra", "é ab".encode(), b""]
-    keys, counts = ctw_core.count_ngrams(train, 3)
-    model = ctw_core.Model(3)
-    symbols = {}
-    for level in reversed(ctw_core.weigh_up(keys, counts, 3, 0)):
-        model.add(level["depth"], [n[:3] for n in level["nodes"]])
-        symbols[level["depth"]] = level["keys"]
-    model.prepare(symbols)
-    for text in (b"abra", b"", b"zzz cad", "né".encode(), train[0]):
-        assert math.isclose(-model.score([text])[0] / math.log10(2), tree_bits(train, text, 3), rel_tol=1e-4)
-    together = model.score([b"abra", b"", b"zzz cad"])
-    assert np.allclose(together, [model.score([t])[0] for t in (b"abra", b"", b"zzz cad")])
+@pytest.mark.parametrize("buckets", [4, 97])
+def test_ctw_equals_recursion(spark, monkeypatch, buckets):
+    """The whole path over buckets, joined upper levels and answers against node by node recursion."""
+    monkeypatch.setattr(ctw, "shuffle_partitions", lambda _: buckets)
+    train = [b"abracadabra abra", b"cadabra cad", "é ab".encode(), b"", b"abra abra"]
+    other = [b"abra", b"", b"zzz cad", "né".encode(), train[0], b"abracadabra"]
+    rows = [(i, i >= len(train), t.decode()) for i, t in enumerate(train + other)]
+    for depth in (3, 6):
+        got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), depth).collect()}
+        for i, _, text in rows:
+            assert math.isclose(-got[i] / math.log10(2), tree_bits(train, text.encode(), depth), rel_tol=1e-5)
+
+
+def test_ctw_clashing_columns(spark):
+    rows = [(i, i % 2 == 0, t, b"x", 5, [1]) for i, t in enumerate(ODD)]
+    table = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string, keys binary, bucket int, answers array<int>")
+    assert ctw.score(table.limit(0)).count() == 0 and ctw.score(table).count() == len(ODD)
 
 
 # 8
@@ -470,6 +561,58 @@ def test_paraphrases_and_odd(spark, docs):
     assert decontaminate.leaks(empty_docs(spark), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_paraphrases_against_brute_force(spark, docs):
+    """Items with words replaced, left out and swapped, inside texts of the corpus; what plain LCS confirms is to be found."""
+    rng = np.random.default_rng(21)
+    items = [(r.item_id, r.text) for r in common.table(spark, SMALL, "benchmark").orderBy("item_id").collect() if len(r.text.split()) >= 12][:25]
+    plain = [r.text.split()[:60] for r in docs.orderBy("doc_id").collect() if r.text and len(r.text.split()) >= 60]
+    rows = []
+    for k, (item, text) in enumerate(items * 6):
+        w = decontaminate.terms_of(pa.array([text]))[0].to_pylist()
+        w = [x.decode() for x in w]
+        keep = rng.random(len(w)) >= rng.uniform(0.05, 0.3)
+        near = [x if yes else (f"q{k}x{i}" if i % 2 else None) for i, (x, yes) in enumerate(zip(w, keep))]
+        before = plain[k % len(plain)]
+        rows.append((10_000_000 + k, " ".join(before[:30] + [x for x in near if x] + before[30:])))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    cut = lambda t: [x.decode() for x in decontaminate.terms_of(pa.array([t]))[0].to_pylist()]
+    bench = [(i, cut(t)) for i, t in items]
+    for doc, text in rows:
+        words_ = cut(text)
+        for item, w in bench:
+            if max(longest_common(w, words_[at : at + 2 * len(w)]) for at in range(0, max(1, len(words_) - len(w)), 4)) >= decontaminate.SURE * len(w):
+                want.add((doc, item))
+    assert len(want) > 60 and len(want & got) >= 0.97 * len(want)
+    partly = {(10_000_000 + k, items[k % len(items)][0]) for k in range(len(rows))} - want
+    print("paraphrases below", decontaminate.SURE, "found:", len(partly & got), "of", len(partly))
+
+
+@pytest.mark.parametrize("share", [1, 2, 10, 100])
+def test_leaks_whatever_their_number(spark, docs, share):
+    plain = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if r.text][:200]
+    item = "a passage that is told here in some rare words of zanzibar quokka and other things besides them all"
+    rows = [(i, f"{t[:300]} {item} {t[300:]}" if k < share else t) for k, (i, t) in enumerate(plain)]
+    got = {r.doc_id for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {i for k, (i, _) in enumerate(rows) if k < share}
+
+
+def test_leaks_by_text_key(spark):
+    item = "which of the two rivers that run to the sea is the longer one and why is that so"
+    rows = [("k1", "before " + item + " after"), ("k2", "nothing of the kind"), (None, item)]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"), id_type="string")
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [("k1", 5)]
+
+
 def test_leaks_of_common_terms(spark):
     shared = "which of the two rivers that run to the sea is the longer one and why is that so"
     common = "the of and to in a is that it for on was as with the of to and"
@@ -526,6 +669,20 @@ def test_pipeline(spark, docs):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()) == sorted(after)
 
 
+def test_pipeline_knows_rows_by_id_and_text(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    item = " ".join(f"z{i}" for i in range(20))
+    rows = [(2, a, "s"), (5, a, "s"), (5, b, "s"), (9, c, "s"), (9, c, "r"), (None, d, "s"), (None, f"{d} {item} {a}", "s"), (7, "", "s"), (8, None, "s"), (3, f"x {item} y", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    one = [tuple(r) for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(one, key=str) == sorted([(2, a, "s"), (5, b, "s"), (9, c, "r"), (None, d, "s"), (None, f"{d} {item} {a}", "s"), (7, "", "s"), (8, None, "s"), (3, f"x {item} y", "s")], key=str)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = [tuple(r) for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([x for x in rows if item not in (x[1] or "")], key=str)
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_words():
     found, at = common.words_of(pa.array(["A b\x0bc", "", "  ", "é\x85x Y"]))
     assert found.to_pylist() == [b"a", b"b", b"c", "é\x85x".encode(), b"y"] and at.tolist() == [0, 3, 3, 3, 5]
