@@ -10,8 +10,9 @@ of ids, the two byte strings, and the ids before the block in its shard.
 Shards ascend too.  The rank table is a file beside the blocks.  Decoding finds
 lengths by a table of the 256 control bytes and gathers data bytes with numpy.
 
-Null and empty texts have only the end id.  Repeated rows stay, in any order of
-equal texts.  An empty table gives no blocks.
+Null and empty texts have only the end id.  Texts of any length are encoded whole.
+Repeated rows stay, in any order of equal texts.  An empty table gives no blocks.
+Other columns of the documents play no part, whatever their names.
 """
 
 from __future__ import annotations
