@@ -264,7 +264,8 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
                 near = np.concatenate([(a[i : i + 50_000] != b[i : i + 50_000]).sum(1) <= most for i in range(0, len(a), 50_000)])
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["u", "v"])
 
-    sides = [classes.select(F.col("id").alias(x), F.col("signature").alias(f"{x}_signature")) for x in "uv"]
+    # merge joins at every size: all of these sides grow with the corpus
+    sides = [classes.select(F.col("id").alias(x), F.col("signature").alias(f"{x}_signature")).hint("merge") for x in "uv"]
     return pairs.join(sides[1], "v").join(sides[0], "u").select("u", "v", "u_signature", "v_signature").mapInArrow(tidied(run), "u long, v long")
 
 
@@ -342,7 +343,7 @@ def spread(rows: DataFrame, block: int, among: bool) -> DataFrame:
 
 def cross_pairs(large: DataFrame, classes: DataFrame, labels: DataFrame, signer: Signer, buckets: int, most: int) -> DataFrame | None:
     """Edges between families that share a large key: close signatures across families, block by block."""
-    labelled = classes.join(large.select(F.col("u").alias("id")).distinct(), "id").join(labels.select(F.col("u").alias("id"), "label"), "id", "left")
+    labelled = large.select(F.col("u").alias("id")).distinct().join(labels.select(F.col("u").alias("id"), "label").hint("merge"), "id", "left").join(classes.hint("merge"), "id")
     labelled = written(labelled.select("id", F.coalesce("label", "id").alias("label"), "signature"), "large-keys")
     mixed = written(mixed_keys(labelled, signer, buckets), "mixed-keys")
     if mixed.isEmpty():
@@ -453,10 +454,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, chunks:
         labels = all_labels.join(joined.select(F.col("u").alias("label"), F.col("label").alias("end")), "label", "left").select("u", F.coalesce("end", "label").alias("label"))
         labels = written(labels, "families")
     ends = components(confirmed(docs, classes, labels, width, percent))
-    placed = classes.join(ends.select(F.col("u").alias("id"), "label"), "id", "left").select("vertex", "second", "n_shingles", "doc_id", F.coalesce("label", "id").alias("label"))
+    placed = classes.join(ends.select(F.col("u").alias("id"), "label").hint("merge"), "id", "left").select("vertex", "second", "n_shingles", "doc_id", F.coalesce("label", "id").alias("label"))
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = placed.join(least, "label").select("vertex", "second", "n_shingles", "component_id")
-    out = rows.drop("signature").join(found, ["vertex", "second", "n_shingles"], "left")
+    found = placed.join(least.hint("merge"), "label").select("vertex", "second", "n_shingles", "component_id")
+    out = rows.drop("signature").join(found.hint("merge"), ["vertex", "second", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -488,22 +489,24 @@ def shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(tidied(run), "id long, family long, own int, i int, j int, piece long, shingles binary")
 
 
-def links_of(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
-    size = wanted.agg(F.sum("n_shingles")).first()[0] or 0
-    tasks = max(8 * shuffle_partitions(docs.sparkSession), math.ceil(size * 8 / TASK_BYTES))
-    sets = shingled(docs, wanted, width).withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(tasks)))
-    return written(sets.groupBy("task").applyInArrow(tidied_group(lambda rows: confirm(rows, percent)), "u long, v long"), "links")
+def linked(sets: DataFrame, shingles: int, percent: int) -> DataFrame:
+    """Links (u, v) that the tasks find among the sets of each pair of blocks; ``shingles``: how many there are, about."""
+    tasks = max(8 * shuffle_partitions(sets.sparkSession), math.ceil(shingles * 8 / TASK_BYTES))
+    dealt_out = sets.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(tasks)))
+    return written(dealt_out.groupBy("task").applyInArrow(tidied_group(lambda rows: confirm(rows, percent)), "u long, v long"), "links")
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) between classes of a family."""
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks"))
-    members = classes.drop("signature").join(labels.withColumnRenamed("u", "id"), "id").join(sizes, "label").withColumnRenamed("label", "family")
+    members = classes.drop("signature").join(labels.withColumnRenamed("u", "id").hint("merge"), "id").join(sizes, "label").withColumnRenamed("label", "family")
+    members = written(members, "members")
     # a family is named by its first class, which goes to each of its blocks; the others go to one
     own = F.when(F.col("id") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     once = members.withColumn("own", F.explode(own)).withColumn("i", F.col("own")).withColumn("j", F.col("own")).withColumn("piece", F.col("id"))
-    links = links_of(docs, once, width, percent)
-    large = written(members.where("blocks > 1").drop("blocks"), "large-families")
+    sets = written(shingled(docs, once, width), "family-sets")
+    links = linked(sets, members.agg(F.sum("n_shingles")).first()[0] or 0, percent)
+    large = members.where("blocks > 1").select("id", "family", "n_shingles")
     if large.isEmpty():
         return links
     pieces = components(links).select(F.col("u").alias("id"), F.col("label").alias("piece"))
@@ -514,7 +517,8 @@ def confirmed(docs: DataFrame, classes: DataFrame, labels: DataFrame, width: int
     if left.isEmpty():
         return links
     more = spread(left.withColumnRenamed("family", "grp"), SET_BLOCK, True).withColumnRenamed("grp", "family")
-    return links.unionByName(links_of(docs, more, width, percent))
+    again = sets.where("id <> family or own = 0").select("id", "shingles").join(left.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return links.unionByName(linked(more.join(again, "id"), more.agg(F.sum("n_shingles")).first()[0] or 0, percent))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
