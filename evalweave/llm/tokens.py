@@ -11,6 +11,7 @@ new ones reach the tokenizer.
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 
 import numpy as np
@@ -19,6 +20,9 @@ import pyarrow.compute as pc
 
 from .common import LOWER, SLICE_BYTES, WHITE, ranges, raw_of, slices
 
+# a task has one core: the library's own threads would only wait for each other
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: White space that is not one byte; texts with it are encoded whole, as a run of mixed white space may be cut in its midst.
 WIDE_SPACE = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
