@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, chat, ctw, decontaminate, licenses, minhash, quality, token_file, warc
+from . import ann, byte_bpe, chat, ctw, decontaminate, fim, licenses, minhash, pii, quality, resample, token_file, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_fim": fim.op11_fim,
+    "op12_pii": pii.op12_pii,
+    "op13_resample": resample.op13_resample,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE_OP2,
     "op3_licenses": licenses.ORACLE_OP3,
     "op4_warc": warc.ORACLE_OP4,
+    "op11_fim": fim.ORACLE_OP11,
 }
