@@ -72,32 +72,68 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_quality_at_every_size(spark, size):
+    """Held-out AUC (score above, ties half), and texts without content, which are never good."""
+    folder = SMALL.replace("0.001", size)
+    docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    learned = common.crc_mod(F.col("doc_id"), 3) != 1
+    model = quality.fit(docs, labels.where(learned))
+    rows = docs.join(labels.where(~learned), "doc_id").select("text", "quality").collect()
+    measure = model.measure()
+    scores = model.scores(np.array([measure((r.text or "").encode()) for r in rows]))
+    good, bad = scores[[r.quality == 1 for r in rows]], scores[[r.quality == 0 for r in rows]]
+    assert ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2) > 0.8
+    assert (good >= 0.5).mean() > 0.7 and (bad >= 0.5).mean() < 0.1
+    free = ["", "the", "und", "hello", "the " * 500, "buy " * 500, "und " * 300, "x" * 3000]
+    assert (model.scores(np.array([measure(t.encode()) for t in free])) < 0.5).all()
+    grid = model.scores(np.linspace(-1, 1, 201))
+    assert (np.diff(grid) >= 0).all()
+
+
 def test_quality_as_brute_force(spark, docs):
-    """Differences by plain zstandard frames, scores by the written-out curve, and the curve by its own optimum."""
+    """Differences by plain zstandard frames, scores by the written-out curve, held-out texts by dictionaries without them, and the curve by its own optimum."""
     import zstandard
 
     labels = common.table(spark, SMALL, "labels")
     model = quality.fit(docs, labels)
-    dictionaries = [zstandard.ZstdCompressionDict(d) for d in (model.good, model.bad)]
-    for d in dictionaries:
-        d.precompute_compress(level=quality.LEVEL)
-    sizes = [zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False) for d in dictionaries]
+    assert len(model.pairs) == quality.FOLDS
+
+    def plain(t, pair):
+        sizes = []
+        for raw in pair:
+            d = zstandard.ZstdCompressionDict(raw)
+            d.precompute_compress(level=quality.LEVEL)
+            c = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(t[i : i + quality.BLOCK_BYTES])) for i in range(0, len(t), quality.BLOCK_BYTES)))
+        blocks = -(-len(t) // quality.BLOCK_BYTES)
+        more = sizes[1] - sizes[0]
+        more -= max(-quality.NOISE_BYTES * blocks, min(quality.NOISE_BYTES * blocks, more))
+        return more / math.sqrt((len(t) + 64) * (sum(sizes) - 2 * blocks * quality.FRAME_BYTES + 64))
+
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in quality.score(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), model).collect():
-        t = texts[r.doc_id]
-        good, bad = (sum(len(c.compress(t[i : i + quality.BLOCK_BYTES])) for i in range(0, len(t), quality.BLOCK_BYTES)) for c in sizes)
-        frames = -(-len(t) // quality.BLOCK_BYTES) * quality.FRAME_BYTES
-        assert math.isclose(r.difference, (bad - good) / math.sqrt((len(t) + 64) * (bad + good - 2 * frames + 64)), abs_tol=1e-9)
+        assert math.isclose(r.difference, sum(plain(texts[r.doc_id], p) for p in model.pairs) / 3, abs_tol=1e-9)
         z = r.difference / model.spread
-        assert math.isclose(r.score, 1 / (1 + math.exp(-(z * model.weight + abs(z) * model.bend + model.foot))), rel_tol=1e-9)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-(z * (model.up if z > 0 else model.down) + model.foot))), rel_tol=1e-9)
+    by_class = {q: [f"{q} {i} some words".encode() * (i + 5) for i in range(7)] for q in (0, 1)}
+    pairs, differences, qualities = quality.held_out(by_class, 3)
+    want = [(plain(t, pairs[f]), q) for f in range(3) for q in (0, 1) for t in by_class[q][f::3]]
+    assert np.allclose(differences, [d for d, _ in want]) and qualities.tolist() == [q for _, q in want]
+    assert [quality.pair_of({q: [t for i, t in enumerate(ts) if i % 3 != f] for q, ts in by_class.items()}) for f in range(3)] == pairs
     rng = np.random.default_rng(0)
-    x = rng.normal(size=400)
-    y = (rng.random(400) < 1 / (1 + np.exp(-2 * x - 1))).astype(float)
-    weight = rng.random(400) + 0.5
-    spread, w, bend, foot = quality.logistic(x, y, weight)
-    z = x / spread
-    left = weight * (y - 1 / (1 + np.exp(-(w * z + bend * np.abs(z) + foot))))
-    assert abs((left * z).sum() - 1e-3 * w) < 1e-6 and abs((left * np.abs(z)).sum() - 1e-3 * bend) < 1e-6 and abs(left.sum() - 1e-3 * foot) < 1e-6
+    for true_foot, true_up in ((-1, 2), (1, 2), (-1, -2)):
+        x = rng.normal(size=400)
+        y = (rng.random(400) < 1 / (1 + np.exp(-true_up * x - true_foot))).astype(float)
+        weight = rng.random(400) + 0.5
+        spread, up, down, foot = quality.logistic(x, y, weight)
+        z = np.stack([np.maximum(x, 0), np.minimum(x, 0), np.full(len(x), spread)]) / spread
+        w = np.array([up, down, foot])
+        slope = z @ (weight * (y - 1 / (1 + np.exp(-(w @ z))))) - 1e-3 * w
+        # within the bounds the slope is 0, at a bound it points outwards
+        for value, g, bound, sign in zip(w, slope, (quality.LEAST_SLOPE, quality.LEAST_SLOPE, quality.FOOT), (-1, -1, 1)):
+            assert abs(g) < 1e-6 or value == bound and g * sign > 0
+        assert min(up, down) >= quality.LEAST_SLOPE and foot <= quality.FOOT
 
 
 def test_quality_of_one_word_over_and_over(spark):
