@@ -41,6 +41,8 @@ KINDS = ["email", "ip", "card", "phone"]
 OTHER = len(KINDS)
 SUPPORT, PATTERN, ACCEPTED, ROUNDS = 3, 0.5, 0.6, 4
 SALT = 16
+#: One in so many texts is read to turn down contexts that plain words follow too often.
+FIRST_TEXTS = 64
 #: Characters before an entity that its context is taken from.
 BEFORE = 100
 LONGEST = 64
@@ -157,6 +159,18 @@ def plain_followers(texts: DataFrame, contexts: DataFrame) -> DataFrame:
     return follow.select("context", F.xxhash64("word").alias("word")).distinct().groupBy("context").agg(F.count("*").alias("plain"))
 
 
+def possible(patterns: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """Patterns that can still reach ``PATTERN``, though nothing but plain words of one text in ``FIRST_TEXTS`` is counted.
+
+    Plain words of all texts are no fewer, so nothing is lost; common pairs of words go
+    before all texts are read.
+    """
+    first = plain_followers(texts.where(F.pmod(F.xxhash64("text"), F.lit(FIRST_TEXTS)) == 0), patterns.select("context").distinct())
+    known = edges.groupBy("context").agg(F.countDistinct("value", "kind").alias("n"))
+    worse = first.join(known, "context").where(F.col("n") < PATTERN * (F.col("n") + F.col("plain"))).select("context")
+    return written(patterns.join(worse, "context", "left_anti"), "pii-possible")
+
+
 def confident(patterns: DataFrame, edges: DataFrame, followers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scores of patterns (context, kind, confidence) and of unknown identifiers (value, kind, confidence) after ``ROUNDS`` turns."""
     known = edges.groupBy("context").agg(F.countDistinct("value", "kind").alias("n"))
@@ -187,6 +201,8 @@ def spans_of(docs: DataFrame) -> DataFrame:
     base = spans.where(F.col("kind") < OTHER).select("row", "kind", "start", "end", F.lit(True).alias("base"))
     if not patterns.isEmpty():
         edges = written(edges, "pii-kept-edges")
+        patterns = possible(patterns, edges, given)
+    if not patterns.isEmpty():
         followers = plain_followers(given, patterns.select("context").distinct())
         sure, values = confident(patterns, edges, followers)
         values = values.where(F.col("confidence") >= ACCEPTED).select("value", "kind")

@@ -128,7 +128,9 @@ def planted(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts
 
 
-def test_pii_finds_planted_identifiers(spark):
+@pytest.mark.parametrize("first", [1, 64])
+def test_pii_finds_planted_identifiers(spark, monkeypatch, first):
+    monkeypatch.setattr(pii, "FIRST_TEXTS", first)
     docs, texts = planted(spark)
     got = dict(cut_spans(pii.spans_of(docs)))
     added = {(texts[k][a:e], pii.KINDS[kind]) for k, spans in got.items() for a, kind, e, base in spans if not base}
