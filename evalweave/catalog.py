@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.expressions import argmax, centred_unit, cosine, dot, floating, hash_int, quantised, root_normalised, softmax, symmetries
-from .operators import dedup, index, inference, metrics, probe, report, splits, tiles, vectors
+from .operators import dedup, index, inference, metrics, probe, report, softmax, splits, tiles, vectors
 from .sources.storage import once, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,7 +621,7 @@ def probe_items(spark, d):
 @query()
 def probe_logreg(spark, d):
     rows = probe_items(spark, d).withColumn("part", F.when(F.col("part") == "test", "score").otherwise("fit"))
-    found = probe.fit_score(rows.withColumn("model", F.lit("official")), ["model"], c=0.1)
+    found = probe.fit_score(rows.withColumn("model", F.lit("official")), ["model"], 0.1)
     return metrics.from_confusion(metrics.confusion(found, ["model"]), ["model"])
 
 
@@ -633,12 +633,28 @@ def probe_sweep(spark, d):
     return probe.best_c(scores, ["model"])
 
 
+@query("""with recursive e as (select vec_id, label % 2 as y, unnest(embedding[1:8])::double as v, generate_subscripts(embedding[1:8], 1) - 1 as pos from embeddings),
+m as (select pos, avg(v) as mean, greatest(stddev_samp(v), 1e-6) as sd from e group by 1), x as (select pos, c, (v - mean) / sd as z, y from e join m using (pos), (select unnest([0.001::double, 0.1::double, 10.0::double]) as c)),
+fit(pos, c, it, w, b) as (select distinct pos, c, 0, 0.0::double, 0.0::double from x union all
+  select pos, c, it + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) from
+    (select pos, c, it, w, b, sum((p - y) * z) + any_value(w) / any_value(c) as gw, sum(p - y) as gb, sum(p * (1 - p) * z * z) + 1 / any_value(c) as hww, sum(p * (1 - p) * z) as hwb, sum(p * (1 - p)) as hbb
+     from (select f.*, z, y, 1 / (1 + exp(-(w * z + b))) as p from fit f join x using (pos, c) where it < 15) group by pos, c, it, w, b))
+select pos::varchar as model, c as c_value, round(w, 6) as weight, round(b, 6) as bias from fit where it = 15""")
+def probe_weights(spark, d):
+    """Weight and bias of binary probes on single cells, at their optimum; 24 problems advance in the same passes."""
+    cells = table(spark, d, "embeddings").select((F.col("label") % 2).alias("label"), F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "x"))
+    rows = cells.select(F.col("pos").cast("string").alias("model"), F.array(F.col("x").cast("double")).alias("v"), "label")
+    found = softmax.fit(rows, ["model"], [0.001, 0.1, 10.0])
+    both = [(u[0], c, float(w[0, 1] - w[0, 0]), float(w[1, 1] - w[1, 0])) for u, p in found.items() for c, w in p.weights.items()]
+    return rounded(spark.createDataFrame(both, "model string, c_value double, weight double, bias double"), "weight", "bias")
+
+
 @query()
 def external_eval(spark, d):
     """Fit on even rows, applied unchanged to odd ones."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.withColumn("part", F.when(F.col("row_id") % 2 == 0, "fit").otherwise("score")).withColumn("model", F.lit("official"))
-    found = probe.fit_score(rows, ["model"], c=0.1)
+    found = probe.fit_score(rows, ["model"], 0.1)
     return metrics.auc_one_vs_rest(found, ["model"]).join(metrics.from_confusion(metrics.confusion(found, ["model"]), ["model"]), "model")
 
 

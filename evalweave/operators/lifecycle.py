@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, probe
+from . import metrics, probe, softmax
 
 TOLERANCE = 1e-6
 
@@ -18,10 +18,15 @@ def selected(items: DataFrame, keys: list[str], grid: tuple[float, ...] = probe.
     return probe.best_c(scores, keys).select(*keys, "c_value")
 
 
+def refits(items: DataFrame, chosen: DataFrame, keys: list[str]) -> dict[tuple, softmax.Probe]:
+    """Each unit's probe on train and val with its C (keys, c_value: a row for each unit)."""
+    grid = {tuple(r)[:-1]: [r["c_value"]] for r in chosen.select(*keys, "c_value").collect()}
+    return softmax.fit(items.where("part <> 'test'"), keys, grid, probe.classes_of(items, keys))
+
+
 def refitted(items: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
     """keys, c_value, row_id, target, probs of the test part, by a refit on train and val with each unit's C."""
-    rows = items.join(chosen, keys).withColumn("part", F.when(F.col("part") == "test", "score").otherwise("fit"))
-    return probe.fit_score(rows, [*keys, "c_value"])
+    return softmax.score(items.where("part = 'test'"), keys, refits(items, chosen, keys))
 
 
 def run_units(items: DataFrame, keys: list[str], grid: tuple[float, ...] = probe.C_GRID) -> DataFrame:
@@ -35,23 +40,17 @@ def outside(items: DataFrame, external: DataFrame, stored: DataFrame, keys: list
     ``stored``: keys, c_value, auc.  A refit whose AUC on the unit's own test part
     isn't the stored one is an error when the rows are read.
     """
-    own = items.join(stored.select(*keys, "c_value"), keys).withColumn("part", F.when(F.col("part") == "test", "score").otherwise("fit"))
-    other = stored.select(*keys, "c_value").join(external.select("row_id", "v", "label").withColumn("part", F.lit("score")))  # a row for each unit
-    numbered = own.withColumn("row_id", F.col("row_id") * 2).unionByName(other.withColumn("row_id", F.col("row_id") * 2 + 1).select(own.columns))
-    found = probe.fit_score(numbered, [*keys, "c_value"])
-    again = metrics.auc_one_vs_rest(found.where("row_id % 2 = 0"), keys)
+    probes = refits(items.join(stored.select(*keys), keys, "left_semi"), stored, keys)
+    again = metrics.auc_one_vs_rest(softmax.score(items.where("part = 'test'"), keys, probes), keys)
     wrong = F.abs(F.col("again") - F.col("auc")) > tolerance
     checked = stored.join(again.select(*keys, F.col("auc").alias("again")), keys).select(*keys, F.when(F.col("again").isNull() | wrong, F.raise_error(F.lit("the refit isn't the stored probe"))).otherwise(F.lit(True)).alias("same"))
-    out = found.where("row_id % 2 = 1").withColumn("row_id", F.floor(F.col("row_id") / 2))
-    return out.join(checked, keys).where("same").drop("same")
+    other = external.select("row_id", "v", "label").join(stored.select(*keys))  # a row for each unit
+    return softmax.score(other, keys, probes).join(checked, keys).where("same").drop("same")
 
 
 def precisions(items: DataFrame, stored: DataFrame, keys: list[str], kinds: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """keys, kind, row_id, target, probs: one refit of each unit scores its test part once for each way of rounding vectors."""
-    rows = items.join(stored.select(*keys, "c_value"), keys)
-    fit = rows.where("part <> 'test'").withColumn("part", F.lit("fit"))
-    n, names = len(kinds), list(kinds)
-    turned = F.explode(F.array(*(F.struct((F.col("row_id") * n + i).alias("row_id"), f(F.col("v")).alias("v")) for i, f in enumerate(kinds.values()))))
-    new = rows.where("part = 'test'").withColumn("x", turned).withColumns({"row_id": F.col("x.row_id"), "v": F.col("x.v"), "part": F.lit("score")}).drop("x")
-    found = probe.fit_score(fit.unionByName(new), [*keys, "c_value"])
-    return found.select(*keys, F.get(F.array(*map(F.lit, names)), F.pmod(F.col("row_id"), F.lit(n))).alias("kind"), F.floor(F.col("row_id") / n).alias("row_id"), "target", "probs")
+    probes = refits(items.join(stored.select(*keys), keys, "left_semi"), stored, keys)
+    turned = F.explode(F.array(*(F.struct(F.lit(name).alias("kind"), f(F.col("v")).alias("v")) for name, f in kinds.items())))
+    new = items.where("part = 'test'").withColumn("x", turned).withColumns({"kind": F.col("x.kind"), "v": F.col("x.v")}).drop("x")
+    return softmax.score(new, keys, probes, ["kind"]).select(*keys, "kind", "row_id", "target", "probs")

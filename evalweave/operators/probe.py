@@ -1,19 +1,18 @@
-"""Linear probes: regularised logistic regression, its sweep, external evaluation, and attention over bags.
+"""Linear probes: regularised logistic regression, its sweep and selection, and attention over bags.
 
-Solvers run in numpy, one (model, C) unit a task; a unit's matrix must fit a worker,
-as a probe's does.  ``probe_mllib`` is the distributed solver for larger ones.
+Fits are those of ``softmax``, over all partitions.  ``solve`` is the same problem
+in one matrix, which tests compare them with.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import softmax
 from .vectors import attention_pool
 
 C_GRID = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0)
@@ -24,7 +23,7 @@ def solve(x: np.ndarray, y: np.ndarray, classes: int, c: float, rounds: int = 10
     z = np.concatenate([x, np.ones((len(x), 1))], 1)
     target = np.eye(classes)[y]
     w = np.zeros((z.shape[1], classes))
-    ridge = np.full((z.shape[1], 1), 1 / c)
+    ridge = np.full((z.shape[1], 1), softmax.penalty(c, classes))
     ridge[-1] = 1e-9
 
     def shares(w):
@@ -71,29 +70,22 @@ def moments_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.mean(0), np.maximum(x.std(0, ddof=1) if len(x) > 1 else np.ones(x.shape[1]), 1e-6)
 
 
-def fit_score(items: DataFrame, keys: list[str], c: float | None = None) -> DataFrame:
-    """Fit on part fit, score part score; items: keys, row_id, v, label, part, and C in ``c_value`` unless given: keys, row_id, target, probs."""
+def fit_score(items: DataFrame, keys: list[str], c: float) -> DataFrame:
+    """Fit on part fit, score part score; items: keys, row_id, v, label, part: keys, row_id, target, probs."""
+    probes = softmax.fit(items.where("part = 'fit'"), keys, [c], classes_of(items, keys))
+    return softmax.score(items.where("part = 'score'"), keys, probes).drop("c_value")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, new = pdf[pdf.part == "fit"], pdf[pdf.part == "score"]
-        classes = int(pdf.label.max()) + 1
-        x, y = np.stack(fit.v.to_numpy()).astype(np.float64), fit.label.to_numpy()
-        mean, sd = moments_of(x)
-        w = solve((x - mean) / sd, y, classes, float(c if c is not None else pdf.c_value.iloc[0]))
-        out = new[[*keys, "row_id"]].copy()
-        out["target"] = new.label.astype(int)
-        out["probs"] = list(probabilities((np.stack(new.v.to_numpy()).astype(np.float64) - mean) / sd, w)) if len(new) else []
-        return out
 
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    return items.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "row_id long", "target int", "probs array<double>"]))
+def classes_of(items: DataFrame, keys: list[str]) -> dict[tuple, int]:
+    """Labels of each unit, counted from 0 (a row for each unit)."""
+    rows = items.where("label is not null").groupBy(*keys).agg((F.max("label") + 1).cast("int").alias("classes"))
+    return {tuple(r)[:-1]: r["classes"] for r in rows.collect()}
 
 
 def sweep(items: DataFrame, keys: list[str], grid: tuple[float, ...] = C_GRID) -> DataFrame:
     """Predictions of the val part for each C: items have part train, val, test."""
-    rows = items.where("part <> 'test'").withColumn("part", F.when(F.col("part") == "train", "fit").otherwise("score"))
-    rows = rows.withColumn("c_value", F.explode(F.array(*map(F.lit, grid))))
-    return fit_score(rows, [*keys, "c_value"])
+    probes = softmax.fit(items.where("part = 'train'"), keys, grid, classes_of(items, keys))
+    return softmax.score(items.where("part = 'val'"), keys, probes)
 
 
 def best_c(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,16 +105,6 @@ def best_epoch(history: DataFrame, keys: list[str], patience: int = 10) -> DataF
     return seen.groupBy(*keys).agg(F.max_by("best", "epoch").alias("best_epoch"), F.max_by("top", "epoch").alias("best_value"), F.max("epoch").alias("last_epoch"))
 
 
-def probe_mllib(items: DataFrame, c: float) -> DataFrame:
-    """row_id, target, probs of the part score, by the distributed solver on the part fit."""
-    rows = items.select("row_id", "part", F.col("label").cast("double").alias("label"), array_to_vector("v").alias("features"))
-    fit = rows.where("part = 'fit'")
-    model = LogisticRegression(regParam=1 / (c * fit.count()), elasticNetParam=0.0, standardization=True, family="auto", maxIter=200, tol=1e-9).fit(fit)
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(rows.where("part = 'score'")).select("row_id", F.col("label").cast("int").alias("target"), vector_to_array("probability").alias("probs"))
-
-
 def attention_scores(bags: DataFrame, keys: list[str], hidden: int = 16, epochs: int = 30, rate: float = 0.05, seed: int = 42) -> DataFrame:
     """keys, bag, target, probs of test bags: gated attention pooling and a softmax, trained bag by bag.
 

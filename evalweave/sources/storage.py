@@ -35,12 +35,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_ONCE: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+def state(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of all files under a path; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    r = files.select("path", "length", "modificationTime").agg(F.count("*").alias("n"), F.sum("length").alias("size"), F.sum(one).alias("sum")).first()
+    return f"{r['n']}:{r['size']}:{r['sum']}"
+
+
+_ONCE: dict[tuple[str, str, str, str], tuple[str, T.StructType]] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A written table that an application builds once for a data folder, as long as its files are there."""
-    key = (spark.sparkContext.applicationId, sf_dir, label)
+def once(spark: SparkSession, sf_dir: str, label: str, make: Callable[[], DataFrame], tables: tuple[str, ...] = ("embeddings",)) -> DataFrame:
+    """A written table that an application builds once for the present files of some tables of a data folder, as long as its own files are there."""
+    now = " ".join(state(spark, f"{sf_dir}/{t}.parquet") for t in tables)
+    key = (spark.sparkContext.applicationId, sf_dir, label, now)
     path = _ONCE[key][0] if key in _ONCE else f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if key not in _ONCE or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):

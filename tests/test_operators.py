@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import expressions as X
-from evalweave.operators import dedup, graph, index, inference, lifecycle, metrics, probe, report, splits, tiles, vectors
+from evalweave.operators import dedup, graph, index, inference, lifecycle, metrics, probe, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
 from evalweave.sources import runs, storage
 from evalweave.streaming import shards
@@ -240,6 +240,50 @@ def test_probe_life(spark):
     assert rounded_.count() == 2 * test.sum() and all(np.allclose(same[i], got[i]) for i in got)
 
 
+def test_passes_as_one_matrix(spark):
+    """Units of other widths and classes, all in the same passes over 7 partitions, against the plain solver; every batch is cut."""
+    rng = np.random.default_rng(5)
+    rows, data = [], {}
+    for unit, (n, d, k) in enumerate([(150, 4, 3), (90, 2, 2), (60, 6, 4)]):
+        y = rng.integers(0, k, n)
+        x = rng.normal(size=(n, d)) * [10.0 ** (j % 3) for j in range(d)] + np.eye(k, d)[y] + 100
+        data[f"u{unit}", unit] = (x, y, k)
+        rows += [(f"u{unit}", unit, x[i].tolist(), int(y[i])) for i in range(n)]
+    rows += [("u0", 0, None, 1), ("u0", 0, [0.0] * 4, None), (None, 1, [0.0] * 4, 0)]
+    df = spark.createDataFrame(rows, "model string, seed int, v array<double>, label int").repartition(7)
+    grid = {u: [0.01, 1.0, 100.0][: i + 1] for i, u in enumerate(data)}
+    found = softmax.fit(df, ["model", "seed"], grid)
+    assert set(found) == set(data)
+    for u, (x, y, k) in data.items():
+        mean, sd = probe.moments_of(x)
+        assert np.allclose(found[u].mean, mean) and np.allclose(found[u].sd, sd) and list(found[u].weights) == grid[u]
+        for c, w in found[u].weights.items():
+            want = probe.probabilities((x - mean) / sd, probe.solve((x - mean) / sd, y, k, c))
+            assert np.allclose(softmax.probabilities((x - mean) / sd, w), want, atol=1e-6)
+            assert 1 < found[u].passes[c] < 200
+
+
+def test_two_classes_share_one_logit():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(80, 3)), rng.integers(0, 2, 80)
+    w = probe.solve(x, y, 2, 0.3)
+    u = w[:, 1] - w[:, 0]
+    p = 1 / (1 + np.exp(-(x @ u[:-1] + u[-1])))
+    assert np.abs(x.T @ (p - y) + u[:-1] / 0.3).max() < 1e-4 and abs((p - y).sum()) < 1e-4
+
+
+def test_once_sees_changed_inputs(spark, tmp_path):
+    def make():
+        return spark.read.parquet(f"{tmp_path}/embeddings.parquet").agg(F.count("*").alias("n"))
+
+    spark.range(10).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert storage.once(spark, str(tmp_path), "rows", make).first().n == 10
+    before = len(storage._ONCE)
+    assert storage.once(spark, str(tmp_path), "rows", make).first().n == 10 and len(storage._ONCE) == before
+    spark.range(20).write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+    assert storage.once(spark, str(tmp_path), "rows", make).first().n == 20
+
+
 def test_stores(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(20)], "row_id long, label int, v array<double>")
     labels = rows.select("row_id", "label")
