@@ -1,4 +1,4 @@
-"""Linear probes: regularised logistic regression, its sweep and selection, and attention over bags.
+"""Linear probes: regularised logistic regression, its sweep and selection.
 
 Fits are those of ``softmax``, over all partitions.  ``solve`` is the same problem
 in one matrix, which tests compare them with.
@@ -7,13 +7,11 @@ in one matrix, which tests compare them with.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import softmax
-from .vectors import attention_pool
 
 C_GRID = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0)
 
@@ -103,50 +101,3 @@ def best_epoch(history: DataFrame, keys: list[str], patience: int = 10) -> DataF
     first = stopped.groupBy(*keys).agg(F.min(F.when(F.col("stop"), F.col("epoch"))).alias("stop_epoch"), F.max("epoch").alias("last"))
     seen = stopped.join(first, keys).where(F.col("epoch") <= F.coalesce("stop_epoch", "last"))
     return seen.groupBy(*keys).agg(F.max_by("best", "epoch").alias("best_epoch"), F.max_by("top", "epoch").alias("best_value"), F.max("epoch").alias("last_epoch"))
-
-
-def attention_scores(bags: DataFrame, keys: list[str], hidden: int = 16, epochs: int = 30, rate: float = 0.05, seed: int = 42) -> DataFrame:
-    """keys, bag, target, probs of test bags: gated attention pooling and a softmax, trained bag by bag.
-
-    bags: keys, bag, label, part (train, test), items (array of vectors).
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        pdf = pdf.sort_values("bag")
-        xs = [np.stack([np.asarray(v, np.float64) for v in items]) for items in pdf["items"]]
-        classes, d = int(pdf.label.max()) + 1, xs[0].shape[1]
-        v, u, a = rng.normal(0, 0.3, (d, hidden)), rng.normal(0, 0.3, (d, hidden)), rng.normal(0, 0.3, hidden)
-        w, b = rng.normal(0, 0.1, (d, classes)), np.zeros(classes)
-        train = [i for i, part in enumerate(pdf.part) if part == "train"]
-        labels = pdf.label.to_numpy()
-        for _ in range(epochs):
-            for i in rng.permutation(train):
-                x = xs[i]
-                t, g = np.tanh(x @ v), 1 / (1 + np.exp(-(x @ u)))
-                s = (t * g) @ a
-                e = np.exp(s - s.max())
-                att = e / e.sum()
-                pooled = att @ x
-                out = pooled @ w + b
-                p = np.exp(out - out.max())
-                p /= p.sum()
-                dout = p - np.eye(classes)[labels[i]]
-                dpool = w @ dout
-                datt = x @ dpool
-                ds = att * (datt - att @ datt)
-                dv, du = np.outer(ds, a) * g * (1 - t * t), np.outer(ds, a) * t * g * (1 - g)
-                w -= rate * np.outer(pooled, dout)
-                b -= rate * dout
-                a -= rate * ((t * g).T @ ds)
-                v -= rate * (x.T @ dv)
-                u -= rate * (x.T @ du)
-        rows = pdf[pdf.part == "test"][[*keys, "bag"]].copy()
-        test = [i for i, part in enumerate(pdf.part) if part == "test"]
-        rows["target"] = labels[test].astype(int)
-        logits = [attention_pool(v, u, a, xs[i])[1] @ w + b for i in test]
-        rows["probs"] = [np.exp(o - o.max()) / np.exp(o - o.max()).sum() for o in logits]
-        return rows
-
-    kinds = {f.name: f.dataType.simpleString() for f in bags.schema}
-    return bags.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "bag long", "target int", "probs array<double>"]))

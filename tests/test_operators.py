@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import expressions as X
-from evalweave.operators import dedup, graph, index, inference, lifecycle, metrics, probe, report, softmax, splits, tiles, vectors
+from evalweave.operators import attention, dedup, graph, index, inference, lifecycle, metrics, probe, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
 from evalweave.sources import runs, storage
 from evalweave.streaming import shards
@@ -372,6 +372,68 @@ def test_attention_padding_free():
     assert math.isclose(share.sum(), 1) and np.allclose(pooled, share @ bag)
 
 
+def planted_bags(spark, parts=1):
+    """Bags of three classes; one vector of each bag tells the class, the others are noise."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for bag in range(150):
+        label = bag % 3
+        items = rng.normal(size=(int(rng.integers(1, 9)), 6)) * 0.3
+        items[rng.integers(len(items)), label] += 3
+        rows.append(("m", bag, label, ("test", "val", "train", "train", "train")[bag // 3 % 5], items.tolist()))
+    return spark.createDataFrame(rows, "model string, bag long, label int, part string, items array<array<double>>").repartition(parts)
+
+
+def test_attention_gradients():
+    rng = np.random.default_rng(9)
+    s = attention.Settings(hidden=5, attention=4, dropout=0.5)
+    w = attention.start(6, 3, s)
+    x, mask = rng.normal(size=(4, 6)), attention.drawn_mask(s, 1, 7, 4)
+    assert np.array_equal(mask, attention.drawn_mask(s, 1, 7, 4)) and set(np.unique(mask)) <= {0.0, 2.0}
+    slope, at = attention.flat(attention.backward(w, x, 1, mask)[1]), attention.flat(w)
+    for i in range(len(at)):
+        ends = [attention.backward(attention.shaped(at + np.eye(len(at))[i] * e, w), x, 1, mask)[0] for e in (1e-6, -1e-6)]
+        assert math.isclose((ends[0] - ends[1]) / 2e-6, slope[i], abs_tol=1e-5)
+
+
+def test_attention_over_partitions(spark):
+    """As a plain run over the same mini-batches; losses fall, the best epoch's weights score the test part."""
+    s = attention.Settings(hidden=12, attention=6, epochs=5, patience=2, batch=40, rate=0.02, seed=3)
+    bags = planted_bags(spark, 5)
+    runs, found = attention.train(bags, ["model"], s)
+    run = runs[("m",)]
+    rows = {r.bag: r for r in bags.collect()}
+    batches = -(-sum(r.part == "train" for r in rows.values()) // s.batch)
+    plain = attention.Training(attention.start(6, 3, s))
+    for epoch, loss, _ in run.history:
+        place = {r.bag: r.b for r in bags.where("part = 'train'").select("bag", F.pmod(F.xxhash64(F.lit(s.seed), F.lit(epoch), "bag"), F.lit(batches)).alias("b")).collect()}
+        total = 0.0
+        for b in range(batches):
+            own = [attention.backward(plain.w, np.array(rows[k]["items"]), rows[k].label, attention.drawn_mask(s, epoch, k, len(rows[k]["items"]))) for k in sorted(place) if place[k] == b]
+            total += sum(x for x, _ in own)
+            plain.step(sum(attention.flat(d) for _, d in own) / len(own), s)
+        assert math.isclose(loss, total / len(place), rel_tol=1e-9)
+        if epoch == run.best[1]:
+            best = plain.w
+    assert np.allclose(attention.flat(best), attention.flat(run.best[2]), atol=1e-9)
+    assert run.history[-1][1] < run.history[0][1]
+    assert run.best[0] == max(v for _, _, v in run.history) and run.best[1] == min(e for e, _, v in run.history if v == run.best[0])
+    out = {r.bag: r for r in found.collect()}
+    assert set(out) == {k for k, r in rows.items() if r.part == "test"}
+    assert all(np.allclose(r.probs, attention.forward(best, np.array(rows[k]["items"]))[0]) for k, r in out.items())
+    assert np.mean([int(np.argmax(r.probs)) == r.target for r in out.values()]) > 0.8
+
+
+def test_attention_stops(spark):
+    t, s = attention.Training(attention.start(2, 2, attention.Settings(hidden=2, attention=2))), attention.Settings(patience=2)
+    for epoch, value in enumerate([float("nan"), 0.5, 0.5, 0.4], 1):
+        t.ended(epoch, 0.0, value, s)
+    assert t.best[:2] == (0.5, 2) and t.done
+    broken = planted_bags(spark).withColumn("items", F.when(F.col("bag") == 7, F.array().cast("array<array<double>>")).otherwise(F.col("items")))
+    with pytest.raises(Exception, match="empty or broken bag 7"):
+        attention.train(broken, ["model"], attention.Settings(hidden=2, attention=2, epochs=1))
+
+
 def test_resume_and_stream(spark, tmp_path):
     wanted = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "k int, signature string")
     done = spark.createDataFrame([(1, "x"), (3, "old")], "k int, signature string")
