@@ -155,6 +155,8 @@ def plain_followers(texts: DataFrame, contexts: DataFrame) -> DataFrame:
     cut = cut.where(n > 0).select(F.explode(F.arrays_zip(F.slice("w", 1, n).alias("a"), F.slice("w", 2, n).alias("b"), F.slice("w", 3, n).alias("c"))).alias("x"))
     follow = cut.select(F.xxhash64("x.a", "x.b").alias("context"), F.col("x.c").alias("word")).where(~F.col("word").contains("0") & ~F.col("word").contains("@"))
     # Spark sends the contexts to all tasks only where they are few; else both sides go by salted context
+    # one more context, which no words have: all texts are read at every size, not only where patterns happen to be left
+    contexts = contexts.unionByName(texts.sparkSession.range(1).select(F.lit(0).cast("long").alias("context")))
     follow = follow.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALT)).cast("int")).join(salted(contexts), ["context", "salt"], "left_semi")
     return follow.select("context", F.xxhash64("word").alias("word")).distinct().groupBy("context").agg(F.count("*").alias("plain"))
 
@@ -202,7 +204,6 @@ def spans_of(docs: DataFrame) -> DataFrame:
     if not patterns.isEmpty():
         edges = written(edges, "pii-kept-edges")
         patterns = possible(patterns, edges, given)
-    if not patterns.isEmpty():
         followers = plain_followers(given, patterns.select("context").distinct())
         sure, values = confident(patterns, edges, followers)
         values = values.where(F.col("confidence") >= ACCEPTED).select("value", "kind")
