@@ -464,10 +464,17 @@ def metric_logloss(spark, d):
 
 # --- resampling and inference ----------------------------------------------------
 
-_DRAWS = f"""gr as (select distinct dataset, seed, grp from pred), gn as (select *, row_number() over (partition by dataset, seed order by grp) - 1 as ix, count(*) over (partition by dataset, seed) as n from gr),
-tk as (select dataset, seed, n, b, unnest(range(0, n)) as k from (select distinct dataset, seed, n, unnest(range(1, {REPLICATES + 1})) as b from gn)),
-dw as (select dataset, seed, b, ('0x' || substr(md5(dataset || ':' || seed || ':' || b || ':0:' || k), 1, 8))::bigint % n as ix, count(*)::double as w from tk group by all),
-weights as (select dataset, seed, b::int as b, grp, w from dw join gn using (dataset, seed, ix))"""
+# draws by splitting down the bits of the groups' hashes, as ``operators.draws`` tells
+_DRAWS = f"""gr as (select distinct dataset, seed, grp from pred), gb as (select *, right(('0x' || substr(md5(grp), 1, 12))::bigint::bit::varchar, 48) as bits from gr),
+nd as (select dataset, seed, substr(bits, 1, l) as node, count(*) as m, count(*) filter (substr(bits, l + 1, 1) = '0') as ml from gb, (select unnest(range(0, 48)) as l) group by all),
+bk as (select m, ml, n, unnest(range(0, n + 1)) as k from (select distinct m, ml from nd where ml > 0 and ml < m), (select unnest(range(0, (select count(*) + 1 from gr))) as n)),
+bp as (select m, ml, n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(ml::double / m) + (n - k) * ln(1 - ml::double / m)) as p from bk),
+bn as materialized (select m, ml, n, list(c order by k) as cdf from (select m, ml, n, k, sum(p) over (partition by m, ml, n order by k) as c from bp) group by all),
+tr(dataset, seed, b, node, draws) as (select dataset, seed, b, '', m from nd, (select unnest(range(1, {REPLICATES + 1})) as b) where node = '' union all
+  select dataset, seed, b, node || side, case when side = '0' then k else draws - k end from
+    (select t.*, nd.m, nd.ml, case when nd.ml = 0 then 0 when nd.ml = nd.m then draws else least(draws, len(list_filter(cdf, lambda x: x < ('0x' || substr(md5(t.dataset || ':' || t.seed || ':' || t.b || ':0:' || t.node), 1, 13))::bigint / 4503599627370496.0))) end as k
+     from tr t join nd on nd.dataset = t.dataset and nd.seed = t.seed and nd.node = t.node left join bn on bn.m = nd.m and bn.ml = nd.ml and bn.n = t.draws where nd.m > 1 and t.draws > 0), (select unnest(['0', '1']) as side) where case when side = '0' then ml > 0 else ml < m end),
+weights as (select t.dataset, t.seed, b::int as b, grp, draws::double as w from tr t join nd using (dataset, seed, node) join gb on gb.dataset = t.dataset and gb.seed = t.seed and starts_with(gb.bits, t.node) where nd.m = 1 and draws > 0)"""
 _KB = "dataset, seed, b, model"
 _BOOT = f"{_PRED}, {_DRAWS}, allw as (from weights union all select distinct dataset, seed, 0, grp, 1.0 from pred), conf as (select {_KB}, target, pred, sum(w) as w from pred join allw using (dataset, seed, grp) group by all), {_SUMS.format(k=_KB)}, " + f"""
 won as (select p.dataset, p.seed, p.model, p.target as c, p.grp as g, q.grp as h, sum(case when p.probs[p.target + 1] > q.probs[p.target + 1] then 1.0 when p.probs[p.target + 1] = q.probs[p.target + 1] then 0.5 else 0.0 end)::double as u
@@ -492,22 +499,22 @@ def pairs(spark, d):
     return inference.pairwise(boot(spark, d))
 
 
-@query("with " + _PRED + ", " + _DRAWS + " select * from weights")
+@query("with recursive " + _PRED + ", " + _DRAWS + " select * from weights")
 def boot_weights(spark, d):
     return inference.resamples(inference.effective_groups(predictions(spark, d)), REPLICATES)
 
 
-@query("with " + _BOOT + " select dataset, seed, b::int as b, model, metric, round(value, 6) as value from boot")
+@query("with recursive " + _BOOT + " select dataset, seed, b::int as b, model, metric, round(value, 6) as value from boot")
 def boot_metrics(spark, d):
     return rounded(boot(spark, d), "value")
 
 
-@query("with " + _BOOT + """ select dataset, model, metric, round(max(value) filter (b = 0), 6) as mean, round(quantile_cont(value, 0.025) filter (b > 0), 6) as ci_low, round(quantile_cont(value, 0.975) filter (b > 0), 6) as ci_high from sm group by all""")
+@query("with recursive " + _BOOT + """ select dataset, model, metric, round(max(value) filter (b = 0), 6) as mean, round(quantile_cont(value, 0.025) filter (b > 0), 6) as ci_low, round(quantile_cont(value, 0.975) filter (b > 0), 6) as ci_high from sm group by all""")
 def boot_ci(spark, d):
     return rounded(inference.intervals(boot(spark, d)), "mean", "ci_low", "ci_high")
 
 
-@query("with " + _BOOT + ", " + _PAIR + " select dataset, metric, model_a, model_b, round(diff, 6) as diff, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(p, 6) as p, round(p_holm, 6) as p_holm from holm")
+@query("with recursive " + _BOOT + ", " + _PAIR + " select dataset, metric, model_a, model_b, round(diff, 6) as diff, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(p, 6) as p, round(p_holm, 6) as p_holm from holm")
 def boot_pairwise(spark, d):
     return rounded(pairs(spark, d), "diff", "ci_low", "ci_high", "p", "p_holm")
 
@@ -527,7 +534,7 @@ def ranked_values(spark, d):
     return rounded(boot(spark, d), "value", digits=9)
 
 
-@query("with " + _BOOT + ", " + _RANKS + " select dataset, seed, b::int as b, model, metric, rank::int as rank from rk")
+@query("with recursive " + _BOOT + ", " + _RANKS + " select dataset, seed, b::int as b, model, metric, rank::int as rank from rk")
 def rank_min(spark, d):
     return inference.replicate_ranks(ranked_values(spark, d)).select("dataset", "seed", "b", "model", "metric", "rank")
 
@@ -536,12 +543,12 @@ _SHARES = _RANKS + """, rs as (select dataset, metric, model, rank, count(*)::do
 sh as (select dataset, metric, model, rank, n / sum(n) over (partition by dataset, metric, model) as share, sum(n * rank) over (partition by dataset, metric, model) / sum(n) over (partition by dataset, metric, model) as mean_rank from rs)"""
 
 
-@query("with " + _BOOT + ", " + _SHARES + " select dataset, metric, model, rank::int as rank, round(share, 6) as share, round(mean_rank, 6) as mean_rank from sh")
+@query("with recursive " + _BOOT + ", " + _SHARES + " select dataset, metric, model, rank::int as rank, round(share, 6) as share, round(mean_rank, 6) as mean_rank from sh")
 def rank_stability(spark, d):
     return rounded(inference.rank_shares(ranked_values(spark, d)), "share", "mean_rank")
 
 
-@query("with " + _BOOT + ", " + _SHARES + """, rn as (select *, sum(share) over (partition by dataset, metric, model order by rank rows unbounded preceding) as run from sh)
+@query("with recursive " + _BOOT + ", " + _SHARES + """, rn as (select *, sum(share) over (partition by dataset, metric, model order by rank rows unbounded preceding) as run from sh)
 select dataset, metric, model, round(max(mean_rank), 6) as mean_rank, min(rank) filter (run >= 0.025 - 1e-12)::int as rank_low, min(rank) filter (run >= 0.975 - 1e-12)::int as rank_high from rn group by all""")
 def rank_interval(spark, d):
     return rounded(inference.rank_intervals(inference.rank_shares(ranked_values(spark, d))), "mean_rank")
@@ -716,7 +723,7 @@ def speedup(spark, d):
     return rounded(report.speed_up(rows, "purchase"), "ratio")
 
 
-@query("with " + _BOOT + ", " + _PAIR + """, mn as (select dataset, model, round(max(value) filter (b = 0), 9) as mean from sm where metric = 'acc' group by all),
+@query("with recursive " + _BOOT + ", " + _PAIR + """, mn as (select dataset, model, round(max(value) filter (b = 0), 9) as mean from sm where metric = 'acc' group by all),
 ci as (select dataset, model, quantile_cont(value, 0.025) as lo, quantile_cont(value, 0.975) as hi from sm where metric = 'acc' and b > 0 group by all),
 rk as (select *, row_number() over (partition by dataset order by mean desc, model) as place from mn), be as (select dataset, model as best from rk where place = 1),
 jt as (select rk.dataset, rk.model, rk.mean, best, h.p_holm from rk join be using (dataset) left join holm h on h.dataset = rk.dataset and h.metric = 'acc' and ((h.model_a = best and h.model_b = rk.model) or (h.model_b = best and h.model_a = rk.model))),
@@ -730,20 +737,20 @@ def report_main(spark, d):
     return rounded(marked.select("dataset", "model", "mean", "mark").join(ci.select("dataset", "model", "ci_low", "ci_high"), ["dataset", "model"]), "mean", "ci_low", "ci_high")
 
 
-@query("with " + _BOOT + ", " + _PAIR + """ select dataset, model_a, model_b, round(p_holm, 6) as p_holm, p_holm < 0.05 as differs from holm where metric = 'qwk'""")
+@query("with recursive " + _BOOT + ", " + _PAIR + """ select dataset, model_a, model_b, round(p_holm, 6) as p_holm, p_holm < 0.05 as differs from holm where metric = 'qwk'""")
 def report_marks(spark, d):
     tests = pairs(spark, d).where("metric = 'qwk'").select("dataset", "model_a", "model_b", "p_holm")
     return rounded(tests.withColumn("differs", F.col("p_holm") < 0.05), "p_holm")
 
 
-@query("with " + _BOOT + """, w as (select dataset, model, max(value) filter (metric = 'acc') as acc, max(value) filter (metric = 'bal_acc') as bal_acc, max(value) filter (metric = 'f1_weighted') as f1_weighted, max(value) filter (metric = 'qwk') as qwk, max(value) filter (metric = 'auc') as auc from sm where b = 0 group by all)
+@query("with recursive " + _BOOT + """, w as (select dataset, model, max(value) filter (metric = 'acc') as acc, max(value) filter (metric = 'bal_acc') as bal_acc, max(value) filter (metric = 'f1_weighted') as f1_weighted, max(value) filter (metric = 'qwk') as qwk, max(value) filter (metric = 'auc') as auc from sm where b = 0 group by all)
 select dataset, model, round(acc, 6) as acc, round(bal_acc, 6) as bal_acc, round(f1_weighted, 6) as f1_weighted, round(qwk, 6) as qwk, round(auc, 6) as auc from w""")
 def report_secondary(spark, d):
     summary = report.seed_summary(boot(spark, d).where("b = 0"))
     return rounded(report.wide(summary, ["dataset", "model"], "metric", "mean", list(inference.METRICS)), *inference.METRICS)
 
 
-@query("with " + _BOOT + """, w as (select dataset, metric, max(value) filter (model = 'official') as official, max(value) filter (model = 'cls') as cls, max(value) filter (model = 'patch_mean') as patch_mean from sm where b = 0 group by all)
+@query("with recursive " + _BOOT + """, w as (select dataset, metric, max(value) filter (model = 'official') as official, max(value) filter (model = 'cls') as cls, max(value) filter (model = 'patch_mean') as patch_mean from sm where b = 0 group by all)
 select dataset, metric, round(official, 6) as official, round(cls, 6) as cls, round(patch_mean, 6) as patch_mean, abs(official - cls) <= 1e-6 as same from w""")
 def report_sensitivity(spark, d):
     summary = report.seed_summary(boot(spark, d).where("b = 0"))
@@ -758,7 +765,7 @@ def report_qualitative(spark, d):
     return report.qualitative(predictions(spark, d).where("model = 'official' and seed = 42").select("row_id", "grp", "target"), 4, 42)
 
 
-@query("with " + _BOOT + """, h as (select dataset, metric, count(*) as n from sm where b = 0 and value >= 0.999 group by 1, 2 having count(*) >= 2),
+@query("with recursive " + _BOOT + """, h as (select dataset, metric, count(*) as n from sm where b = 0 and value >= 0.999 group by 1, 2 having count(*) >= 2),
 f as (select dataset, model, max(spread) as spread from (select dataset, model, metric, max(value) - min(value) as spread from boot where b = 0 group by all) group by all)
 select dataset, 'ceiling' as kind, metric as subject from h union all select dataset, 'identical seeds', model from f where spread <= 1e-12""")
 def report_warnings(spark, d):
@@ -766,7 +773,7 @@ def report_warnings(spark, d):
     return report.warnings(report.seed_summary(runs), runs)
 
 
-@query("with " + _BOOT + """, w as (select dataset, model, metric, avg(value) as mean, coalesce(stddev_samp(value), 0) as sd, count(*) as n_seeds from boot where b = 0 group by all)
+@query("with recursive " + _BOOT + """, w as (select dataset, model, metric, avg(value) as mean, coalesce(stddev_samp(value), 0) as sd, count(*) as n_seeds from boot where b = 0 group by all)
 select dataset, model, metric, round(mean, 6) as mean, round(sd, 6) as sd, n_seeds from w""")
 def seed_summary(spark, d):
     return rounded(report.seed_summary(boot(spark, d).where("b = 0")), "mean", "sd")
@@ -797,13 +804,13 @@ def display_order(spark, d):
     return report.ordered(rows, ["Brand#33", "Brand#11"]).select("p_partkey", "model", "place")
 
 
-@query("with " + _BOOT + """, p as (select * from boot where b = 0), s as (select dataset, max(spread) <= 1e-12 as same from (select dataset, model, metric, max(value) - min(value) as spread from p group by all) group by 1),
+@query("with recursive " + _BOOT + """, p as (select * from boot where b = 0), s as (select dataset, max(spread) <= 1e-12 as same from (select dataset, model, metric, max(value) - min(value) as spread from p group by all) group by 1),
 f as (select dataset, min(seed) as first from p group by 1) select dataset, seed, model, metric, round(value, 6) as value from p join s using (dataset) join f using (dataset) where not same or seed = first""")
 def official_single_seed(spark, d):
     return rounded(report.single_seed(boot(spark, d).where("b = 0")).select("dataset", "seed", "model", "metric", "value"), "value")
 
 
-@query("with " + _BOOT + """, e as (select model, metric, value from sm where b = 0 and dataset = 'even'), o as (select model, metric, value from sm where b = 0 and dataset = 'odd' and metric <> 'qwk')
+@query("with recursive " + _BOOT + """, e as (select model, metric, value from sm where b = 0 and dataset = 'even'), o as (select model, metric, value from sm where b = 0 and dataset = 'odd' and metric <> 'qwk')
 select model, metric, round(e.value, 6) as internal, round(o.value, 6) as external, round(e.value - o.value, 6) as difference from e full join o using (model, metric)""")
 def report_external(spark, d):
     values = inference.over_seeds(boot(spark, d)).where("b = 0")
@@ -811,7 +818,7 @@ def report_external(spark, d):
     return rounded(out, "internal", "external", "difference")
 
 
-@query("with " + _BOOT + """ select metric, round(min(value), 6) as low, round(max(value), 6) as high from sm where b = 0 group by 1""")
+@query("with recursive " + _BOOT + """ select metric, round(min(value), 6) as low, round(max(value), 6) as high from sm where b = 0 group by 1""")
 def report_macros(spark, d):
     values = inference.over_seeds(boot(spark, d)).where("b = 0")
     return rounded(values.groupBy("metric").agg(F.min("value").alias("low"), F.max("value").alias("high")), "low", "high")

@@ -96,7 +96,7 @@ def features_loaded(spark, d):
     return runs.load_features(spark, path, labels).select("row_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query("with " + _BOOT + """ select dataset, seed, model, metric, round(value, 6) as value from boot where b = 0""")
+@query("with recursive " + _BOOT + """ select dataset, seed, model, metric, round(value, 6) as value from boot where b = 0""")
 def records_read_back(spark, d):
     """Run records written as JSON and read back, with one that can't be read beside them."""
     path = folder(spark, "records")
@@ -108,7 +108,7 @@ def records_read_back(spark, d):
     return rounded(good.select("dataset", "seed", "model", "metric", "value"), "value")
 
 
-@query("with " + _BOOT + """ select dataset, seed, model, round(max(value) filter (metric = 'acc'), 6) as acc from boot where b = 0 and (model <> 'cls' or seed = 42) and seed = 42 group by all""")
+@query("with recursive " + _BOOT + """ select dataset, seed, model, round(max(value) filter (metric = 'acc'), 6) as acc from boot where b = 0 and (model <> 'cls' or seed = 42) and seed = 42 group by all""")
 def predictions_read_back(spark, d):
     """Predictions stored by unit and read back: of seeds, those that every model has."""
     path = folder(spark, "predictions")
@@ -128,7 +128,7 @@ def stats_freshness(spark, d):
     return runs.freshness(spark, path, changed)
 
 
-@query("with " + _BOOT + """, m as (select dataset, model, metric, avg(value) as mean from boot where b = 0 group by all) select dataset, model, metric, round(mean, 6) as mean from m where model = 'cls'""")
+@query("with recursive " + _BOOT + """, m as (select dataset, model, metric, avg(value) as mean from boot where b = 0 group by all) select dataset, model, metric, round(mean, 6) as mean from m where model = 'cls'""")
 def report_mismatches(spark, d):
     """Means of the runs that the statistics state otherwise or not at all."""
     summary = report.seed_summary(boot(spark, d).where("b = 0")).select("dataset", "model", "metric", "mean")
@@ -185,7 +185,7 @@ def probe_precisions(spark, d):
 # --- further frames -----------------------------------------------------------------------
 
 
-@query("with " + _BOOT + """, m as (select dataset, model, max(value) filter (metric = 'auc') as auc, max(value) filter (metric = 'qwk') as qwk from sm where b = 0 group by all)
+@query("with recursive " + _BOOT + """, m as (select dataset, model, max(value) filter (metric = 'auc') as auc, max(value) filter (metric = 'qwk') as qwk from sm where b = 0 group by all)
 select model, round(max(case when dataset = 'even' then qwk end), 6) as even, round(max(case when dataset = 'odd' then auc end), 6) as odd from m group by 1""")
 def report_benchmark(spark, d):
     """A row for each model, a column for each data set: QWK where classes are ordered, else AUC."""
@@ -195,14 +195,14 @@ def report_benchmark(spark, d):
     return rounded(report.wide(wanted, ["model"], "dataset", "value", ["even", "odd"]), "even", "odd")
 
 
-@query("with " + _BOOT + """, m as (select dataset, model, value from sm where b = 0 and metric = 'qwk')
+@query("with recursive " + _BOOT + """, m as (select dataset, model, value from sm where b = 0 and metric = 'qwk')
 select dataset, model, round(value, 6) as value, round((value - min(value) over (partition by dataset)) / nullif(max(value) over (partition by dataset) - min(value) over (partition by dataset), 0), 6) as shade, (rank() over (partition by dataset order by round(value, 9) desc) = 1) as best from m""")
 def report_heatmap(spark, d):
     values = rounded(inference.over_seeds(boot(spark, d)).where("b = 0 and metric = 'qwk'"), "value", digits=9)
     return rounded(report.heatmap(values), "value", "shade")
 
 
-@query("with " + _BOOT + """, m as (select dataset, model, max(value) filter (b = 0) as mean, quantile_cont(value, 0.025) filter (b > 0) as lo, quantile_cont(value, 0.975) filter (b > 0) as hi from sm where metric = 'acc' group by all)
+@query("with recursive " + _BOOT + """, m as (select dataset, model, max(value) filter (b = 0) as mean, quantile_cont(value, 0.025) filter (b > 0) as lo, quantile_cont(value, 0.975) filter (b > 0) as hi from sm where metric = 'acc' group by all)
 select dataset, model, row_number() over (partition by dataset order by round(mean, 9) desc, model)::int as place, round(mean, 6) as mean, round(mean - lo, 6) as below, round(hi - mean, 6) as above from m""")
 def report_bars(spark, d):
     ci = inference.intervals(boot(spark, d)).where("metric = 'acc'")

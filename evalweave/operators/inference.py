@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.expressions import chi2_tail, hash_int
-from ..sources.storage import written
+from ..functions.expressions import chi2_tail
+from . import draws
 from .metrics import with_prediction
 
 LEVELS = (0.025, 0.975)
@@ -21,7 +22,6 @@ METRICS = ("acc", "bal_acc", "f1_weighted", "qwk", "auc")
 HELD_ROWS = 5000
 # Upper 5 % points of the studentised range over the square root of 2, for 2 to 10 models.
 NEMENYI_Q = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
-MOST_ATTEMPTS = 100
 
 
 def effective_groups(predictions: DataFrame) -> DataFrame:
@@ -30,61 +30,25 @@ def effective_groups(predictions: DataFrame) -> DataFrame:
     return predictions.join(none, "dataset").withColumn("grp", F.when(F.col("grouped"), F.col("grp")).otherwise(F.col("row_id").cast("string"))).drop("grouped")
 
 
-def draws(groups: DataFrame, replicates: int, attempt: int = 0, only: DataFrame | None = None) -> DataFrame:
-    """dataset, seed, b, grp, w: as many draws with replacement as there are groups (dataset, seed, grp), counted by group."""
-    by = W.partitionBy("dataset", "seed")
-    ranked = groups.withColumn("at", F.row_number().over(by.orderBy("grp")) - 1)
-    sizes = groups.groupBy("dataset", "seed").agg(F.count("*").alias("n"))
-    if only is None:
-        units = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    else:
-        units = sizes.join(only, ["dataset", "seed"])
-    turns = units.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    picked = turns.withColumn("at", (hash_int(F.col("dataset"), F.col("seed"), F.col("b"), F.lit(attempt), F.col("k")) % F.col("n")).cast("int"))
-    counted = picked.groupBy("dataset", "seed", "b", "at").agg(F.count("*").cast("double").alias("w"))
-    return counted.join(ranked, ["dataset", "seed", "at"]).select("dataset", "seed", "b", "grp", "w")
-
-
 def resamples(predictions: DataFrame, replicates: int) -> DataFrame:
-    """Weights of the groups in each replicate; a replicate without some class is drawn anew."""
-    classes = written(predictions.select("dataset", "seed", "grp", "target").distinct(), "group-classes")
-    groups = classes.select("dataset", "seed", "grp").distinct()
-    wanted = classes.groupBy("dataset", "seed").agg(F.countDistinct("target").alias("classes"))
-    out, only = None, None
-    for attempt in range(MOST_ATTEMPTS):
-        drawn = written(draws(groups, replicates, attempt, only), "draws")
-        found = drawn.join(classes, ["dataset", "seed", "grp"]).groupBy("dataset", "seed", "b").agg(F.countDistinct("target").alias("found"))
-        whole = found.join(wanted, ["dataset", "seed"])
-        good = drawn.join(whole.where("found = classes").select("dataset", "seed", "b"), ["dataset", "seed", "b"], "left_semi")
-        out = good if out is None else out.unionByName(good)
-        only = written(whole.where("found < classes").select("dataset", "seed", "b"), "again")
-        if only.isEmpty():
-            return out
-    raise ValueError(f"no resample with all classes in {MOST_ATTEMPTS} attempts")
-
-
-def packed(weights: DataFrame, replicates: int) -> DataFrame:
-    """dataset, seed, grp, weights: a group's draws in replicates 0 (1: the point estimate) to the last, 16 bits each."""
-    schema = pa.schema([("dataset", pa.string()), ("seed", pa.int64()), ("grp", pa.string()), ("weights", pa.binary())])
+    """dataset, seed, b, grp, w: the groups of each replicate, as often as they were drawn."""
+    schema = pa.schema([("dataset", pa.string()), ("seed", pa.int64()), ("b", pa.int32()), ("grp", pa.string()), ("w", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drawn = batch.column(3)
-            out = np.zeros((batch.num_rows, replicates + 1), "<u2")
-            row = np.repeat(np.arange(batch.num_rows), np.diff(drawn.offsets.to_numpy()))
-            b, w = (drawn.flatten().field(k).to_numpy() for k in range(2))
-            out[row, b] = np.minimum(w, 65535)
-            out[:, 0] = 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in out], pa.binary())], schema=schema)
+            for i in range(batch.num_rows):
+                w = np.frombuffer(batch.column(3)[i].as_buffer(), "<u4")
+                some = np.flatnonzero(w)
+                keys = [pa.array([batch.column(k)[i].as_py()] * len(some), schema.field(name).type) for k, name in enumerate(("dataset", "seed", "grp"))]
+                yield pa.RecordBatch.from_arrays([keys[0], keys[1], pa.array(some + 1, pa.int32()), keys[2], pa.array(w[some].astype(np.float64))], schema=schema)
 
-    by = [F.col("dataset").cast("string"), F.col("seed").cast("long"), F.col("grp").cast("string")]
-    listed = weights.groupBy(*by).agg(F.collect_list(F.struct("b", "w")).alias("drawn"))
-    return listed.mapInArrow(run, "dataset string, seed long, grp string, weights binary")
+    return draws.resampled(predictions, replicates).mapInArrow(run, "dataset string, seed long, b int, grp string, w double")
 
 
 def weighed(rows: pa.Table) -> np.ndarray:
     """The replicates' weights of each row, times its number n."""
-    w = np.frombuffer(b"".join(rows.column("weights").to_pylist()), "<u2").reshape(rows.num_rows, -1)
+    w = np.frombuffer(b"".join(rows.column("weights").to_pylist()), "<u4").reshape(rows.num_rows, -1)
+    w = np.concatenate((np.ones((len(w), 1)), w), 1)  # replicate 0 is the point estimate
     return w * rows.column("n").to_numpy().astype(np.float64)[:, None]
 
 
@@ -131,17 +95,25 @@ def confusion_values(cells: DataFrame, blocks: int) -> DataFrame:
     return parts.groupBy("dataset", "seed", "model").applyInArrow(whole, "dataset string, seed long, model string, metric string, values array<double>")
 
 
-def auc_values(scores: DataFrame, blocks: int) -> DataFrame:
-    """The same of the mean one-against-the-rest AUC, weighted by prevalence, of rows (class, score, positive, n, weights).
+def in_ranges(scores: DataFrame, blocks: int) -> DataFrame:
+    """Adds bucket: which of ``blocks`` ranges a score lies in, by a table of bounds."""
+    bounds = np.array(scores.approxQuantile("score", [i / blocks for i in range(1, blocks)], 0.25 / blocks) if blocks > 1 else [])
+    at, names = scores.columns.index("score"), [*scores.columns, "bucket"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = np.searchsorted(bounds, batch.column(at).to_numpy(zero_copy_only=False), side="left")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], names=names)
+
+    return scores.mapInArrow(run, T.StructType([*scores.schema.fields, T.StructField("bucket", T.IntegerType())]))
+
+
+def auc_values(scores: DataFrame) -> DataFrame:
+    """The same of the mean one-against-the-rest AUC, weighted by prevalence, of rows (class, bucket, score, positive, n, weights).
 
     Rows are dealt to ranges of scores, which sum up wins within themselves, and
     then the ranges of a class are joined, so no task orders all scores.
     """
-    bounds = scores.approxQuantile("score", [i / blocks for i in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []
-    bucket = F.lit(0)
-    for x in bounds:
-        bucket = bucket + (F.col("score") > x).cast("int")
-
     def part(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("score").to_numpy(), kind="stable")
         rows = rows.take(pa.array(order))
@@ -170,7 +142,7 @@ def auc_values(scores: DataFrame, blocks: int) -> DataFrame:
         return pa.table({**keys, "metric": ["auc"], "values": pa.array([values.tolist()], pa.list_(pa.float64()))})
 
     keys = "dataset string, seed long, model string"
-    parts = scores.withColumn("bucket", bucket).groupBy("dataset", "seed", "model", "class", "bucket").applyInArrow(part, keys + ", class int, bucket int, pos binary, neg binary, wins binary")
+    parts = scores.groupBy("dataset", "seed", "model", "class", "bucket").applyInArrow(part, keys + ", class int, bucket int, pos binary, neg binary, wins binary")
     classes = parts.groupBy("dataset", "seed", "model", "class").applyInArrow(one_class, keys + ", auc binary, pos binary")
     return classes.groupBy("dataset", "seed", "model").applyInArrow(whole, keys + ", metric string, values array<double>")
 
@@ -184,16 +156,14 @@ def bootstrap(predictions: DataFrame, replicates: int) -> DataFrame:
     """
     predictions = with_prediction(effective_groups(predictions))
     predictions = predictions.withColumns({"dataset": F.col("dataset").cast("string"), "seed": F.col("seed").cast("long"), "model": F.col("model").cast("string")})
-    weights = resamples(predictions, replicates)
-    every = predictions.select("dataset", "seed", F.lit(0).alias("b"), "grp", F.lit(1.0).alias("w")).distinct()
-    weights = written(packed(weights.unionByName(every), replicates), "weights")
+    weights = draws.resampled(predictions, replicates)
     unit, by = ["dataset", "seed", "model"], ["dataset", "seed", "grp"]
     cells = predictions.groupBy(*unit, "grp", F.col("target").cast("long").alias("target"), F.col("pred").cast("long").alias("pred")).agg(F.count("*").alias("n"))
     scores = predictions.select(*unit, "grp", "target", F.posexplode("probs").alias("class", "score"))
     scores = scores.groupBy(*unit, "grp", "class", "score", (F.col("target") == F.col("class")).alias("positive")).agg(F.count("*").alias("n"))
     rows = predictions.groupBy(*unit).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     blocks = max(1, math.ceil(rows / HELD_ROWS))
-    found = confusion_values(cells.join(weights, by), blocks).unionByName(auc_values(scores.join(weights, by), blocks))
+    found = confusion_values(cells.join(weights, by), blocks).unionByName(auc_values(in_ranges(scores, blocks).join(weights, by)))
     found = found.select(*unit, "metric", F.posexplode("values").alias("b", "value"))
     return found.select("dataset", F.col("seed").cast("int").alias("seed"), "b", "model", "metric", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
 

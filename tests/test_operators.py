@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import expressions as X
-from evalweave.operators import attention, dedup, graph, index, inference, lifecycle, metrics, probe, report, softmax, splits, tiles, vectors
+from evalweave.operators import attention, dedup, draws, graph, index, inference, lifecycle, metrics, probe, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
 from evalweave.sources import runs, storage
 from evalweave.streaming import shards
@@ -172,6 +172,61 @@ def test_replicates_as_brute_force(spark, monkeypatch, held):
                 assert math.isclose(values[model, b, metric], x, rel_tol=1e-9), (model, b, metric)
 
 
+def test_split_is_binomial():
+    """Against exact binomial distributions, at both ends and for large numbers."""
+    for n, left, whole in ((1, 1, 2), (7, 1, 3), (60, 59, 60), (40, 1, 1000)):
+        low, known = draws.distribution(n, left, whole)
+        p = left / whole
+        want = np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+        assert np.allclose(known, want[low : low + len(known)], atol=1e-13) and (low == 0 or want[low - 1] < 1e-30)
+        u = np.array([1e-20, 1e-12, 0.3, 0.999999, 1 - 1e-16])
+        assert draws.split(np.full(5, n), left, whole, u).tolist() == [min(n, int((want < x).sum())) for x in u]
+    low, known = draws.distribution(10**6, 1, 2)
+    assert low > 0 and len(known) < 20_000 and math.isclose(known[-1], 1, abs_tol=1e-9) and abs(low + np.searchsorted(known, 0.5) - 500_000) < 5
+
+
+def test_draws_are_multinomial(spark, monkeypatch):
+    """Sums are the numbers of groups; counts pass chi-square tests over groups, pairs and replicates; the tree doesn't depend on its tiers."""
+    groups = spark.createDataFrame([(d, s, f"g{i}") for d, s, n in (("a", 1, 600), ("a", 2, 40), ("b", 1, 1)) for i in range(n)], "dataset string, seed long, grp string")
+    attempts = {("a", 1): np.zeros(200, np.int64), ("a", 2): np.zeros(200, np.int64), ("b", 1): np.zeros(200, np.int64)}
+    found = {}
+    for leaves in (512, 4):
+        monkeypatch.setattr(draws, "LEAVES", leaves)
+        rows = draws.drawn(groups, attempts).collect()
+        found[leaves] = {(r.dataset, r.seed, r.grp): np.frombuffer(r.weights, "<u4").astype(float) for r in rows}
+    assert found[512].keys() == found[4].keys() and all((found[512][k] == w).all() for k, w in found[4].items())
+    for (d, s), n in ((("a", 1), 600), (("a", 2), 40), (("b", 1), 1)):
+        w = np.stack([x for k, x in found[512].items() if k[:2] == (d, s)])
+        assert len(w) == n and (w.sum(0) == n).all()
+        if n > 1:
+            # a group's draws over all replicates: n * 200 draws over n groups
+            total = w.sum(1)
+            assert abs(((total - 200) ** 2 / 200).sum() - (n - 1)) < 5 * math.sqrt(2 * (n - 1))
+            # each replicate's own statistic has the mean n - 1 and the variance 2 (n - 1) (1 - 1 / n)
+            each = ((w - 1) ** 2).sum(0)
+            assert abs(each.mean() - (n - 1)) < 5 * math.sqrt(2 * (n - 1) / 200) and 0.6 < each.var() / (2 * (n - 1)) < 1.6
+            # negative correlation of any two groups: -1 / n
+            assert abs(np.cov(w).sum() - np.trace(np.cov(w)) + (n - 1)) < 0.2 * n
+
+
+def test_draws_without_a_class_are_repeated(spark):
+    preds = spark.createDataFrame([("d", 1, str(i), 1 if i == 0 else 0) for i in range(6)], "dataset string, seed long, grp string, target int")
+    rows = draws.resampled(preds, 50).collect()
+    w = {r.grp: np.frombuffer(r.weights, "<u4") for r in rows}
+    assert (w["0"] > 0).all() and (sum(w[str(i)].astype(int) for i in range(1, 6)) > 0).all() and (sum(x.astype(int) for x in w.values()) == 6).all()
+
+
+def test_ungrouped_rows_draw_themselves(spark):
+    """20,000 rows as groups: one row each, whatever the replicates."""
+    preds = spark.range(20_000).select(F.lit("d").alias("dataset"), F.lit(1).alias("seed"), F.col("id").cast("string").alias("grp"), (F.col("id") % 2).cast("int").alias("target"))
+    rows = draws.resampled(preds, 20).collect()
+    w = np.stack([np.frombuffer(r.weights, "<u4") for r in rows]).astype(float)
+    assert w.shape == (20_000, 20) and (w.sum(0) == 20_000).all()
+    # shares of rows that are drawn 0, 1 and 2 times are those of a Poisson variable
+    for k, p in ((0, math.exp(-1)), (1, math.exp(-1)), (2, math.exp(-1) / 2)):
+        assert abs((w == k).mean() - p) < 0.005
+
+
 def test_ranks_by_hash(spark):
     items = spark.range(500).select(F.col("id").alias("row_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("label"))
     rows = splits.ranked(items, X.hash_text(1, F.col("row_id")), "row_id", "label").collect()
