@@ -158,7 +158,7 @@ def plain_followers(texts: DataFrame, contexts: DataFrame) -> DataFrame:
     # one more context, which no words have: all texts are read at every size, not only where patterns happen to be left
     contexts = contexts.unionByName(texts.sparkSession.range(1).select(F.lit(0).cast("long").alias("context")))
     follow = follow.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALT)).cast("int")).join(salted(contexts), ["context", "salt"], "left_semi")
-    return follow.select("context", F.xxhash64("word").alias("word")).distinct().groupBy("context").agg(F.count("*").alias("plain"))
+    return written(follow.select("context", F.xxhash64("word").alias("word")).distinct().groupBy("context").agg(F.count("*").alias("plain")), "pii-followers")
 
 
 def possible(patterns: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
