@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import _BOOT, _COMPONENTS, KEYS, boot, features, pairs, predictions, probe_items, query, rounded
-from .functions.expressions import floating, quantised, shown_p, unit_distance
+from .functions.expressions import floating, let, norm, quantised, shown_p, unit_distance
 from .operators import dedup, index, inference, lifecycle, metrics, report, vectors
 from .sources import runs, storage
 from .sources.storage import shared_dir, table
@@ -72,16 +72,29 @@ def index_external(spark, d):
 # --- duplicates ----------------------------------------------------------------------
 
 
-@query(_COMPONENTS + """, n as (select root, row_number() over (order by root) - 1 as k from (select distinct root from roots))
+LETTERS = "etaoinshrdlu"
+_NEAR_SQL = f"""u as (select doc_id as id, [{", ".join(f"(length(text) - length(replace(text, '{x}', '')))::double" for x in LETTERS)}] as v from documents where text is not null),
+un as (select id, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-6)) as v from u),
+nn as (select a.id as x, b.id as y, row_number() over (partition by a.id order by round(list_inner_product(a.v, b.v), 9) desc, b.id) as r from un a join un b on a.id <> b.id),
+"""
+_PIPELINE_SQL = _COMPONENTS.split(", v as (")[0].replace("where of_a <= 30 or of_b <= 30", "where of_a <= 1 or of_b <= 1") + ", " + _NEAR_SQL + """w as (select a, b from c union select least(x, y), greatest(x, y) from nn where r <= 2),
+sh as (select a, b, count(*) as votes from w join f x on x.owner = a join f y on y.owner = b and y.feature = x.feature group by 1, 2), fz as (select owner, count(*) as size from f group by 1),
+v as (select a, b from sh join fz x on x.owner = a join fz y on y.owner = b where votes >= 15 and votes::double / least(x.size, y.size) >= 0.5),
+e as (select a, b from v union select b, a from v), reach(owner, x) as (select distinct a, a from e union select r.owner, e.b from reach r join e on r.x = e.a), roots as (select owner, min(x) as root from reach group by 1)"""
+
+
+def letter_vectors(spark, d):
+    """Documents by their shares of some letters, at unit length: what they look like from afar."""
+    counts = F.array(*((F.length("text") - F.length(F.translate("text", x, ""))).cast("double") for x in LETTERS))
+    rows = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), counts.alias("v"))
+    return rows.withColumn("v", let(F.col("v"), lambda v: let(norm(v) + 1e-6, lambda n: F.transform(v, lambda x: x / n))))
+
+
+@query(_PIPELINE_SQL + """, n as (select root, row_number() over (order by root) - 1 as k from (select distinct root from roots))
 select owner, root, format('doc_src{:04d}', k) as grp from roots join n using (root)""")
 def dup_pipeline(spark, d):
-    """The whole way: votes, capped candidates, nearest vectors beside them, verification, components, names."""
-    found = features(spark, d)
-    voted = dedup.candidates(dedup.votes(found)).select("a", "b")
-    near = vectors.nearest(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 2)
-    thumbs = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    both = voted.unionByName(thumbs).distinct()
-    return dedup.named(dedup.grouped(dedup.verified(dedup.shared(both, found), found)), "doc").select("owner", "root", "grp")
+    """The whole way: the best candidate by votes, nearest vectors beside it, verification, components, names."""
+    return dedup.pipeline(features(spark, d), letter_vectors(spark, d), "doc", most=1).select("owner", "root", "grp")
 
 
 # --- stores ----------------------------------------------------------------------------

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cosine, softmax
+from . import neighbours
 
 
 def pool_mean(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -73,39 +72,10 @@ def centroid_probabilities(rows: DataFrame, keys: list[str], vector: str = "v",
 def nearest(rows: DataFrame, k: int, block_rows: int = 4096, owner: str | None = None, permutations: list[list[int]] | None = None) -> DataFrame:
     """id, rank, other, similarity: the k rows of largest inner product with each row (id, v), none of its own owner.
 
-    All rows against all rows in blocks: a row's block meets each block once, in a
-    task of its own that keeps k rows for each of its rows.  ``permutations``: the
-    largest product with any of these orders of the other vector's cells counts.
+    Exactly as all rows against all rows; see ``neighbours`` for the blocks that are left out.
+    ``permutations``: the largest product with any of these orders of the other vector's cells counts.
     """
-    rows = rows.select("id", F.col(owner or "id").alias("owner"), F.col("v").cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // block_rows))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "owner", "v", F.col("block").alias("i"), every.alias("j"))
-    right = rows.select("id", "owner", "v", F.col("block").alias("j"), every.alias("i"))
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if a.num_rows and b.num_rows:
-            x, y = (np.array(t.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1) for t in (a, b))
-            ids, own, other_own = b.column("id").to_numpy(), a.column("owner").to_numpy(), b.column("owner").to_numpy()
-            for at in range(0, len(x), 512):
-                best = None
-                for order in permutations or [None]:
-                    s = x[at : at + 512] @ (y if order is None else y[:, order]).T
-                    best = s if best is None else np.maximum(best, s)
-                best = np.where(own[at : at + 512, None] == other_own[None, :], -np.inf, np.round(best, 9))
-                for row, s in enumerate(best):
-                    top = np.lexsort((ids, -s))[:k]
-                    top = top[np.isfinite(s[top])]
-                    out[0].extend([a.column("id")[at + row].as_py()] * len(top))
-                    out[1].extend(ids[top].tolist())
-                    out[2].extend(s[top].tolist())
-        return pa.table({"id": pa.array(out[0], pa.int64()), "other": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(compare, "id long, other long, similarity double")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "similarity")
+    return neighbours.search(rows, k, block_rows, owner, permutations).rows
 
 
 def ratio_test(top_two: DataFrame, ratio: float = 0.8) -> DataFrame:

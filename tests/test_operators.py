@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import expressions as X
-from evalweave.operators import attention, dedup, draws, graph, index, inference, lifecycle, metrics, probe, report, softmax, splits, tiles, vectors
+from evalweave.operators import attention, dedup, draws, graph, index, inference, lifecycle, metrics, neighbours, probe, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
 from evalweave.sources import runs, storage
 from evalweave.streaming import shards
@@ -396,6 +396,65 @@ def test_nearest_in_blocks(spark):
     assert all([o for _, o in sorted(got[i])] == np.argsort(-s[i])[:3].tolist() for i in range(70))
 
 
+def brute_neighbours(x, owner, k, orders=None):
+    out = []
+    for i in range(len(x)):
+        s = np.max([x[i] @ (x if o is None else x[:, o]).T for o in orders or [None]], 0)
+        s = np.where(np.asarray(owner) == owner[i], -np.inf, np.round(s, 9))
+        best = sorted(range(len(x)), key=lambda j: (-s[j], j))[:k]
+        out += [(i, r + 1, j) for r, j in enumerate(best) if s[j] > -np.inf]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["clusters", "sphere", "lengths", "equal"])
+def test_neighbours_as_brute_force(spark, shape):
+    """Same rows as all against all, over many small blocks; clustered vectors leave most blocks out."""
+    rng = np.random.default_rng(7)
+    n, d = 600, 8
+    x = rng.normal(size=(n, d))
+    if shape == "clusters":
+        x = rng.normal(size=(20, d))[rng.integers(0, 20, n)] * 4 + 0.05 * x
+    if shape != "lengths":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if shape == "equal":
+        x[:400] = x[0]
+        x[500] = 0
+    owner = rng.integers(0, 250, n).tolist()
+    rows = spark.createDataFrame([(i, owner[i], v.tolist()) for i, v in enumerate(x)], "id long, o long, v array<double>")
+    for orders in (None, [list(range(d)), list(range(d))[::-1]]):
+        got = neighbours.search(rows, 3, 40, "o", orders, cell_rows=8)
+        # equal up to products that differ in their last digits by the order of summing
+        value = lambda i, j: round(max(float(x[i] @ (x[j] if o is None else x[j][o])) for o in orders or [None]), 7)
+        found = sorted((r.id, r["rank"], r.other) for r in got.rows.collect())
+        want = brute_neighbours(x, owner, 3, orders)
+        assert [f[:2] for f in found] == [w[:2] for w in want]
+        assert all(f == w or value(*f[::2]) == value(*w[::2]) for f, w in zip(found, want))
+        assert got.visited <= got.pairs and (shape != "clusters" or got.visited < got.pairs / 2)
+
+
+def test_vectors_add_candidates(spark):
+    """Three documents of one group: votes keep one candidate each, so only the vectors join the third; a near vector of other sentences is refused."""
+    common = [f"s{i}." for i in range(16)]
+    texts = {1: [*common, "a1", "a2"], 2: [*common, "a1", "a2"], 3: [*common, "a1", "b3"], 4: [f"t{i}" for i in range(20)]}
+    found = spark.createDataFrame([(o, f) for o, fs in texts.items() for f in fs], "owner long, feature string")
+    near = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, [0.9, 0.11])], "id long, v array<double>")
+    far = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(5)]) for i in range(1, 5)], "id long, v array<double>")
+    roots = lambda v, most: {r.owner: (r.root, r.grp) for r in dedup.pipeline(found, v, "x", most=most, near=1).collect()}
+    assert roots(near, 0) == {1: (1, "x_src0000"), 3: (1, "x_src0000")}
+    assert roots(far, 30) == {o: (1, "x_src0000") for o in (1, 2, 3)}
+
+
+def test_group_numbers_follow_roots(spark):
+    groups = spark.createDataFrame([(i, (i // 3) * 7) for i in range(100)], "owner long, root long")
+    got = {r.owner: r.grp for r in dedup.named(groups, "g").collect()}
+    assert got == {i: f"g_src{i // 3:04d}" for i in range(100)}
+
+
+def test_neighbours_of_few(spark):
+    rows = spark.createDataFrame([(1, [1.0]), (None, [2.0]), (2, None)], "id long, v array<double>")
+    assert neighbours.search(rows, 2).rows.count() == 0 and neighbours.search(rows.limit(0), 2).rows.count() == 0
+
+
 def test_chi2_tail():
     assert math.isclose(X.chi2_tail(6, 2), math.exp(-3), rel_tol=1e-12)
     assert math.isclose(X.chi2_tail(1, 1), math.erfc(math.sqrt(0.5)), rel_tol=1e-10)
