@@ -77,6 +77,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let(value, f):
+    """f of a column that is computed once, though f may use it often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n

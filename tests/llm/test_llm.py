@@ -216,6 +216,86 @@ def test_wrapped_statements(spark):
     assert got == {1: "BSD-3-Clause", 2: "GPL-3.0-or-later", 3: "AGPL-3.0-or-later", 4: None}
 
 
+FULL_BSD = """Copyright (c) 2020, Someone
+All other words are theirs.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+FOURTH = """
+3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement: This product includes software.
+"""
+GNU = "This {} is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation{} {}version {} of the License{}.\n"
+LATER = ", or\n(at your option) any later version"
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so{}\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'
+PUBLIC = [
+    ("BSD-2-Clause", FULL_BSD.format("")),
+    ("BSD-3-Clause", FULL_BSD.format(THIRD)),
+    ("BSD-4-Clause", FULL_BSD.format(FOURTH + THIRD)),
+    ("0BSD", ISC_GRANT + '.\n\nTHE SOFTWARE IS PROVIDED "AS IS".'),
+    ("ISC", ISC_GRANT + ', provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS".'),
+    ("MIT", MIT_GRANT.format(", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.")),
+    ("MIT-0", MIT_GRANT.format(".")),
+    ("GPL-2.0-or-later", GNU.format("program", ";", "General Public License", ";", "either ", "2", LATER)),
+    ("GPL-2.0-only", GNU.format("program", ";", "General Public License", ";", "", "2", "")),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.\n"),
+    ("GPL-3.0-or-later", GNU.format("program", ":", "General Public License", ",", "either ", "3", LATER)),
+    ("GPL-3.0-only", GNU.format("program", ":", "General Public License", ",", "", "3", "")),
+    ("AGPL-3.0-or-later", GNU.format("program", ":", "Affero General Public License", ",", "either ", "3", LATER)),
+    ("LGPL-2.1-or-later", GNU.format("library", ";", "Lesser General Public License", ";", "either ", "2.1", LATER)),
+    ("LGPL-2.1-only", GNU.format("library", ";", "Lesser General Public License", ";", "", "2.1", "")),
+    ("LGPL-3.0-or-later", GNU.format("library", ":", "Lesser General Public License", ";", "either ", "3", LATER)),
+    ("LGPL-3.0-or-later", GNU.format("program", ":", "Lesser General Public License", ",", "either ", "3", LATER)),
+    ("LGPL-3.0-only", GNU.format("library", ";", "Lesser General Public License", ";", "", "3", "")),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 A Foundation\n Everyone is permitted to copy"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 A Foundation"),
+    ("LGPL-2.1", "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright"),
+    ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright"),
+    ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)"),
+]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_public_licenses_by_name(spark, docs, mark):
+    """Each public header and text, plain and as a comment, among other documents; and as a license file as a whole."""
+    lines = lambda t: "\n".join((mark + x).rstrip() for x in t.split("\n"))
+    rows = [(10_000 + i, f"d{i}/x.c", lines(t)) for i, (_, t) in enumerate(PUBLIC)] + [(20_000 + i, f"e{i}/LICENSE", lines(t)) for i, (_, t) in enumerate(PUBLIC)]
+    others = docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("o/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    got = {r.key: (r.license, r.origin) for r in licenses.scan(others.unionByName(spark.createDataFrame(rows, "key long, path string, text string"))).collect()}
+    wrong = [(name, got[k + i][0]) for k in (10_000, 20_000) for i, (name, _) in enumerate(PUBLIC) if got[k + i][0] != name]
+    assert not wrong
+
+
+def test_full_texts_as_whole_files(spark, docs):
+    """A license file that has the words of a full text, run together with others, is known as a whole."""
+    rows = [(10_000 + i, f"e{i}/LICENSE", f"{t.text.replace('. ', ' ')} copyright holder 2020 and so on") for i, t in enumerate(licenses.TEMPLATES) if len(t.text) > 600]
+    others = docs.select(F.col("doc_id").alias("key"), F.lit("o/x").alias("path"), "text")
+    got = {r.key: r.license for r in licenses.scan(others.unionByName(spark.createDataFrame(rows, "key long, path string, text string"))).collect()}
+    assert len(rows) >= 6 and {k: got[k] for k, _, _ in rows} == {k: licenses.TEMPLATES[k - 10_000].license for k, _, _ in rows}
+
+
 def test_anchors_lose_nothing():
     rng = np.random.default_rng(0)
     vectors = [{f"t{i}": float(x) for i, x in enumerate(rng.random(8))} for _ in range(20)]
