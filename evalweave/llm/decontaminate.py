@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval (operator 10).
 
-1. Texts become sequences of term numbers.  The vocabulary is that of the
-   benchmark items; other words have number -1.
+1. Texts become sequences of term numbers, in one pass over the corpus.  The
+   vocabulary is that of all benchmark items; other words have number -1.
 2. A passage is ``STEP`` words.  Document frequencies of terms are counted over
-   all passages of all documents; a term's weight is
+   all passages of all documents, those without any term too; a term's weight is
    ln((2 + passages) / (1 + passages with the term)), above 0 however common it is.
 3. A randomised singular value decomposition of the passages' TF-IDF matrix A:
    every task adds up its part of A'(A R) for a random R; the sum and R give the
@@ -20,7 +20,10 @@
    to the same confirmation: as many as stay if the share of words that ``SURE``
    allows is replaced or left out.  No such copy is lost.
 
-Items are handled ``ITEMS`` at a time, so what goes to the tasks is bounded.
+Vocabulary, weights and singular vectors are those of the whole benchmark, which the
+driver holds as numbers.  Items are matched ``ITEMS`` at a time against the table of
+term numbers, so what goes to the tasks at once is bounded; rows and values are the
+same for any such number.
 Items without a word, with null id or null text match nothing.  Null and empty
 texts match nothing; texts of any length are searched whole; rows with a null
 doc_id aren't reported; repeated rows are reported once; extra columns play no
@@ -30,7 +33,7 @@ part; an empty table on either side gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS, ranges, slices, table, texts_of, tidied, tidied_group, words_of, written
 
-ITEMS = 5000
+ITEMS = 20_000
 STEP = 16
 RANK, OVERSAMPLE = 128, 8
 NEAR = 0.25
@@ -72,28 +75,35 @@ class Items:
     answers: list[np.ndarray | None]
     vocabulary: pa.BinaryArray
 
+    def part(self, first: int, last: int) -> Items:
+        return Items(self.ids[first:last], self.terms[first:last], self.answers[first:last], self.vocabulary)
+
 
 def terms_of(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
     """Words in lower case of any script, without ASCII punctuation."""
     return words_of(pc.utf8_lower(texts), SEPARATORS)
 
 
-def read_items(rows: list) -> Items:
-    rows = [r for r in rows if r["item_id"] is not None and r["text"]]
-    words, at = terms_of(pa.array([r["text"] for r in rows], pa.string()))
-    answer_words, answer_at = terms_of(pa.array([r["answer"] or "" for r in rows], pa.string()))
-    coded = pa.concat_arrays([words, answer_words]).dictionary_encode()
-    numbers = coded.indices.to_numpy()
-    terms = [numbers[a:b] for a, b in zip(at, at[1:])]
-    answers = [numbers[len(words) + a : len(words) + b] if b > a else None for a, b in zip(answer_at, answer_at[1:])]
-    some = [i for i, t in enumerate(terms) if len(t)]
-    return Items([rows[i]["item_id"] for i in some], [terms[i] for i in some], [answers[i] for i in some], coded.dictionary)
+def read_items(rows: Iterable) -> Items:
+    """All items of some rows (item_id, text, answer), numbered by one vocabulary."""
+    number: dict[bytes, int] = {}
+    out = Items([], [], [], pa.array([], pa.binary()))
+    for r in rows:
+        if r["item_id"] is None or not r["text"]:
+            continue
+        both = [terms_of(pa.array([x], pa.string()))[0].to_pylist() for x in (r["text"], r["answer"] or "")]
+        terms, answer = (np.array([number.setdefault(w, len(number)) for w in words], np.int32) for words in both)
+        if len(terms):
+            out.ids.append(r["item_id"])
+            out.terms.append(terms)
+            out.answers.append(answer if len(answer) else None)
+    out.vocabulary = pa.array(list(number), pa.binary())
+    return out
 
 
-def sequences(docs: DataFrame, items: Items, id_type: str = "long") -> DataFrame:
-    """doc_id and terms (little-endian 32-bit numbers) of documents that have any term of the items."""
-    vocabulary = items.vocabulary
-    schema = pa.schema([("doc_id", ID_TYPES[id_type]), ("terms", pa.binary())])
+def sequences(docs: DataFrame, vocabulary: pa.BinaryArray, id_type: str = "long") -> DataFrame:
+    """doc_id, terms (little-endian 32-bit numbers; null without any term of the vocabulary) and passages of each document."""
+    schema = pa.schema([("doc_id", ID_TYPES[id_type]), ("terms", pa.binary()), ("passages", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +116,10 @@ def sequences(docs: DataFrame, items: Items, id_type: str = "long") -> DataFrame
                 raw = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(numbers)])
                 hits = np.concatenate(([0], np.cumsum(numbers >= 0)))
                 some = pa.array(np.diff(hits[at]) > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), raw], names=schema.names).cast(schema).filter(some)
+                passages = pa.array(-(-np.diff(at) // STEP))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pc.if_else(some, raw, None), passages], names=schema.names).cast(schema)
 
-    return written(docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast(id_type), docs["text"].cast("string")).mapInArrow(tidied(run), f"doc_id {id_type}, terms binary"), "term-numbers")
+    return written(docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast(id_type), docs["text"].cast("string")).mapInArrow(tidied(run), f"doc_id {id_type}, terms binary, passages long"), "term-numbers")
 
 
 def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,10 +142,11 @@ def passages_of(at: np.ndarray, starts: np.ndarray, passages: np.ndarray) -> np.
 
 
 def passage_counts(stored: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """Passages in all, and passages with each term."""
+    """Passages in all, and passages with each term; each task sends the terms that it has met."""
+    schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + 1, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for _, _, terms, starts, passages in parts(batch, 0):
                 at = np.flatnonzero(terms >= 0)
@@ -143,15 +155,15 @@ def passage_counts(stored: DataFrame, size: int) -> tuple[int, np.ndarray]:
                     pairs = pairs.astype(np.int32)
                 pairs.sort()
                 first = np.concatenate(([True], pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, bool)
-                total[:size] += np.bincount(pairs[first] % size, minlength=size)
-                total[size] += passages[-1]
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["n"])
+                total += np.bincount(pairs[first] % size, minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], schema=schema)
 
-    rows = stored.select("terms").mapInArrow(tidied(run), "n array<long>").select(F.posexplode("n").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the items
-    out = np.zeros(size + 1, np.int64)
+    rows = stored.where("terms is not null").select("terms").mapInArrow(tidied(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the items
+    out = np.zeros(size, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]
-    return int(out[size]), out[:size]
+    return stored.agg(F.sum("passages").alias("n")).first()["n"] or 0, out
 
 
 def weighted(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,15 +201,20 @@ def latent(terms: np.ndarray, passage: np.ndarray, basis: np.ndarray) -> tuple[n
     return passage[first], group_sums(basis, terms, first)
 
 
-def summed(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums of partial rows (part, values: bytes of doubles) by part."""
+def summed(rows: DataFrame, size: int, width: int) -> np.ndarray:
+    """Sums of partial rows (part, terms, values: bytes of term numbers and of their rows of doubles), by term."""
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_buffer(), "<f8") for x in group.column("values")], axis=0)
-        return pa.table({"part": pa.array(group.column("part").to_pylist()[:1], pa.int64()), "values": pa.array([total.tobytes()])})
+        part = group["part"][0].as_py()
+        total = np.zeros((TERMS_A_ROW, width))
+        for terms, values in zip(group["terms"], group["values"]):
+            total[np.frombuffer(terms.as_buffer(), "<i4") - part] += np.frombuffer(values.as_buffer(), "<f8").reshape(-1, width)
+        return pa.table({"part": pa.array([part], pa.int64()), "values": pa.array([total.tobytes()])})
 
-    found = rows.groupBy("part").applyInArrow(tidied_group(add), "part long, values binary").collect()  # as wide as vocabulary and rank
-    return {r["part"]: np.frombuffer(r["values"], "<f8").reshape(-1, width) for r in found}
+    out = np.zeros((-(-size // TERMS_A_ROW) * TERMS_A_ROW, width))
+    for r in rows.groupBy("part").applyInArrow(tidied_group(add), "part long, values binary").collect():  # as wide as vocabulary and rank
+        out[r["part"] : r["part"] + TERMS_A_ROW] = np.frombuffer(r["values"], "<f8").reshape(-1, width)
+    return out[:size]
 
 
 def decompose(stored: DataFrame, weights: np.ndarray, rank: int) -> np.ndarray:
@@ -220,11 +237,13 @@ def decompose(stored: DataFrame, weights: np.ndarray, rank: int) -> np.ndarray:
                     at = terms[order]
                     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                     total[at[first]] += group_sums(rows, row[order], first) * w[at[first], None]
-        for part in range(0, size, TERMS_A_ROW):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total[part : part + TERMS_A_ROW].tobytes()])], names=["part", "values"])
+        # only the terms that the task has met
+        seen = np.flatnonzero(total.any(1))
+        for part in np.unique(seen // TERMS_A_ROW) * TERMS_A_ROW:
+            own = seen[(seen >= part) & (seen < part + TERMS_A_ROW)].astype("<i4")
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([total[own].tobytes()], pa.binary())], names=["part", "terms", "values"])
 
-    found = summed(stored.select("terms").mapInArrow(tidied(sketch), "part long, values binary"), width)
-    total = np.concatenate([found[part] for part in sorted(found)]) if found else np.zeros((size, width))
+    total = summed(stored.where("terms is not null").select("terms").mapInArrow(tidied(sketch), "part long, terms binary, values binary"), size, width)
     return leading(total, start.astype(np.float64), weights, rank)
 
 
@@ -351,6 +370,9 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                     holders[low][t, i] = 1
             return holders[low]
 
+        def cosine_of(window: np.ndarray, item: int) -> float:
+            return round(float(window.astype(np.float64) @ targets[item].astype(np.float64)), 6)
+
         matchers: dict[int, Matcher] = {}
         runs = Runs(item_terms, len(weights))
 
@@ -390,8 +412,11 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                 out: dict[tuple[int, int], tuple[float, float]] = {}
                 for block in range(0, len(ids), ITEM_BLOCK):
                     holding = held_by(block)
+                    # always as many columns, so that products don't depend on the number of items
+                    own = np.zeros((ITEM_BLOCK, targets.shape[1]), np.float32)
+                    own[: len(ids) - block] = targets[block : block + ITEM_BLOCK]
                     for low in range(0, len(sums), WINDOWS):
-                        near = sums[low : low + WINDOWS] @ targets[block : block + ITEM_BLOCK].T
+                        near = (sums[low : low + WINDOWS] @ own.T)[:, : len(ids) - block]
                         some_near = np.flatnonzero((near >= NEAR).any(1))
                         if not len(some_near):
                             continue
@@ -403,18 +428,18 @@ def matches(stored: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                             p = int(windows[low + v])
                             doc = int(row_of[p])
                             middle = int(starts[doc]) + (p - int(passages[doc])) * STEP + STEP
-                            confirm(out, terms, starts, doc, block + item, middle, max(STEP, len(item_terms[block + item])), float(near[v, item]))
+                            confirm(out, terms, starts, doc, block + item, middle, max(STEP, len(item_terms[block + item])), cosine_of(sums[low + v], block + item))
                 for doc, item, middles in runs.places(terms, starts):
                     for middle in middles:
                         p = int(passages[doc]) + min(max(0, (middle - int(starts[doc]) - STEP // 2) // STEP), int(passages[doc + 1] - passages[doc]) - 1)
                         v = int(np.searchsorted(windows, p))
-                        cosine = float(sums[v] @ targets[item]) if v < len(windows) and windows[v] == p else 0.0
+                        cosine = cosine_of(sums[v], item) if v < len(windows) and windows[v] == p else 0.0
                         confirm(out, terms, starts, doc, item, middle, max(STEP, len(item_terms[item])) + STEP // 2, cosine)
                 if out:
                     doc_ids = batch.column(0)
                     yield pa.RecordBatch.from_arrays([pa.array([doc_ids[first + d].as_py() for d, _ in out], schema.types[0]), pa.array([ids[i] for _, i in out]), pa.array([c for c, _ in out.values()]), pa.array([s for _, s in out.values()])], schema=schema)
 
-    return stored.select("doc_id", "terms").mapInArrow(tidied(run), f"doc_id {id_type}, item_id long, cosine double, lcs_share double")
+    return stored.where("terms is not null").select("doc_id", "terms").mapInArrow(tidied(run), f"doc_id {id_type}, item_id long, cosine double, lcs_share double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_type: str = "long") -> DataFrame:
@@ -422,24 +447,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_type: str
     spark = docs.sparkSession
     answer = benchmark["answer"].cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"), answer.alias("answer")).toLocalIterator()
-    found, block = None, []
-    while True:
-        row = next(rows, None)
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == ITEMS):
-            items = read_items(block)
-            block = []
-            if items.ids:
-                stored = sequences(docs, items, id_type)
-                passages, with_term = passage_counts(stored, len(items.vocabulary))
-                weights = np.log((2 + passages) / (1 + with_term))
-                part = matches(stored, items, weights, decompose(stored, weights, rank), id_type)
-                found = part if found is None else found.unionByName(part)
-        if row is None:
-            break
-    if found is None:
+    items = read_items(rows)
+    if not items.ids:
         return spark.createDataFrame([], f"doc_id {id_type}, item_id long, cosine double, lcs_share double")
+    stored = sequences(docs, items.vocabulary, id_type)
+    passages, with_term = passage_counts(stored, len(items.vocabulary))
+    weights = np.log((2 + passages) / (1 + with_term))
+    basis = decompose(stored, weights, rank)
+    found = None
+    for first in range(0, len(items.ids), ITEMS):
+        part = matches(stored, items.part(first, first + ITEMS), weights, basis, id_type)
+        found = part if found is None else found.unionByName(part)
     return written(found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share")), "leaks")
 
 

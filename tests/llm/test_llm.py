@@ -709,8 +709,52 @@ def test_paraphrases_against_brute_force(spark, docs):
             if max(longest_common(w, words_[at : at + 2 * len(w)]) for at in range(0, max(1, len(words_) - len(w)), 4)) >= decontaminate.SURE * len(w):
                 want.add((doc, item))
     assert len(want) > 60 and len(want & got) >= 0.97 * len(want)
-    partly = {(10_000_000 + k, items[k % len(items)][0]) for k in range(len(rows))} - want
-    print("paraphrases below", decontaminate.SURE, "found:", len(partly & got), "of", len(partly))
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    """Rows and values for blocks of 8 items are those of one block; texts are read once, whatever their number."""
+    docs, bench = (common.table(spark, SMALL.replace("0.001", "0.01"), name) for name in ("documents", "benchmark"))
+    found = {}
+    for items in (decontaminate.ITEMS, 8):
+        monkeypatch.setattr(decontaminate, "ITEMS", items)
+        read = []
+        whole = decontaminate.sequences
+        monkeypatch.setattr(decontaminate, "sequences", lambda *a, whole=whole, read=read: (read.append(1), whole(*a))[1])
+        found[items] = {(r.doc_id, r.item_id): (r.cosine, r.lcs_share) for r in decontaminate.leaks(docs, bench).collect()}
+        assert len(read) == 1
+        monkeypatch.setattr(decontaminate, "sequences", whole)
+    one, many = found.values()
+    assert one.keys() == many.keys() and len(one) > 20
+    assert all(math.isclose(a, b, abs_tol=2e-5) for k in one for a, b in zip(one[k], many[k]))
+
+
+def test_answers_confirm_weaker_paraphrases(spark, docs):
+    """Paraphrases of 60 to 80 % of an item's words count where enough of its answer is there, by brute-force subsequences: at least 0.9 of them are found, and those without the answer are not."""
+    rng = np.random.default_rng(22)
+    items = [(r.item_id, r.text) for r in common.table(spark, SMALL, "benchmark").orderBy("item_id").collect() if len(r.text.split()) >= 15][:30]
+    cut = lambda t: [x.decode() for x in decontaminate.terms_of(pa.array([t]))[0].to_pylist()]
+    bench = [(i, t, f"answer{i}a answer{i}b answer{i}c") for i, t in items]
+    plain = [r.text.split()[:60] for r in docs.orderBy("doc_id").collect() if r.text and len(r.text.split()) >= 60]
+    rows, want, refused = [], set(), set()
+    for k, (item, text, answer) in enumerate(bench * 6):
+        w = cut(text)
+        kept = rng.permutation(len(w))[: math.ceil(rng.uniform(0.62, 0.78) * len(w))]
+        near = [x if i in set(kept.tolist()) else f"q{k}x{i}" for i, x in enumerate(w)]
+        # the answer stands in the middle of some, and nowhere in others
+        told = answer.split()[: 2 + k % 2] if k % 3 else []
+        near[len(near) // 2 : len(near) // 2] = told
+        before = plain[k % len(plain)]
+        rows.append((10_000_000 + k, " ".join(before[:30] + near + before[30:])))
+        share = longest_common(w, near) / len(w)
+        if decontaminate.LIKELY <= share < decontaminate.SURE:
+            (want if len(told) / 3 >= decontaminate.ANSWERED else refused).add((10_000_000 + k, item))
+    table = spark.createDataFrame(bench, "item_id long, text string, answer string")
+    found = decontaminate.leaks(docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")), table)
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(want) > 60 and len(refused) > 30
+    assert len(want & got) >= 0.9 * len(want)
+    # words that are left in their places may reach SURE with words of the text around them, but seldom
+    assert len(refused & got) <= 0.1 * len(refused)
 
 
 @pytest.mark.parametrize("share", [1, 2, 10, 100])
