@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.expressions import argmax, centred_unit, cosine, dot, floating, hash_int, quantised, root_normalised, softmax, symmetries
-from .operators import attention, dedup, index, inference, metrics, probe, report, softmax, splits, tiles, vectors
+from .functions.expressions import argmax, centred_unit, cosine, dot, floating, hash_int, is_tissue, quantised, root_normalised, softmax, symmetries
+from .operators import attention, dedup, geometry, index, inference, metrics, probe, quantiles, report, softmax, splits, tiles, vectors
+from .operators import raster as rasters
 from .sources.storage import once, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,15 +122,19 @@ def quality_filter(spark, d):
 
 @query("""select lang, quantile_cont(n_chars, 0.05) as q05, quantile_cont(n_chars, 0.5) as q50, quantile_cont(n_chars, 0.95) as q95 from documents group by 1""")
 def quality_quantiles(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(*(F.percentile("n_chars", q).alias(f"q{round(100 * q):02d}") for q in (0.05, 0.5, 0.95)))
+    shares = (0.05, 0.5, 0.95)
+    found = quantiles.quantiles(table(spark, d, "documents"), ["lang"], "n_chars", shares)
+    return found.select("lang", *(F.get("values", F.lit(i)).alias(f"q{round(100 * q):02d}") for i, q in enumerate(shares)))
 
 
 @query("""select o_orderstatus as status, count(*) as n, round(avg(o_totalprice), 4) as mean, round(stddev_samp(o_totalprice), 4) as sd, min(o_totalprice) as low,
   round(quantile_cont(o_totalprice, 0.25), 4) as p25, round(quantile_cont(o_totalprice, 0.5), 4) as p50, round(quantile_cont(o_totalprice, 0.75), 4) as p75, max(o_totalprice) as high from orders group by 1""")
 def describe_stats(spark, d):
     x = "o_totalprice"
-    out = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("low"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("high"))
-    return out.select("status", "n", "mean", "sd", "low", *(F.round(F.col("q")[i], 4).alias(p) for i, p in enumerate(("p25", "p50", "p75"))), "high")
+    rows = table(spark, d, "orders").withColumn("status", F.col("o_orderstatus"))
+    out = rows.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"))
+    found = quantiles.quantiles(rows, ["status"], x, (0.25, 0.5, 0.75)).drop("n")
+    return out.join(found, "status").select("status", "n", "mean", "sd", "low", *(F.round(F.get("values", F.lit(i)), 4).alias(p) for i, p in enumerate(("p25", "p50", "p75"))), "high")
 
 
 @query("""select l_returnflag as flag, least(9, floor(l_extendedprice / 10000))::bigint as bin, count(*) as n from lineitem group by 1, 2""")
@@ -178,9 +183,61 @@ def pixel_fractions(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), tiles.pixel_fractions(pixels).alias("x")).select("row_id", "x.*")
 
 
+RASTER, RASTER_TILE = 24, 10
+
+
+def raster(spark, d):
+    """Suppliers as regions, their lines as pixels, row by row; key, x, y, value (1: tissue) and the tiles of each region."""
+    place = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
+    at = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), place.alias("i"), (F.col("l_quantity") * 5).cast("int").alias("r"), (F.col("l_linenumber") * 30).cast("int").alias("g"), (F.col("l_partkey") % 200).cast("int").alias("b"))
+    pixels = at.select("key", (F.col("i") % RASTER).alias("x"), F.floor(F.col("i") / RASTER).cast("int").alias("y"), is_tissue(F.col("r"), F.col("g"), F.col("b")).cast("int").alias("value"))
+    regions = pixels.groupBy("key").agg(F.lit(RASTER).alias("w"), (F.max("y") + 1).alias("h"))
+    return pixels, tiles.grid(regions, RASTER_TILE)
+
+
+@query(f"""with p as (select l_suppkey as key, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as i, (l_quantity * 5)::int as r, (l_linenumber * 30)::int as g, (l_partkey % 200)::int as b from lineitem),
+px as (select key, i % {RASTER} as x, i // {RASTER} as y, case when greatest(r, g, b) - least(r, g, b) > 15 and greatest(r, g, b) > 30 then 1 else 0 end as v from p),
+rg as (select key, {RASTER} as w, max(y) + 1 as h from px group by 1), n as (select *, greatest(1, w // {RASTER_TILE}) as nx, greatest(1, h // {RASTER_TILE}) as ny from rg),
+g as (select key, w, h, floor((w - nx * {RASTER_TILE}) / 2.0)::int + i * {RASTER_TILE} as x, floor((h - ny * {RASTER_TILE}) / 2.0)::int + j * {RASTER_TILE} as y from (select *, unnest(range(0, nx)) as i from n) a, lateral (select unnest(range(0, a.ny)) as j) b)
+select g.key, g.x::int as x, g.y::int as y, round(sum(coalesce(v, 0)) / {float(RASTER_TILE**2)}, 6)::double as tissue_frac from g left join px on px.key = g.key and px.x >= g.x and px.x < g.x + {RASTER_TILE} and px.y >= g.y and px.y < g.y + {RASTER_TILE} group by 1, 2, 3""")
+def tile_tissue(spark, d):
+    """Tissue fractions of tiles counted from pixels, by summed-area tables."""
+    pixels, grid = raster(spark, d)
+    return rounded(rasters.tissue_fractions(pixels, grid, RASTER_TILE, 16).select("key", "x", "y", "tissue_frac"), "tissue_frac")
+
+
 # --- duplicates ----------------------------------------------------------------
 
 
+def matched_points(spark, d):
+    """Suppliers paired with the next one; lines as matched points: of two thirds of the pairs, the first three lines of an order follow the pair's transform."""
+    k = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("a"), k.alias("k"), (F.col("l_extendedprice") % 384).cast("double").alias("x"), (F.col("l_partkey") * 7 % 384).cast("double").alias("y"), "l_linenumber")
+    noise = lambda name: (hash_int(F.col("a"), F.col("k"), F.lit(name)) % 384).cast("double")
+    scale, turn = F.lit(1.0) + F.col("a") % 5 * 0.1, F.col("a") * 0.3
+    planted = (F.col("a") % 3 > 0) & (F.col("l_linenumber") <= 3)
+    u = scale * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y")) + F.col("a") % 50
+    v = scale * (F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y")) - F.col("a") % 20
+    return rows.select("a", (F.col("a") + 1).alias("b"), "k", "x", "y", F.when(planted, u).otherwise(noise("u")).alias("u"), F.when(planted, v).otherwise(noise("v")).alias("v"))
+
+
+@query("""with p as (select l_suppkey::bigint as a, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as k, (l_extendedprice % 384)::double as x, (l_partkey * 7 % 384)::double as y, l_linenumber from lineitem),
+m as (select a, a + 1 as b, k, x, y, case when a % 3 > 0 and l_linenumber <= 3 then (1.0 + a % 5 * 0.1)::double * (cos(a * 0.3) * x - sin(a * 0.3) * y) + a % 50 else ('0x' || substr(md5(a || ':' || k || ':u'), 1, 8))::bigint % 384 end as u,
+  case when a % 3 > 0 and l_linenumber <= 3 then (1.0 + a % 5 * 0.1)::double * (sin(a * 0.3) * x + cos(a * 0.3) * y) - a % 20 else ('0x' || substr(md5(a || ':' || k || ':v'), 1, 8))::bigint % 384 end as v from p),
+n as (select a, b, count(*) as n from m group by 1, 2), h as (select a, b, h, ('0x' || substr(md5(a || ':' || b || ':' || h || ':0'), 1, 8))::bigint % n as i, ('0x' || substr(md5(a || ':' || b || ':' || h || ':1'), 1, 8))::bigint % n as j from n, (select unnest(range(0, 128)) as h)),
+e as (select h.a, h.b, h, i.x as px, i.y as py, i.u as pu, i.v as pv, j.x - i.x as dx, j.y - i.y as dy, j.u - i.u as du, j.v - i.v as dv from h join m i on i.a = h.a and i.k = h.i join m j on j.a = h.a and j.k = h.j),
+s as (select a, b, h, px, py, pu, pv, (du * dx + dv * dy) / (dx * dx + dy * dy) as re, (dv * dx - du * dy) / (dx * dx + dy * dy) as im from e where dx <> 0 or dy <> 0),
+t as (select a, b, h, re, im, pu - (re * px - im * py) as tx, pv - (im * px + re * py) as ty from s),
+c as (select t.a, t.b, h, count(*) filter (sqrt(power(re * x - im * y + tx - u, 2) + power(im * x + re * y + ty - v, 2)) <= 3.0) as inliers, any_value(re) as re, any_value(im) as im, any_value(tx) as tx, any_value(ty) as ty from t join m on m.a = t.a group by 1, 2, 3),
+w as (select * from c qualify row_number() over (partition by a, b order by inliers desc, h) = 1)
+select n.a, n.b, n.n as matches, coalesce(inliers, 0) as inliers, coalesce(inliers, 0) >= 15 as kept, case when inliers >= 15 then round(sqrt(re * re + im * im), 6) end as scale, case when inliers >= 15 then round(atan2(im, re), 6) end as turn,
+  case when inliers >= 15 then round(tx, 5) end as dx, case when inliers >= 15 then round(ty, 5) end as dy from n left join w using (a, b)""")
+def pair_geometry(spark, d):
+    """Pairs verified by the similarity transform that most of their matched points agree on."""
+    return rounded(rounded(geometry.verified(matched_points(spark, d)), "scale", "turn"), "dx", "dy", digits=5)
+
+
+
 def features(spark, d):
     """Documents and the sentences in them."""
     cut = F.split(F.regexp_replace("text", r"([.!?])[ \n]+", "$1\n"), "\n")

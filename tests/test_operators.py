@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import expressions as X
-from evalweave.operators import attention, dedup, draws, graph, index, inference, lifecycle, metrics, neighbours, probe, report, softmax, splits, tiles, vectors
+from evalweave.operators import attention, dedup, draws, geometry, graph, index, inference, lifecycle, metrics, neighbours, probe, quantiles, raster, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
 from evalweave.sources import runs, storage
 from evalweave.streaming import shards
@@ -455,6 +455,61 @@ def test_neighbours_of_few(spark):
     assert neighbours.search(rows, 2).rows.count() == 0 and neighbours.search(rows.limit(0), 2).rows.count() == 0
 
 
+@pytest.mark.parametrize("bins,held", [(4, 3), (1024, 4096)])
+def test_quantiles_as_numpy(spark, monkeypatch, bins, held):
+    monkeypatch.setattr(quantiles, "BINS", bins)
+    monkeypatch.setattr(quantiles, "HELD", held)
+    rng = np.random.default_rng(10)
+    data = {"skewed": np.exp(rng.normal(size=300) * 3), "equal": np.full(50, 2.5), "steps": rng.integers(0, 4, 200).astype(float), "one": np.array([-7.0]), None: rng.normal(size=30), "wide": np.concatenate((rng.normal(size=100), [1e300, -1e300]))}
+    rows = [(k, float(x)) for k, xs in data.items() for x in xs] + [("empty", None), ("empty", float("nan")), ("one", None)]
+    shares = (0.0, 0.025, 0.5, 0.9, 1.0)
+    got = {r.k: (r.n, r["values"]) for r in quantiles.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares).collect()}
+    assert set(got) == set(data)
+    for k, xs in data.items():
+        assert got[k][0] == len(xs) and np.allclose(got[k][1], np.quantile(xs, shares), rtol=1e-12), k
+
+
+def test_geometry_finds_planted_transforms(spark):
+    """Half of the matches are noise; false pairs have nothing but noise; a pair of one place has no transform."""
+    rng = np.random.default_rng(11)
+    rows, planted = [], {}
+    for pair in range(24):
+        p, q = rng.uniform(0, 384, (2, 80, 2)) @ [1, 1j]
+        if pair % 2:
+            s, t = rng.uniform(0.5, 2) * np.exp(1j * rng.uniform(-3, 3)), complex(*rng.uniform(-90, 90, 2))
+            q[:40] = s * p[:40] + t + rng.normal(size=40) * 0.2
+            planted[pair] = (s, t)
+        order = rng.permutation(80)
+        rows += [(pair, pair + 100, k, *(float(c) for c in (p[i].real, p[i].imag, q[i].real, q[i].imag))) for k, i in enumerate(order.tolist())]
+    rows += [(50, 51, k, 1.0, 1.0, float(k), 2.0) for k in range(30)] + [(60, 61, 0, 1.0, 2.0, 3.0, 4.0), (60, 61, 1, None, 2.0, 3.0, 4.0)]
+    got = {r.a: r for r in geometry.verified(spark.createDataFrame(rows, "a long, b long, k int, x double, y double, u double, v double")).collect()}
+    assert {a for a, r in got.items() if r.kept} == set(planted)
+    for a, (s, t) in planted.items():
+        r = got[a]
+        assert r.inliers >= 38 and abs(r.scale * np.exp(1j * r.turn) - s) < 0.05 and abs(complex(r.dx, r.dy) - t) < 10
+    assert got[60].matches == 1 and (got[60].inliers, got[50].inliers) == (0, 0) and got[50].scale is None
+
+
+def test_raster_as_plain_counting(spark):
+    """Random regions, some smaller than a tile and with blocks that hold nothing; tiles at and over all borders."""
+    rng = np.random.default_rng(12)
+    pixels, tile_rows, want = [], [], {}
+    for key, (h, w) in enumerate([(1, 1), (5, 70), (33, 32), (64, 16), (90, 41), (7, 7)]):
+        image = (rng.random((h, w)) < 0.4).astype(int) * rng.integers(1, 5, (h, w))
+        if key == 4:
+            image[16:60, :20] = 0
+        pixels += [(key, x, y, int(image[y, x])) for y in range(h) for x in range(w) if image[y, x] or (y, x) == (h - 1, w - 1)]
+        for x, y in {(0, 0), (-3, -5), (w - 4, h - 4), (w // 2 - 5, h // 2 - 5), (w, h), (-20, 0)} | {(int(a), int(b)) for a, b in rng.integers(-10, 90, (20, 2))}:
+            tile_rows.append((key, w, h, x, y))
+            want[key, x, y] = int(image[max(0, y) : max(0, y + 10), max(0, x) : max(0, x + 10)].sum())
+    cells = spark.createDataFrame(pixels, "key int, x int, y int, value int")
+    tile_table = spark.createDataFrame(tile_rows, "key int, w int, h int, x int, y int")
+    got = {(r.key, r.x, r.y): r.total for r in raster.tile_sums(raster.summed_area(raster.blocks(cells, 16), 16), tile_table, 10, 16).collect()}
+    assert got == want and len(got) == len(tile_rows)
+    shares = raster.tissue_fractions(cells, tile_table, 10, 16).where("key = 3 and x = 0 and y = 0").first()
+    assert shares.tissue_frac == want[3, 0, 0] / 100
+
+
 def test_chi2_tail():
     assert math.isclose(X.chi2_tail(6, 2), math.exp(-3), rel_tol=1e-12)
     assert math.isclose(X.chi2_tail(1, 1), math.erfc(math.sqrt(0.5)), rel_tol=1e-10)
