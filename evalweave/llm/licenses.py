@@ -5,8 +5,8 @@ go on over several lines (up to an empty line or one of comment marks alone),
 joined.  A file named like a license file is a statement as a whole, too.  A
 statement is a sparse TF-IDF vector over its words; document frequencies of the
 templates' terms are counted over all texts, and words of no template count as if no
-text had them.  Templates are the usual headers and, of short licenses, the full text.
-A statement has the license of the template with the largest cosine of at least
+text had them.  Templates are the usual headers, for statements within files, and the
+full texts of short licenses, for files as a whole.  A statement has the license of the template with the largest cosine of at least
 ``NEAR`` whose telling clauses agree; a file has that of its best statement.
 
 Telling clauses tell apart licenses that share their wording: phrases that the
@@ -31,6 +31,7 @@ first).  Repeated rows stay; extra columns play no part; an empty table gives no
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -99,6 +100,8 @@ class Template:
     lacks: tuple[str, ...] = ()
     file_has: tuple[str, ...] = ()
     file_lacks: tuple[str, ...] = ()
+    #: A full text, compared with whole files; others are compared with statements.
+    whole: bool = False
 
 
 def _gnu() -> list[Template]:
@@ -130,33 +133,33 @@ TEMPLATES = [
     Template("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     Template("Apache-2.0", "Apache License Version 2.0, January 2004"),
     Template("BSD-2-Clause", _BSD, (), (), (_BINARY,), (_ENDORSE, _ADVERTISE)),
-    Template("BSD-2-Clause", " ".join([_BSD, _BSD_1, _BSD_2, _BSD_END]), (), (_ENDORSE, _ADVERTISE)),
+    Template("BSD-2-Clause", " ".join([_BSD, _BSD_1, _BSD_2, _BSD_END]), (), (_ENDORSE, _ADVERTISE), whole=True),
     Template("BSD-3-Clause", _BSD, (), (), (_ENDORSE,), (_ADVERTISE,)),
     # without any of its clauses the statement is taken for the commonest license that has it
     Template("BSD-3-Clause", _BSD, (), (), (), (_BINARY, _ADVERTISE)),
-    Template("BSD-3-Clause", " ".join([_BSD, _BSD_1, _BSD_2, _BSD_3, _BSD_END]), (_ENDORSE,), (_ADVERTISE,)),
+    Template("BSD-3-Clause", " ".join([_BSD, _BSD_1, _BSD_2, _BSD_3, _BSD_END]), (_ENDORSE,), (_ADVERTISE,), whole=True),
     Template("BSD-4-Clause", _BSD, (), (), (_ADVERTISE,)),
     Template("BSL-1.0", _BOOST),
     Template("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     Template("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     Template("0BSD", _ISC, (), (), (), (_APPEAR,)),
-    Template("0BSD", f"{_ISC}. {_ISC_END}", (), (_APPEAR,)),
+    Template("0BSD", f"{_ISC}. {_ISC_END}", (), (_APPEAR,), whole=True),
     Template("ISC", _ISC + _ISC_KEEP, (), (), (_APPEAR,)),
-    Template("ISC", f"{_ISC}{_ISC_KEEP} {_ISC_END}", (_APPEAR,)),
+    Template("ISC", f"{_ISC}{_ISC_KEEP} {_ISC_END}", (_APPEAR,), whole=True),
     Template("MIT", "Released under the MIT License."),
     Template("MIT", _MIT),
     Template("MIT", _MIT + _MIT_GRANT, (), (), (_INCLUDED,)),
-    Template("MIT", _MIT + _MIT_GRANT + _MIT_KEEP + _MIT_END, (_INCLUDED,)),
+    Template("MIT", _MIT + _MIT_GRANT + _MIT_KEEP + _MIT_END, (_INCLUDED,), whole=True),
     Template("MIT-0", _MIT + _MIT_GRANT, (), (), (), (_INCLUDED,)),
-    Template("MIT-0", _MIT + _MIT_GRANT + "." + _MIT_END, (), (_INCLUDED,)),
+    Template("MIT-0", _MIT + _MIT_GRANT + "." + _MIT_END, (), (_INCLUDED,), whole=True),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     Template("MPL-2.0", "Mozilla Public License Version 2.0"),
     Template("Proprietary", "All rights reserved."),
     Template("Unlicense", _UNLICENSE),
-    Template("Unlicense", _UNLICENSE + _UNLICENSE_MORE),
+    Template("Unlicense", _UNLICENSE + _UNLICENSE_MORE, whole=True),
     Template("Zlib", _ZLIB),
-    Template("Zlib", _ZLIB + _ZLIB_MORE, ("must not be misrepresented",)),
+    Template("Zlib", _ZLIB + _ZLIB_MORE, ("must not be misrepresented",), whole=True),
 ]
 
 
@@ -203,11 +206,12 @@ def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int,
     return counts.pop("", 0), counts
 
 
-def anchors(vectors: list[dict[str, float]], near: float) -> list[str]:
+def anchors(vectors: list[dict[str, float]], near: float, common: dict[str, int] | None = None) -> list[str]:
+    """Terms of which a text near any of the vectors has one: of each vector the rarest (then heaviest), until the rest can't reach the cosine."""
     out = set()
     for v in vectors:
         left = total = sum(x * x for x in v.values())
-        for term, x in sorted(v.items(), key=lambda t: (-t[1], t[0])):
+        for term, x in sorted(v.items(), key=lambda t: ((common or {}).get(t[0], 0), -t[1], t[0])):
             if left < near * near * total * (1 - 1e-9):
                 break
             out.add(term)
@@ -215,6 +219,17 @@ def anchors(vectors: list[dict[str, float]], near: float) -> list[str]:
     return sorted(out)
 
 
+#: Shorter anchors are looked for as words, as many longer words have them within.
+SHORT = 5
+
+
+def any_of(low: Column, words: list[str]) -> Column:
+    """Whether a text in lower case may have one of some words."""
+    found = functools.reduce(lambda a, w: a | low.contains(w), [w for w in words if len(w) >= SHORT], F.lit(False))
+    short = "|".join(w for w in words if len(w) < SHORT)
+    return found | low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])") if short else found
+
+
 def statements(files: DataFrame, templates: list[Template] = TEMPLATES, near: float = NEAR) -> DataFrame:
     """key, license, cosine: the best statement of each file (key, text, and whole: whether the file is a statement, too) that has one."""
     spark = files.sparkSession
@@ -224,19 +239,17 @@ def statements(files: DataFrame, templates: list[Template] = TEMPLATES, near: fl
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     unseen = math.log(1 + n) + 1
     vectors = [{w: c * idf[w] for w, c in counts.items()} for counts in counted]
-    first, known = anchors(vectors, near), phrases(templates)
+    first, first_whole = (anchors([v for v, t in zip(vectors, templates) if t.whole == whole], near, df) for whole in (False, True))
+    known = phrases(templates)
     number = {p: i for i, p in enumerate(known)}
     weights = spark.createDataFrame([(w, idf[w], i, v.get(w, 0.0) * idf[w]) for i, v in enumerate(vectors) for w in v], "w string, idf double, template int, product double")
-    told = [(i, t.license, math.sqrt(sum(x * x for x in v.values())), *([number[p] for p in x] for x in (t.has, t.lacks, t.file_has, t.file_lacks))) for i, (t, v) in enumerate(zip(templates, vectors))]
-    lengths = spark.createDataFrame(told, "template int, license string, template_length double, has array<int>, lacks array<int>, file_has array<int>, file_lacks array<int>")
+    told = [(i, t.license, t.whole, math.sqrt(sum(x * x for x in v.values())), *([number[p] for p in x] for x in (t.has, t.lacks, t.file_has, t.file_lacks))) for i, (t, v) in enumerate(zip(templates, vectors))]
+    lengths = spark.createDataFrame(told, "template int, license string, whole boolean, template_length double, has array<int>, lacks array<int>, file_has array<int>, file_lacks array<int>")
     low = F.lower("text")
-    some = F.lit(False)
-    for w in first:
-        some = some | low.contains(w)
     all_units = F.concat(F.transform(cut(F.col("text")), lambda x, i: F.struct(i.alias("unit"), x.alias("statement"))), F.when(F.col("whole"), F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("statement")))).otherwise(F.array().cast("array<struct<unit:int,statement:string>>")))
-    found = files.where(some)
-    units = found.select("key", F.explode(all_units).alias("u")).select("key", "u.unit", terms(F.col("u.statement")).alias("words"))
-    units = units.where(F.arrays_overlap("words", F.array(*map(F.lit, first)))).withColumn("said", said(F.col("words"), known))
+    units = files.where(any_of(low, first) | (F.col("whole") & any_of(low, first_whole))).select("key", F.explode(all_units).alias("u")).select("key", "u.unit", terms(F.col("u.statement")).alias("words"))
+    anchored = lambda words: F.arrays_overlap("words", F.array(*map(F.lit, words)))
+    units = units.where(F.when(F.col("unit") < 0, anchored(first_whole)).otherwise(anchored(first))).withColumn("said", said(F.col("words"), known))
     units = written(units, "statements")
     counts = units.select("key", "unit", F.explode("words").alias("w")).groupBy("key", "unit", "w").agg(F.count("*").alias("tf"))
     counts = written(counts, "statement-terms")
@@ -244,12 +257,12 @@ def statements(files: DataFrame, templates: list[Template] = TEMPLATES, near: fl
     # the tables of terms and templates are as small as the list of templates
     norms = counts.join(F.broadcast(weight), "w", "left").groupBy("key", "unit").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(unseen)), F.lit(2)))).alias("length"))
     dots = counts.join(F.broadcast(weights), "w").groupBy("key", "unit", "template").agg(F.sum(F.col("tf") * F.col("product")).alias("dot"))
-    scored = dots.join(F.broadcast(lengths), "template").join(norms, ["key", "unit"])
+    scored = dots.join(F.broadcast(lengths), "template").where((F.col("unit") < 0) == F.col("whole")).join(norms, ["key", "unit"])
     scored = scored.withColumn("cosine", F.round(F.col("dot") / (F.col("length") * F.col("template_length")), 6)).where(F.col("cosine") >= near)
     # telling clauses: of the statement, and of the file, which only files with a near statement are read for
     scored = scored.join(units.select("key", "unit", "said"), ["key", "unit"]).where((F.size(F.array_except("has", "said")) == 0) & ~F.arrays_overlap("lacks", "said"))
     scored = written(scored.select("key", "unit", "license", "cosine", "file_has", "file_lacks"), "near-statements")
-    texts = found.join(scored.select("key").distinct(), "key", "left_semi").select("key", said(terms(F.col("text")), known).alias("file_said"))
+    texts = files.join(scored.select("key").distinct(), "key", "left_semi").select("key", said(terms(F.col("text")), known).alias("file_said"))
     scored = scored.join(texts, "key").where((F.size(F.array_except("file_has", "file_said")) == 0) & ~F.arrays_overlap("file_lacks", "file_said"))
     return scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license", "unit")).alias("best")).select("key", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"))
 
@@ -312,13 +325,13 @@ def _sql_list(texts: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"' {t} '" for t in texts) + "]::varchar[]"
 
 
-_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}', {}, {}, {}, {})".format(i, t.license, t.text.replace("'", "''"), *map(_sql_list, (t.has, t.lacks, t.file_has, t.file_lacks))) for i, t in enumerate(TEMPLATES))
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}', {}, {}, {}, {}, {})".format(i, t.license, t.text.replace("'", "''"), t.whole, *map(_sql_list, (t.has, t.lacks, t.file_has, t.file_lacks))) for i, t in enumerate(TEMPLATES))
 ORACLE_OP3 = f"""
 with files as (
   select doc_id as key, text, source || case doc_id % 3 when 0 then '/' when 1 then '/' || lang || '/' else '/' || lang || '/' || ((doc_id // 3) % 10)::varchar || '/' end
     || case when doc_id % 5 = 0 then 'LICENSE-' || doc_id::varchar else doc_id::varchar || '.txt' end as path
   from documents
-), templates(template, license, text, has, lacks, file_has, file_lacks) as (values {_TEMPLATE_ROWS}),
+), templates(template, license, text, whole, has, lacks, file_has, file_lacks) as (values {_TEMPLATE_ROWS}),
 tt as (select template, license, w, count(*) as tf from (select template, license, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as w from templates) where w <> '' group by all),
 vocabulary as (select distinct w from tt),
 total as (select count(*) as n from files where text is not null),
@@ -334,7 +347,7 @@ norms as (select key, unit, sqrt(sum((tf * coalesce(idf, ln(1 + n) + 1)) ** 2))
 dots as (select key, unit, template, license, sum(tf * idf * x) as dot from counts join tw using (w) group by all),
 near as (select key, unit, license, template, round(dot / (len * tlen), 6) as cosine from dots join tl using (template) join norms using (key, unit) where round(dot / (len * tlen), 6) >= {NEAR}),
 plain as (select n.*, ' ' || trim(regexp_replace(lower(statement), '[^a-z0-9]+', ' ', 'g')) || ' ' as said, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' as file_said from near n join units using (key, unit) join files using (key)),
-scored as (select key, unit, p.license, cosine from plain p join templates t using (template) where len(list_filter(has, lambda x: not contains(said, x))) = 0 and len(list_filter(lacks, lambda x: contains(said, x))) = 0
+scored as (select key, unit, p.license, cosine from plain p join templates t using (template) where (unit < 0) = whole and len(list_filter(has, lambda x: not contains(said, x))) = 0 and len(list_filter(lacks, lambda x: contains(said, x))) = 0
   and len(list_filter(file_has, lambda x: not contains(file_said, x))) = 0 and len(list_filter(file_lacks, lambda x: contains(file_said, x))) = 0),
 best as (select key, license, cosine from (select *, row_number() over (partition by key order by cosine desc, license, unit) as r from scored) where r = 1),
 owned as (select f.key, f.path, b.license, b.cosine, regexp_replace(f.path, '/[^/]*$', '') as dir, regexp_matches(string_split(f.path, '/')[-1], '(?i)^(licen[cs]e|copying|unlicense|notice)([-.].*)?$') as is_file from files f left join best b using (key)),
