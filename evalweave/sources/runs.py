@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.index import content_hash
+from . import units
 from .storage import write_shards
 
 UNIT = ("model", "dataset", "seed")
@@ -54,6 +55,42 @@ def load_features(spark: SparkSession, path: str, index: DataFrame, label: str =
     return one_to_one(index, spark.read.parquet(f"{path}/shards"), "row_id")
 
 
+def write_feature_units(features: DataFrame, path: str, index_hash: str, shard_rows: int = 4096) -> None:
+    """Features (row_id, ...) as one unit in shards by row_id, published whole with the hash of the index they were made from."""
+    units.write_units(features, path, None, index_hash, order="row_id", shard=shard_rows)
+
+
+def scan_features(spark: SparkSession, path: str, index: DataFrame, label: str = "label", first: int | None = None, last: int | None = None) -> DataFrame:
+    """Features of ``index`` within a range of row_id, of the shards that have any of it.
+
+    Unfinished features, and those of another index, are an error before anything is read.
+    """
+    mark = content_hash(index, "row_id", F.col(label)).first()["content_hash"]
+    rows = units.read_units(spark, path, mark, first=first, last=last)
+    for end, test in ((first, F.col("row_id") >= F.lit(first)), (last, F.col("row_id") <= F.lit(last))):
+        rows = rows if end is None else rows.where(test)
+    return rows
+
+
+def write_tile_index(tiles: DataFrame, path: str) -> None:
+    """A tile index (row_id, path, ...) with the hash of its paths as its mark."""
+    units.write_units(tiles, path, None, content_hash(tiles, "row_id", F.col("path")).first()["content_hash"], order="row_id")
+
+
+def load_tile_index(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """The tile index of a folder; one that is unfinished, or whose rows aren't those of its mark, is an error.
+
+    ``name``: queries find the table by this name from now on, instead of any other.
+    """
+    rows = units.read_units(spark, path)
+    stated = [r["signature"] for r in units.published(spark, path).collect()]  # one row
+    if stated != [content_hash(rows, "row_id", F.col("path")).first()["content_hash"]]:
+        raise ValueError(f"{path}: the tile index does not match its mark")
+    if name:
+        rows.createOrReplaceTempView(name)
+    return rows
+
+
 def one_to_one(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Join in which every row of either side must have exactly one partner; anything else is an error when rows are read."""
     sides = left.select(on).withColumn("l", F.lit(1)).unionByName(right.select(on).withColumn("l", F.lit(0)))

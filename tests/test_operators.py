@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evalweave.functions import expressions as X
 from evalweave.operators import attention, dedup, draws, geometry, graph, index, inference, lifecycle, metrics, neighbours, probe, quantiles, raster, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
-from evalweave.sources import runs, storage
+from evalweave.sources import runs, storage, units
 from evalweave.streaming import shards
 
 
@@ -510,6 +510,110 @@ def test_raster_as_plain_counting(spark):
     assert shares.tissue_frac == want[3, 0, 0] / 100
 
 
+def unit_rows(spark, n=300):
+    return spark.range(n).select(F.col("id").alias("row_id"), F.when(F.col("id") % 4 > 0, (F.col("id") % 4).cast("string")).alias("model"), F.array(F.col("id").cast("double")).alias("v"))
+
+
+def test_units_are_replaced_whole(spark, tmp_path):
+    """A run that fails midway publishes nothing, its repetition and a second one give each unit once; one unit is replaced alone."""
+    path = str(tmp_path / "u")
+    rows = unit_rows(spark).repartition(6)
+    failing = rows.withColumn("row_id", F.when(F.col("row_id") == 250, F.raise_error(F.lit("lost"))).otherwise(F.col("row_id")))
+    with pytest.raises(Exception, match="lost"):
+        units.write_units(failing, path, "model", "s1")
+    assert units.published(spark, path).count() == 0
+    with pytest.raises(Exception, match="unfinished"):
+        units.read_units(spark, path)
+    for _ in range(2):
+        units.write_units(rows, path, "model", "s1")
+        assert sorted(r.row_id for r in units.read_units(spark, path, "s1").collect()) == list(range(300))
+    assert sorted(map(tuple, units.published(spark, path).collect()), key=str) == [("1", "s1", 75), ("2", "s1", 75), ("3", "s1", 75), (None, "s1", 75)]
+    with pytest.raises(Exception, match="lost"):
+        units.write_units(failing, path, "model", "s2")
+    assert units.read_units(spark, path, "s1").count() == 300
+    units.write_units(rows.where("model = '2' and row_id < 50"), path, "model", "s1")
+    assert units.read_units(spark, path, "s1", units=4).count() == 300 - 75 + 12
+    with pytest.raises(Exception, match="4 of 5 units"):
+        units.read_units(spark, path, units=5).count()
+    units.write_units(rows.where("model = '2'"), path, "model", "s2")
+    with pytest.raises(Exception, match="another index"):
+        units.read_units(spark, path, "s1").count()
+
+
+def test_units_of_lost_files(spark, tmp_path):
+    path = str(tmp_path / "u")
+    units.write_units(unit_rows(spark), path, "model", "s")
+    mark = units.marks(path)[0]
+    (tmp_path / "u" / mark["folder"].rsplit("/", 1)[1] / mark["files"][0]["file"]).unlink()
+    with pytest.raises(Exception, match="lacks files"):
+        units.read_units(spark, path, "s").count()
+    units.write_units(unit_rows(spark, 0), str(tmp_path / "none"), "model", "s")
+    assert units.published(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_feature_scans_read_few_shards(spark, tmp_path):
+    path = str(tmp_path / "f")
+    rows = unit_rows(spark, 1000)
+    labels = rows.select("row_id", F.lit(1).alias("label"))
+    mark = index.content_hash(labels, "row_id", F.col("label")).first()["content_hash"]
+    runs.write_feature_units(rows.select("row_id", "v"), path, mark, shard_rows=50)
+    few = runs.scan_features(spark, path, labels, first=410, last=455)
+    assert sorted(r.row_id for r in few.collect()) == list(range(410, 456))
+    assert few.rdd.getNumPartitions() <= 3 < 20 <= runs.scan_features(spark, path, labels).rdd.getNumPartitions()
+    with pytest.raises(Exception, match="another index"):
+        runs.scan_features(spark, path, labels.where("row_id > 0")).count()
+
+
+def test_tile_index_is_guarded(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tile_rows = spark.range(40).select(F.col("id").alias("row_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("path"))
+    runs.write_tile_index(tile_rows, path)
+    spark.range(1).createOrReplaceTempView("some_tiles")
+    assert runs.load_tile_index(spark, path, "some_tiles").count() == 40 and spark.sql("select max(path) as p from some_tiles").first().p == "t9"
+    units.write_units(tile_rows.where("row_id < 39"), path, None, units.marks(path)[0]["signature"])
+    with pytest.raises(ValueError, match="does not match its mark"):
+        runs.load_tile_index(spark, path)
+
+
+def test_resumed_runs_replace(spark, tmp_path):
+    """Units that are there with their signature are left alone; others are made and replaced; a repeated run makes none."""
+    path = str(tmp_path / "r")
+    wanted = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "y")], "k int, m string, signature string")
+    made = []
+
+    def make(some):
+        made.append(sorted(r.k for r in some.collect()))
+        return some.select("k", "m", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i"))
+
+    keys = ["k", "m"]
+    done = lambda: resume.done_units(spark, path, "k int, m string")
+    assert resume.run_pending(wanted, done(), keys, make, path) == 3
+    assert resume.run_pending(wanted, done(), keys, make, path) == 0
+    changed = wanted.withColumn("signature", F.when(F.col("k") == 2, "z").otherwise(F.col("signature")))
+    assert resume.run_pending(changed, done(), keys, make, path) == 1
+    assert made == [[1, 2, 3], [2]] and sorted((r.k, r.i) for r in resume.results(spark, path).collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
+
+
+def test_pooling_as_shards_arrive(spark, tmp_path):
+    """Shards in any order, in several runs and twice delivered give the means of the whole table; empty bags are errors."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(60, 3))
+    rows = [(i, int(i % 7), x[i].tolist()) for i in range(60)]
+    whole = spark.createDataFrame(rows, "row_id long, bag int, v array<double>")
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for at in ((40, 60), (0, 25), (0, 25), (20, 45)):
+        whole.where(F.col("row_id").between(at[0], at[1] - 1)).coalesce(1).write.mode("append").parquet(source)
+        shards.pool(spark, source, whole.schema, "bag", "row_id", "v", target, str(tmp_path / "log"))
+    shards.pool(spark, source, whole.schema, "bag", "row_id", "v", target, str(tmp_path / "log"))
+    got = {r.bag: r for r in shards.pooled(spark, target, "bag", "v", whole.select("bag").distinct()).collect()}
+    assert set(got) == set(range(7))
+    for b, r in got.items():
+        own = x[np.arange(60) % 7 == b]
+        assert r.n == len(own) and np.allclose(r.v, own.mean(0))
+    with pytest.raises(Exception, match="no children: 9"):
+        shards.pooled(spark, target, "bag", "v", spark.createDataFrame([(9,)], "bag int")).collect()
+
+
 def test_chi2_tail():
     assert math.isclose(X.chi2_tail(6, 2), math.exp(-3), rel_tol=1e-12)
     assert math.isclose(X.chi2_tail(1, 1), math.erfc(math.sqrt(0.5)), rel_tol=1e-10)
