@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.expressions import argmax, centred_unit, cosine, dot, floating, hash_int, is_tissue, quantised, root_normalised, softmax, symmetries
-from .operators import attention, dedup, geometry, index, inference, metrics, probe, quantiles, report, softmax, splits, tiles, vectors
+from .operators import attention, dedup, geometry, index, inference, metrics, probe, quantiles, report, splits, tiles, vectors
 from .operators import raster as rasters
+from .operators.softmax import fit as fit_probes
 from .sources.storage import once, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,10 +357,10 @@ def vector_standardize(spark, d):
     return vectors.standardise(rows, rows.where("vec_id % 5 <> 0"), "embedding").withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 5)))
 
 
-@query("""with e as (select vec_id, list_transform(embedding[1:10], lambda x: exp(x::double - list_max(embedding[1:10])::double)) as x from embeddings)
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: exp(x::double - list_max(embedding)::double)) as x from embeddings)
 select vec_id, list_transform(x, lambda y: round(y / list_sum(x), 6)) as probs from e""")
 def vector_softmax(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(softmax(F.slice("embedding", F.lit(1), 10).cast("array<double>")), lambda x: F.round(x, 6)).alias("probs"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(softmax(F.col("embedding").cast("array<double>")), lambda x: F.round(x, 6)).alias("probs"))
 
 
 @query("""with e as (select vec_id, list_transform(embedding, lambda x: greatest(0.0, x::double)) as v from embeddings), s as (select *, list_sum(v) + 1e-7 as t from e)
@@ -466,10 +467,10 @@ def _metric_sql(columns: str, weight: str = "1.0") -> str:
 KEYS = ["dataset", "seed", "model"]
 
 
-@query("with " + _PRED + """, m as (select model, target, avg((pred = target)::int::double) as acc, count(*) as n from pred where seed = 42 group by 1, 2) select model, target, round(acc, 6) as acc, n from m""")
+@query("with " + _PRED + """, m as (select model, seed, target, avg((pred = target)::int::double) as acc, count(*) as n from pred group by 1, 2, 3) select model, seed, target, round(acc, 6) as acc, n from m""")
 def metrics_by_model(spark, d):
-    rows = metrics.with_prediction(predictions(spark, d).where("seed = 42"))
-    return rows.groupBy("model", "target").agg(F.round(F.avg((F.col("pred") == F.col("target")).cast("double")), 6).alias("acc"), F.count("*").alias("n"))
+    rows = metrics.with_prediction(predictions(spark, d))
+    return rows.groupBy("model", "seed", "target").agg(F.round(F.avg((F.col("pred") == F.col("target")).cast("double")), 6).alias("acc"), F.count("*").alias("n"))
 
 
 @query("with " + _PRED + f" select {_K}, target, pred, count(*)::double as w from pred group by all")
@@ -630,6 +631,21 @@ def friedman(spark, d):
     return rounded(inference.friedman(block_scores(spark, d)), "statistic", "p")
 
 
+_TASK = """{0}_sc as (select * from sc where {1}), {0}_full as (select dataset from {0}_sc group by 1 having count(distinct model) = (select count(distinct model) from sc)),
+{0}_ar as (select *, rank() over (partition by dataset order by value desc) + (count(*) over (partition by dataset, value) - 1) / 2.0 as rank, count(*) over (partition by dataset, value) as ties from {0}_sc semi join {0}_full using (dataset)),
+{0}_m as (select model, sum(rank) as r from {0}_ar group by 1), {0}_t as (select (select count(distinct dataset) from {0}_ar)::double as n, count(*)::double as k, sum(r * r) as squares, (select sum(ties * ties - 1) from {0}_ar) as tied from {0}_m),
+{0}_x as (select '{0}' as task, n, k, (12 / (n * k * (k + 1)) * squares - 3 * n * (k + 1)) / (1 - tied / (n * (k * k * k - k))) as statistic from {0}_t)"""
+
+
+@query("with " + _SCORES + ", " + ", ".join(_TASK.format(t, w) for t, w in (("categorical", "dataset % 3 > 0"), ("ordinal", "dataset % 3 = 0"), ("every", "true"))) + """
+select case when task = 'every' then 'all' else task end as task, n::bigint as n, k::bigint as k, round(statistic, 6) as statistic, round(exp(-statistic / 2), 6) as p from (from categorical_x union all from ordinal_x union all from every_x)""")
+def friedman_by_task(spark, d):
+    """The test over nations with and without ordered classes (every third has), and over all."""
+    scores = block_scores(spark, d)
+    ordinal = scores.where("dataset % 3 = 0").select("dataset").distinct()
+    return rounded(inference.friedman_by_task(scores, ordinal), "statistic", "p")
+
+
 @query("with " + _SCORES + """, m as (select model, avg(rank) as mean_rank from ar group by 1), t as (select count(*) as k, (select count(distinct dataset) from ar) as n from m)
 select model, round(mean_rank, 6) as mean_rank, round([1.960, 2.343, 2.569, 2.728][k - 1] * sqrt(k * (k + 1) / (6.0 * n)), 6) as distance from m, t""")
 def nemenyi_cd(spark, d):
@@ -708,7 +724,7 @@ def probe_weights(spark, d):
     """Weight and bias of binary probes on single cells, at their optimum; 24 problems advance in the same passes."""
     cells = table(spark, d, "embeddings").select((F.col("label") % 2).alias("label"), F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "x"))
     rows = cells.select(F.col("pos").cast("string").alias("model"), F.array(F.col("x").cast("double")).alias("v"), "label")
-    found = softmax.fit(rows, ["model"], [0.001, 0.1, 10.0])
+    found = fit_probes(rows, ["model"], [0.001, 0.1, 10.0])
     both = [(u[0], c, float(w[0, 1] - w[0, 0]), float(w[1, 1] - w[1, 0])) for u, p in found.items() for c, w in p.weights.items()]
     return rounded(spark.createDataFrame(both, "model string, c_value double, weight double, bias double"), "weight", "bias")
 
@@ -780,6 +796,50 @@ def speedup(spark, d):
     return rounded(report.speed_up(rows, "purchase"), "ratio")
 
 
+_OFFICIAL = """op as (select dataset, seed, b, model, metric, case when dataset = 'odd' and b = 0 then max(case when seed = 42 then value end) over (partition by dataset, b, model, metric) else value end as value from boot),
+os as (select * from op where dataset <> 'odd' or seed = 42), om as (select dataset, b, model, metric, avg(value) as value from os group by all)"""
+
+
+def official_values(spark, d):
+    """Replicates in which the seeds of one dataset have the same point estimates, as those of an official partition."""
+    values = boot(spark, d)
+    first = values.where("dataset = 'odd' and seed = 42 and b = 0").select("dataset", "b", "model", "metric", F.col("value").alias("first"))
+    joined = values.join(first, ["dataset", "b", "model", "metric"], "left")
+    return joined.withColumn("value", F.when((F.col("dataset") == "odd") & (F.col("b") == 0), F.col("first")).otherwise(F.col("value"))).select(values.columns)
+
+
+@query("with recursive " + _BOOT + ", " + _OFFICIAL + """ select dataset, model, metric, round(max(value) filter (b = 0), 6) as mean, round(quantile_cont(value, 0.025) filter (b > 0), 6) as ci_low, round(quantile_cont(value, 0.975) filter (b > 0), 6) as ci_high from om group by all""")
+def official_ci(spark, d):
+    """Intervals of one seed where all seeds agree, over seeds elsewhere."""
+    return rounded(inference.intervals(inference.official(official_values(spark, d))), "mean", "ci_low", "ci_high")
+
+
+@query("with recursive " + _BOOT + ", " + _OFFICIAL + ", " + _PAIR.replace("from sm x join sm y", "from om x join om y") + " select dataset, metric, model_a, model_b, round(diff, 6) as diff, round(p, 6) as p, round(p_holm, 6) as p_holm from holm")
+def official_pairwise(spark, d):
+    return rounded(inference.pairwise(inference.official(official_values(spark, d))).select("dataset", "metric", "model_a", "model_b", "diff", "p", "p_holm"), "diff", "p", "p_holm")
+
+
+_MAIN = """mn as (select dataset, model, round(max(value) filter (b = 0), 9) as mean from sm where metric = 'acc' group by all),
+ci as (select dataset, model, quantile_cont(value, 0.025) as lo, quantile_cont(value, 0.975) as hi from sm where metric = 'acc' and b > 0 group by all),
+rk as (select *, row_number() over (partition by dataset order by mean desc, model) as place from mn), be as (select dataset, model as best from rk where place = 1),
+jt as (select rk.dataset, rk.model, rk.mean, best, h.p_holm from rk join be using (dataset) left join holm h on h.dataset = rk.dataset and h.metric = 'acc' and ((h.model_a = best and h.model_b = rk.model) or (h.model_b = best and h.model_a = rk.model))),
+nt as (select *, sum((model <> best and (p_holm is null or p_holm >= 0.05))::int) over (partition by dataset) as tied from jt),
+su as (select dataset, model, avg(value) as mean, stddev_samp(value) as sd from boot where b = 0 and metric = 'acc' group by all),
+ce as (select nt.dataset, nt.model, case when nt.model = best and tied = 0 then '**' when nt.model = best or p_holm is null or p_holm >= 0.05 then '_' else '' end as sign,
+  printf('%.4f', round(su.mean, 6)) || '±' || case when round(sd, 6) > 0 and round(sd, 6) < 0.0001 then '<0.0001' else printf('%.4f', round(sd, 6)) end || ' [' || printf('%.4f', round(lo, 6)) || ', ' || printf('%.4f', round(hi, 6)) || ']' as cell from nt join ci using (dataset, model) join su using (dataset, model))"""
+
+
+@query("with recursive " + _BOOT + ", " + _PAIR + ", " + _MAIN + """ select model, max(sign || cell || sign) filter (dataset = 'even') as even, max(sign || cell || sign) filter (dataset = 'odd') as odd from ce group by 1""")
+def report_cells(spark, d):
+    """The main table as it is shown: a row for each model, cells with mean, deviation, interval and mark."""
+    values = boot(spark, d)
+    ci = inference.intervals(values).where("metric = 'acc'")
+    tests = inference.pairwise(values).where("metric = 'acc'").select("dataset", "model_a", "model_b", F.col("p_holm").alias("p"))
+    marked = inference.marks(rounded(ci.select("dataset", "model", "mean"), "mean", digits=9), tests)
+    summary = rounded(report.seed_summary(values.where("b = 0 and metric = 'acc'")), "mean", "sd")
+    return report.main_table(summary, rounded(ci, "ci_low", "ci_high"), marked, ["even", "odd"])
+
+
 @query("with recursive " + _BOOT + ", " + _PAIR + """, mn as (select dataset, model, round(max(value) filter (b = 0), 9) as mean from sm where metric = 'acc' group by all),
 ci as (select dataset, model, quantile_cont(value, 0.025) as lo, quantile_cont(value, 0.975) as hi from sm where metric = 'acc' and b > 0 group by all),
 rk as (select *, row_number() over (partition by dataset order by mean desc, model) as place from mn), be as (select dataset, model as best from rk where place = 1),

@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .catalog import _BOOT, _COMPONENTS, KEYS, boot, features, pairs, predictions, probe_items, query, rounded
-from .functions.expressions import floating, let, norm, quantised, shown_p, unit_distance
-from .operators import dedup, index, inference, lifecycle, metrics, report, vectors
+from .catalog import _BOOT, _COMPONENTS, _GRID, boot, features, pairs, predictions, probe_items, query, regions, rounded
+from .functions.expressions import floating, let, norm, quantised, shown_p, total, unit_distance
+from .operators import dedup, index, inference, lifecycle, metrics, report, tiles, vectors
+from .plans import resume
 from .sources import runs, storage
 from .sources.storage import shared_dir, table
+from .streaming import shards
 
 
 def folder(spark, name: str) -> str:
@@ -100,13 +102,13 @@ def dup_pipeline(spark, d):
 # --- stores ----------------------------------------------------------------------------
 
 
-@query("""select vec_id as row_id, label, round(embedding[1]::double, 6) as first from embeddings""")
+@query("""select vec_id as row_id, label, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total, len(embedding)::int as dims from embeddings""")
 def features_loaded(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label", "embedding")
     path = folder(spark, "features")
     labels = rows.select("row_id", "label")
     runs.write_features(rows.select("row_id", "embedding"), path, index.content_hash(labels, "row_id", F.col("label")).first()["content_hash"])
-    return runs.load_features(spark, path, labels).select("row_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+    return runs.load_features(spark, path, labels).select("row_id", "label", F.round(total(F.transform("embedding", lambda x: x.cast("double"))), 4).alias("total"), F.size("embedding").alias("dims"))
 
 
 @query("with recursive " + _BOOT + """ select dataset, seed, model, metric, round(value, 6) as value from boot where b = 0""")
@@ -130,7 +132,8 @@ def predictions_read_back(spark, d):
     return rows.groupBy("dataset", "seed", "model").agg(F.round(F.avg((F.col("pred") == F.col("target")).cast("double")), 6).alias("acc"))
 
 
-@query("""select * from (values ('even', 'cls', 'fresh'), ('even', 'official', 'fresh'), ('even', 'patch_mean', 'missing'), ('odd', 'cls', 'stale'), ('odd', 'official', 'fresh'), ('odd', 'patch_mean', 'missing')) t(dataset, model, state)""")
+@query("with recursive " + _BOOT + """, st as (select dataset, model, metric, seed, value as now, case when model = 'cls' and dataset = 'odd' then value / 2 else value end as then_ from boot where b = 0)
+select dataset, model, case when model = 'patch_mean' then 'missing' when bool_and(printf('%.9f', now) = printf('%.9f', then_)) then 'fresh' else 'stale' end as state from st group by 1, 2""")
 def stats_freshness(spark, d):
     """Statistics of two of three models; one model's runs have changed since."""
     values = boot(spark, d)
@@ -222,9 +225,11 @@ def report_bars(spark, d):
     return rounded(report.bars(ci), "mean", "below", "above")
 
 
-@query("""with s as (select * from (values (0.0004, '<0.001'), (0.0123, '0.012'), (0.5, '0.500'), (1.0, '1.000')) t(p, text)) select p::double as p, text from s""")
+@query("""with t as (select l_returnflag as family, l_suppkey as test, round(count(*) / 4003.0, 6)::double as p from lineitem group by 1, 2)
+select family, test, p, case when p < 0.001 then '<0.001' else printf('%.3f', p) end as text from t""")
 def shown_p_values(spark, d):
-    return spark.createDataFrame([(0.0004,), (0.0123,), (0.5,), (1.0,)], "p double").withColumn("text", shown_p(F.col("p")))
+    tests = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.col("l_suppkey").alias("test")).agg(F.round(F.count("*") / 4003.0, 6).alias("p"))
+    return tests.withColumn("text", shown_p(F.col("p")))
 
 
 @query("""select a.vec_id as id, round(sqrt(greatest(0.0, 2 - 2 * round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9))), 6) as distance from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
@@ -236,11 +241,53 @@ def vector_distance(spark, d):
     return rows.join(after, "vec_id").select(F.col("vec_id").alias("id"), F.round(unit_distance(F.round(cosine(F.col("v"), F.col("w")), 9)), 6).alias("distance"))
 
 
-@query()
+@query("""select 'orders' as step, 'done' as state, count(*)::varchar as note from orders union all select 'labels', 'done', (select count(distinct label)::varchar from embeddings) union all select 'broken', 'failed', ''""")
 def report_ledger(spark, d):
-    """step, state, note of report steps of which one fails, and the versions of the software."""
-    steps = {"main": lambda: boot(spark, d).where("b = 0").count(), "broken": lambda: table(spark, d, "no_such_table").count(), "keys": lambda: len(KEYS)}
+    """step, state, note of report steps of which one fails; the others are done all the same."""
+    steps = {"orders": lambda: table(spark, d, "orders").count(), "broken": lambda: table(spark, d, "no_such_table").count(), "labels": lambda: table(spark, d, "embeddings").select("label").distinct().count()}
     done, notes = report.ledger(steps)
-    rows = [(n, "done", str(v)) for n, v in done.items()] + [(n, kind, "") for n, kind, _ in notes]
-    versions = report.environment(spark).first().asDict()
-    return spark.createDataFrame(rows + [(k, "version", v) for k, v in versions.items()], "step string, state string, note string")
+    return spark.createDataFrame([(n, "done", str(v)) for n, v in done.items()] + [(n, kind, "") for n, kind, _ in notes], "step string, state string, note string")
+
+
+# --- published units ----------------------------------------------------------------------
+
+
+@query("""select l_suppkey as k, l_returnflag as flag, count(*) as n, sum(l_quantity)::double as quantity from lineitem group by 1, 2""")
+def units_resumed(spark, d):
+    """Units (suppliers) of which some are there, some from other inputs and some not; a run makes the latter two, and a repeated run none."""
+    path = folder(spark, "resumed")
+    rows = table(spark, d, "lineitem").withColumn("k", F.col("l_suppkey").cast("long"))
+    make = lambda some: rows.join(some.select("k"), "k", "left_semi").groupBy("k", F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
+    wanted = rows.groupBy("k").agg(F.concat_ws(":", F.count("*"), F.max("l_orderkey")).alias("signature"))
+    half = wanted.where("k % 2 = 0")
+    old = half.withColumn("signature", F.when(F.col("k") % 4 == 0, "old").otherwise(F.col("signature")))
+    nothing = wanted.limit(0)
+    resume.run_pending(old, nothing, ["k"], lambda some: make(some).withColumn("n", F.when(F.col("k") % 4 == 0, F.lit(-1).cast("long")).otherwise(F.col("n"))), path)
+    done = lambda: resume.done_units(spark, path, "k long")
+    made = resume.run_pending(wanted, done(), ["k"], make, path)
+    if not made or resume.run_pending(wanted, done(), ["k"], make, path):
+        raise ValueError("pending units were not found")
+    return resume.results(spark, path).select("k", "flag", "n", "quantity")
+
+
+@query(_GRID + " select roi_row || '_' || x || '_' || y as path, roi_row, x::int as x, y::int as y from g")
+def tile_index_guarded(spark, d):
+    """The tile index, published with the hash of its paths, checked as it is read, and found by queries under its name."""
+    path = folder(spark, "tile-index")
+    grid = tiles.grid(regions(spark, d)).select(F.concat_ws("_", "roi_row", "x", "y").alias("path"), "roi_row", "x", "y")
+    place = (F.col("roi_row") * 1000 + F.floor((F.col("y") + 224) / 224) * 30 + F.floor((F.col("x") + 224) / 224)).cast("long")
+    runs.write_tile_index(grid.withColumn("row_id", place), path)
+    runs.load_tile_index(spark, path, "bracs_tiles")
+    return spark.sql("select path, roi_row, x, y from bracs_tiles")
+
+
+@query("""select label as bag, count(*) as n, round(avg(embedding[1]::double), 6) as first, round(avg(embedding[64]::double), 6) as last, round(avg(list_sum(list_transform(embedding, lambda x: x::double))), 5) as total from embeddings group by 1""")
+def pool_stream(spark, d):
+    """Mean vectors of bags whose shards arrive in two deliveries, of which one brings rows of the other again."""
+    source, target, log = (folder(spark, f"pool-{x}") for x in ("in", "out", "log"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("bag"), "embedding")
+    for part in ("vec_id % 3 <> 0", "vec_id % 3 <> 1"):
+        rows.where(part).write.mode("append").parquet(source)
+        shards.pool(spark, source, rows.schema, "bag", "vec_id", "embedding", target, log)
+    found = shards.pooled(spark, target, "bag", "v", rows.select("bag").distinct())
+    return found.select("bag", "n", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"), F.round(total("v"), 5).alias("total"))

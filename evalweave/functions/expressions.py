@@ -105,9 +105,9 @@ def is_tissue(r: Column, g: Column, b: Column) -> Column:
 
 
 def shown(value: Column, digits: int = 4) -> Column:
-    """Fixed decimals; values that aren't finite as two dashes."""
+    """Fixed decimals of the exact binary value; values that aren't finite as two dashes."""
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return F.when(finite, F.format_string(f"%.{digits}f", value)).otherwise("--")
+    return F.when(finite, F.translate(F.format_number(value, digits), ",", "")).otherwise("--")
 
 
 def shown_sd(value: Column) -> Column:

@@ -234,9 +234,9 @@ def average_ranks(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.withColumn("rank", F.rank().over(W.partitionBy(*by).orderBy(F.desc("value"))) + (ties - 1) / 2).withColumn("ties", ties)
 
 
-def friedman(scores: DataFrame) -> DataFrame:
-    """n, k, statistic (corrected for ties), p of the Friedman test over datasets that have every model; scores: dataset, model, value."""
-    models = scores.select("model").distinct().count()
+def friedman(scores: DataFrame, models: int | None = None) -> DataFrame:
+    """n, k, statistic (corrected for ties), p of the Friedman test over datasets that have every model (``models`` of them); scores: dataset, model, value."""
+    models = models or scores.select("model").distinct().count()
     complete = scores.groupBy("dataset").agg(F.countDistinct("model").alias("m")).where(F.col("m") == models).select("dataset")
     ranked = average_ranks(scores.join(complete, "dataset"), ["dataset"])
     sizes = ranked.agg(F.countDistinct("dataset").cast("double").alias("n"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"))
@@ -250,6 +250,26 @@ def friedman(scores: DataFrame) -> DataFrame:
     return scores.sparkSession.createDataFrame(found, "n long, k long, statistic double, p double")
 
 
+def friedman_by_task(scores: DataFrame, ordinal: DataFrame) -> DataFrame:
+    """task (categorical, ordinal, all), n, k, statistic, p: the test over the datasets of each kind; those of ``ordinal`` (dataset) have ordered classes."""
+    kinds = {"categorical": scores.join(ordinal, "dataset", "left_anti"), "ordinal": scores.join(ordinal, "dataset", "left_semi"), "all": scores}
+    # all models count, whatever kind they occur in
+    models = scores.select("model").distinct().count()
+    out = None
+    for task, rows in kinds.items():
+        part = friedman(rows, models).select(F.lit(task).alias("task"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def official(values: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """Replicates of the smallest seed for datasets whose seeds have the same point estimates, as official partitions do; those of all seeds elsewhere."""
+    spread = values.where("b = 0").groupBy("dataset", "model", "metric").agg((F.coalesce(F.max("value") - F.min("value"), F.lit(0.0)) + F.when((F.count("value") > 0) & (F.count("value") < F.count("*")), 1.0).otherwise(0.0)).alias("spread"))
+    same = spread.groupBy("dataset").agg((F.max("spread") <= tolerance).alias("same"))
+    first = values.groupBy("dataset").agg(F.min("seed").alias("first"))
+    return values.join(same.join(first, "dataset"), "dataset").where(~F.col("same") | (F.col("seed") == F.col("first"))).drop("same", "first")
+
+
 def nemenyi_distance(models: int, datasets: int) -> float | None:
     q = NEMENYI_Q.get(models)
     return None if q is None or not datasets else q * (models * (models + 1) / (6 * datasets)) ** 0.5

@@ -17,9 +17,10 @@ def seed_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("dataset", "model", "metric").agg(F.avg(value).alias("mean"), F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("sd"), F.count(value).alias("n_seeds"))
 
 
-def cells(summary: DataFrame) -> DataFrame:
+def cells(summary: DataFrame, digits: int = 4) -> DataFrame:
     """Adds text: mean and deviation as shown in a table."""
-    text = F.when(F.col("n_seeds") > 1, F.concat(shown(F.col("mean")), F.lit("±"), shown_sd(F.col("sd")))).otherwise(shown(F.col("mean")))
+    mean = shown(F.col("mean"), digits)
+    text = F.when(F.col("n_seeds") > 1, F.concat(mean, F.lit("±"), shown_sd(F.col("sd")))).otherwise(mean)
     return summary.withColumn("text", text)
 
 
@@ -28,6 +29,19 @@ def wide(rows: DataFrame, row: list[str], column: str, value: str, values: list[
     return rows.groupBy(*row).agg(*(F.max(F.when(F.col(column) == v, F.col(value))).alias(v) for v in values))
 
 
+def main_table(summary: DataFrame, intervals: DataFrame, marked: DataFrame, datasets: list[str], digits: int = 4) -> DataFrame:
+    """A row for each model, a column for each dataset: mean, deviation over seeds and interval, marked as the tests say; a missing cell is two dashes.
+
+    summary: dataset, model, mean, sd, n_seeds; intervals: dataset, model, ci_low, ci_high; marked: dataset, model, mark.
+    """
+    keys = ["dataset", "model"]
+    joined = cells(summary, digits).join(intervals.select(*keys, "ci_low", "ci_high"), keys, "left").join(marked.select(*keys, "mark"), keys, "left")
+    between = F.when(F.col("ci_low").isNotNull(), F.concat(F.lit(" ["), shown(F.col("ci_low"), digits), F.lit(", "), shown(F.col("ci_high"), digits), F.lit("]"))).otherwise("")
+    sign = F.when(F.col("mark") == "bold", "**").when(F.col("mark") == "under", "_").otherwise("")
+    found = wide(joined.withColumn("cell", F.concat(sign, "text", between, sign)), ["model"], "dataset", "cell", datasets)
+    return found.select("model", *(F.coalesce(F.col(f"`{x}`"), F.lit("--")).alias(x) for x in datasets))
+
+
 def agreement(variant: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """keys, agreement of predictions, mean and least cosine of vectors; both sides: keys, row_id, pred, v."""
     a, b = (t.select(*keys, "row_id", F.col("pred").alias(f"pred_{x}"), F.col("v").alias(f"v_{x}")) for t, x in ((variant, "a"), (reference, "b")))
