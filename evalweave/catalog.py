@@ -952,7 +952,7 @@ def stream_shards(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 4).alias("label"), "embedding")
     rows.repartitionByRange(4, "vec_id").write.parquet(f"{base}/source")
     shards.ingest(spark, f"{base}/source", rows.schema, f"{base}/target", f"{base}/log")
-    return shards.pooled(spark, f"{base}/target", "label", "embedding").select("label", "n")
+    return shards.sizes(spark, f"{base}/target", "label", "embedding").select("label", "n")
 
 
 from . import catalog_stores  # noqa: E402, F401  registers its queries

@@ -42,7 +42,8 @@ def resamples(predictions: DataFrame, replicates: int) -> DataFrame:
                 keys = [pa.array([batch.column(k)[i].as_py()] * len(some), schema.field(name).type) for k, name in enumerate(("dataset", "seed", "grp"))]
                 yield pa.RecordBatch.from_arrays([keys[0], keys[1], pa.array(some + 1, pa.int32()), keys[2], pa.array(w[some].astype(np.float64))], schema=schema)
 
-    return draws.resampled(predictions, replicates).mapInArrow(run, "dataset string, seed long, b int, grp string, w double")
+    found = draws.resampled(predictions, replicates).mapInArrow(run, "dataset string, seed long, b int, grp string, w double")
+    return found.withColumn("seed", F.col("seed").cast(predictions.schema["seed"].dataType))
 
 
 def weighed(rows: pa.Table) -> np.ndarray:

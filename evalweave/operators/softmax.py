@@ -29,6 +29,7 @@ from ..sources.storage import written
 #: Rows whose products are held at a time.
 ROWS = 2048
 MEMORY = 20
+FEW = 16
 MOST_PASSES = 5000
 TOLERANCE = 1e-10
 
@@ -58,10 +59,11 @@ def matrix(vectors: pa.ListArray) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
-def summed(rows: DataFrame, part: Callable[[int, np.ndarray, np.ndarray], dict[int, np.ndarray]]) -> dict[tuple[int, int], np.ndarray]:
+def summed(rows: DataFrame, part: Callable[[int, np.ndarray, np.ndarray], dict[int, np.ndarray]], tasks: int) -> dict[tuple[int, int], np.ndarray]:
     """Sums over all rows (unit, label, v) of what ``part`` gives for slices of one unit: arrays by number.
 
-    Each task sends one row for each unit and number; they are added up by the executors.
+    Each task sends one row for each unit and number; they are added up by the executors, or by the
+    driver where there are ``FEW`` tasks at most.
     """
     schema = pa.schema([("unit", pa.int32()), ("part", pa.int32()), ("total", pa.list_(pa.float64()))])
 
@@ -78,7 +80,14 @@ def summed(rows: DataFrame, part: Callable[[int, np.ndarray, np.ndarray], dict[i
         for (u, k), x in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([u], pa.int32()), pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], schema=schema)
 
-    parts = rows.mapInArrow(run, "unit int, part int, total array<double>").select("unit", "part", array_to_vector("total").alias("total"))
+    parts = rows.mapInArrow(run, "unit int, part int, total array<double>")
+    if tasks <= FEW:
+        out: dict[tuple[int, int], np.ndarray] = {}
+        for r in parts.collect():
+            key, x = (r["unit"], r["part"]), np.array(r["total"])
+            out[key] = out[key] + x if key in out else x
+        return out
+    parts = parts.select("unit", "part", array_to_vector("total").alias("total"))
     # a row for each unit and value of C, as wide as its weights
     found = parts.groupBy("unit", "part").agg(vector_to_array(Summarizer.sum(F.col("total"))).alias("total")).collect()
     return {(r["unit"], r["part"]): np.array(r["total"]) for r in found}
@@ -147,7 +156,8 @@ def fit(items: DataFrame, keys: list[str], grid: Sequence[float] | Mapping[tuple
     units, rows = numbered(items.where(F.col("v").isNotNull() & F.col("label").isNotNull()), keys)
     rows = written(rows.select("unit", F.col("label").cast("int").alias("label"), F.col("v").cast("array<double>").alias("v")), "probe-rows")
     labels = {r["unit"]: r["k"] for r in rows.groupBy("unit").agg((F.max("label") + 1).alias("k")).collect()}
-    sums = {u: x for (u, _), x in summed(rows, lambda u, x, y: {0: np.append(x.sum(0), len(x))}).items()}
+    tasks = rows.rdd.getNumPartitions()
+    sums = {u: x for (u, _), x in summed(rows, lambda u, x, y: {0: np.append(x.sum(0), len(x))}, tasks).items()}
     n = {u: x[-1] for u, x in sums.items()}
     mean = {u: x[:-1] / x[-1] for u, x in sums.items()}
 
@@ -155,7 +165,7 @@ def fit(items: DataFrame, keys: list[str], grid: Sequence[float] | Mapping[tuple
         z = x - mean[u]
         return {0: (z.T @ z).ravel()}
 
-    gram = {u: g.reshape(len(mean[u]), -1) for (u, _), g in summed(rows, centred).items()}
+    gram = {u: g.reshape(len(mean[u]), -1) for (u, _), g in summed(rows, centred, tasks).items()}
     sd = {u: np.maximum(np.sqrt(np.diag(g) / (n[u] - 1)) if n[u] > 1 else np.ones(len(g)), 1e-6) for u, g in gram.items()}
     work: dict[tuple[int, int], Descent] = {}
     values = {u: list(grid[units[u]] if isinstance(grid, Mapping) else grid) for u in labels}
@@ -184,7 +194,7 @@ def fit(items: DataFrame, keys: list[str], grid: Sequence[float] | Mapping[tuple
 
         used = sorted({u for u, _ in live})
         some = rows if len(used) == len(units) else rows.where(F.col("unit").isin(used))
-        for key, total in summed(some, part).items():
+        for key, total in summed(some, part, tasks).items():
             work[key].look(float(total[0]), total[1:].reshape(work[key].trial.shape))
         shared.destroy()
     if not all(d.done for d in work.values()):

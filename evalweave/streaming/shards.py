@@ -14,6 +14,11 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, target: str,
     query.awaitTermination()
 
 
+def sizes(spark: SparkSession, target: str, key: str, vector: str) -> DataFrame:
+    """Rows and length of vectors of what has arrived, by key."""
+    return spark.read.parquet(target).groupBy(key).agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dims"))
+
+
 def pool(spark: SparkSession, source: str, schema: T.StructType, key: str, row: str, vector: str, target: str, checkpoint: str) -> None:
     """Add all shards that have arrived to the running sums of their bags.
 

@@ -295,8 +295,10 @@ def test_probe_life(spark):
     assert rounded_.count() == 2 * test.sum() and all(np.allclose(same[i], got[i]) for i in got)
 
 
-def test_passes_as_one_matrix(spark):
+@pytest.mark.parametrize("few", [0, 16])
+def test_passes_as_one_matrix(spark, monkeypatch, few):
     """Units of other widths and classes, all in the same passes over 7 partitions, against the plain solver; every batch is cut."""
+    monkeypatch.setattr(softmax, "FEW", few)
     rng = np.random.default_rng(5)
     rows, data = [], {}
     for unit, (n, d, k) in enumerate([(150, 4, 3), (90, 2, 2), (60, 6, 4)]):
