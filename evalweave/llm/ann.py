@@ -4,7 +4,8 @@ One more dimension turns the largest inner product into the smallest distance:
 rows get what their length lacks to the largest one, queries get 0.  Rows go to
 the list of their nearest centroid.  Lists are packed into cells of bounded
 size; a list of many rows is dealt over several cells.  A query visits the cells
-of its ``probes`` nearest lists, in blocks of at most ``QUERY_ROWS`` queries.
+of its ``probes`` nearest lists, in blocks of about ``QUERY_ROWS`` queries of near
+lists; a cell is sent to the blocks that visit it and to no others.
 There all vectors are turned by one random rotation and laid out in blocks of
 columns.  Each query scans its nearest list first, which gives it a limit; then
 each list is scanned for all its queries together: after each block of columns,
@@ -291,21 +292,35 @@ def search_cell(index: Index, lists: np.ndarray, ids: np.ndarray, rows: np.ndarr
     return query_ids[q], found.ids[q, place], found.scores[q, place]
 
 
+def near_blocks(centroids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A group of near lists for each list, and of each group its first block of queries and the number of its blocks."""
+    groups = int(min(max(1, -(-int(queries.sum()) // QUERY_ROWS)), max(1, len(centroids))))
+    group = np.zeros(len(centroids), np.int64)
+    if groups > 1:
+        middles = k_means(centroids, groups)
+        group = np.argmin((middles * middles).sum(1) - 2 * (centroids @ middles.T), 1)
+    parts = np.maximum(1, -(-np.bincount(group, queries, groups).astype(np.int64) // QUERY_ROWS))
+    return group, np.cumsum(parts) - parts, parts
+
+
 def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query, those rows whose id ``every`` divides."""
     spark = embeddings.sparkSession
     index, listed = build(spark, vectors(embeddings), k)
     shared = spark.sparkContext.broadcast(index)
-    blocks = max(1, -(-listed.where(F.col("vec_id") % every == 0).count() // QUERY_ROWS))
-    cell_schema = pa.schema([("cell", pa.int64()), ("block", pa.int64()), ("list", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary())])
+    asking = listed.where(F.col("vec_id") % every == 0)
+    counts = np.zeros(len(index.centroids), np.int64)
+    for r in asking.groupBy("list").count().collect():  # a row for each list: at most SAMPLE / 8
+        counts[r["list"]] = r["count"]
+    group, first, parts = near_blocks(index.centroids, counts)
+    cell_schema = pa.schema([("cell", pa.int64()), ("list", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary())])
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             # rows of a long list are dealt over its cells by id
             cells = pa.array(shared.value.first_cell[lists] + (ids * np.int64(0x9E3779B1) >> np.int64(7)) % shared.value.n_cells[lists])
-            for block in range(blocks):
-                yield pa.RecordBatch.from_arrays([cells, pa.array(np.full(len(ids), block)), *batch.columns], schema=cell_schema)
+            yield pa.RecordBatch.from_arrays([cells, *batch.columns], schema=cell_schema)
 
     query_schema = pa.schema([("cell", pa.int64()), ("block", pa.int64()), ("query_id", pa.int64()), ("v", pa.binary())])
 
@@ -314,11 +329,12 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            probed = ix.probed(ix.turned(matrix(batch.column(1)), query=True), k)
+            probed = ix.probed(ix.turned(matrix(batch.column(2)), query=True), k)
             cells = [np.unique(np.concatenate([np.arange(ix.first_cell[x], ix.first_cell[x] + ix.n_cells[x]) for x in lists])) for lists in probed]
             at = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-            block = (batch.column(0).to_numpy() // every % blocks)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(block), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], schema=query_schema)
+            own = group[batch.column(0).to_numpy()]
+            block = (first[own] + batch.column(1).to_numpy() // every % parts[own])[at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(block), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], schema=query_schema)
 
     def visit(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
@@ -327,8 +343,9 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             found = search_cell(shared.value, rows.column("list").to_numpy(), rows.column("vec_id").to_numpy(), matrix(rows.column("v")), queries.column("query_id").to_numpy(), matrix(queries.column("v")), k)
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "score"), found, (pa.int64(), pa.int64(), pa.float64()))})
 
-    cells = listed.mapInArrow(tidied(to_cells), "cell long, block long, list long, vec_id long, v binary")
-    visits = listed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(tidied(to_visits), "cell long, block long, query_id long, v binary")
+    visits = written(asking.select("list", "vec_id", "v").mapInArrow(tidied(to_visits), "cell long, block long, query_id long, v binary"), "visits")
+    visited = written(visits.select("cell", "block").distinct(), "visited-cells")
+    cells = listed.mapInArrow(tidied(to_cells), "cell long, list long, vec_id long, v binary").join(visited, "cell").select("cell", "block", "list", "vec_id", "v")
     found = cells.groupBy("cell", "block").cogroup(visits.groupBy("cell", "block")).applyInArrow(visit, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
