@@ -164,9 +164,10 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
         if doc_ids:
             yield close()
 
-    packed = tokens.where("counts is null").select("doc_id", "tie", "ids").mapInArrow(tidied(pack_docs), "doc_id long, tie long, n long, control binary, data binary")
-    ordered = packed.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    blocks = ordered.mapInArrow(tidied(make_blocks), "shard long, block long, ids_before long, doc_ids array<long>, counts array<long>, control binary, data binary")
+    # ids are packed after they have been dealt, as dealing by range runs what comes before it twice
+    keys = (F.col("doc_id").asc_nulls_first(), F.col("tie").asc())
+    ordered = tokens.where("counts is null").select("doc_id", "tie", "ids").repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    blocks = ordered.mapInArrow(tidied(lambda batches: make_blocks(pack_docs(batches))), "shard long, block long, ids_before long, doc_ids array<long>, counts array<long>, control binary, data binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
     shared.unpersist()
 
