@@ -210,6 +210,9 @@ def write_units(rows: DataFrame, path: str, unit: str | None, signature: str | N
     rows.sparkSession.dataSource.register(Units)
     if order:
         rows = rows.repartitionByRange(order).sortWithinPartitions(order)
+    elif unit:
+        # few files of a unit; a large unit is still cut, a task for each part
+        rows = rows.hint("rebalance", unit)
     given = {"path": path, "unit": unit, "signature": signature, "signed": signed, "order": order, "shard": shard}
     rows.write.format("units").mode("append").options(**{k: v for k, v in given.items() if v is not None}).save()
 
