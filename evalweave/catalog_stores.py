@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _BOOT, _COMPONENTS, _GRID, boot, features, pairs, predictions, probe_items, query, regions, rounded
 from .functions.expressions import floating, let, norm, quantised, shown_p, total, unit_distance
-from .operators import dedup, index, inference, lifecycle, metrics, report, tiles, vectors
+from .operators import dedup, index, inference, lifecycle, metrics, quantiles, report, splits, tiles, vectors
 from .plans import resume
 from .sources import runs, storage
 from .sources.storage import shared_dir, table
@@ -291,3 +291,79 @@ def pool_stream(spark, d):
         shards.pool(spark, source, rows.schema, "bag", "vec_id", "embedding", target, log)
     found = shards.pooled(spark, target, "bag", "v", rows.select("bag").distinct())
     return found.select("bag", "n", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"), F.round(total("v"), 5).alias("total"))
+
+
+# --- protocol variants, look-ups, further frames ------------------------------------------
+
+
+@query("""with a as (select doc_id as row_id, lang as label, row_number() over (partition by lang order by md5('7:' || doc_id), doc_id) <= floor(count(*) over (partition by lang) * 0.2 + 0.5) as test from documents),
+b as (select *, row_number() over (partition by label order by md5('7:val:' || row_id), row_id) <= floor(count(*) over (partition by label) * 0.2 + 0.5) as val from a where not test)
+select row_id, label, 'test' as part from a where test union all select row_id, label, case when val then 'val' else 'train' end from b""")
+def split_image(spark, d):
+    """Documents split row by row, their sources ignored."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), F.col("source").alias("grp"))
+    return splits.image_split(rows, 7).select("row_id", "label", "part")
+
+
+@query("""with r as (select l_orderkey, l_linenumber, l_linestatus as signature, l_returnflag as grid, case when l_linenumber < 4 then case when l_suppkey % 2 = 0 then 'auc' else 'logloss' end end as selection, case when l_linenumber % 2 = 0 then 'image' end as split, (l_quantity * 100)::int as max_iter, [l_linenumber * 300, l_suppkey * 20] as iterations from lineitem)
+select l_orderkey, l_linenumber::int as l_linenumber from r where signature = 'O' and grid = 'N' and coalesce(selection, 'auc') = 'auc' and coalesce(split, 'grouped') = 'grouped' and (max_iter >= 3000 or list_max(iterations) < max_iter)""")
+def units_done(spark, d):
+    """Lines as run records: those of the present inputs and protocol whose fits all converged."""
+    n = F.col("l_linenumber")
+    r = table(spark, d, "lineitem").select("l_orderkey", n.cast("int").alias("l_linenumber"), F.col("l_linestatus").alias("signature"), F.col("l_returnflag").alias("grid"), F.when(n < 4, F.when(F.col("l_suppkey") % 2 == 0, "auc").otherwise("logloss")).alias("selection"), F.when(n % 2 == 0, "image").alias("split"), (F.col("l_quantity") * 100).cast("int").alias("max_iter"), F.array((n * 300).cast("long"), (F.col("l_suppkey") * 20).cast("long")).alias("iterations"))
+    return lifecycle.finished(r, F.lit("O"), F.lit("N"), "auc", "grouped", 3000).select("l_orderkey", "l_linenumber")
+
+
+@query(_GRID + """, each as (select roi_row, roi_row % 3 as class, roi_row % 2 as part, count(*) as tiles from g group by 1, 2, 3)
+select class, part, count(*) as regions, sum(tiles)::bigint as tiles, quantile_cont(tiles, 0.5) as median, round(avg(tiles), 2) as mean from each group by 1, 2""")
+def tile_counts(spark, d):
+    """Tiles of regions by class and part: sum, median, mean."""
+    each = tiles.grid(regions(spark, d)).groupBy("roi_row").agg(F.count("*").alias("tiles")).withColumns({"class": F.col("roi_row") % 3, "part": F.col("roi_row") % 2})
+    sums = each.groupBy("class", "part").agg(F.count("*").alias("regions"), F.sum("tiles").alias("tiles"), F.round(F.avg("tiles"), 2).alias("mean"))
+    middle = quantiles.quantiles(each, ["class", "part"], "tiles", (0.5,)).select("class", "part", F.get("values", F.lit(0)).alias("median"))
+    return sums.join(middle, ["class", "part"])
+
+
+@query(_GRID + " select roi_row, x::int as x, y::int as y from g qualify row_number() over (partition by roi_row order by y, x) = 1")
+def first_tiles(spark, d):
+    """The first tile of each region in raster order."""
+    one = tiles.grid(regions(spark, d)).groupBy("roi_row").agg(F.min(F.struct("y", "x")).alias("t"))
+    return one.select("roi_row", F.col("t.x").alias("x"), F.col("t.y").alias("y"))
+
+
+@query("""select lang, source, count(*) as n from (select lang, source, doc_id from documents where doc_id % 3 > 0 union select lang, source, doc_id from documents where doc_id % 2 = 0) group by 1, 2""")
+def union_distinct(spark, d):
+    """Two overlapping tables one after the other, repeated rows dropped."""
+    rows = table(spark, d, "documents").select("lang", "source", "doc_id")
+    both = rows.where("doc_id % 3 > 0").unionByName(rows.where("doc_id % 2 = 0")).dropDuplicates()
+    return both.groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("""with t as (select vec_id, list_transform(range(0, 8), lambda i: list_transform(embedding[i * 8 + 1:i * 8 + 8], lambda x: x::double)) as t from embeddings)
+select vec_id, list_transform(list_concat(t[1], list_transform(range(1, 9), lambda j: (t[3][j] + t[4][j] + t[5][j] + t[6][j] + t[7][j] + t[8][j]) / 6)), lambda x: round(x, 6)) as v from t""")
+def token_features(spark, d):
+    """Vectors as eight tokens, of which the first is the class token and the second a register."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 8 + 1, F.lit(8)))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(vectors.token_features(tokens, 2), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("with recursive " + _BOOT + """ select dataset, seed, model, metric, round(value, 6) as value from boot where b = 0 and dataset = 'odd' and seed = 43 and model = 'cls' and metric = 'auc'""")
+def record_lookup(spark, d):
+    """One run record by its key."""
+    found = runs.record_of(boot(spark, d).where("b = 0").drop("b"), dataset="odd", seed=43, model="cls", metric="auc")
+    return rounded(found.select("dataset", "seed", "model", "metric", "value"), "value")
+
+
+@query("""with b as (select doc_id // 1024 as block, sha256(string_agg(source || ':' || lang, chr(10) order by doc_id, source || ':' || lang) || chr(10)) as digest from documents group by 1),
+h as (select sha256(string_agg(digest, chr(10) order by block) || chr(10)) as h from b) select substr(sha256('probe' || chr(10) || '0.1' || chr(10) || h), 1, 16) as signature from h""")
+def external_signature(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("source").alias("path"), F.col("lang").alias("label"))
+    return index.external_signature(rows, "probe", 0.1)
+
+
+@query("with recursive " + _BOOT + """, m as (select dataset, model, avg(value) as mean from boot where b = 0 and metric = 'acc' and model <> 'official' group by all)
+select model, round(max(mean) filter (dataset = 'even'), 6) as even, round(max(mean) filter (dataset = 'odd'), 6) as odd from m group by 1""")
+def report_additional(spark, d):
+    """Models beside the main ones."""
+    summary = report.seed_summary(boot(spark, d).where("b = 0 and metric = 'acc'"))
+    return rounded(report.additional_models(summary, ["official"], ["even", "odd"]), "even", "odd")

@@ -88,3 +88,9 @@ def data_signature(index: DataFrame, threshold: float | None) -> DataFrame:
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Units that aren't done with an equal signature."""
     return wanted.join(done.select(*keys, "signature"), [*keys, "signature"], "left_anti")
+
+
+def external_signature(external: DataFrame, probe_signature: str, c: float) -> DataFrame:
+    """Sixteen digits over a probe's signature, its C, and path and label of an external set (row_id, path, label) in order."""
+    rows = content_hash(external, "row_id", F.concat_ws(":", "path", F.col("label").cast("string")))
+    return rows.select(F.substring(F.sha2(F.concat_ws("\n", F.lit(probe_signature), F.lit(repr(c)), "content_hash"), 256), 1, 16).alias("signature"))

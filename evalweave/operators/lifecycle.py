@@ -54,3 +54,15 @@ def precisions(items: DataFrame, stored: DataFrame, keys: list[str], kinds: dict
     turned = F.explode(F.array(*(F.struct(F.lit(name).alias("kind"), f(F.col("v")).alias("v")) for name, f in kinds.items())))
     new = items.where("part = 'test'").withColumn("x", turned).withColumns({"kind": F.col("x.kind"), "v": F.col("x.v")}).drop("x")
     return softmax.score(new, keys, probes, ["kind"]).select(*keys, "kind", "row_id", "target", "probs")
+
+
+def finished(records: DataFrame, signature: Column, grid: Column, selection: str, split: str, cap: int) -> DataFrame:
+    """Run records (signature, grid, selection, split, max_iter, iterations) that count as done.
+
+    They are of the present inputs, grid, selection and kind of split (older records lack the last two: auc,
+    grouped), and no fit of theirs stopped at a lower cap of iterations than ``cap``.
+    """
+    same = (F.col("signature") == signature) & (F.col("grid") == grid)
+    kind = (F.coalesce("selection", F.lit("auc")) == selection) & (F.coalesce("split", F.lit("grouped")) == split)
+    limit = F.coalesce("max_iter", F.lit(1000))
+    return records.where(same & kind & ((limit >= cap) | (F.array_max("iterations") < limit)))

@@ -42,6 +42,11 @@ def main_table(summary: DataFrame, intervals: DataFrame, marked: DataFrame, data
     return found.select("model", *(F.coalesce(F.col(f"`{x}`"), F.lit("--")).alias(x) for x in datasets))
 
 
+def additional_models(summary: DataFrame, known: list[str], datasets: list[str]) -> DataFrame:
+    """A row for each model beside the known ones, a column with the mean for each dataset."""
+    return wide(summary.where(~F.col("model").isin(known)), ["model"], "dataset", "mean", datasets)
+
+
 def agreement(variant: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """keys, agreement of predictions, mean and least cosine of vectors; both sides: keys, row_id, pred, v."""
     a, b = (t.select(*keys, "row_id", F.col("pred").alias(f"pred_{x}"), F.col("v").alias(f"v_{x}")) for t, x in ((variant, "a"), (reference, "b")))

@@ -68,6 +68,13 @@ def split_rows(items: DataFrame, seed: int, official: bool = False) -> DataFrame
     return group_split(items, seed) if row["any"] and row["n"] > 1 else stratified_split(items, seed)
 
 
+def image_split(items: DataFrame, seed: int, official: bool = False) -> DataFrame:
+    """The stratified split of single rows, whatever their groups, which shows what leakage does; official parts have none."""
+    if official:
+        raise ValueError("an official partition has no split by rows")
+    return split_rows(items.withColumn("grp", F.lit("")), seed)
+
+
 def manifest(index: DataFrame, parts: DataFrame) -> DataFrame:
     """All rows of the index with their part; rows that weren't split are excluded."""
     return index.join(parts.select("row_id", "part"), "row_id", "left").withColumn("part", F.coalesce("part", F.lit("excluded")))

@@ -78,6 +78,14 @@ def nearest(rows: DataFrame, k: int, block_rows: int = 4096, owner: str | None =
     return neighbours.search(rows, k, block_rows, owner, permutations).rows
 
 
+def token_features(tokens: Column, prefix: int = 1) -> Column:
+    """The first of some token vectors, and the mean of those after the ``prefix`` first ones, in one vector."""
+    patches = F.slice(tokens, F.lit(prefix + 1), F.greatest(F.size(tokens) - prefix, F.lit(0)))
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: x * 0.0)
+    total = F.aggregate(patches, zero, lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+    return F.concat(F.get(tokens, F.lit(0)), F.transform(total, lambda x: F.try_divide(x, F.size(patches))))
+
+
 def ratio_test(top_two: DataFrame, ratio: float = 0.8) -> DataFrame:
     """id, other, d1, d2, kept: nearest and second distance of unit vectors, and whether the first is clearly nearer."""
     distance = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity")))

@@ -41,6 +41,16 @@ def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     return rows.where("x._corrupt is null").select(*UNIT, *(f"x.{f.name}" for f in kept)), rows.where("x._corrupt is not null").select("path", "value")
 
 
+def record_of(records: DataFrame, **key) -> DataFrame:
+    """The one record of a key; none or several are an error when it is read."""
+    found = records
+    for name, value in key.items():
+        found = found.where(F.col(name) == value)
+    n = found.agg(F.count("*").alias("_n"))  # one row
+    checked = n.select(F.when(F.col("_n") == 1, F.lit(0)).otherwise(F.raise_error(F.concat(F.lit(f"not exactly one record of {key}: "), F.col("_n").cast("string"))).cast("int")).alias("_odd"))
+    return checked.where("_odd = 0").join(found).drop("_odd")
+
+
 def write_features(features: DataFrame, path: str, index_hash: str, shard_rows: int = 4096) -> None:
     """Shards of features and, when they are complete, a mark with the hash of the index they were made from."""
     write_shards(features, f"{path}/shards", shard_rows)

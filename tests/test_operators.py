@@ -512,6 +512,20 @@ def test_raster_as_plain_counting(spark):
     assert shares.tissue_frac == want[3, 0, 0] / 100
 
 
+def test_variants_of_the_protocol(spark):
+    rows = spark.createDataFrame([(i, "g", i % 2, "train") for i in range(20)], "row_id long, grp string, label int, part string")
+    assert {r.part for r in splits.image_split(rows, 1).collect()} == {"train", "val", "test"}
+    with pytest.raises(ValueError, match="official"):
+        splits.image_split(rows, 1, official=True)
+    records = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.6), ("b", 1, 0.7)], "model string, seed int, value double")
+    assert runs.record_of(records, model="a").first().value == 0.5
+    for model in ("b", "none"):
+        with pytest.raises(Exception, match="not exactly one record"):
+            runs.record_of(records, model=model).collect()
+    done = spark.createDataFrame([(1, "s", "g", None, None, None, [900, 20]), (2, "s", "g", None, None, None, [1000]), (3, "s", "g", "auc", "grouped", 5000, [5000]), (4, "s", "g", "logloss", None, 5000, [1]), (5, "old", "g", None, None, 5000, [1]), (6, "s", "g", None, "image", 5000, [1])], "k int, signature string, grid string, selection string, split string, max_iter int, iterations array<int>")
+    assert sorted(r.k for r in lifecycle.finished(done, F.lit("s"), F.lit("g"), "auc", "grouped", 5000).collect()) == [1, 3]
+
+
 def unit_rows(spark, n=300):
     return spark.range(n).select(F.col("id").alias("row_id"), F.when(F.col("id") % 4 > 0, (F.col("id") % 4).cast("string")).alias("model"), F.array(F.col("id").cast("double")).alias("v"))
 
