@@ -654,6 +654,12 @@ def test_selection(spark):
     assert probe.best_epoch(history, ["model"], patience=2).first().best_epoch == 1
 
 
+def test_negative_zeros_stay(spark):
+    """Small negative cells round to negative zeros, as in SQL."""
+    row = spark.createDataFrame([([-1e-9, 1e-9, -0.0, -0.25, None],)], "v array<double>").select(X.rounded_each(F.col("v"), 5)).first()[0]
+    assert [math.copysign(1, x) for x in row[:4]] == [-1, 1, -1, -1] and row[3:] == [-0.25, None]
+
+
 def test_attention_padding_free():
     rng = np.random.default_rng(4)
     v, u, w, bag = rng.normal(size=(4, 3)), rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=(6, 4))
