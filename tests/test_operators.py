@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evalweave import catalog
 from evalweave.functions import expressions as X
 from evalweave.operators import attention, dedup, draws, geometry, graph, index, inference, lifecycle, metrics, neighbours, probe, quantiles, raster, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
@@ -654,6 +655,17 @@ def test_selection(spark):
     assert probe.best_epoch(history, ["model"], patience=2).first().best_epoch == 1
 
 
+def test_means_have_no_order(spark):
+    """Means that lie on a tie are the same whatever the order of rows: 0.05375 is rounded up."""
+    values = [0.01, 0.1, 0.07, 0.035] * 250
+    for some in (values, values[::-1], sorted(values)):
+        rows = spark.createDataFrame([(x,) for x in some], "x double").coalesce(1)
+        assert rows.agg(catalog.exact_mean("x", 4)).first()[0] == 0.0538
+    odd = spark.createDataFrame([(1, 0.5), (1, float("nan")), (2, None), (3, -0.00005), (3, None)], "k int, x double")
+    got = {r.k: r.m for r in odd.groupBy("k").agg(catalog.exact_mean("x", 4).alias("m")).collect()}
+    assert math.isnan(got[1]) and got[2] is None and got[3] == -0.0001
+
+
 def test_negative_zeros_stay(spark):
     """Small negative cells round to negative zeros, as in SQL."""
     row = spark.createDataFrame([([-1e-9, 1e-9, -0.0, -0.25, None],)], "v array<double>").select(X.rounded_each(F.col("v"), 5)).first()[0]
