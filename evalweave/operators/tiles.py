@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import is_tissue
+from ..functions.expressions import is_tissue, let
 
 TILE = 224
 TISSUE_MIN = 0.10
@@ -49,13 +49,13 @@ def kept_tiles(tiles: DataFrame, key: str, fraction: str = "tissue_frac", least:
 
 
 def pixel_fractions(pixels: Column) -> Column:
-    """Shares of tissue, black and white pixels of an array of r, g, b, to four decimals."""
-    share = lambda test: F.round(F.try_divide(F.size(F.filter(pixels, test)).cast("double"), F.size(pixels)), 4)
-    return F.struct(
-        share(lambda p: is_tissue(p["r"], p["g"], p["b"])).alias("tissue_frac"),
-        share(lambda p: F.greatest(p["r"], p["g"], p["b"]) == 0).alias("black_frac"),
-        share(lambda p: F.least(p["r"], p["g"], p["b"]) > 220).alias("white_frac"),
-    )
+    """Shares of tissue, black and white pixels of an array of r, g, b, to four decimals; the array is made once."""
+    share = lambda p, test: F.round(F.try_divide(F.size(F.filter(p, test)).cast("double"), F.size(p)), 4)
+    return let(pixels, lambda some: F.struct(
+        share(some, lambda p: is_tissue(p["r"], p["g"], p["b"])).alias("tissue_frac"),
+        share(some, lambda p: F.greatest(p["r"], p["g"], p["b"]) == 0).alias("black_frac"),
+        share(some, lambda p: F.least(p["r"], p["g"], p["b"]) > 220).alias("white_frac"),
+    ))
 
 
 def usable(items: DataFrame, thresholds: dict[str, float]) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from evalweave import catalog
 from evalweave.functions import expressions as X
 from evalweave.operators import attention, dedup, draws, geometry, graph, index, inference, lifecycle, metrics, neighbours, probe, quantiles, raster, report, softmax, splits, tiles, vectors
@@ -35,6 +36,11 @@ def test_fallback_tile(spark):
     assert got == {(1, 0, 1), (2, 0, 0)}
 
 
+def test_pixels_are_made_once(spark):
+    plan = catalog.QUERIES["pixel_fractions"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+
+
 def test_pixels(spark):
     known = [((180, 80, 160), True), ((255, 255, 255), False), ((0, 0, 0), False), ((200, 200, 190), False), ((40, 20, 30), True), ((30, 10, 20), False)]
     rows = spark.createDataFrame([(*rgb, t) for rgb, t in known], "r int, g int, b int, t boolean")
