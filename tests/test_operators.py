@@ -459,6 +459,26 @@ def test_group_numbers_follow_roots(spark):
     assert got == {i: f"g_src{i // 3:04d}" for i in range(100)}
 
 
+def test_blocks_grow_with_rows(spark, monkeypatch):
+    """So that a row is sent to few others, whatever their number; products are looked at in doubles only where single ones may reach the k-th."""
+    monkeypatch.setattr(neighbours, "LEAST_BLOCK_ROWS", 10)
+    looked = []
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:800])], "id long, v array<double>")
+    assert neighbours.search(rows, 2, cell_rows=8).pairs <= 40 * 39
+    plain = neighbours.paired
+    monkeypatch.setattr(neighbours, "paired", lambda a, b, o: looked.append(len(a)) or plain(a, b, o))
+    import pyarrow as pa
+
+    t = pa.table({"id": np.arange(4000), "owner": np.arange(4000), "v": pa.array(x.tolist()), "cell": np.zeros(4000, np.int32)})
+    row, found, _ = neighbours.compare(t, t, 3, None, x[:1], np.array([np.linalg.norm(x - x[0], axis=1).max()]), None)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert found.tolist() == np.argsort(-s, 1)[:, :3].ravel().tolist() and row.tolist() == np.repeat(np.arange(4000), 3).tolist()
+    assert sum(looked) < 4000 * 4000 / 100
+
+
 def test_neighbours_of_few(spark):
     rows = spark.createDataFrame([(1, [1.0]), (None, [2.0]), (2, None)], "id long, v array<double>")
     assert neighbours.search(rows, 2).rows.count() == 0 and neighbours.search(rows.limit(0), 2).rows.count() == 0
