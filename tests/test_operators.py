@@ -179,6 +179,21 @@ def test_replicates_as_brute_force(spark, monkeypatch, held):
                 assert math.isclose(values[model, b, metric], x, rel_tol=1e-9), (model, b, metric)
 
 
+def test_weights_are_sent_once(spark, monkeypatch):
+    """A range of scores gets the weights of its groups, not of its rows, and weighs few rows at a time; equal scores are carried on."""
+    monkeypatch.setattr(inference, "WEIGHED_ROWS", 7)
+    rng = np.random.default_rng(5)
+    n, w = rng.integers(1, 4, 200), rng.integers(0, 5, (12, 6))
+    score, positive, group = np.sort(rng.integers(0, 20, 200) / 20), rng.random(200) < 0.4, rng.integers(0, 12, 200)
+    x = w[group] * n[:, None]
+    ahead = (score[:, None] > score) + 0.5 * (score[:, None] == score)
+    want = [x[positive].sum(0), x[~positive].sum(0), np.einsum("ir,jr,ij->r", x[positive], x[~positive], ahead[positive][:, ~positive])]
+    assert all(np.allclose(a, b) for a, b in zip(inference.side_sums(group, n, score, positive, w), want))
+    scores = spark.createDataFrame([("d", 1, "m", i % 3, 0, str(i % 2), i / 100, i % 5 == 0, 1) for i in range(100)], "dataset string, seed long, model string, class int, bucket int, grp string, score double, positive boolean, n long")
+    weights = spark.createDataFrame([("d", 1, g, np.ones(1000, "<u4").tobytes()) for g in "01"], "dataset string, seed long, grp string, weights binary")
+    assert inference.auc_values(scores, weights).count() == 1
+
+
 def test_split_is_binomial():
     """Against exact binomial distributions, at both ends and for large numbers."""
     for n, left, whole in ((1, 1, 2), (7, 1, 3), (60, 59, 60), (40, 1, 1000)):
