@@ -468,6 +468,15 @@ def test_vectors_add_candidates(spark):
     assert roots(far, 30) == {o: (1, "x_src0000") for o in (1, 2, 3)}
 
 
+def test_votes_read_texts_once(spark):
+    """Features go as hashes of 16 bytes; none of the texts is in the plan of the votes."""
+    found = spark.createDataFrame([(o, f"s{i}." * 50) for o in (1, 2) for i in range(8)], "owner long, feature string")
+    rows = dedup.hashed(found)
+    assert rows.count() == 16 and {len(r.feature) for r in rows.collect()} == {16}
+    got = dedup.votes(found)
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 8)] and "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_group_numbers_follow_roots(spark):
     groups = spark.createDataFrame([(i, (i // 3) * 7) for i in range(100)], "owner long, root long")
     got = {r.owner: r.grp for r in dedup.named(groups, "g").collect()}
