@@ -503,6 +503,43 @@ def test_blocks_grow_with_rows(spark, monkeypatch):
     assert sum(looked) < 4000 * 4000 / 100
 
 
+def test_equal_vectors_meet_others_once(spark):
+    """Of 300 equal vectors three are compared; all of them get what brute force gives, as do zero vectors."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(340, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.permutation(340)[:300]] = x[0]
+    x[-6:] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = neighbours.search(rows, 2, 20)
+    assert sorted((r.id, r["rank"], r.other) for r in got.rows.collect()) == brute_neighbours(x, list(range(340)), 2)
+    assert got.pairs <= 30
+
+
+def test_close_unit_vectors_leave_blocks_out(spark):
+    """Directions 0.05 apart with rows 0.002 around them: products differ by less than radii do, distances tell them apart."""
+    rng = np.random.default_rng(12)
+    centres = np.eye(12)[:8] * 0.05 / np.sqrt(2) + np.ones(12)
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), 40, 0) + rng.normal(size=(320, 12)) * 0.0001
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = neighbours.search(rows, 2, 40, cell_rows=4)
+    assert sorted((r.id, r["rank"], r.other) for r in got.rows.collect()) == brute_neighbours(x, list(range(320)), 2)
+    assert got.pairs > 0 and got.visited < got.pairs / 2
+
+
+def test_pipeline_cuts_texts_once(spark):
+    cuts = spark.sparkContext.accumulator(0)
+
+    def cut(i):
+        cuts.add(1)
+        return f"s{i}."
+
+    found = spark.range(80).select((F.col("id") % 4).alias("owner"), F.udf(cut, "string")(F.floor(F.col("id") / 4)).alias("feature"))
+    near = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id long, v array<double>")
+    assert {r.root for r in dedup.pipeline(found, near, "x").collect()} == {0} and cuts.value == 80
+
+
 def test_neighbours_of_few(spark):
     rows = spark.createDataFrame([(1, [1.0]), (None, [2.0]), (2, None)], "id long, v array<double>")
     assert neighbours.search(rows, 2).rows.count() == 0 and neighbours.search(rows.limit(0), 2).rows.count() == 0
