@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.index import pending
+from ..sources import storage
 from ..sources import units as store
 
 
@@ -17,7 +18,7 @@ def run_pending(wanted: DataFrame, done: DataFrame, keys: list[str], make: Calla
     ``make`` gives rows with the keys of the units it is given.  Rows are published unit by unit
     with their signature when all of them are made, so a run that fails can be made again.
     """
-    units = pending(wanted, done, keys)
+    units = storage.written(pending(wanted, done, keys), "pending")
     n = units.count()
     if n:
         signed = units.select(*keys, F.col("signature").alias("_signature"))

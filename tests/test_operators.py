@@ -644,6 +644,20 @@ def test_units_are_replaced_whole(spark, tmp_path):
         units.read_units(spark, path, "s1").count()
 
 
+def test_many_units_share_files(spark, tmp_path):
+    """The files of 3000 units, and the partitions that read them, don't grow with the units; replaced units' rows are left out of files they share."""
+    path = str(tmp_path / "u")
+    rows = spark.range(9000).select(F.col("id").alias("row_id"), (F.col("id") % 3000).alias("k"), F.lit("s").alias("mark"))
+    units.write_units(rows, path, "k", signed="mark")
+    assert sum(p.is_file() for p in (tmp_path / "u").rglob("*")) < 100 and units.read_units(spark, path).rdd.getNumPartitions() < 100
+    units.write_units(rows.where("k % 3 = 0 and row_id < 3000").withColumn("mark", F.lit("t")), path, "k", signed="mark", shard=7)
+    got = {r.row_id for r in units.read_units(spark, path, units=3000).collect()}
+    assert got == {i for i in range(9000) if i % 3 or i < 3000}
+    assert {(r.signature, r.rows): r["count"] for r in units.published(spark, path).groupBy("signature", "rows").count().collect()} == {("s", 3): 2000, ("t", 1): 1000}
+    units.write_units(rows, path, "k", signed="mark")
+    assert units.read_units(spark, path).count() == 9000 and len(list((tmp_path / "u" / units.LISTS).glob("*.json"))) == 1
+
+
 def test_units_of_lost_files(spark, tmp_path):
     path = str(tmp_path / "u")
     units.write_units(unit_rows(spark), path, "model", "s")
