@@ -1,9 +1,11 @@
 """Gated attention over bags of vectors, trained by mini-batches over all partitions.
 
 A row is a bag: its vectors, label and part (train, val, test).  A mini-batch is the
-bags whose hash of seed, epoch and bag falls on its number; tasks add up the gradients
-of their bags, and the driver, which holds weights and moments alone, takes one step of
-AdamW.  All units take their steps in the same passes.  After each epoch the val part
+bags whose hash of seed, epoch and bag falls on its number.  Each epoch deals the bags
+out once, so that a mini-batch is one partition, or several if it is large; a step runs
+on these alone, and so costs the same however many bags there are.  Tasks add up the
+gradients of their bags, and the driver, which holds weights and moments alone, takes one
+step of AdamW.  All units take their steps in the same passes.  After each epoch the val part
 is scored; a unit stops when ``patience`` epochs brought no better value, and its
 weights of the best epoch are kept.
 
@@ -14,19 +16,21 @@ drawn from seed, epoch and bag, so results don't depend on partitions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark import RDD
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
 from . import metrics
 
+#: Bytes of a mini-batch that a task reads, at about.
+BATCH_BYTES = 1 << 26
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -146,27 +150,42 @@ def drawn_mask(s: Settings, epoch: int, bag: int, rows: int) -> np.ndarray | flo
     return (rng.random((rows, s.hidden)) >= s.dropout) / (1 - s.dropout)
 
 
-def gradients(rows: DataFrame, weights: Mapping[int, Weights], epoch: int, s: Settings) -> dict[int, np.ndarray]:
-    """Of each unit: bags, summed loss and summed gradient of some bags (unit, bag, label, items)."""
-    shared = rows.sparkSession.sparkContext.broadcast(dict(weights))
-    schema = pa.schema([("unit", pa.int32()), ("total", pa.list_(pa.float64()))])
+def packed(rows: DataFrame) -> DataFrame:
+    """unit, bag, label, size, data: the vectors of a bag as its size and the bytes of its doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, (u, bag, label) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
-                if u in shared.value:
-                    x = bag_matrix(batch.column(3)[i])
-                    loss, d = backward(shared.value[u], x, label, drawn_mask(s, epoch, bag, len(x)))
-                    one = np.concatenate(([1.0, loss], flat(d)))
-                    held[u] = held[u] + one if u in held else one
-        for u, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([u], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], schema=schema)
-
-    parts = rows.select("unit", "bag", "label", "items").mapInArrow(run, "unit int, total array<double>").select("unit", array_to_vector("total").alias("total"))
-    found = parts.groupBy("unit").agg(vector_to_array(Summarizer.sum(F.col("total"))).alias("total")).collect()  # as wide as a unit's weights
+            found = [bag_matrix(x) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["unit", "bag", "label", "size", "data"])
+
+    return rows.select("unit", "bag", "label", "items").mapInArrow(run, "unit int, bag long, label int, size int, data binary")
+
+
+def dealt(bags: DataFrame, batches: int, parts: int, epoch: int, s: Settings) -> RDD:
+    """Packed bags of an epoch: mini-batch b is partitions b * parts and the ``parts`` - 1 after it."""
+    place = F.pmod(F.xxhash64(F.lit(s.seed), F.lit(epoch), F.col("bag")), F.lit(batches)) * parts + F.pmod(F.xxhash64("bag"), F.lit(parts))
+    return bags.repartitionById(batches * parts, place.cast("int")).rdd
+
+
+def gradients(bags: RDD, places: Iterable[int], weights: Mapping[int, Weights], epoch: int, s: Settings) -> dict[int, np.ndarray]:
+    """Of each unit: bags, summed loss and summed gradient of the packed bags in some partitions; the others are not read."""
+    shared = bags.context.broadcast(dict(weights))
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple[int, np.ndarray]]:
+        held: dict[int, np.ndarray] = {}
+        for u, bag, label, size, data in sorted(rows, key=lambda r: r[:2]):
+            if u in shared.value:
+                x = np.frombuffer(data).reshape(size, -1)
+                loss, d = backward(shared.value[u], x, label, drawn_mask(s, epoch, bag, size))
+                one = np.concatenate(([1.0, loss], flat(d)))
+                held[u] = held[u] + one if u in held else one
+        yield from held.items()
+
+    out: dict[int, np.ndarray] = {}
+    for u, x in bags.context.runJob(bags, run, list(places)):  # as wide as a unit's weights
+        out[u] = out[u] + x if u in out else x
     shared.destroy()
-    return {r["unit"]: np.array(r["total"]) for r in found}
+    return out
 
 
 def probabilities(rows: DataFrame, weights: Mapping[int, Weights]) -> DataFrame:
@@ -196,7 +215,7 @@ def train(bags: DataFrame, keys: list[str], s: Settings = Settings()) -> tuple[d
     spark = bags.sparkSession
     wrong = F.col("label").isNull() | F.coalesce(F.size("items") < 1, F.lit(True)) | F.exists("items", lambda v: v.isNull())
     checked = bags.withColumn("items", F.when(wrong, F.raise_error(F.concat(F.lit("empty or broken bag "), F.col("bag").cast("string")))).otherwise(F.col("items")))
-    shape = bags.groupBy(*keys).agg((F.max("label") + 1).alias("k"), F.max(F.size(F.get("items", F.lit(0)))).alias("d"), F.count(F.when(F.col("part") == "train", 1)).alias("n")).collect()  # a row for each unit
+    shape = bags.groupBy(*keys).agg((F.max("label") + 1).alias("k"), F.max(F.size(F.get("items", F.lit(0)))).alias("d"), F.count(F.when(F.col("part") == "train", 1)).alias("n"), F.sum(F.when(F.col("part") == "train", F.size("items"))).alias("vectors")).collect()  # a row for each unit
     units = sorted((tuple(r)[: len(keys)] for r in shape), key=str)
     number = {u: i for i, u in enumerate(units)}
     table = spark.createDataFrame([(*u, i) for u, i in number.items()], ", ".join([*(f"{k} {kinds[k]}" for k in keys), "unit int"]))
@@ -204,14 +223,17 @@ def train(bags: DataFrame, keys: list[str], s: Settings = Settings()) -> tuple[d
     rows = written(rows, "bags")
     runs = {number[tuple(r)[: len(keys)]]: Training(start(r["d"], r["k"], s)) for r in shape}
     batches = max(1, -(-max(r["n"] for r in shape) // s.batch))
+    size = sum((r["vectors"] or 0) * (r["d"] or 0) * 8 for r in shape)
+    parts = max(1, -(-size // (batches * BATCH_BYTES)))
+    bags = written(packed(rows.where("part = 'train'")), "packed-bags")
     for epoch in range(1, s.epochs + 1):
         live = {u: t for u, t in runs.items() if not t.done}
         if not live:
             break
-        place = F.pmod(F.xxhash64(F.lit(s.seed), F.lit(epoch), F.col("bag")), F.lit(batches))
+        drawn = dealt(bags.where(F.col("unit").isin(*live)), batches, parts, epoch, s)
         loss, seen = dict.fromkeys(live, 0.0), dict.fromkeys(live, 0.0)
         for b in range(batches):
-            for u, total in gradients(rows.where((F.col("part") == "train") & (place == b)), {u: t.w for u, t in live.items()}, epoch, s).items():
+            for u, total in gradients(drawn, range(b * parts, (b + 1) * parts), {u: t.w for u, t in live.items()}, epoch, s).items():
                 seen[u] += total[0]
                 loss[u] += total[1]
                 live[u].step(total[2:] / total[0], s)

@@ -832,6 +832,25 @@ def test_attention_over_partitions(spark):
     assert np.mean([int(np.argmax(r.probs)) == r.target for r in out.values()]) > 0.8
 
 
+def test_attention_steps_read_their_bags(spark, monkeypatch):
+    """A step reads the bags of its mini-batch alone; large mini-batches go to several tasks, with the same gradients."""
+    s = attention.Settings(hidden=4, attention=3, batch=10, seed=5)
+    w = {0: attention.start(6, 3, s)}
+    rows = planted_bags(spark, 3).where("part = 'train'").withColumn("unit", F.lit(0))
+    bags = attention.packed(rows)
+    read = spark.sparkContext.accumulator(0)
+    place = {r.bag: r.b for r in rows.select("bag", F.pmod(F.xxhash64(F.lit(5), F.lit(2), "bag"), F.lit(9)).alias("b")).collect()}
+    for parts in (1, 3):
+        drawn = attention.dealt(bags, 9, parts, 2, s).map(lambda r: read.add(1) or r)
+        for b in range(9):
+            before = read.value
+            got = attention.gradients(drawn, range(b * parts, (b + 1) * parts), w, 2, s)
+            own = [r for r in rows.collect() if place[r.bag] == b]
+            assert read.value - before == len(own)
+            want = sum(np.concatenate(([1.0, loss], attention.flat(d))) for loss, d in (attention.backward(w[0], np.array(r["items"]), r.label, attention.drawn_mask(s, 2, r.bag, len(r["items"]))) for r in own))
+            assert np.allclose(got[0], want) if own else not got
+
+
 def test_attention_stops(spark):
     t, s = attention.Training(attention.start(2, 2, attention.Settings(hidden=2, attention=2))), attention.Settings(patience=2)
     for epoch, value in enumerate([float("nan"), 0.5, 0.5, 0.4], 1):
