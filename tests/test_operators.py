@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -767,6 +768,21 @@ def test_means_have_no_order(spark):
     assert math.isnan(got[1]) and got[2] is None and got[3] == -0.0001
 
 
+def test_best_c_adds_up_in_the_order_of_rows(spark, tmp_path):
+    """Means on a tie fall as their SQL's do, which adds doubles up as the file holds them."""
+    rng = np.random.default_rng(5)
+    cents = rng.integers(0, 11, (400, 80))
+    cents[:, -1] += (2 - cents.sum(1)) % 4  # so that all means end in five hundred-thousandths
+    rows = [(m // 2, 1 + m % 2, c / 100) for i in range(80) for m, c in enumerate(cents[:, i].tolist())] + [(400, 1, None)]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["best_c_select"]).fetchall()
+    got = catalog.QUERIES["best_c_select"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want)
+
+
 def test_negative_zeros_stay(spark):
     """Small negative cells round to negative zeros, as in SQL."""
     row = spark.createDataFrame([([-1e-9, 1e-9, -0.0, -0.25, None],)], "v array<double>").select(X.rounded_each(F.col("v"), 5)).first()[0]
