@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from evalweave import catalog
 from evalweave.functions import expressions as X
-from evalweave.operators import attention, dedup, draws, geometry, graph, index, inference, lifecycle, metrics, neighbours, probe, quantiles, raster, report, softmax, splits, tiles, vectors
+from evalweave.operators import attention, dedup, draws, geometry, graph, index, inference, lifecycle, meetings, metrics, neighbours, probe, quantiles, raster, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
 from evalweave.sources import runs, storage, units
 from evalweave.streaming import shards
@@ -478,6 +478,34 @@ def test_votes_read_texts_once(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 2, 8)] and "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("few, most_sets, cells", [(24, 2048, 1 << 20), (3, 9, 60), (2, 1 << 20, 1 << 20)])
+def test_votes_are_counted_where_pairs_meet(spark, monkeypatch, few, most_sets, cells):
+    """One by one, as matrices and in tiles, what brute force gives; no pair is sent anywhere; the best pairs of each end stay when others are left out early."""
+    monkeypatch.setattr(meetings, "FEW", few)
+    monkeypatch.setattr(meetings, "MOST_SETS", most_sets)
+    monkeypatch.setattr(meetings, "CELLS", cells)
+    rng = np.random.default_rng(8)
+    owned = {o: {f"{o // 40}.{x}" for x in rng.choice(30, int(rng.integers(4, 20)), replace=False)} | {f"c{x}" for x in rng.choice(9, 3, replace=False)} for o in range(160)}
+    owned |= {500 + i: owned[i] for i in range(6)}
+    rows = [(o, sorted(xs)) for o, xs in owned.items()]
+    rows += [(o, xs[:4]) for o, xs in rows[:20]] + [(None, ["x"] * 9), (900, None), (901, [])]
+    found = spark.createDataFrame(rows, "owner long, features array<string>")
+    first = {frozenset(xs): min(o for o in owned if owned[o] == xs) for xs in owned.values()}
+    heads = sorted(set(first.values()))
+    want = {(a, b): len(owned[a] & owned[b]) for i, a in enumerate(heads) for b in heads[i + 1 :] if len(owned[a] & owned[b]) >= 6}
+    want |= {(first[frozenset(xs)], o): len(xs) for o, xs in owned.items() if first[frozenset(xs)] != o and len(xs) >= 6}
+    got = dedup.votes(found)
+    listed = got.collect()
+    assert {(r.a, r.b): r.votes for r in listed} == want and len(listed) == len(want)
+    assert "hashpartitioning(a" not in got._jdf.queryExecution().executedPlan().toString()
+    for most in (1, 3):
+        fewer = dedup.votes(found, most=most)
+        assert {tuple(r) for r in dedup.candidates(fewer, most=most).collect()} == {tuple(r) for r in dedup.candidates(got, most=most).collect()}
+        assert fewer.count() <= len(want)
+    near = {(r.a, r.b): r.votes for r in dedup.shared(spark.createDataFrame([(0, 1), (0, 500), (0, 159)], "a long, b long"), found).collect()}
+    assert near == {(a, b): len(owned[a] & owned[b]) for a, b in ((0, 1), (0, 500), (0, 159))}
+
+
 def test_group_numbers_follow_roots(spark):
     groups = spark.createDataFrame([(i, (i // 3) * 7) for i in range(100)], "owner long, root long")
     got = {r.owner: r.grp for r in dedup.named(groups, "g").collect()}
