@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from evalweave import catalog
+from evalweave import catalog, catalog_stores
 from evalweave.functions import expressions as X
 from evalweave.operators import attention, dedup, draws, geometry, graph, index, inference, lifecycle, meetings, metrics, neighbours, probe, quantiles, raster, report, softmax, splits, tiles, vectors
 from evalweave.plans import resume
@@ -569,6 +569,18 @@ def test_pipeline_cuts_texts_once(spark):
     assert {r.root for r in dedup.pipeline(found, near, "x").collect()} == {0} and cuts.value == 80
 
 
+def test_letters_are_counted_in_one_pass(spark, tmp_path):
+    texts = {1: "tea\u00e9\U0001d552 eel", 2: "", 3: None, 4: "xyz", 5: "E" * 9 + "u", 6: "tt\nhh" * 400}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog_stores.letter_vectors(spark, str(tmp_path))
+    got = {r.id: r.v for r in rows.collect()}
+    assert got.keys() == texts.keys() - {3} and got[2] == [0.0] * 12
+    for i in (1, 4, 5, 6):
+        n = [texts[i].count(x) for x in "etaoinshrdlu"]
+        assert got[i] == [x / (math.sqrt(sum(x * x for x in n)) + 1e-6) for x in n]
+    assert "replace(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_neighbours_of_few(spark):
     rows = spark.createDataFrame([(1, [1.0]), (None, [2.0]), (2, None)], "id long, v array<double>")
     assert neighbours.search(rows, 2).rows.count() == 0 and neighbours.search(rows.limit(0), 2).rows.count() == 0
